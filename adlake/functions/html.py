@@ -11,7 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ELEMENT_DDL = "array<struct<pos:int,parent:int,tag:string,attrs:map<string,string>,text:string>>"
+ELEMENTS = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()),
+    T.StructField("tag", T.StringType()),
+    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("text", T.StringType()),
+]))
 _ELEMENT_ARROW = pa.list_(pa.struct([
     ("pos", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
@@ -116,7 +121,7 @@ class _PlainText(HTMLParser):
         return "\n".join(line for line in lines if line)
 
 
-def _map_pages(pages: DataFrame, keep: Sequence[str], html: str, name: str, spark_type: str,
+def _map_pages(pages: DataFrame, keep: Sequence[str], html: str, name: str, spark_type: T.DataType,
                arrow_type: pa.DataType, convert) -> DataFrame:
     kept = pages.select(*keep, html)
     schema = T.StructType(kept.schema.fields[:-1]).add(name, spark_type)
@@ -142,11 +147,11 @@ def parse_elements(pages: DataFrame, tags: Sequence[str], keep: Sequence[str] =
     null. Name only the tags that are used: an element repeats the text of those inside it.
     """
     wanted = frozenset(tags)
-    return _map_pages(pages, keep, html, "elements", ELEMENT_DDL, _ELEMENT_ARROW,
+    return _map_pages(pages, keep, html, "elements", ELEMENTS, _ELEMENT_ARROW,
                       lambda page: _Elements(wanted).elements(page))
 
 
 def plain_text(pages: DataFrame, keep: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
     """``keep`` columns and ``text``: the readable text of each page."""
-    return _map_pages(pages, keep, html, "text", "string", pa.string(),
+    return _map_pages(pages, keep, html, "text", T.StringType(), pa.string(),
                       lambda page: _PlainText().text(page))

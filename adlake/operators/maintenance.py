@@ -90,6 +90,20 @@ def stale_upsert(old: DataFrame, new: DataFrame, key: str, loaded: str, now: dat
             .select("_row.*"))
 
 
+def upsert_changes(stored: DataFrame, new: DataFrame, key: str, loaded: str, now: date,
+                   max_age_days: int = 30) -> DataFrame:
+    """The rows of ``new`` that ``stale_upsert`` would store, to be appended as a change.
+
+    ``stored`` needs only the key and the load date of each document, so the documents
+    themselves are neither read nor written again.
+    """
+    order = F.struct(loaded, *[c for c in new.columns if c not in (key, loaded)])
+    latest = (new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("_row"))
+              .select("_row.*"))
+    fresh = stored.filter(F.col(loaded) >= F.lit(now - timedelta(days=max_age_days)))
+    return latest.join(fresh.select(key), key, "left_anti").select(*new.columns)
+
+
 def gone_ads(page: DataFrame, today: date, max_days: int = PAST_DAYS,
              keys: Sequence[str] = ("uid",), stat: str = "stat",
              postdate: str = "postdate") -> DataFrame:

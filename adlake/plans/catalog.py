@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from adlake.plans import features, statistics, tables  # noqa: F401
+from adlake.plans import documents, features, statistics, tables  # noqa: F401
 from adlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -216,12 +216,13 @@ def slug(t):
     return t.part.select("p_partkey", text.slug(name).alias("slug"))
 
 
-@query("name_count", "SELECT c_custkey, c_name AS name, CAST(floor(c_acctbal) AS INTEGER) AS n FROM customer")
+@query("name_count", """SELECT c_custkey, c_name AS name, CAST(floor(abs(c_acctbal)) AS INTEGER) AS n
+    FROM customer""")
 def name_count(t):
-    label = F.concat("c_name", F.lit(" ("), F.format_number(F.floor("c_acctbal"), 0), F.lit(")"))
-    labels = t.customer.filter(F.col("c_custkey").isNotNull()).select("c_custkey", label.alias("label"))
+    label = F.concat("c_name", F.lit(" ("), F.format_number(F.floor(F.abs("c_acctbal")), 0), F.lit(")"))
     name, n = text.count_label(F.col("label"))
-    return labels.select("c_custkey", name.alias("name"), n.alias("n"))
+    return t.customer.select("c_custkey", label.alias("label")).select(
+        "c_custkey", name.alias("name"), n.alias("n"))
 
 
 STRIP = r"'^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'"

@@ -14,9 +14,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.query import StreamingQuery
 
-from adlake.operators.maintenance import stale_upsert
+from adlake.operators.maintenance import upsert_changes
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, pattern: str,
@@ -43,20 +42,34 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def upsert_available(stream: DataFrame, table: str, checkpoint: str, key: str, loaded: str,
-                     now: date, max_age_days: int = 30) -> StreamingQuery:
-    """Bring what has arrived into a document table, one version folder per micro-batch.
+                     now: date, max_age_days: int = 30) -> None:
+    """Bring what has arrived into a document table, then stop.
 
-    A batch reads version n-1 and writes version n, so a lost executor or a retried batch
-    writes the same version again and never reads what it overwrites.
+    A micro-batch appends the documents it changes as ``version=<batch>``; what is stored
+    is read by key and load date only. A batch that is run again after a failure reads
+    the versions before its own and overwrites its own, so it gives the same result.
+    Table and checkpoint belong together.
     """
 
     def load(batch: DataFrame, version: int) -> None:
+        stored = batch.limit(0)
         if version > 0:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/version={version - 1}")
-        else:
-            old = batch.limit(0)
-        merged = stale_upsert(old, batch, key, loaded, now, max_age_days)
-        merged.write.mode("overwrite").parquet(f"{table}/version={version}")
-
-    return (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            # Only keys that arrived: the rest of the table is out before it is grouped.
+            arrived = batch.select(key).distinct()
+            stored = (batch.sparkSession.read.parquet(table).filter(F.col("version") < version)
+                      .select(key, loaded, "version").join(arrived, key, "left_semi")
+                      .groupBy(key).agg(F.max_by(loaded, "version").alias(loaded)))
+        changes = upsert_changes(stored, batch, key, loaded, now, max_age_days)
+        changes.write.mode("overwrite").parquet(f"{table}/version={version}")
+
+    query = (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_documents(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """Present document of each key: the one of its latest version."""
+    rows = spark.read.parquet(table)
+    stored = [c for c in rows.columns if c != "version"]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*stored), "version").alias("_row"))
+            .select("_row.*"))
