@@ -13,10 +13,11 @@ from adlake.functions.text import capture_int, strip
 
 def month_number(name: Column) -> Column:
     """Month name or its first three letters as 1 to 12, else null."""
-    number = F.lit(None).cast("int")
+    numbers = {}
     for i, month in enumerate(rules.MONTHS, 1):
-        number = F.when(F.lower(name).isin(month.lower(), month[:3].lower()), i).otherwise(number)
-    return number
+        numbers[month.lower()] = numbers[month[:3].lower()] = i
+    table = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return F.try_element_at(table, F.lower(name))
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:

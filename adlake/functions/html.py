@@ -4,13 +4,18 @@ back as an array column; all further work is column expressions."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The parser travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ELEMENTS = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()),
     T.StructField("tag", T.StringType()),

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import html
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlake import rules
 
+# The one Python function below travels with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Letter, digit or underscore of any script; Java's \w is ASCII only.
 WORD = r"\p{L}\p{N}_"
 BLANK = r"[\s\x{a0}]"
@@ -37,8 +42,8 @@ def whole_word(pattern: str) -> str:
 
 
 def capture(c: Column, pattern: str, group: int = 1) -> Column:
-    """Captured text; null, not '', where the pattern is absent."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """Captured text, null where the pattern is absent. For groups that are never empty."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def capture_int(c: Column, pattern: str, group: int = 1) -> Column:

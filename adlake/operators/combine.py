@@ -8,11 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys for a semi or anti join. A hot key is one row per task before the shuffle, which
+    the join then takes over; so the step adds no shuffle of its own."""
+    return df.select(*keys).distinct()
+
+
 def left_with(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left outer join on equal key names."""
     return df.join(other, list(keys), "left")
 
 
+def left_with_many(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left outer join for an ``other`` that may hold very many rows of one key.
+
+    AQE can split a hot key on the left of an outer join but not on the right; in an inner
+    join it can split both. So matches come from an inner join, and the rows without a
+    match from an anti join against the distinct keys.
+    """
+    matched = df.join(other, list(keys))
+    unmatched = df.join(distinct_keys(other, keys), list(keys), "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def union_tables(*frames: DataFrame) -> DataFrame:
     """All rows of live and archived tables, by column name; a missing column is null."""
     result = frames[0]

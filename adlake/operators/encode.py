@@ -74,16 +74,20 @@ def first_items(df: DataFrame, column: str, prefix: str, n: int = 3,
     return df.withColumns({f"{prefix}{i}": item(i) for i in range(n)})
 
 
-def skill_tags(tokens: Column, words: Mapping[str, Sequence[str]] = rules.SKILL_WORDS,
+def skill_tags(df: DataFrame, tokens: str,
+               words: Mapping[str, Sequence[str]] = rules.SKILL_WORDS,
                pairs: Mapping[str, Sequence[str]] = rules.SKILL_BIGRAMS,
-               most: int = 30) -> dict[str, Column]:
-    """Per kind the number of tag words among the commonest tokens of a text plus the number
-    of tag bigrams among its commonest bigrams."""
-    top_words = F.transform(text.most_common(tokens, most), lambda x: x["term"])
-    top_pairs = F.transform(text.most_common(text.bigrams(tokens), most), lambda x: x["term"])
-
-    def hits(terms: Column, tags: Sequence[str]) -> Column:
-        return F.size(F.array_intersect(terms, F.array(*[F.lit(t) for t in tags])))
-
-    return {f"{kind}_skills": hits(top_words, words[kind]) + hits(top_pairs, pairs[kind])
-            for kind in words}
+               most: int = 30) -> DataFrame:
+    """Adds ``<kind>_skills``: the tag words of the kind among the commonest tokens of a text
+    plus its tag bigrams among the commonest bigrams."""
+    terms = df.withColumns({
+        "_words": F.transform(text.most_common(F.col(tokens), most), lambda x: x["term"]),
+        "_pairs": F.transform(text.most_common(text.bigrams(F.col(tokens)), most), lambda x: x["term"]),
+    })
+
+    def hits(column: str, tags: Sequence[str]) -> Column:
+        return F.size(F.array_intersect(column, F.array(*[F.lit(t) for t in tags])))
+
+    return terms.withColumns({
+        f"{kind}_skills": hits("_words", words[kind]) + hits("_pairs", pairs[kind]) for kind in words
+    }).drop("_words", "_pairs")

@@ -8,6 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlake.operators.combine import distinct_keys, union_tables
+
 PAST_DAYS = 90
 
 
@@ -42,7 +44,7 @@ def first_wins(new: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keyed = new.filter(~any_null(keys))
     if old is not None:
-        keyed = keyed.join(old.select(*keys), list(keys), "left_anti").select(*new.columns)
+        keyed = keyed.join(distinct_keys(old, keys), list(keys), "left_anti").select(*new.columns)
     return earliest_rows(keyed, keys, order).unionByName(new.filter(any_null(keys)))
 
 
@@ -59,7 +61,7 @@ def refresh_partition(old: DataFrame, new: DataFrame, column: str,
 
 def remove_dead(df: DataFrame, dead: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Without the rows whose key is among the dead pages."""
-    return df.join(dead.select(*keys), list(keys), "left_anti").select(*df.columns)
+    return df.join(distinct_keys(dead, keys), list(keys), "left_anti").select(*df.columns)
 
 
 def drop_errors(docs: DataFrame, error: str = "error") -> DataFrame:
@@ -121,9 +123,8 @@ def archive_live(df: DataFrame, archived_keys: Sequence[DataFrame],
                  keys: Sequence[str] = ("uid",)) -> DataFrame:
     """Rows of a live table (pages or listings) left after archiving. ``archived_keys``
     holds the keys just moved and those of earlier archive tables."""
-    for archived in archived_keys:
-        df = df.join(archived.select(*keys), list(keys), "left_anti").select(*df.columns)
-    return df
+    archived = union_tables(*[frame.select(*keys) for frame in archived_keys])
+    return df.join(distinct_keys(archived, keys), list(keys), "left_anti").select(*df.columns)
 
 
 def number_in_order(df: DataFrame, order: Sequence[str], bucket: Column, name: str) -> DataFrame:

@@ -108,15 +108,16 @@ def last_values(df: DataFrame, by: str, key: str, value: str, order: Sequence[st
 def translate_items(items: DataFrame, text: str, glossary: DataFrame, source: str = "source",
                     target: str = "target", needs: Column | None = None) -> DataFrame:
     """Adds ``needs`` (by default: the text starts with an Arabic letter) and ``translated``:
-    the glossary's entry, null while there is none, or the text itself if it needs none."""
+    the glossary's entry, null while there is none, or the text itself if it needs none.
+
+    Only texts that need it go through the join.
+    """
     needs = starts_arabic(F.col(text)) if needs is None else needs
-    terms = glossary.select(F.col(source).alias("_s"), F.col(target).alias("_t"))
-    flagged = items.withColumn("needs", needs)
-    # Texts that need nothing get a null key: they match no entry.
-    key = F.when(F.col("needs"), F.col(text))
-    return (flagged.join(terms, key == F.col("_s"), "left")
-            .withColumn("translated", F.when(F.col("needs"), F.col("_t")).otherwise(F.col(text)))
-            .drop("_s", "_t"))
+    flagged = items.withColumn("needs", F.coalesce(needs, F.lit(False)))
+    terms = glossary.select(F.col(source).alias(text), F.col(target).alias("translated"))
+    foreign = flagged.filter("needs").join(terms, text, "left").select(*flagged.columns, "translated")
+    plain = flagged.filter("NOT needs").withColumn("translated", F.col(text))
+    return foreign.unionByName(plain)
 
 
 def nothing_to_translate(ids: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:

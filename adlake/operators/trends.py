@@ -32,12 +32,11 @@ def ad_weights(ads: DataFrame, whole: bool = False) -> DataFrame:
     """
     seen = ads.select("country", "uid", "cat", month_start(F.col("postdate")).alias("month")).distinct()
     per_ad = Window.partitionBy("country", "uid")
-    is_new_cat = F.row_number().over(Window.partitionBy("country", "uid", "cat").orderBy("month")) == 1
-    k = F.count_if("_new").over(per_ad)
+    k = F.max("_cat_number").over(per_ad)
     weight = F.floor(1 / k).cast("double") if whole else 1 / k
     known = F.col("country").isNotNull() & F.col("uid").isNotNull()
-    return (seen.repartition("country", "uid").withColumn("_new", is_new_cat)
-            .withColumn("weight", F.when(known, weight)).drop("_new"))
+    return (seen.withColumn("_cat_number", F.dense_rank().over(per_ad.orderBy("cat")))
+            .withColumn("weight", F.when(known, weight)).drop("_cat_number"))
 
 
 def category_months(ads: DataFrame, whole: bool = False) -> DataFrame:
@@ -77,21 +76,31 @@ def top_share(months: DataFrame, n: int = 5) -> DataFrame:
     return place.groupBy("country").agg(F.floor(F.round(share, 6)).cast("int").alias("top_pct"))
 
 
+def _spanned(months: DataFrame, top: int) -> DataFrame:
+    """Dated months with the first and last month of their country's ``top`` largest
+    categories. Windows over the small monthly table, so it is made only once."""
+    by_country = Window.partitionBy("country")
+    of_cat = F.sum("total").over(Window.partitionBy("country", "cat"))
+    placed = months.withColumn("_all", F.round(of_cat, 9)).withColumn(
+        "_place", F.dense_rank().over(by_country.orderBy(F.desc("_all"), "cat")))
+    leading = F.when(F.col("_place") <= top, F.col("month"))
+    return dated(placed.withColumns({"first_month": F.min(leading).over(by_country),
+                                     "last_month": F.max(leading).over(by_country)}))
+
+
 def month_span(months: DataFrame, n: int = 5) -> DataFrame:
     """First and last month in which a country's n largest categories occur."""
-    top = top_categories(months, n).select("country", "cat")
-    return (dated(months).join(top, ["country", "cat"], "left_semi").groupBy("country")
-            .agg(F.min("month").alias("first_month"), F.max("month").alias("last_month")))
+    return (_spanned(months, n).groupBy("country")
+            .agg(F.first("first_month").alias("first_month"), F.first("last_month").alias("last_month")))
 
 
 def category_change(months: DataFrame, n: int = 20, top: int = 5) -> DataFrame:
     """Change of each category from the first to the last month of ``month_span``, with its
     place from below and above; the n lowest and n highest. Categories that lack one of
     the two months have no change and no place."""
-    both = dated(months).join(month_span(months, top), "country")
     first = F.sum(F.when(F.col("month") == F.col("first_month"), F.col("total")))
     last = F.sum(F.when(F.col("month") == F.col("last_month"), F.col("total")))
-    change = (both.groupBy("country", "cat").agg((last - first).alias("change"))
+    change = (_spanned(months, top).groupBy("country", "cat").agg((last - first).alias("change"))
               .filter(F.col("change").isNotNull()))
     by_country = Window.partitionBy("country")
     change = (change.withColumn("_c", F.round("change", 9))

@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adlake.operators.combine import distinct_keys
 from adlake.operators.maintenance import closed_or_old
 
 
@@ -70,7 +71,7 @@ def unvisited_segments(counts: DataFrame, pages: DataFrame, segment: Sequence[st
                        on: Sequence[str]) -> DataFrame:
     """Segments with a count on some day for which no page was loaded; ``on`` names the
     region and day columns both frames share."""
-    return counts.join(pages.select(*on), list(on), "left_anti").select(*segment).distinct()
+    return counts.join(distinct_keys(pages, on), list(on), "left_anti").select(*segment).distinct()
 
 
 def segments_to_fetch(counts: DataFrame, pages: DataFrame, segment: Sequence[str],
@@ -83,11 +84,11 @@ def segments_to_fetch(counts: DataFrame, pages: DataFrame, segment: Sequence[str
 def without(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``other``. A null key in ``other`` excludes nothing, so
     it needs no filter; unlike NOT IN it cannot empty the result."""
-    return df.join(other.select(*keys), list(keys), "left_anti").select(*df.columns)
+    return df.join(distinct_keys(other, keys), list(keys), "left_anti").select(*df.columns)
 
 
 def within(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(other.select(*keys), list(keys), "left_semi").select(*df.columns)
+    return df.join(distinct_keys(other, keys), list(keys), "left_semi").select(*df.columns)
 
 
 def open_worklist(listing: DataFrame, page: DataFrame, today: date, keys: Sequence[str] = ("uid",),

@@ -12,6 +12,7 @@ from adlake.plans import roles
 from adlake.plans.registry import query
 from adlake.plans.roles import COUNTS, LISTING
 from adlake.session import scratch_path
+from adlake.sources.tables import spread
 from adlake.streaming import ingest
 
 # Resumes: the turns of a conversation are the items of a document, the role its section.
@@ -88,6 +89,10 @@ def nothing_to_translate(t):
 # Pages
 
 
+def page_texts(t):
+    return spread(t.pages, "page_id")
+
+
 def unescape_sql(expression: str) -> str:
     for entity, char in (("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"),
                          ("amp", "'&'")):
@@ -97,7 +102,7 @@ def unescape_sql(expression: str) -> str:
 
 @query("html_unescape", f"SELECT page_id, md5({unescape_sql('html')}) AS digest FROM pages")
 def html_unescape(t):
-    return t.pages.select("page_id", F.md5(text.html_unescape(F.col("html"))).alias("digest"))
+    return page_texts(t).select("page_id", F.md5(text.html_unescape(F.col("html"))).alias("digest"))
 
 
 BLOCKS = "|".join(sorted(html.BLOCK))
@@ -110,7 +115,7 @@ BLOCKS = "|".join(sorted(html.BLOCK))
     SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)),
         lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM bare""")
 def html_text(t):
-    return html.plain_text(t.pages)
+    return html.plain_text(page_texts(t))
 
 
 STRIP = r"'^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'"
@@ -124,7 +129,7 @@ HREF = unescape_sql("""regexp_extract(link, 'href="([^"]*)"', 1)""")
     string_split({HREF}, '?')[1] AS href, nullif(regexp_extract({HREF}, '^/(.+)$', 1), '') AS uid,
     0::INTEGER AS i_featured FROM links""")
 def listing_rows(t):
-    parsed = html.parse_elements(t.pages, ["li", "a"], keep=["page_id"])
+    parsed = html.parse_elements(page_texts(t), ["li", "a"], keep=["page_id"])
     return pages.listing_rows(parsed, id_pattern=r"^/(.+)$")
 
 
@@ -132,7 +137,7 @@ def listing_rows(t):
         SELECT page_id, CAST(i AS INTEGER) AS pos, {LABEL} AS label, {HREF} AS href, '' AS img FROM links)
     SELECT * FROM labelled WHERE regexp_matches(label, '^[\p{{L}}\p{{N}}_]')""")
 def category_links(t):
-    return pages.category_links(html.parse_elements(t.pages, ["a", "img"], keep=["page_id"]))
+    return pages.category_links(html.parse_elements(page_texts(t), ["a", "img"], keep=["page_id"]))
 
 
 def _title_sql(tag: str) -> str:
@@ -146,7 +151,7 @@ def _title_sql(tag: str) -> str:
     CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS list_items,
     CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS links FROM pages""")
 def page_record(t):
-    return pages.page_record(html.parse_elements(t.pages, ["html", "title", "h1", "p", "li", "a"]))
+    return pages.page_record(html.parse_elements(page_texts(t), ["html", "title", "h1", "p", "li", "a"]))
 
 
 @query("page_status", """SELECT doc_id, CASE WHEN html IS NULL THEN 'NOT FOUND'
@@ -177,7 +182,10 @@ def ad_details(t):
         row("Posted date", F.date_format("postdate", "d MMMM yyyy")), row("Location", F.col("region")),
         row("Job Type", F.col("level")), row("Salary", F.lit("-")), row("Salary", salary),
         F.lit("</table></body></html>"))
-    parsed = html.parse_elements(roles.listing(t).select("uid", page.alias("html")), ["h1", "th", "td"], keep=["uid"])
+    # Parsing costs far more than moving these few columns, so they are spread by a fixed
+    # number: AQE would merge partitions by their small size.
+    ads = roles.listing(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+    parsed = html.parse_elements(ads.select("uid", page.alias("html")), ["h1", "th", "td"], keep=["uid"])
     return pages.ad_details(parsed, ["uid"], CELLS)
 
 
@@ -214,6 +222,16 @@ def stream_first_wins(t):
     return t.spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "event_type", "value")
 
 
+@query("stream_first_wins_exact", "SELECT DISTINCT event_id, user_id, event_type, value FROM events")
+def stream_first_wins_exact(t):
+    columns = ["event_id", "user_id", "event_type", "value"]
+    arrivals = ingest.read_files(t.spark, t.folder, t.events.schema, "events.parquet").select(*columns)
+    path = scratch_path(t.spark, "exact")
+    ingest.first_wins_available(arrivals.union(arrivals), f"{path}/rows", f"{path}/checkpoint",
+                                ["event_id"], ["user_id", "event_type", "value"])
+    return t.spark.read.parquet(f"{path}/rows").select(*columns)
+
+
 @query("stream_upsert", """SELECT user_id, event_id, event_type, value FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_upsert(t):

@@ -122,7 +122,7 @@ def whole_word_sql(column: str, words: str) -> str:
 def education_ladder(t):
     coded = F.when(F.col("source") == "src1", "masters").otherwise(F.col("source"))
     level = features.education_level(coded, F.col("text"), LADDER, {"rn": ["el", "los"]})
-    return t.documents.select("doc_id", level.alias("education"))
+    return roles.texts(t).select("doc_id", level.alias("education"))
 
 
 TERM_LEVELS = {"entry": ["small", "economy"], "mid": ["medium", "standard", "eco[a-z]+"],
@@ -233,7 +233,7 @@ STRIP = r"'^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'"
         lambda x: regexp_replace(x, {STRIP})), chr(10)), '<!--.*?-->', '', 'g'), chr(160), chr(10))
         AS description FROM documents""")
 def clean_description(t):
-    return t.documents.select("doc_id", text.clean_description(F.col("text")).alias("description"))
+    return roles.texts(t).select("doc_id", text.clean_description(F.col("text")).alias("description"))
 
 
 @query("flatten_lines", "SELECT doc_id, translate(text, chr(13) || chr(10), ' >') AS line FROM documents")
@@ -267,12 +267,12 @@ def _requirements_sql(column: str) -> str:
 
 @query("normalise_requirements", f"SELECT doc_id, {_requirements_sql('lower(text)')} AS requirements FROM documents")
 def normalise_requirements(t):
-    return t.documents.select("doc_id", text.normalise_requirements(
+    return roles.texts(t).select("doc_id", text.normalise_requirements(
         F.lower("text"), "\n", SYNONYMS).alias("requirements"))
 
 
 def tokens(t):
-    return t.documents.select("doc_id", text.clean_tokens(F.lower("text")).alias("tokens"))
+    return roles.texts(t).select("doc_id", text.clean_tokens(F.lower("text")).alias("tokens"))
 
 
 STOP = sql_list(w for w in rules.ENGLISH_STOP_WORDS + rules.EXTRA_STOP_WORDS if len(w) >= 4)
@@ -321,8 +321,7 @@ def _hits(kind: str) -> str:
 @query("skill_tags", f"WITH {TOKENS}, {TERMS}, {PAIRS} SELECT doc_id, "
        + ", ".join(f"CAST({_hits(k)} AS INTEGER) AS {k}_skills" for k in SKILLS) + " FROM documents d")
 def skill_tags(t):
-    tags = encode.skill_tags(F.col("tokens"), SKILLS, SKILL_PAIRS)
-    return tokens(t).select("doc_id", *[c.alias(n) for n, c in tags.items()])
+    return encode.skill_tags(tokens(t), "tokens", SKILLS, SKILL_PAIRS).drop("tokens")
 
 
 @query("label_class", f"""WITH {LISTING}

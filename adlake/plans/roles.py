@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlake.plans.registry import Tables
+from adlake.sources.tables import spread
 
 TODAY = date(2001, 8, 1)
 EVENTS_TODAY = date(2024, 1, 30)
@@ -59,13 +60,17 @@ POSTINGS = f"""postings AS (
 
 
 def multicat(t: Tables) -> DataFrame:
-    """Ads in several categories: country, uid, cat, postdate."""
+    """Ads in several categories: country, uid, cat, postdate.
+
+    The rows are made distinct before the country is joined on: an ad with very many
+    rows is cut down in each task and does not make the join lopsided.
+    """
+    seen = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+            .select(F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
+                    F.col("l_shipdate").cast("date").alias("postdate")).distinct())
     home = t.orders.join(places(t), F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", F.col("r_name").alias("country"))
-    return (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(home, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select("country", F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
-                    F.col("l_shipdate").cast("date").alias("postdate")))
+        F.col("o_orderkey").alias("uid"), F.col("r_name").alias("country"))
+    return seen.join(home, "uid").select("country", "uid", "cat", "postdate")
 
 
 MULTICAT = """multicat AS (
@@ -115,6 +120,11 @@ COUNTS = """counts AS (
         count(*) AS totalposts FROM events GROUP BY ALL)"""
 
 
+def texts(t: Tables) -> DataFrame:
+    """Descriptions for work that is heavy per text."""
+    return spread(t.documents, "doc_id")
+
+
 def docs_with_cache(t: Tables) -> DataFrame:
     """Descriptions with what is known of them."""
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")

@@ -264,7 +264,7 @@ KEYWORDS = ["that", "with", "from", "license", "released", "und", "les", "para"]
     SELECT keyword, count(*) AS n FROM words
     WHERE keyword IN ({", ".join(f"'{k}'" for k in KEYWORDS)}) GROUP BY keyword""")
 def keyword_totals(t):
-    return terms.keyword_totals(t.documents, ["source"], "text", KEYWORDS)
+    return terms.keyword_totals(roles.texts(t), ["source"], "text", KEYWORDS)
 
 
 @query("daily_profile", f"""WITH {POSTINGS} SELECT postdate, count(compensation) AS compensation_count,

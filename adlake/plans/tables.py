@@ -280,7 +280,7 @@ def page_left_listing(t):
     FROM postings p LEFT JOIN snapshots s ON p.uid = s.uid""")
 def listing_left_page(t):
     pages = roles.snapshots(t).select("uid", "line", "downloaddate", "quantity")
-    return combine.left_with(roles.postings(t).select("uid", "postdate", "level"), pages, ["uid"])
+    return combine.left_with_many(roles.postings(t).select("uid", "postdate", "level"), pages, ["uid"])
 
 
 LEVEL_NAMES = [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("5-LOW", "low")]

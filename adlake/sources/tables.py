@@ -12,6 +12,18 @@ from pyspark.sql import types as T
 LOOKUP_SCHEMA = "k string, v string"
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scanned table over at least as many partitions as there are cores, for work that
+    is heavy per row.
+
+    Only a table that comes in fewer splits than cores is shuffled, so what moves is at
+    most cores x split size; a larger one stays as scanned. For scans only: asking a plan
+    with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              date_format: str = "yyyy-MM-dd") -> DataFrame:
     """CSV with a header row, read under a declared schema."""

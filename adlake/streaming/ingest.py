@@ -2,8 +2,9 @@
 
 ``first_wins_stream`` is the streaming form of ``maintenance.first_wins``. Its state holds
 the keys of ``bound`` (90 days, the archive's limit), so it stays finite. The price: a row
-older than the watermark is dropped as late even when its key was never seen. Load such
-rows with the batch operator, which has no bound.
+older than the watermark is dropped as late even when its key was never seen, and all
+rows of a key pass one task. ``first_wins_available`` has neither limit: it checks each
+micro-batch against the table itself.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlake.operators.maintenance import upsert_changes
+from adlake.operators.maintenance import first_wins, upsert_changes
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, pattern: str,
@@ -41,6 +42,25 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def first_wins_available(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str],
+                         order: Sequence[str]) -> None:
+    """Append the rows whose key the table does not hold yet, then stop.
+
+    Each micro-batch writes its own ``version=<batch>``. A batch run again after a failure
+    reads the versions before its own and overwrites its own.
+    """
+
+    def load(batch: DataFrame, version: int) -> None:
+        old = None
+        if version > 0:
+            old = batch.sparkSession.read.parquet(table).filter(F.col("version") < version)
+        first_wins(batch, keys, order, old).write.mode("overwrite").parquet(f"{table}/version={version}")
+
+    query = (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def upsert_available(stream: DataFrame, table: str, checkpoint: str, key: str, loaded: str,
                      now: date, max_age_days: int = 30) -> None:
     """Bring what has arrived into a document table, then stop.
