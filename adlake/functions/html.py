@@ -5,7 +5,7 @@ back as an array column; all further work is column expressions."""
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,12 +18,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENTS = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()),
-    T.StructField("tag", T.StringType()),
+    T.StructField("last", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
 ]))
 _ELEMENT_ARROW = pa.list_(pa.struct([
-    ("pos", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
+    ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
 ]))
 
@@ -46,12 +46,17 @@ SCOPE = {"ul", "ol", "table", "dl", "div", "article", "section", "nav", "body"}
 class _Elements(HTMLParser):
     """Collects the wanted elements of one page with the text inside each."""
 
-    def __init__(self, wanted: frozenset[str]):
+    def __init__(self, wanted: Mapping[str, frozenset[str] | None]):
         super().__init__(convert_charrefs=True)
         self.wanted = wanted
         self.found: list[dict] = []
         self.open: list[tuple[str, int | None]] = []
-        self.count = 0
+
+    def _is_wanted(self, tag, attrs) -> bool:
+        if tag not in self.wanted:
+            return False
+        classes = self.wanted[tag]
+        return classes is None or not classes.isdisjoint((attrs.get("class") or "").split())
 
     def handle_starttag(self, tag, attrs):
         closes = CLOSED_BY.get(tag, ())
@@ -63,12 +68,12 @@ class _Elements(HTMLParser):
             if name in SCOPE:
                 break
         pos = None
-        if tag in self.wanted:
+        attrs = dict(attrs)
+        if self._is_wanted(tag, attrs):
             parent = next((p for _, p in reversed(self.open) if p is not None), None)
             pos = len(self.found)
-            self.found.append({"pos": pos, "parent": parent, "tag": tag,
-                               "attrs": [(k, v or "") for k, v in dict(attrs).items()],
-                               "text": []})
+            self.found.append({"pos": pos, "parent": parent, "last": pos, "tag": tag,
+                               "attrs": [(k, v or "") for k, v in attrs.items()], "text": []})
         if tag not in VOID:
             self.open.append((tag, pos))
 
@@ -79,6 +84,9 @@ class _Elements(HTMLParser):
                 return
 
     def _close(self, depth: int) -> None:
+        for _, pos in self.open[depth:]:
+            if pos is not None:
+                self.found[pos]["last"] = len(self.found) - 1
         del self.open[depth:]
 
     def handle_data(self, data):
@@ -89,6 +97,7 @@ class _Elements(HTMLParser):
     def elements(self, page: str) -> list[dict]:
         self.feed(page)
         self.close()
+        self._close(0)
         for element in self.found:
             element["text"] = "".join(element["text"])
         return self.found
@@ -144,14 +153,18 @@ def _map_pages(pages: DataFrame, keep: Sequence[str], html: str, name: str, spar
     return kept.mapInArrow(run, schema)
 
 
-def parse_elements(pages: DataFrame, tags: Sequence[str], keep: Sequence[str] = ("page_id", "url"),
-                   html: str = "html") -> DataFrame:
+def parse_elements(pages: DataFrame, tags: Sequence[str] | Mapping[str, Sequence[str] | None],
+                   keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """``keep`` columns and ``elements``: the wanted tags of each page in document order.
 
-    ``parent`` is the ``pos`` of the nearest wanted element around it. A null page gives
-    null. Name only the tags that are used: an element repeats the text of those inside it.
+    ``tags`` is a list, or a mapping of tag to the CSS classes one of which it must have
+    (None for any). ``parent`` is the ``pos`` of the nearest wanted element around an
+    element, and those inside it are at pos + 1 to ``last``. A null page gives null. Name
+    only what is used: an element repeats the text of those inside it.
     """
-    wanted = frozenset(tags)
+    if not isinstance(tags, Mapping):
+        tags = dict.fromkeys(tags)
+    wanted = {tag: None if classes is None else frozenset(classes) for tag, classes in tags.items()}
     return _map_pages(pages, keep, html, "elements", ELEMENTS, _ELEMENT_ARROW,
                       lambda page: _Elements(wanted).elements(page))
 

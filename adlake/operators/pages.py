@@ -2,70 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlake.functions import dates, text
+from adlake.functions import text
 from adlake.functions.text import WORD
-from adlake.operators.nested import kv_columns
 
 
-def with_class(element: Column, name: str) -> Column:
-    """The element has the CSS class."""
-    classes = F.split(F.coalesce(F.try_element_at(element["attrs"], F.lit("class")), F.lit("")), " ")
-    return F.array_contains(classes, name)
+def with_class(element: Column, names: str) -> Column:
+    """The element has all the CSS classes, given as in a class attribute."""
+    classes = F.split(F.coalesce(attribute(element, "class"), F.lit("")), r"\s+")
+    condition = F.lit(True)
+    for name in names.split():
+        condition = condition & F.array_contains(classes, name)
+    return condition
 
 
 def attribute(element: Column, name: str) -> Column:
     return F.try_element_at(element["attrs"], F.lit(name))
 
 
-def first_of(elements: Column, tag: str, css_class: str | None = None) -> Column:
-    """First element of a tag, null if there is none."""
+def all_of(elements: Column, tag: str, classes: str | None = None, attr: str | None = None) -> Column:
+    """The elements of a tag, with some classes or an attribute."""
     def matches(e: Column) -> Column:
-        return (e["tag"] == tag) & with_class(e, css_class) if css_class else e["tag"] == tag
+        condition = e["tag"] == tag
+        if classes:
+            condition = condition & with_class(e, classes)
+        if attr:
+            condition = condition & attribute(e, attr).isNotNull()
+        return condition
 
-    return F.get(F.filter(elements, matches), 0)
+    return F.filter(elements, matches)
+
+
+def first_of(elements: Column, tag: str, classes: str | None = None, attr: str | None = None) -> Column:
+    """First such element, null if there is none."""
+    return F.get(all_of(elements, tag, classes, attr), 0)
+
+
+def inside(elements: Column, element: Column) -> Column:
+    """The elements inside an element; null if there is no such element."""
+    return F.slice(elements, element["pos"] + 2, element["last"] - element["pos"])
+
+
+def text_of(element: Column) -> Column:
+    return text.strip(element["text"])
 
 
 def count_of(elements: Column, tag: str) -> Column:
-    return F.size(F.filter(elements, lambda e: e["tag"] == tag))
+    return F.size(all_of(elements, tag))
 
 
-def rows_of(parsed: DataFrame, keys: Sequence[str], tag: str, inner: str) -> DataFrame:
-    """One row per ``tag`` element that directly holds an ``inner`` element, as structs
-    ``outer`` and ``inner``."""
-    exploded = parsed.select(*keys, "elements", F.explode(
-        F.filter("elements", lambda e: e["tag"] == inner)).alias("inner"))
-    # Parents are looked up by place: pos is the index in the array.
-    return (exploded.withColumn("outer", F.get("elements", F.col("inner.parent")))
-            .filter(F.col("outer.tag") == tag).drop("elements"))
+def cards_of(parsed: DataFrame, keys: Sequence[str], cards: Column) -> DataFrame:
+    """One row per card with ``card`` and the elements ``inner`` of it. The page's other
+    elements are left behind before the rows are made."""
+    parts = F.transform(cards, lambda c: F.struct(
+        c.alias("card"), inside(F.col("elements"), c).alias("inner")))
+    return parsed.select(*keys, F.explode(parts).alias("_c")).select(*keys, "_c.*")
 
 
 def listing_rows(parsed: DataFrame, keys: Sequence[str] = ("page_id",), card: str = "li",
                  id_pattern: str = r"(\d+)", featured_class: str = "featured") -> DataFrame:
-    """One row per ad card: title, link, ad id in the link, featured and photo flags."""
-    rows = rows_of(parsed, keys, card, "a")
-    href = attribute(F.col("inner"), "href")
-    return rows.select(
-        *keys, F.col("inner.pos").alias("pos"), text.strip(F.col("inner.text")).alias("title"),
+    """One row per link in an ad card: title, link, ad id in the link, featured flag."""
+    outer = F.transform(all_of(F.col("elements"), "a"), lambda a: F.struct(
+        a.alias("a"), F.get("elements", a["parent"]).alias("card")))
+    rows = parsed.select(*keys, F.explode(outer).alias("_r")).select(*keys, "_r.*")
+    href = attribute(F.col("a"), "href")
+    return rows.filter(F.col("card.tag") == card).select(
+        *keys, F.col("a.pos").alias("pos"), text_of(F.col("a")).alias("title"),
         F.get(F.split(href, r"\?"), 0).alias("href"),
         text.capture(href, id_pattern).alias("uid"),
-        with_class(F.col("outer"), featured_class).cast("int").alias("i_featured"))
+        with_class(F.col("card"), featured_class).cast("int").alias("i_featured"))
 
 
 def category_links(parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Links whose text starts with a word, with the source of an image inside, or ''."""
-    exploded = parsed.select(*keys, "elements", F.explode(
-        F.filter("elements", lambda e: e["tag"] == "a")).alias("a"))
-    label = text.strip(F.col("a.text"))
-    images = F.filter("elements", lambda e: (e["tag"] == "img") & (e["parent"] == F.col("a.pos")))
-    image = F.coalesce(attribute(F.get(images, 0), "src"), F.lit(""))
-    return (exploded.select(*keys, F.col("a.pos").alias("pos"), label.alias("label"),
-                            attribute(F.col("a"), "href").alias("href"), image.alias("img"))
-            .filter(F.col("label").rlike(f"^[{WORD}]")))
+    rows = cards_of(parsed, keys, all_of(F.col("elements"), "a"))
+    link = F.col("card")
+    image = attribute(first_of(F.col("inner"), "img"), "src")
+    return rows.select(*keys, F.col("card.pos").alias("pos"), text_of(link).alias("label"),
+                       attribute(link, "href").alias("href"),
+                       F.coalesce(image, F.lit("")).alias("img")).filter(
+        F.col("label").rlike(f"^[{WORD}]"))
 
 
 def detail_cells(elements: Column) -> Column:
@@ -86,22 +106,13 @@ def detail_cells(elements: Column) -> Column:
     return text.let(cells, pair)
 
 
-def ad_details(parsed: DataFrame, keys: Sequence[str], names: Mapping[str, str],
-               date_columns: Sequence[str] = ("postdate",)) -> DataFrame:
-    """Ad page with a key/value table as one record; absent keys are null."""
-    cells = parsed.select(*keys, detail_cells(F.col("elements")).alias("cells"),
-                          text.strip(first_of(F.col("elements"), "h1")["text"]).alias("title"))
-    record = cells.select(*keys, "title", *[c.alias(n) for n, c in kv_columns(F.col("cells"), names).items()])
-    return record.withColumns({c: dates.long_date(F.col(c)) for c in date_columns if c in names.values()})
-
-
 def page_record(parsed: DataFrame, keys: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Language, titles and number of paragraphs, items and links of a page."""
     elements = F.col("elements")
     return parsed.select(
         *keys, attribute(first_of(elements, "html"), "lang").alias("lang"),
-        text.strip(first_of(elements, "title")["text"]).alias("title"),
-        text.strip(first_of(elements, "h1")["text"]).alias("h1"),
+        text_of(first_of(elements, "title")).alias("title"),
+        text_of(first_of(elements, "h1")).alias("h1"),
         count_of(elements, "p").alias("paragraphs"), count_of(elements, "li").alias("list_items"),
         count_of(elements, "a").alias("links"))
 

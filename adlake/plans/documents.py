@@ -165,30 +165,6 @@ def page_status(t):
         "doc_id", F.coalesce("stat", F.lit("NOT FOUND")).alias("stat"))
 
 
-CELLS = {"Posted date": "postdate", "Location": "location", "Job Type": "jobtype", "Salary": "salary",
-         "Education": "education"}
-
-
-@query("ad_details", f"""WITH {LISTING} SELECT uid, category AS title, postdate, region AS location,
-    level AS jobtype, CAST(CASE WHEN stat = 'OPEN' THEN 'R&D' ELSE stat END AS VARCHAR) AS salary,
-    CAST(NULL AS VARCHAR) AS education FROM listing""")
-def ad_details(t):
-    def row(name, value):
-        return F.concat(F.lit(f"<tr><th> {name}</th>\n<td>"), value, F.lit(" </td></tr>"))
-
-    salary = F.when(F.col("stat") == "OPEN", "R&amp;D").otherwise(F.col("stat"))
-    page = F.concat(
-        F.lit("<html><body><h1>"), "category", F.lit("</h1><table class='job-details-table'>"),
-        row("Posted date", F.date_format("postdate", "d MMMM yyyy")), row("Location", F.col("region")),
-        row("Job Type", F.col("level")), row("Salary", F.lit("-")), row("Salary", salary),
-        F.lit("</table></body></html>"))
-    # Parsing costs far more than moving these few columns, so they are spread by a fixed
-    # number: AQE would merge partitions by their small size.
-    ads = roles.listing(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "uid")
-    parsed = html.parse_elements(ads.select("uid", page.alias("html")), ["h1", "th", "td"], keep=["uid"])
-    return pages.ad_details(parsed, ["uid"], CELLS)
-
-
 @query("segment_counts", f"""WITH {COUNTS},
     totals AS (SELECT downloaddate, region, sum(totalposts) AS n FROM counts GROUP BY ALL)
     SELECT c.downloaddate, 'Region ' || c.region AS region, 'region-' || c.region AS freg,

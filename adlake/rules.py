@@ -133,3 +133,45 @@ TIME_ZONES = {
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December"]
+
+# Page markup: CSS classes, ids and attributes that mark the parts of a page.
+CLASSIFIED_CARD = {
+    "photo": "ads__item__photos-holder", "info": "ads__item__info", "paid": "ads__item__paidicon",
+    "observed": "ad.observed.list", "title": "ads__item__title", "date": "ads__item__date",
+    "no_photo": "jobs-services-thumb.png",
+}
+CLASSIFIED_PAGE = {
+    "live": "pdingleft10 brlefte5", "head": "offerheadinner", "content": "textContent",
+    "cell": "col", "views": "pdingtop10", "price": "pricelabel", "user": "user-box",
+    "user_name": "user-box__info__name", "user_age": "user-box__info__age",
+    "contact": "contactbox", "phone": "contactbox-indent",
+}
+CLASSIFIED_FIELDS = {
+    "Experience Level": "experiencelevel", "Education Level": "educationlevel", "Type": "type",
+    "Employment Type": "employtype",
+}
+SITE_MAP = {"region": "bgef", "subregions": "clr marginbott10", "sector": "topLink",
+            "sector_name": "link", "sector_count": "counter"}
+BOARD_CARD = {"card": "new-time"}
+BOARD_PAGE = {
+    "closed": "alert-danger alert-job", "main": "job-main-card", "title": "job-title",
+    "company": "job-company-name", "location": "job-company-location",
+    "applicants": "applicants-num", "vacancies": "vacancies-num", "stats": "applicants-stat-num",
+    "posted": "job-post-date", "summary": "job-summary", "about": "about-job",
+    "labels": "labels-wrapper", "requirements": "job-requirements", "industries": "industries",
+}
+BOARD_FIELDS = ["experience_needed", "career_level", "job_type", "salary", "education_level",
+                "gender", "travel_frequency", "languages", "vacancies"]
+SUMMARY_CARD = {"list": "jobs_list", "featured": "featured_job", "meta": "meta-desc"}
+DETAIL_FIELDS = {
+    "Posted date": "postdate", "Location": "location", "Job Type": "jobtype",
+    "Company": "company", "Required Experience": "reqexp", "Salary": "salary",
+    "Education": "education",
+}
+RESUME_CARD = {"card": "job-box panel-content", "name": "media-heading"}
+RESUME_PAGE = {
+    "photo": "biothumb", "no_photo": "img/avatar.png", "header": "profile-header",
+    "location": "no-margin", "section": "section-block", "heading": "listing-header",
+    "personal": "col-md-6", "date": "date", "subject": "subject", "description": "col-md-10",
+    "level": "dates", "language": "lang",
+}
