@@ -46,6 +46,32 @@ def unnest_sections(t):
     return nested.unnest_long(docs, ["doc_id"], {"skills": [""], "languages": ["type"], "summary": [""]})
 
 
+@query("resume_sections", """WITH cards AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'education'
+        WHEN 'assistant' THEN 'experiences' ELSE 'projects' END AS section FROM conversations)
+    SELECT conv_id, CAST(count(*) FILTER (section = 'education') AS INTEGER) AS schools,
+        arg_min(text, turn) FILTER (section = 'education') AS degree,
+        CAST(count(*) FILTER (section = 'experiences') AS INTEGER) AS jobs,
+        arg_min(text, turn) FILTER (section = 'experiences') AS company,
+        CAST(count(*) FILTER (section = 'projects') AS INTEGER) AS projects,
+        arg_max('turn ' || turn, turn) FILTER (section = 'projects') AS project FROM cards GROUP BY conv_id""")
+def resume_sections(t):
+    section = (F.when(F.col("role") == "user", "education").when(F.col("role") == "assistant", "experiences")
+               .otherwise("projects"))
+    cards = t.conversations.select(
+        "conv_id", section.alias("section"), F.col("turn").alias("listnum"), F.lit("2015").alias("date"),
+        F.format_string("turn %d", F.col("turn")).alias("subject"), F.col("text").alias("item1"),
+        F.lit(None).cast("string").alias("item2"), F.lit(None).cast("string").alias("description"))
+    docs = nested.resume_sections(cards, "conv_id")
+
+    def size(c):
+        return F.coalesce(F.size(c), F.lit(0))
+
+    return docs.select(
+        "conv_id", size("education").alias("schools"), F.get("education", 0)["degree"].alias("degree"),
+        size("experiences").alias("jobs"), F.get("experiences", 0)["company"].alias("company"),
+        size("projects").alias("projects"), F.try_element_at("projects", F.lit(-1))["name"].alias("project"))
+
+
 EVENT_TYPES = ["signup", "purchase", "error", "view", "click"]
 
 

@@ -41,6 +41,38 @@ def csv_roundtrip(t):
     return tables.scan_csv(t.spark, path, ads.schema)
 
 
+@query("lookup_csv", """SELECT p_name AS k, CAST(max(p_partkey) AS VARCHAR) AS v FROM part GROUP BY p_name""")
+def lookup_csv(t):
+    path = scratch_path(t.spark, "lookup")
+    pairs = t.part.orderBy("p_partkey").select("p_name", F.col("p_partkey").cast("string"))
+    pairs.write.option("header", False).csv(path)
+    return tables.scan_lookup(t.spark, path)
+
+
+@query("partition_overwrite", f"""WITH {LISTING}
+    SELECT uid, postdate, stat, country FROM listing WHERE country NOT IN ('ASIA', 'EUROPE') UNION ALL
+    SELECT uid, postdate, 'OPEN', country FROM listing WHERE country IN ('ASIA', 'EUROPE') AND stat <> 'CLOSED'""")
+def partition_overwrite(t):
+    path = scratch_path(t.spark, "partitions")
+    ads = roles.listing(t).select("uid", "postdate", "stat", "country")
+    tables.write_table(ads, path, ["country"])
+    reloaded = ads.filter(F.col("country").isin("ASIA", "EUROPE") & (F.col("stat") != "CLOSED"))
+    tables.refresh_partitions(reloaded.withColumn("stat", F.lit("OPEN")), path, ["country"])
+    return t.spark.read.parquet(path)
+
+
+@query("month_flush", f"""WITH {SNAPSHOTS}, gone AS (SELECT DISTINCT uid FROM snapshots
+        WHERE stat = 'CLOSED' OR downloaddate < DATE '2001-08-01' - INTERVAL 90 DAY)
+    SELECT uid, line, downloaddate, stat, quantity, 200108::INTEGER AS month
+    FROM snapshots WHERE uid IN (SELECT uid FROM gone)""")
+def month_flush(t):
+    page = roles.snapshots(t).select("uid", "line", "downloaddate", "stat", "quantity")
+    moved = maintenance.archive_moved(page, maintenance.gone_ads(page, TODAY, postdate="downloaddate"))
+    path = scratch_path(t.spark, "archive")
+    tables.flush_archive(moved, path, TODAY)
+    return t.spark.read.parquet(path)
+
+
 DOCUMENT_SCHEMA = ("event_id bigint, user_id bigint, event_type string, value double, "
                    "props struct<k:int>, error string")
 
