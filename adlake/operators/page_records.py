@@ -180,7 +180,7 @@ def classified_page(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
         says("contact", "Email Seller").alias("emailavail"), says("phone", "Show phone").alias("phoneavail"))
     posted = dates.clock_date(text.capture(F.col("_head"), r"at (\d+:\d+, \d+ \w+ \d+), Ad ID: \d+"))
     record = {
-        "uid": text.capture(F.col("_head"), r"Ad ID: (\d+)").cast("long"),
+        "adid": text.capture(F.col("_head"), r"Ad ID: (\d+)").cast("long"),
         "postdate": posted.cast("date"), "posttime": F.date_format(posted, "HH:mm"),
         "title": first_of(F.col("_title"), "h1")["text"],
         **kv_columns(F.col("_cells"), rules.CLASSIFIED_FIELDS),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlake.functions import dates
+from adlake.functions.features import equals_flag
 
 
 def percent(condition: Column) -> Column:
@@ -34,9 +35,11 @@ def available_pct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def available_by_group(df: DataFrame, by: str, columns: Sequence[str],
                        more_than: int = 100) -> DataFrame:
     """As ``available_pct`` per group, for groups of more than ``more_than`` rows."""
-    rows = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"),
-                              *[percent(F.col(c).isNotNull()).alias(c) for c in columns])
-    return _by_variable(rows.filter(F.col("n") > more_than), columns, [by, "n"], "pct")
+    # The group may be one of the columns, so it goes by another name meanwhile.
+    rows = df.groupBy(F.col(by).alias("_group")).agg(
+        F.count(F.lit(1)).alias("n"), *[percent(F.col(c).isNotNull()).alias(c) for c in columns])
+    kept = rows.filter(F.col("n") > more_than)
+    return _by_variable(kept, columns, ["_group", "n"], "pct").withColumnRenamed("_group", by)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -80,6 +83,22 @@ def mean_std(df: DataFrame, by: str, spread: Sequence[str], means: Sequence[str]
     return df.groupBy(by).agg(*aggregates, *[F.avg(c).alias(c) for c in means])
 
 
+def user_stats(links: DataFrame, users: DataFrame, key: str, today: date, by: str = "country",
+               employed: str = "Working but looking for new opportunities",
+               keep_missing: bool = True) -> DataFrame:
+    """Age, share of women and share of employed per country of the search.
+
+    ``users`` has gender, jobstatus and birth_date. A link without a document counts as
+    neither female nor employed, unless ``keep_missing`` is off.
+    """
+    joined = links.select(by, key).distinct().join(users, key, "left" if keep_missing else "inner")
+    flags = joined.select(
+        by, dates.age_years(F.col("birth_date"), today).alias("age"),
+        equals_flag(F.col("gender"), "Female").alias("female"),
+        equals_flag(F.col("jobstatus"), employed).alias("employed"))
+    return mean_std(flags, by, ["age"], ["female", "employed"])
+
+
 def profile_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Count, mean and sample deviation of each column per group."""
     aggregates = []

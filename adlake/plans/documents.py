@@ -122,7 +122,8 @@ def page_texts(t):
 def unescape_sql(expression: str) -> str:
     for entity, char in (("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"),
                          ("amp", "'&'")):
-        expression = f"replace({expression}, '&{entity};', {char})"
+        # HTML reads these entities without the semicolon too.
+        expression = f"regexp_replace({expression}, '&{entity};?', {char}, 'g')"
     return expression
 
 

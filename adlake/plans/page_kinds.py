@@ -135,7 +135,7 @@ def sector_counts(t):
 @query("classified_page", f"""WITH {PEOPLE}, p AS (SELECT *, c_mktsegment NOT IN ('BUILDING', 'FURNITURE') AS live FROM people)
     SELECT c_custkey AS page_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'NOT FOUND' WHEN 'FURNITURE' THEN 'CLOSED'
         ELSE 'OPEN' END AS stat,
-    CASE WHEN live THEN c_custkey END AS uid, CASE WHEN live THEN DATE '2018-03-04' END AS postdate,
+    CASE WHEN live THEN c_custkey END AS adid, CASE WHEN live THEN DATE '2018-03-04' END AS postdate,
     CASE WHEN live THEN '14:05' END AS posttime, CASE WHEN live THEN 'Cook' END AS title,
     CASE WHEN live THEN n_name END AS experiencelevel, CAST(NULL AS VARCHAR) AS educationlevel,
     CASE WHEN live THEN 'Job Seeker' END AS type, CAST(NULL AS VARCHAR) AS employtype,

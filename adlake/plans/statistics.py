@@ -243,6 +243,22 @@ def mean_std(t):
     return rounded(table, "age_mean", "age_std", "female", "employed")
 
 
+@query("user_stats", """WITH users AS (SELECT doc_id, 'Female' AS gender, quality, DATE '1980-01-01' + toxic * 3000 AS birth
+        FROM labels), found AS (
+    SELECT lang AS country, floor(date_diff('day', birth, DATE '2001-08-01') / 365) AS age,
+        CAST(gender IS NOT NULL AS INTEGER) AS female, CAST(coalesce(quality = 1, false) AS INTEGER) AS employed
+    FROM documents d LEFT JOIN users u ON d.doc_id = u.doc_id)
+    SELECT country, round(avg(age), 6) AS age_mean, round(stddev_samp(age), 6) AS age_std,
+        round(avg(female), 6) AS female, round(avg(employed), 6) AS employed FROM found GROUP BY country""")
+def user_stats(t):
+    links = t.documents.select(F.col("lang").alias("country"), "doc_id")
+    users = t.labels.select(
+        "doc_id", F.lit("Female ").alias("gender"), F.when(F.col("quality") == 1, "working").alias("jobstatus"),
+        F.date_add(F.lit(date(1980, 1, 1)), F.col("toxic") * 3000).alias("birth_date"))
+    table = stats.user_stats(links, users, "doc_id", TODAY, employed="working")
+    return rounded(table, "age_mean", "age_std", "female", "employed")
+
+
 RUN_DAY = date(2024, 1, 29)
 
 

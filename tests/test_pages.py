@@ -78,7 +78,7 @@ def test_classified_page_states(spark):
             "a\r\nb</div><div class='pricelabel'>1,000 - 2,000</div>")
     got = page_records.classified_page(frame(spark, None, "<p>", live), ["page_id"]).orderBy("page_id").collect()
     assert [r.stat for r in got] == ["NOT FOUND", "CLOSED", "OPEN"]
-    assert (got[2].uid, got[2].postdate, got[2].posttime) == (42, D(2018, 3, 3), "14:05")
+    assert (got[2].adid, got[2].postdate, got[2].posttime) == (42, D(2018, 3, 3), "14:05")
     assert (got[2].description, got[2].compensation, got[2].title) == ("a >b", 1000, None)
     assert (got[2].emailavail, got[1].emailavail) == (0, None)
 
