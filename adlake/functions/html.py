@@ -43,11 +43,19 @@ CLOSED_BY = {"li": {"li"}, "p": {"p"}, "tr": {"td", "th", "tr"}, "td": {"td", "t
 SCOPE = {"ul", "ol", "table", "dl", "div", "article", "section", "nav", "body"}
 
 
-class _Elements(HTMLParser):
+class _Parser(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
+
+class _Elements(_Parser):
     """Collects the wanted elements of one page with the text inside each."""
 
     def __init__(self, wanted: Mapping[str, frozenset[str] | None]):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.wanted = wanted
         self.found: list[dict] = []
         self.open: list[tuple[str, int | None]] = []
@@ -103,11 +111,11 @@ class _Elements(HTMLParser):
         return self.found
 
 
-class _PlainText(HTMLParser):
+class _PlainText(_Parser):
     """Visible text of one page; blocks on lines of their own, link targets dropped."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.parts: list[str] = []
         self.hidden = 0
 

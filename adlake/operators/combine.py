@@ -14,6 +14,15 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
+
+    For small results of an aggregate over a large table: before it has run, Spark takes
+    it for large and shuffles the other side too. Counting stops past the limit.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def left_with(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left outer join on equal key names."""
     return df.join(other, list(keys), "left")

@@ -15,7 +15,8 @@ PART_ITEMS = 1000
 
 def nest_sections(items: DataFrame, uid: str, section: str, position: str,
                   fields: Sequence[str], part_items: int = PART_ITEMS) -> DataFrame:
-    """Documents as rows (uid, section, part, items) with the items in order.
+    """Documents as rows (uid, section, part, items) with the items in order. A position
+    occurs once in a section.
 
     A part holds the positions of one stretch of ``part_items``, so that a document with
     very many items becomes several rows and no array grows without bound. An ordinary

@@ -10,7 +10,7 @@ from adlake.functions import html, text
 from adlake.operators import nested, pages, worklist
 from adlake.plans import roles
 from adlake.plans.registry import query
-from adlake.plans.roles import COUNTS, LISTING
+from adlake.plans.roles import COUNTS
 from adlake.session import scratch_path
 from adlake.sources.tables import spread
 from adlake.streaming import ingest

@@ -65,7 +65,8 @@ def multicat(t: Tables) -> DataFrame:
     The rows are made distinct before the country is joined on: an ad with very many
     rows is cut down in each task and does not make the join lopsided.
     """
-    seen = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate"), "l_orderkey")
+    seen = (lines.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
             .select(F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
                     F.col("l_shipdate").cast("date").alias("postdate")).distinct())
     home = t.orders.join(places(t), F.col("o_custkey") == F.col("c_custkey")).select(

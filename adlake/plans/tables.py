@@ -118,7 +118,7 @@ FIRST_BATCH_UNTIL = date(1998, 1, 1)
     QUALIFY row_number() OVER (PARTITION BY uid, line
         ORDER BY downloaddate, stat, partkey, suppkey, quantity, price) = 1""")
 def first_wins(t):
-    rows, keys = roles.snapshots(t), ["uid", "line"]
+    rows, keys = tables.spread(roles.snapshots(t), "uid"), ["uid", "line"]
     order = ["downloaddate", "stat", "partkey", "suppkey", "quantity", "price"]
     stored = maintenance.first_wins(
         rows.filter(F.col("downloaddate") < F.lit(FIRST_BATCH_UNTIL)), keys, order)

@@ -40,9 +40,10 @@ def load_run(fetched: DataFrame, listing: DataFrame, page: DataFrame, out: str,
     rows = (parsed.withColumn("postdate", F.coalesce("postdate", "listed"))
             .withColumn("compensation", F.col("compensation").try_cast("int"))
             .to(SCHEMAS["page"]))
+    # Written, so that the parse is not repeated by each step that reads its rows.
+    rows = _save(rows, f"{out}/parsed")
     order = [c for c in rows.columns if c not in KEYS["page"]]
     added = maintenance.first_wins(rows, KEYS["page"], order, old=page)
-    # Written once: the parse is not repeated for each of the tables made from it.
     pages = page.unionByName(_save(added, f"{out}/added"))
     gone = maintenance.gone_ads(pages, today)
     over = [gone] if archived is None else [gone, archived]
@@ -87,7 +88,7 @@ def resume_run(resumes: DataFrame, links: DataFrame, glossary: DataFrame, out: s
     chosen = links.filter(F.col("srchtitle").isin(list(titles)))
     found = combine.left_with(chosen.select("id", "country", "srchtitle").distinct(), docs, ["id"])
     items = nested.unnest_long(docs, ["id", "downloaddate"], rules.TRANSLATED_FIELDS)
-    translated = nested.translate_items(items, "text", glossary)
+    translated = _save(nested.translate_items(items, "text", glossary), f"{out}/translated")
     tables = {
         "available": stats.available_pct(docs, fields),
         "available_by_nationality": stats.available_by_group(docs, "nationality", fields, group_size),
@@ -96,8 +97,7 @@ def resume_run(resumes: DataFrame, links: DataFrame, glossary: DataFrame, out: s
         "users": stats.user_stats(links, docs, "id", today),
         "links": stats.count_by(chosen, ["country", "srchtitle"], "id"),
         "valid": combine.complete_rows(found, ["education", "experiences", "skills"]),
-        "translated": translated,
         "no_translation": nested.nothing_to_translate(
             docs, translated.filter("needs"), ["id", "downloaddate"]),
     }
-    return {n: _save(df, f"{out}/{n}") for n, df in tables.items()}
+    return {"translated": translated, **{n: _save(df, f"{out}/{n}") for n, df in tables.items()}}

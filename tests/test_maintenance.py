@@ -173,3 +173,22 @@ def test_raw_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<p>")], "page_id int, url string, html string")
     tables.save_raw_pages(pages, f"{tmp_path}/raw")
     assert rows(spark.read.parquet(f"{tmp_path}/raw")) == [(1, "<p>")]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    page = spark.range(1000).selectExpr("id % 200 AS uid", "IF(id % 7 = 0, 'CLOSED', 'OPEN') AS stat",
+                                        "DATE '2020-06-01' AS postdate")
+    tables.write_bucketed(page, "bucketed_page", ["uid"], 4, f"{tmp_path}/page")
+    tables.write_bucketed(page.select("uid").distinct(), "bucketed_ads", ["uid"], 4, f"{tmp_path}/ads")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored, ads = spark.table("bucketed_page"), spark.table("bucketed_ads")
+        gone = maintenance.gone_ads(stored, D(2020, 6, 30))
+        for frame in (maintenance.archive_moved(stored, gone), maintenance.archive_live(ads, [gone]),
+                      maintenance.first_wins(stored, ["uid"], ["stat", "postdate"], old=ads)):
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert maintenance.archive_moved(stored, gone).count() == maintenance.archive_moved(page, gone).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_page")
+        spark.sql("DROP TABLE bucketed_ads")

@@ -81,3 +81,14 @@ def test_map_or_keep(spark):
     assert [r.x for r in combine.map_or_keep(df, "x", lookup).orderBy("x").collect()] == [None, "A", "b"]
 
 
+
+
+def test_broadcast_only_below_the_limit(spark):
+    marks = spark.range(20).groupBy("id").count()
+    big = spark.range(100)
+
+    def plan(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(big.join(combine.broadcast_if_small(marks, 20), "id"))
+    assert "strategy=broadcast" not in plan(big.join(combine.broadcast_if_small(marks, 19), "id"))
