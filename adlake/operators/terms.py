@@ -42,7 +42,8 @@ def keyword_totals(df: DataFrame, keys: Sequence[str], description: str,
     when telling equal texts apart, so texts themselves are not moved.
     """
     hits = F.filter(text.words(F.col(description)), lambda w: w.isin(list(keywords)))
+    # No filter on the hits here: it would be pushed down and find them a second time.
     distinct = (df.select(*keys, F.sha2(F.col(description), 256).alias("_digest"), hits.alias("_hits"))
-                .filter(F.size("_hits") > 0).dropDuplicates([*keys, "_digest"]))
+                .dropDuplicates([*keys, "_digest"]))
     return (distinct.select(F.explode("_hits").alias("keyword"))
             .groupBy("keyword").agg(F.count(F.lit(1)).alias("n")))

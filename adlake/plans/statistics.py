@@ -148,19 +148,22 @@ def pivot_month_cat(t):
     return rounded(pivoted, *CATEGORIES)
 
 
+def cents(c):
+    return F.round(c * 100).cast("bigint")
+
+
 @query("summary_stats", f"""WITH {LISTING},
-    l AS (SELECT * REPLACE (nullif(category, 'HOUSEHOLD') AS category,
-        CASE WHEN stat <> 'NOT FOUND' THEN compensation END AS compensation) FROM listing)
-    SELECT country, category, count(uid) AS ads, round(avg(compensation), 4) AS compensation,
-        round(avg(CAST(stat = 'CLOSED' AS INTEGER)), 6) AS closed
+    l AS (SELECT * REPLACE (nullif(category, 'HOUSEHOLD') AS category),
+        CASE WHEN stat <> 'NOT FOUND' THEN CAST(round(compensation * 100) AS BIGINT) END AS cents FROM listing)
+    SELECT country, category, count(uid) AS ads, avg(cents) AS cents,
+        avg(CAST(stat = 'CLOSED' AS INTEGER)) AS closed
     FROM l WHERE country IS NOT NULL AND category IS NOT NULL GROUP BY country, category""")
 def summary_stats(t):
     ads = roles.listing(t).withColumns({
         "category": F.nullif("category", F.lit("HOUSEHOLD")),
-        "compensation": F.when(F.col("stat") != "NOT FOUND", F.col("compensation")),
+        "cents": F.when(F.col("stat") != "NOT FOUND", cents(F.col("compensation"))),
         "closed": equals_flag(F.col("stat"), "CLOSED")})
-    table = stats.summary_stats(ads, ["country", "category"], "uid", ["compensation", "closed"])
-    return rounded(rounded(table, "compensation", places=4), "closed")
+    return stats.summary_stats(ads, ["country", "category"], "uid", ["cents", "closed"])
 
 
 DOC_COLUMNS = ["lang", "source", "n_chars", "quality", "toxic"]
@@ -283,17 +286,17 @@ def keyword_totals(t):
     return terms.keyword_totals(roles.texts(t), ["source"], "text", KEYWORDS)
 
 
-@query("daily_profile", f"""WITH {POSTINGS} SELECT postdate, count(compensation) AS compensation_count,
-        round(avg(compensation), 4) AS compensation_mean, round(stddev_samp(compensation), 4)
-            AS compensation_std,
-        count(closed) AS closed_count, round(avg(closed), 6) AS closed_mean,
-        round(stddev_samp(closed), 6) AS closed_std
-    FROM (SELECT *, CAST(stat = 'CLOSED' AS INTEGER) AS closed FROM postings) GROUP BY postdate""")
+@query("daily_profile", f"""WITH {POSTINGS} SELECT postdate, count(cents) AS cents_count,
+        avg(cents) AS cents_mean, round(stddev_samp(cents), 2) AS cents_std,
+        count(closed) AS closed_count, avg(closed) AS closed_mean, round(stddev_samp(closed), 6) AS closed_std
+    FROM (SELECT *, CAST(round(compensation * 100) AS BIGINT) AS cents,
+        CAST(stat = 'CLOSED' AS INTEGER) AS closed FROM postings) GROUP BY postdate""")
 def daily_profile(t):
-    ads = roles.postings(t).withColumn("closed", equals_flag(F.col("stat"), "CLOSED"))
-    table = stats.profile_by(ads, "postdate", ["compensation", "closed"])
-    return rounded(rounded(table, "compensation_mean", "compensation_std", places=4),
-                   "closed_mean", "closed_std")
+    # Whole cents: their sum, and so their mean, does not depend on the order of the rows.
+    ads = roles.postings(t).withColumns({
+        "cents": cents(F.col("compensation")), "closed": equals_flag(F.col("stat"), "CLOSED")})
+    table = stats.profile_by(ads, "postdate", ["cents", "closed"])
+    return rounded(rounded(table, "cents_std", places=2), "closed_std")
 
 
 @query("top_n", f"WITH {POSTINGS} SELECT * FROM postings ORDER BY compensation DESC, uid LIMIT 10")
