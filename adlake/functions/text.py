@@ -100,10 +100,11 @@ def normalise_requirements(c: Column, separator: str = ">",
                            synonyms: Sequence[tuple[str, str]] = tuple(rules.REQUIREMENT_SYNONYMS),
                            ) -> Column:
     """Requirement text with digits and punctuation removed and synonyms unified,
-    line by line, lines joined by a blank."""
+    line by line, lines joined by a blank. Traces of printed bytes (b'..', \\x..) go too."""
 
     def line(x: Column) -> Column:
-        x = F.regexp_replace(strip(x), r"\d", "")
+        x = F.regexp_replace(strip(x), r"^b['\"]|\\x[0-9a-f]{2}|\\", "")
+        x = F.regexp_replace(x, r"\d", "")
         x = F.regexp_replace(x, r"\s+", " ")
         x = F.translate(x, rules.REQUIREMENT_PUNCTUATION, "")
         for pattern, replacement in synonyms:

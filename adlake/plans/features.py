@@ -255,7 +255,8 @@ SYNONYMS = [("that|which", "what"), ("les", "leadership"), ("de la", "dela"), ("
 
 
 def _requirements_sql(column: str) -> str:
-    line = rf"regexp_replace(regexp_replace(regexp_replace(x, {STRIP}), '\d', '', 'g'), '\s+', ' ', 'g')"
+    line = rf"""regexp_replace(regexp_replace(x, {STRIP}), '^b[''"]|\\x[0-9a-f]{{2}}|\\', '', 'g')"""
+    line = rf"regexp_replace(regexp_replace({line}, '\d', '', 'g'), '\s+', ' ', 'g')"
     line = f"translate({line}, {sql_list([rules.REQUIREMENT_PUNCTUATION])}, '')"
     for words, replacement in SYNONYMS:
         # Neighbouring matches share a separator, so the pattern is run twice.

@@ -1,9 +1,9 @@
-"""The three regular runs, put together from the operators. Each writes tables to a folder
+"""The regular runs, put together from the operators. Each writes tables to a folder
 of its own, given by the caller, so a run that is repeated overwrites only itself."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -26,25 +26,40 @@ def due_ads(listing: DataFrame, page: DataFrame, today: date, weeks: int = 15) -
     return worklist.open_worklist(due, page, today).select("uid", "postdate", "href", "country").distinct()
 
 
+def _added(rows: DataFrame, stored: DataFrame, table: str, arrival: Sequence[str] = ()) -> DataFrame:
+    """Rows the stored table lacks; of one key the first by ``arrival`` columns, then by value."""
+    order = [*arrival, *[c for c in SCHEMAS[table].fieldNames() if c not in (*KEYS[table], *arrival)]]
+    return maintenance.first_wins(rows, KEYS[table], order, old=stored).to(SCHEMAS[table])
+
+
+def list_run(cards: DataFrame, listing: DataFrame, marks: DataFrame, out: str, table: str = "listing",
+             by: Sequence[str] = ("country",)) -> DataFrame:
+    """Cards of list pages, from each group's high-water mark on, that the listing lacks.
+
+    ``cards`` comes from ``page_records``, with the group's columns as keys.
+    """
+    rows = _save(worklist.since_mark(cards, marks, by, "postdate").to(SCHEMAS[table]), f"{out}/cards")
+    return _save(_added(rows, listing, table), f"{out}/{table}")
+
+
 def load_run(fetched: DataFrame, listing: DataFrame, page: DataFrame, out: str, today: date,
-             archived: DataFrame | None = None) -> dict[str, DataFrame]:
+             archived: DataFrame | None = None, table: str = "page",
+             parse: Callable[[DataFrame, Sequence[str]], DataFrame] = page_records.classified_page,
+             ) -> dict[str, DataFrame]:
     """Fetched pages to rows, rows into the page table, then the archive split.
 
     ``fetched`` has country, uid, postdate (of the listing), downloaddate, downloadtime and
     html. Written to ``out``: ``archive`` (rows moved today), ``page`` and ``listing`` (what
-    stays live). ``archived`` holds the keys of earlier archives.
+    stays live). ``archived`` holds the keys of earlier archives. For the job board give
+    ``parse=page_records.board_page, table="job_page"``.
     """
     keys = ["country", "uid", "listed", "downloaddate", "downloadtime"]
-    parsed = page_records.classified_page(fetched.withColumnRenamed("postdate", "listed"), keys)
+    parsed = parse(fetched.withColumnRenamed("postdate", "listed"), keys)
     # The date on the page is the better one.
-    rows = (parsed.withColumn("postdate", F.coalesce("postdate", "listed"))
-            .withColumn("compensation", F.col("compensation").try_cast("int"))
-            .to(SCHEMAS["page"]))
+    rows = parsed.withColumn("postdate", F.coalesce("postdate", "listed")).to(SCHEMAS[table])
     # Written, so that the parse is not repeated by each step that reads its rows.
     rows = _save(rows, f"{out}/parsed")
-    order = [c for c in rows.columns if c not in KEYS["page"]]
-    added = maintenance.first_wins(rows, KEYS["page"], order, old=page)
-    pages = page.unionByName(_save(added, f"{out}/added"))
+    pages = page.unionByName(_save(_added(rows, page, table, ["downloadtime"]), f"{out}/added"))
     gone = maintenance.gone_ads(pages, today)
     over = [gone] if archived is None else [gone, archived]
     return {
@@ -54,6 +69,30 @@ def load_run(fetched: DataFrame, listing: DataFrame, page: DataFrame, out: str,
     }
 
 
+def detail_run(fetched: DataFrame, summary: DataFrame, detail: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Aggregator pages (country, uniqueid, html): new details, and the summaries without
+    those whose page is dead."""
+    keys = ["country", "uniqueid"]
+    rows = _save(page_records.ad_details(fetched, keys).to(SCHEMAS["ad_detail"]), f"{out}/parsed")
+    dead = page_records.dead_pages(fetched, keys)
+    return {
+        "detail": _save(_added(rows, detail, "ad_detail"), f"{out}/detail"),
+        "summary": _save(maintenance.remove_dead(summary, dead, keys), f"{out}/summary"),
+    }
+
+
+def people_run(fetched: DataFrame, links: DataFrame, names: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Resume search pages (srchtitle, srchcountry, day, page, html): status names with the
+    new ones added, and the links not stored yet."""
+    keys = ["srchtitle", "srchcountry", "day", "page"]
+    cards = _save(page_records.resume_cards(fetched, keys), f"{out}/cards")
+    seen = ["day", "srchcountry", "srchtitle", "page", "id"]
+    names = _save(maintenance.extend_status_names(names, cards, "jobstat", seen, F.col("day")), f"{out}/status_names")
+    coded = combine.left_with(cards, names.select("jobstat", F.col("id").alias("jobstatid")), ["jobstat"])
+    new = _added(coded, links, "resume_links", ["day", "page"])
+    return {"status_names": names, "links": _save(new, f"{out}/links")}
+
+
 def analysis_run(listing: DataFrame, page: DataFrame, out: str, uid: str, category: str,
                  averages: Sequence[str], categories: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Missing values, weighted ad counts with their trends, and the summary table.

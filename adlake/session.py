@@ -17,7 +17,6 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "adlake") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .getOrCreate()
     )
 

@@ -41,7 +41,7 @@ SCHEMAS = {
     "page": columns(
         "downloaddate date, downloadtime string, country string, uid bigint, postdate date, "
         "posttime string, pageviews int, title string, experiencelevel string, "
-        "educationlevel string, type string, employtype string, compensation int, "
+        "educationlevel string, type string, employtype string, compensation bigint, "
         "description string, textlanguage string, userhref string, username string, "
         "userjoinyear int, userjoinmt string, emailavail int, phoneavail int, stat string"
     ),

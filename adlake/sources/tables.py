@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def export_csv(frames: Mapping[str, DataFrame], folder: str) -> None:
+    """Every table as CSV, in a folder of its name."""
+    for name, df in frames.items():
+        write_csv(df, f"{folder}/{name}")
+
+
 def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON-lines documents that carry no ``error``.
 

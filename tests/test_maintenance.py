@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from adlake import session
 from adlake.operators import maintenance
 from adlake.sources import schemas, tables
 
@@ -192,3 +193,22 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_page")
         spark.sql("DROP TABLE bucketed_ads")
+
+
+def test_export_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id int, x string")
+    tables.export_csv({"one": df, "two": df}, str(tmp_path))
+    assert rows(tables.scan_csv(spark, f"{tmp_path}/two", df.schema)) == [(1, "a")]
+
+
+class FakeSession:
+    def __init__(self, master, folder):
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": folder} if folder else {}, self
+        self.master = master
+
+
+def test_scratch_folder():
+    assert session.scratch_path(FakeSession("yarn", "hdfs://n/shared/"), "x").startswith("hdfs://n/shared/adlake/x-")
+    with pytest.raises(ValueError):
+        session.scratch_path(FakeSession("yarn", None), "x")
+    assert session.scratch_path(FakeSession("local[2]", None), "x") != session.scratch_path(FakeSession("local[2]", None), "x")

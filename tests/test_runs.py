@@ -1,6 +1,7 @@
 from datetime import date, datetime, timedelta
 
 from adlake import runs
+from adlake.operators import page_records
 from adlake.sources.schemas import SCHEMAS
 
 TODAY = date(2020, 6, 30)
@@ -36,6 +37,53 @@ def test_load_run(spark, tmp_path):
     assert sorted(r.uid for r in made["listing"].collect()) == [1, 3]
 
 
+def test_job_board_run(spark, tmp_path):
+    listing = spark.createDataFrame([{"country": "egypt", "uid": 1, "postdate": ago(7), "href": "/jobs/p/1-x"}],
+                                    SCHEMAS["job_listing"])
+    page = spark.createDataFrame([], SCHEMAS["job_page"])
+    main = "<div class='job-main-card'><h1 class='job-title'>Cook</h1></div>"
+    fetched = spark.createDataFrame([("egypt", 1, ago(7), TODAY, "12:00", main)],
+                                    "country string, uid bigint, postdate date, downloaddate date, downloadtime string, html string")
+    made = runs.load_run(fetched, listing, page, str(tmp_path), TODAY, table="job_page", parse=page_records.board_page)
+    assert [(r.jobtitle, r.num_vacancies, r.postdate) for r in made["page"].collect()] == [("Cook", 1, ago(7))]
+    assert made["archive"].count() == 0 and made["listing"].count() == 1
+
+
+def test_list_run(spark, tmp_path):
+    card = "<div class='new-time'><a href='/jobs/p/{0}-x'>x</a><time title='{1}'></time></div>"
+    pages = spark.createDataFrame([("egypt", card.format(1, "Sunday, March 4, 2018 at 2:05PM")
+                                    + card.format(2, "Monday, March 5, 2018 at 2:05PM")
+                                    + card.format(3, "Monday, March 5, 2018 at 9:05AM"))], "country string, html string")
+    stored = spark.createDataFrame([{"country": "egypt", "uid": 3, "postdate": date(2018, 3, 5)}], SCHEMAS["job_listing"])
+    marks = spark.createDataFrame([("egypt", date(2018, 3, 5))], "country string, mark date")
+    new = runs.list_run(page_records.board_cards(pages, ["country"]), stored, marks, str(tmp_path), "job_listing")
+    assert [(r.uid, r.href) for r in new.collect()] == [(2, "/jobs/p/2-x")]
+
+
+def test_detail_run(spark, tmp_path):
+    table = "<table class='job-details-table'><tr><th>Salary</th><td>1</td></tr></table>"
+    fetched = spark.createDataFrame([("egypt", "a", table), ("egypt", "b", "<div class='alert-warning'>gone</div>")],
+                                    "country string, uniqueid string, html string")
+    summary = spark.createDataFrame([{"country": "egypt", "uniqueid": u} for u in "abc"], SCHEMAS["ad_summary"])
+    made = runs.detail_run(fetched, summary, spark.createDataFrame([], SCHEMAS["ad_detail"]), str(tmp_path))
+    assert [(r.uniqueid, r.salary) for r in made["detail"].collect()] == [("a", "1")]
+    assert sorted(r.uniqueid for r in made["summary"].collect()) == ["a", "c"]
+
+
+def test_people_run(spark, tmp_path):
+    card = ("<div class='job-box panel-content clearfix'><a href='/profile/{0}?o=1'><h2 class='media-heading'>N</h2></a>"
+            "<p>{1}</p><h4>Cook</h4><h5>Egypt - Cairo</h5></div>")
+    fetched = spark.createDataFrame(
+        [("Sales", "egypt", date(2020, 1, 1), 1, card.format(7, "Looking") + card.format(8, "Employed")),
+         ("Sales", "egypt", date(2020, 1, 2), 1, card.format(7, "Employed"))],
+        "srchtitle string, srchcountry string, day date, page int, html string")
+    names = spark.createDataFrame([(0, "Employed")], "id int, jobstat string")
+    made = runs.people_run(fetched, spark.createDataFrame([], SCHEMAS["resume_links"]), names, str(tmp_path))
+    assert {r.jobstat: r.id for r in made["status_names"].collect()} == {"Employed": 0, "Looking": 1}
+    got = {r.id: (r.jobstatid, r.country, r.region) for r in made["links"].collect()}
+    assert got == {7: (1, "Egypt", "Cairo"), 8: (0, "Egypt", "Cairo")}
+
+
 def test_analysis_run(spark, tmp_path):
     listing = spark.createDataFrame(
         [ad(n % 6, jobsector="ab"[n % 2], postdate=date(2020, 1 + n % 3, 1), i_photo=n % 2) for n in range(12)],

@@ -67,6 +67,10 @@ def test_requirements_use_whole_words(spark):
     assert got == [" good leadership microsoft office , teams", "bachelor or bachelor"]
 
 
+def test_requirements_drop_traces_of_bytes(spark):
+    assert apply(spark, ["b'caf\\\\xc3\\\\xa9 staff'>tidy\\\\"], text.normalise_requirements) == ["caf staff tidy"]
+
+
 def test_last_level_wins_and_is_anchored(spark):
     ladder = {"one": ["small"], "two": ["small", "big"]}
     assert apply(spark, ["small job", "a small job", "smaller"], lambda c: features.last_level(c, ladder)) == [
