@@ -49,11 +49,9 @@ def union_tables(*frames: DataFrame) -> DataFrame:
 
 
 def map_or_keep(df: DataFrame, column: str, lookup: DataFrame, k: str = "k", v: str = "v") -> DataFrame:
-    """The value's entry in the lookup, else the value itself.
-
-    Spark broadcasts the lookup when its size is below the threshold and shuffles otherwise.
-    """
-    renamed = lookup.select(F.col(k).alias("_k"), F.col(v).alias("_v"))
+    """The value's entry in the lookup, else the value itself. ``df`` is shuffled for a long
+    lookup only."""
+    renamed = broadcast_if_small(lookup.select(F.col(k).alias("_k"), F.col(v).alias("_v")))
     joined = df.join(renamed, F.col(column) == F.col("_k"), "left")
     return joined.withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")
 

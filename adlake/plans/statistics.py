@@ -56,13 +56,15 @@ def stale_countries(t):
 
 
 @query("since_mark", f"""WITH {LISTING}, marks AS (
-        SELECT country, max(postdate) AS mark FROM listing WHERE stat = 'CLOSED'
-            AND level = '1-URGENT' GROUP BY country)
+        SELECT r_name AS country, coalesce(max(postdate), DATE '2001-08-01' - 29)::DATE AS mark
+        FROM region LEFT JOIN listing ON r_name = country AND stat = 'CLOSED' AND level = '1-URGENT'
+        GROUP BY r_name)
     SELECT l.* FROM listing l JOIN marks m ON l.country = m.country WHERE postdate >= mark""")
 def since_mark(t):
     ads = roles.listing(t)
     done = ads.filter((F.col("stat") == "CLOSED") & (F.col("level") == "1-URGENT"))
-    marks = worklist.high_water(ads.select("country").distinct(), done, ["country"], "postdate", TODAY)
+    groups = t.region.select(F.col("r_name").alias("country"))
+    marks = worklist.high_water(groups, done, ["country"], "postdate", TODAY)
     return worklist.since_mark(ads, marks, ["country"], "postdate")
 
 

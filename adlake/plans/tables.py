@@ -120,11 +120,13 @@ FIRST_BATCH_UNTIL = date(1998, 1, 1)
 def first_wins(t):
     rows, keys = tables.spread(roles.snapshots(t), "uid"), ["uid", "line"]
     order = ["downloaddate", "stat", "partkey", "suppkey", "quantity", "price"]
-    stored = maintenance.first_wins(
-        rows.filter(F.col("downloaddate") < F.lit(FIRST_BATCH_UNTIL)), keys, order)
-    added = maintenance.first_wins(
-        rows.filter(F.col("downloaddate") >= F.lit(FIRST_BATCH_UNTIL)), keys, order, old=stored)
-    return stored.unionByName(added)
+    path = scratch_path(t.spark, "first_wins")
+    for batch, arrived in enumerate([F.col("downloaddate") < F.lit(FIRST_BATCH_UNTIL),
+                                     F.col("downloaddate") >= F.lit(FIRST_BATCH_UNTIL)]):
+        stored = t.spark.read.parquet(path) if batch else None
+        added = maintenance.first_wins(rows.filter(arrived), keys, order, old=stored)
+        tables.write_table(added, f"{path}/batch={batch}")
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @query("partition_refresh", f"""WITH {LISTING}

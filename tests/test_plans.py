@@ -4,7 +4,7 @@ import pytest
 
 from adlake.plans import catalog
 
-READS_BACK = {"csv_roundtrip", "doc_scan", "raw_pages", "lookup_csv", "partition_overwrite", "month_flush",
+READS_BACK = {"csv_roundtrip", "doc_scan", "raw_pages", "lookup_csv", "partition_overwrite", "month_flush", "first_wins",
               "stream_first_wins", "stream_first_wins_exact", "stream_upsert"}
 
 
@@ -45,3 +45,9 @@ def test_small_pages_are_not_joined_with_their_text(spark, sf_dir):
     lines = plan(spark, sf_dir, "page_status").splitlines()
     join = next(i for i, line in enumerate(lines) if "Join" in line)
     assert not any("html" in line and "Exchange" in line for line in lines[join:])
+
+
+@pytest.mark.parametrize("key", ["map_or_keep", "since_mark", "collapse_rare"])
+def test_small_side_is_broadcast(spark, sf_dir, key):
+    text = plan(spark, sf_dir, key)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("BroadcastExchange")[0]
