@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys for a semi or anti join. A hot key is one row per task before the shuffle, which
-    the join then takes over; so the step adds no shuffle of its own."""
-    return df.select(*keys).distinct()
+    """Keys for the right side of a semi or anti join, made distinct before they are shuffled:
+    a hot key leaves each task once.
+
+    They are grouped together with their own hash. So they are not yet partitioned by the
+    keys alone and the join shuffles them itself, which AQE asks for before it splits a hot
+    key on the left side.
+    """
+    return df.select(*keys, F.xxhash64(*keys).alias("_hash")).distinct().select(*keys)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

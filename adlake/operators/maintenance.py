@@ -42,10 +42,11 @@ def first_wins(new: DataFrame, keys: Sequence[str], order: Sequence[str],
     Keys already stored are skipped; of the others the first row by ``order`` stays. Rows
     with a null in the key never collide, so all of them stay. Append the result.
     """
-    keyed = new.filter(~any_null(keys))
+    # First one row per key, so that a hot key does not reach the join.
+    first = earliest_rows(new.filter(~any_null(keys)), keys, order)
     if old is not None:
-        keyed = keyed.join(distinct_keys(old, keys), list(keys), "left_anti").select(*new.columns)
-    return earliest_rows(keyed, keys, order).unionByName(new.filter(any_null(keys)))
+        first = first.join(distinct_keys(old, keys), list(keys), "left_anti").select(*new.columns)
+    return first.unionByName(new.filter(any_null(keys)))
 
 
 def refresh_partition(old: DataFrame, new: DataFrame, column: str,
@@ -111,7 +112,7 @@ def gone_ads(page: DataFrame, today: date, max_days: int = PAST_DAYS,
              postdate: str = "postdate") -> DataFrame:
     """Keys of ads any of whose rows is closed or too old."""
     over = closed_or_old(F.col(stat), F.col(postdate), today, max_days)
-    return page.filter(over).select(*keys).distinct()
+    return distinct_keys(page.filter(over), keys)
 
 
 def archive_moved(page: DataFrame, gone: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:

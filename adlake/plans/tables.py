@@ -379,10 +379,9 @@ def untranslated_docs(t):
     WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)
         AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
 def double_anti(t):
-    docs = t.documents.select("doc_id", "lang")
-    for known in (t.labels.filter("quality = 1"), t.labels.filter("toxic = 1")):
-        docs = worklist.without(docs, known, ["doc_id"])
-    return docs
+    # One anti join against the keys of both sides.
+    known = combine.union_tables(t.labels.filter("quality = 1"), t.labels.filter("toxic = 1"))
+    return worklist.without(t.documents.select("doc_id", "lang"), known, ["doc_id"])
 
 
 @query("semi_in", f"""WITH {POSTINGS} SELECT uid, postdate, stat FROM postings
