@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions.text import starts_arabic
-from adlake.operators.combine import broadcast_if_small
+from adlake.operators.combine import lookup_side
 
 PART_ITEMS = 1000
 
@@ -116,7 +116,8 @@ def translate_items(items: DataFrame, text: str, glossary: DataFrame, source: st
     """
     needs = starts_arabic(F.col(text)) if needs is None else needs
     flagged = items.withColumn("needs", F.coalesce(needs, F.lit(False)))
-    terms = broadcast_if_small(glossary.select(F.col(source).alias(text), F.col(target).alias("translated")))
+    terms = lookup_side(
+        glossary.select(F.col(source).alias(text), F.col(target).alias("translated")), [text])
     foreign = flagged.filter("needs").join(terms, text, "left").select(*flagged.columns, "translated")
     plain = flagged.filter("NOT needs").withColumn("translated", F.col(text))
     return foreign.unionByName(plain)

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlake.operators.combine import broadcast_if_small, distinct_keys
+from adlake.operators.combine import distinct_keys, lookup_side
 from adlake.operators.maintenance import closed_or_old
 
 
@@ -52,7 +52,7 @@ def stale_groups(groups: DataFrame, df: DataFrame, by: Sequence[str], day: str,
 def since_mark(df: DataFrame, marks: DataFrame, by: Sequence[str], day: str,
                mark: str = "mark") -> DataFrame:
     """Rows at or after their group's mark. ``df`` is not shuffled for a short list of marks."""
-    return df.join(broadcast_if_small(marks), list(by)).filter(F.col(day) >= F.col(mark)).select(*df.columns)
+    return df.join(lookup_side(marks, by), list(by)).filter(F.col(day) >= F.col(mark)).select(*df.columns)
 
 
 def changed_segments(counts: DataFrame, segment: Sequence[str], day: str = "downloaddate",

@@ -49,7 +49,14 @@ def ads(page):
     return page.sparkSession.range(0, 20_100, numPartitions=4).select(F.col("id").alias("uid"), F.lit("x").alias("title"))
 
 
+def lookup(page, name):
+    return page.groupBy("uid").agg(F.min("postdate").alias(name))
+
+
 CASES = {
+    "since_mark": lambda p: worklist.since_mark(p, lookup(p, "mark"), ["uid"], "postdate"),
+    "map_or_keep": lambda p: combine.map_or_keep(p, "uid", lookup(p, "v").withColumnRenamed("uid", "k").withColumn(
+        "v", F.length(F.col("v").cast("string")).cast("bigint"))),
     "archive_moved": lambda p: maintenance.archive_moved(p, gone(p)),
     "archive_live": lambda p: maintenance.archive_live(p, [gone(p)]),
     "within": lambda p: worklist.within(p, p, ["uid"]),

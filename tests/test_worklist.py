@@ -90,5 +90,5 @@ def test_broadcast_only_below_the_limit(spark):
     def plan(frame):
         return frame._jdf.queryExecution().optimizedPlan().toString()
 
-    assert "strategy=broadcast" in plan(big.join(combine.broadcast_if_small(marks, 20), "id"))
-    assert "strategy=broadcast" not in plan(big.join(combine.broadcast_if_small(marks, 19), "id"))
+    assert "strategy=broadcast" in plan(big.join(combine.lookup_side(marks, ["id"], 20), "id"))
+    assert "strategy=broadcast" not in plan(big.join(combine.lookup_side(marks, ["id"], 19), "id"))
