@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +18,25 @@ def closed_or_old(stat: Column, postdate: Column, today: date, max_days: int = P
     return (stat == "CLOSED") | (postdate < F.lit(today - timedelta(days=max_days)))
 
 
-def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per key the first row by ``order``, which has to tell all rows of a key apart.
+def one_row(df: DataFrame, keys: Sequence[str], pick: Callable[[Column, Column], Column],
+            order: Column) -> DataFrame:
+    """Per key the row with the least or greatest ``order`` (``pick`` is ``min_by`` or ``max_by``).
 
     An aggregate instead of a row number: each task keeps one row per key before the
-    shuffle, so a key that holds a large part of the table never meets in one task.
+    shuffle, so a key that holds a large part of the table never meets in one task. The
+    keys stay the grouping columns, so a join on them next needs no further shuffle.
     """
-    row = F.min_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(*keys).agg(row.alias("_row")).select("_row.*")
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    row = pick(F.struct(*others), order).alias("_row")
+    return df.groupBy(*keys).agg(row).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per key the first row by ``order``, which has to tell all rows of a key apart."""
+    return one_row(df, keys, F.min_by, F.struct(*order))
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -89,8 +100,7 @@ def stale_upsert(old: DataFrame, new: DataFrame, key: str, loaded: str, now: dat
     both = old.withColumn("_rank", F.when(stale, 0).otherwise(2)).unionByName(
         new.withColumn("_rank", F.lit(1)))
     order = F.struct("_rank", loaded, *[c for c in old.columns if c not in (key, loaded)])
-    return (both.groupBy(key).agg(F.max_by(F.struct(*old.columns), order).alias("_row"))
-            .select("_row.*"))
+    return one_row(both, [key], F.max_by, order).drop("_rank")
 
 
 def upsert_changes(stored: DataFrame, new: DataFrame, key: str, loaded: str, now: date,
@@ -101,8 +111,7 @@ def upsert_changes(stored: DataFrame, new: DataFrame, key: str, loaded: str, now
     themselves are neither read nor written again.
     """
     order = F.struct(loaded, *[c for c in new.columns if c not in (key, loaded)])
-    latest = (new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("_row"))
-              .select("_row.*"))
+    latest = one_row(new, [key], F.max_by, order)
     fresh = stored.filter(F.col(loaded) >= F.lit(now - timedelta(days=max_age_days)))
     return latest.join(fresh.select(key), key, "left_anti").select(*new.columns)
 

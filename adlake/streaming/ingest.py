@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlake.operators.maintenance import first_wins, upsert_changes
+from adlake.operators.maintenance import first_wins, one_row, upsert_changes
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, pattern: str,
@@ -89,7 +89,4 @@ def upsert_available(stream: DataFrame, table: str, checkpoint: str, key: str, l
 
 def read_documents(spark: SparkSession, table: str, key: str) -> DataFrame:
     """Present document of each key: the one of its latest version."""
-    rows = spark.read.parquet(table)
-    stored = [c for c in rows.columns if c != "version"]
-    return (rows.groupBy(key).agg(F.max_by(F.struct(*stored), "version").alias("_row"))
-            .select("_row.*"))
+    return one_row(spark.read.parquet(table), [key], F.max_by, F.col("version")).drop("version")

@@ -36,6 +36,11 @@ def test_first_wins_is_idempotent(new_rows):
     assert {r[2] for r in rows(again, "arrival")} == {"d", "e", "f"}
 
 
+def test_first_wins_of_keys_alone(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,), (None,)], "uid int")
+    assert [r.uid for r in maintenance.first_wins(df, ["uid"], ["uid"]).orderBy("uid").collect()] == [None, None, 1]
+
+
 def test_first_wins_hot_key(spark):
     """A key that holds a third of all rows still gives its first row."""
     df = spark.range(30000).select(
