@@ -5,6 +5,7 @@ back as an array column; all further work is column expressions."""
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
@@ -50,6 +51,13 @@ class _Parser(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not used
 
+    def parse_marked_section(self, i, report=1):
+        # '<![...' that is no known section: skipped to its '>', as browsers do.
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
 
 class _Elements(_Parser):
     """Collects the wanted elements of one page with the text inside each."""
@@ -59,6 +67,9 @@ class _Elements(_Parser):
         self.wanted = wanted
         self.found: list[dict] = []
         self.open: list[tuple[str, int | None]] = []
+        self.inside: list[int] = []  # the wanted ones among the open elements
+        # How often each tag is open: a tag that is not open need not be looked for.
+        self.times: Counter[str] = Counter()
 
     def _is_wanted(self, tag, attrs) -> bool:
         if tag not in self.wanted:
@@ -68,39 +79,45 @@ class _Elements(_Parser):
 
     def handle_starttag(self, tag, attrs):
         closes = CLOSED_BY.get(tag, ())
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in closes:
-                self._close(depth)
-                break
-            if name in SCOPE:
-                break
+        if any(self.times[name] for name in closes):
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.open[depth][0]
+                if name in closes:
+                    self._close(depth)
+                    break
+                if name in SCOPE:
+                    break
         pos = None
         attrs = dict(attrs)
         if self._is_wanted(tag, attrs):
-            parent = next((p for _, p in reversed(self.open) if p is not None), None)
+            parent = self.inside[-1] if self.inside else None
             pos = len(self.found)
             self.found.append({"pos": pos, "parent": parent, "last": pos, "tag": tag,
                                "attrs": [(k, v or "") for k, v in attrs.items()], "text": []})
         if tag not in VOID:
             self.open.append((tag, pos))
+            self.times[tag] += 1
+            if pos is not None:
+                self.inside.append(pos)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._close(depth)
-                return
+        if self.times[tag]:
+            depth = len(self.open) - 1
+            while self.open[depth][0] != tag:
+                depth -= 1
+            self._close(depth)
 
     def _close(self, depth: int) -> None:
-        for _, pos in self.open[depth:]:
+        for tag, pos in self.open[depth:]:
+            self.times[tag] -= 1
             if pos is not None:
                 self.found[pos]["last"] = len(self.found) - 1
+                self.inside.pop()
         del self.open[depth:]
 
     def handle_data(self, data):
-        for _, pos in self.open:
-            if pos is not None:
-                self.found[pos]["text"].append(data)
+        for pos in self.inside:
+            self.found[pos]["text"].append(data)
 
     def elements(self, page: str) -> list[dict]:
         self.feed(page)

@@ -1,6 +1,8 @@
 from datetime import date
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from adlake.functions import html
@@ -30,6 +32,31 @@ def test_class_filter_entities_and_scripts(spark):
     assert [(e.attrs["class"], e.text) for e in found] == [("a b", "1 & 2")]
 
 
+PIECES = st.lists(st.sampled_from([
+    "<p>", "</p>", "<div class='a b'>", "</div>", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<br/>", "<img src=x>", "text ",
+    "&amp", "&#0;", "&#xffffff;", "<!--", "-->", "<![", "<![foo[", "]]>", "<!", "<!DOCTYPE", "<?x", ">", "<", "</", "<a href='",
+    "'", '"', "<script>", "</script>", "<title>", "</title>", "<style>", "\x00", "é", "<p a=1 a=2 b>", "</ p>", "<1>"]), max_size=25)
+
+
+@settings(max_examples=400, deadline=None)
+@given(pieces=PIECES)
+def test_any_text_can_be_parsed(pieces):
+    page = "".join(pieces)
+    wanted = {"p": None, "div": frozenset(["a"]), "li": None, "td": None, "img": None, "title": None}
+    found = html._Elements(wanted).elements(page)
+    for i, e in enumerate(found):
+        assert e["pos"] == i <= e["last"] < len(found)
+        if e["parent"] is not None:
+            outer = found[e["parent"]]
+            assert outer["pos"] < i and e["last"] <= outer["last"] and e["text"] in outer["text"]
+    assert isinstance(html._PlainText().text(page), str)
+
+
+def test_deep_page_is_parsed_in_good_time(spark):
+    body = "<b>x</i>" * 50_000 + "<p>end</p>"
+    assert [e.text for e in parse(spark, body, ["p"])] == ["end"]
+
+
 def test_null_page_gives_null(spark):
     assert parse(spark, None, ["p"]) is None
     assert html.plain_text(frame(spark, None)).first().text is None
