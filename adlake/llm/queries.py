@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import simhash
+from adlake.llm import simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,37 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, folder, "documents"), ["doc_id"], shingle=3, distance=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                          F.col("component").alias("component_id"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left of every document once windows of 20 words that start earlier too are cut."""
+    return spans.without_repeats(_table(spark, folder, "documents"), window=20).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS row_no,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+windows AS (
+    SELECT row_no, doc_id, s AS start, array_to_string(words[s:s + 19], ' ') AS run
+    FROM docs, unnest(range(1, len(words) - 18)) AS t(s)),
+later AS (
+    SELECT row_no, start FROM (
+        SELECT row_no, start,
+               rank() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, start) AS place FROM windows)
+    WHERE place > 1),
+gone AS (
+    SELECT DISTINCT row_no, start + k AS place FROM later, unnest(range(0, 20)) AS t(k)),
+gone_of AS (SELECT row_no, list(place) AS places FROM gone GROUP BY row_no),
+kept AS (
+    SELECT doc_id, words, CASE WHEN places IS NULL THEN words ELSE
+           [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(places, i)] END AS left_over
+    FROM docs LEFT JOIN gone_of USING (row_no))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(len(words) - len(left_over) AS BIGINT) AS n_removed,
+       sha256(array_to_string(left_over, ' ')) AS kept_sha256
+FROM kept
+"""
