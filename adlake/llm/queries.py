@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import simhash, spans
+from adlake.llm import langid, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,11 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
        sha256(array_to_string(left_over, ' ')) AS kept_sha256
 FROM kept
 """
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, folder, "documents")
+    judged = langid.identified(docs.select("doc_id", "text"), langid.learned_from(docs))
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
