@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import langid, simhash, spans
+from adlake.llm import langid, mixing, simhash, spans
+from adlake.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     judged = langid.identified(docs.select("doc_id", "text"), langid.learned_from(docs))
     return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
+@query
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    rows = _table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixing.per_row(mixing.copies(rows, ["doc_id"])).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
