@@ -131,8 +131,8 @@ def copies(rows: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2
             break
         turn = stored(_round(left, seed, level), "settled")
         if last == 0:                                                  # one bucket a source: the end of the tree
-            draw = (F.pmod(F.xxhash64(F.lit(seed + 1), "__order", "__tie"), F.lit(1 << 30)) / (1 << 30)) < F.col("chance")
-            done.append(turn.withColumn("chance", F.when(open_, draw.cast("double")).otherwise(F.col("chance"))))
+            near = (F.col("chance") >= 0.5).cast("double")                # one row a source; the nearer end
+            done.append(turn.withColumn("chance", F.when(open_, near).otherwise(F.col("chance"))))
             break
         done.append(turn.filter(~open_))
         left = turn.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
