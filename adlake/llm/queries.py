@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import langid, mixing, simhash, spans
+from adlake.llm import langid, mixing, sharding, simhash, spans, topk
 from adlake.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,35 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.per_row(mixing.copies(rows, ["doc_id"])).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
+@query
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document in 24 shards whose counts are at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.sharded(rows, shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best rows for each vector whose id is divisible by 50."""
+    vectors = _table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) AS q, v AS c WHERE q.vec_id <> c.vec_id),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM placed WHERE place <= 5
+"""
