@@ -53,8 +53,7 @@ def hashes(words: Column) -> Column:
 def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset."""
     words = rows.select(*keys, template(F.col("text")).alias("words"), F.split("text", r"\s+").alias("raw"))
-    words = words.withColumn("hashes", hashes(F.col("words")))
-    out = words.select(*keys, "words", "raw", F.posexplode("hashes").alias(place, "hash"))
+    out = words.select(*keys, "words", "raw", F.posexplode(hashes(F.col("words"))).alias(place, "hash"))
     offsets = F.array(*[F.when(F.get("words", F.col(place) + k).rlike(_SLOT), F.get("raw", F.col(place) + k))
                         for k in range(WINDOW)])
     return out.select(*keys, place, "hash", offsets.alias("slots"))
