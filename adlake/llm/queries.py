@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import chat, decontaminate, langid, mixing, sharding, simhash, spans, topk, url_filter
+from adlake.llm import chat, decontaminate, langid, licenses, mixing, sharding, simhash, spans, topk, url_filter
 from adlake.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,81 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document: its own, or that of the nearest directory above it.
+
+    Documents carry no paths, so each is laid under lang/ten thousands/hundreds of its id (round ids
+    higher up) and every eighth is called LICENSE.
+    """
+    docs = _table(spark, folder, "documents")
+    parts = [F.coalesce("lang", F.lit("none"))]
+    for step in (10_000, 100):
+        parts.append(F.when(F.col("doc_id") % step != 0, F.floor(F.col("doc_id") / step).cast("string")))
+    name = F.concat(F.when(F.col("doc_id") % 8 == 0, "LICENSE-").otherwise("file-"), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", F.concat_ws("/", *parts, name).alias("path"), "text")
+    return licenses.scanned(files, ["doc_id"])
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLES["op1_license_scan"] = f"""
+WITH templates(no, license, text) AS (
+    VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}),
+files AS (
+    SELECT doc_id, row_number() OVER () AS no, text, doc_id % 8 = 0 AS licence_file,
+           concat_ws('/', coalesce(lang, 'none'), CASE WHEN doc_id % 10000 <> 0 THEN CAST(doc_id // 10000 AS VARCHAR) END,
+                     CASE WHEN doc_id % 100 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END) AS dir,
+           CASE WHEN doc_id % 8 = 0 THEN 'LICENSE-' ELSE 'file-' END || doc_id AS name
+    FROM documents),
+passages AS (
+    SELECT no AS file, unnest(string_split(text, chr(10))) AS text FROM files
+    UNION ALL SELECT no, text FROM files WHERE licence_file),
+numbered AS (SELECT file, text, row_number() OVER () AS no FROM passages),
+template_words AS (
+    SELECT no, license, w, count(*) AS n FROM (
+        SELECT no, license, trim(unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')),
+               {_sql_text(licenses.EDGES)}) AS w FROM templates) AS t WHERE w <> '' GROUP BY ALL),
+passage_words AS (
+    SELECT no, file, w, count(*) AS n FROM (
+        SELECT no, file, trim(unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')),
+               {_sql_text(licenses.EDGES)}) AS w FROM numbered) AS t WHERE w <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS files FROM files),
+spread AS (SELECT w, count(DISTINCT file) AS df FROM passage_words GROUP BY w),
+idf AS (
+    SELECT t.w, ln((1 + files) / (1 + coalesce(df, 0))) + 1 AS idf
+    FROM (SELECT DISTINCT w FROM template_words) AS t LEFT JOIN spread USING (w), total),
+template_weights AS (SELECT no, license, w, n * idf AS x FROM template_words JOIN idf USING (w)),
+template_norms AS (SELECT no, sqrt(sum(x * x)) AS norm FROM template_weights GROUP BY no),
+passage_weights AS (
+    SELECT no, file, w, n * coalesce(idf, ln(1 + files) + 1) AS x FROM passage_words LEFT JOIN idf USING (w), total),
+passage_norms AS (SELECT no, sqrt(sum(x * x)) AS norm FROM passage_weights GROUP BY no),
+cosines AS (
+    SELECT p.no, p.file, t.no AS template, t.license, sum(p.x * t.x) AS dot
+    FROM passage_weights AS p JOIN template_weights AS t USING (w) GROUP BY ALL),
+scored AS (
+    SELECT file, license, round(dot / (a.norm * b.norm), 9) AS cosine
+    FROM cosines AS c JOIN passage_norms AS a USING (no) JOIN template_norms AS b ON c.template = b.no),
+own AS (
+    SELECT f.doc_id, f.no, f.dir, f.dir || '/' || f.name AS path, f.licence_file, s.license, s.cosine
+    FROM files AS f LEFT JOIN (
+        SELECT file, license, cosine FROM scored WHERE cosine >= {licenses.THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY file ORDER BY cosine DESC, license) = 1) AS s ON f.no = s.file),
+declared AS (
+    SELECT dir AS above, license AS theirs FROM own WHERE licence_file AND license IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
+nearest AS (
+    SELECT dir, above, theirs FROM (SELECT DISTINCT dir FROM own) AS d, declared
+    WHERE dir = above OR starts_with(dir, above || '/')
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, coalesce(license, theirs) AS license, cosine,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN theirs IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN license IS NULL THEN above END AS from_directory
+FROM own LEFT JOIN nearest USING (dir)
+"""
