@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def to_tasks(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast of an object of bounded size, pickled with its class; tasks call ``cloudpickle.loads`` on it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def word_count(text: Column) -> Column:
     """Words parted by ASCII white space; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")

@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlake.llm.common import to_tasks
+
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 RESULT = "lang_pred string, score double, rejected boolean"
@@ -97,11 +100,11 @@ def identified(docs: DataFrame, model: Model, text: str = "text", min_margin: fl
     lang_pred is ``und`` with score 0, and rejected, where the text is null or has no letter,
     or no language was learned. A lead below ``min_margin`` is rejected but keeps its language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = to_tasks(docs.sparkSession, model)
 
     @F.arrow_udf(RESULT)
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = cloudpickle.loads(shared.value)
         coders = model.coders()
         for batch in texts:
             got = [(UNKNOWN, 0.0) if raw is None or not coders else model.judge(raw, coders)

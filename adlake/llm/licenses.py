@@ -14,10 +14,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlake.llm.common import stored
+from adlake.llm.common import stored, to_tasks
 
 #: Notices that name a licence.
 TEMPLATES = (
@@ -109,10 +110,10 @@ def matched(files: DataFrame, keys: list[str], templates: list[tuple[str, str]],
     vocabulary = {w for _, t in templates for w in words(t)}
     if len(vocabulary) > MAX_TERMS:
         raise ValueError(f"templates hold more than {MAX_TERMS} words")
-    shared = files.sparkSession.sparkContext.broadcast(Matcher(templates, *_spread(files, vocabulary), threshold))
+    shared = to_tasks(files.sparkSession, Matcher(templates, *_spread(files, vocabulary), threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = shared.value
+        matcher = cloudpickle.loads(shared.value)
         for batch in batches:
             out = []
             for text, whole in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlake.llm.common import stored
+from adlake.llm.common import stored, to_tasks
 
 BLOCK_BYTES = 16 << 20
 ROWS_AT_ONCE = 2048
@@ -86,10 +87,10 @@ def _scored(batches: Iterator[pa.RecordBatch], block: _Block):
 
 def _histogram(vectors: DataFrame, block: _Block) -> DataFrame:
     """(query, bin, n): rows per bin of each query's window; bins above the window are bin -1."""
-    shared = vectors.sparkSession.sparkContext.broadcast(block)
+    shared = to_tasks(vectors.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = cloudpickle.loads(shared.value)
         width, size = block.width(), block.bins + 1
         counts = np.zeros((len(block.ids), size), np.int64)
         for part, ids, scores in _scored(batches, block):
@@ -123,10 +124,10 @@ def _refine(vectors: DataFrame, block: _Block, k: int) -> None:
 
 def _best(vectors: DataFrame, block: _Block, k: int) -> DataFrame:
     """Rows above the k-th best score, and at it the k smallest ids that each task has."""
-    shared = vectors.sparkSession.sparkContext.broadcast(block)
+    shared = to_tasks(vectors.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = cloudpickle.loads(shared.value)
         queries, found, values = (np.zeros(0, np.int64) for _ in range(3))
         for part, ids, scores in _scored(batches, block):
             r, q = np.nonzero((scores >= block.low[part]) & (ids[:, None] != block.ids[part]))
