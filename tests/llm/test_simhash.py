@@ -1,0 +1,111 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from helpers import groups_of, rows, words
+
+from adlake.llm import simhash
+
+SCHEMA = "doc_id long, text string, fp string, component string"
+
+
+def plain_fingerprint(text, shingle):
+    w = words("".join(c.lower() if c.isascii() else c for c in text or ""))
+    runs = [" ".join(w[i:i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def corpus():
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Été", "ÉTÉ"]
+    out = []
+    for _ in range(60):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 300))]
+        for _ in range(rng.choice([1, 1, 3])):
+            near = list(text)
+            for _ in range(rng.randrange(3)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            out.append(" ".join(near))
+    return out + [None, "", "  \n", "one", "one two", "One TWO"] + ["same text here now"] * 40
+
+
+def test_documents_equal_brute_force(spark):
+    texts = corpus()
+    ids = list(range(1, len(texts) + 1))
+    random.Random(2).shuffle(ids)
+    data = list(zip(ids, texts)) + [(None, texts[0]), (ids[0], texts[0])]     # null id, repeated row
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in data], SCHEMA).repartition(5)
+    got = rows(simhash.near_duplicates(docs, ["doc_id"]))
+    fps = [plain_fingerprint(t, 3) for _, t in data]
+    linked = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    root = groups_of(len(fps), linked)
+    least = {r: min(i for (i, _), q in zip(data, root) if q == r and i is not None) for r in root}
+    want = [(i, f, least[r]) for (i, _), f, r in zip(data, fps, root)]
+    key = lambda x: (x[0] or 0, x[1], x[2])
+    assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component"]) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize(("distance", "node_rows"), [(3, 50_000), (3, 20), (1, 10), (5, 30)])
+def test_index_loses_no_link(spark, distance, node_rows):
+    rng = random.Random(distance + node_rows)
+    fps = set()
+    for _ in range(150):
+        x = rng.getrandbits(64)
+        fps.add(x)
+        for _ in range(rng.randrange(4)):
+            for b in rng.sample(range(64), rng.randrange(1, distance + 2)):
+                x ^= 1 << b
+            fps.add(x)
+    hub = rng.getrandbits(64)
+    fps |= {hub ^ (1 << b) for b in range(64)} | {hub} | {i for i in range(200)}     # dense groups
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
+    got = {r["node"] % 2**64: r["root"] % 2**64 for r in rows(simhash.components(simhash.links(df, distance, node_rows)))}
+    root = groups_of(len(fps), [(a, b) for a in range(len(fps)) for b in range(a)
+                                if (fps[a] ^ fps[b]).bit_count() <= distance])
+    by_root = {}
+    for f, r in zip(fps, root):
+        by_root.setdefault(r, []).append(f)
+    ours = {}
+    for f in fps:
+        ours.setdefault(got.get(f, f), []).append(f)
+    assert sorted(by_root.values()) == sorted(sorted(x) for x in ours.values())
+
+
+def test_gray_rank_counts_gray_codes(spark):
+    codes = [i ^ (i >> 1) for i in range(64)]
+    df = spark.createDataFrame([(c,) for c in codes], "fp long")
+    assert [r["fp"] for r in df.orderBy(simhash.gray_rank(df.fp)).collect()] == codes
+
+
+def test_chain_of_links_is_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["root"] for r in rows(simhash.components(edges))}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_very_long_text_and_empty_table(spark):
+    text = "a b c " * 200_000
+    assert simhash.fingerprint(text.encode(), 3) % 2**64 == plain_fingerprint("a b c " * 20, 3)
+    assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
+    assert simhash.one_of_each(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "fp", "component"]
+
+
+def test_one_of_each_keeps_the_least_id(spark):
+    data = [(5, "a b c"), (3, "A b c"), (3, "a b c"), (9, "q r s"), (9, "q r s"), (None, "x y z"), (None, "a b c")]
+    kept = rows(simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted((r["doc_id"] or 0 for r in kept)) == [0, 3, 9]
+
+
+def test_bounds_hold():
+    fps = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
+    index = simhash.Index(np.zeros(500, np.int64), fps)
+    for level in range(len(index.first) + 1):
+        n = np.arange(len(index.ands[level]))
+        a, b = np.repeat(n, len(n)), np.tile(n, len(n))
+        least, most = index.bounds(level, a, b)
+        (i, _), (j, _) = index.members(level, a), index.members(level, b)
+        d = np.bitwise_count(fps[i] ^ fps[j])
+        assert (least <= d).all() and (d <= most).all()

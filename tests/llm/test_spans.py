@@ -1,0 +1,98 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from helpers import rows, words
+
+from adlake.llm import spans
+
+
+def brute(data, window):
+    """Judge every window of (doc_id, text) by where its words start first."""
+    first = {}
+    for doc, text in data:
+        w = words(text)
+        for s in range(len(w) - window + 1):
+            at = (doc is None, doc or 0, s)
+            key = tuple(w[s:s + window])
+            first[key] = min(first.get(key, at), at)
+    out = []
+    for doc, text in data:
+        w = words(text)
+        gone = set()
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s:s + window])] < (doc is None, doc or 0, s):
+                gone |= set(range(s, s + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((doc if doc is not None else -1, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+def corpus(seed, n=80, vocabulary=12):
+    rng = random.Random(seed)
+    passages = [[f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(5, 60))] for _ in range(6)]
+    data = []
+    for i in range(n):
+        text = []
+        for _ in range(rng.randrange(5)):
+            text += rng.choice(passages) if rng.random() < 0.6 else [f"é{rng.randrange(vocabulary)}"] * rng.randrange(30)
+        data.append((i, rng.choice([" ", "\n", "\t "]).join(text)))
+    copies = [(1000 + i, data[3][1]) for i in range(30)]
+    odd = [(2000, None), (2001, ""), (2002, "a"), (None, data[5][1]), (None, data[6][1]), (7, data[8][1]), (7, data[7][1])]
+    return data + copies + odd + [(5000, "x " * 200)]
+
+
+@pytest.mark.parametrize(("window", "mer", "buckets"), [(20, 5, 8), (6, 2, 3), (7, 7, 50), (3, 1, 1)])
+def test_equals_brute_force(spark, window, mer, buckets, monkeypatch):
+    data = corpus(window)
+    docs = spark.createDataFrame([(d, t, 1) for d, t in data], "doc_id long, text string, key int").repartition(6)
+    got = spans.without_repeats(docs, window, mer)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept_sha256"])
+                  for r in rows(got)) == brute(data, window)
+
+
+def test_hot_minimisers_take_another_route_to_the_same_result(spark):
+    data = [(i, f"start{i} " + " ".join(f"c{j}" for j in range(40)) + f" end{i}") for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    one = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS key", "text")
+    hot = spans.hot_minimisers(one, 20, 5, 0.01, 1)
+    assert len(hot)
+
+    def flat(share, one_in):
+        found = spans.repeated_spans(one, 20, 5, share=share, one_in=one_in, buckets=4)
+        cover = {}
+        for r in rows(found):
+            cover.setdefault((r["doc"], r["key"]), set()).update(
+                i for s in r["spans"] for i in range(s["start"], s["start"] + s["n"]))
+        return cover
+
+    assert flat(0.01, 1) == flat(2.0, 1)
+    assert len(flat(0.01, 1)) == 119
+
+
+def test_pieces_of_a_long_text_give_the_same(monkeypatch, spark):
+    data = corpus(9, 40)
+    long = [(1, " ".join(t for _, t in data if t)), *data]
+    monkeypatch.setattr(spans, "WORDS_AT_ONCE", 50)
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in long], pa.int64()),
+                                        pa.array(range(len(long)), pa.int64()), pa.array([t for _, t in long])],
+                                       ["doc", "key", "text"])
+    packed = {}
+    for bucket, data_ in spans._entries(batch, 6, 2, 3, np.zeros(0, np.uint64), spans._Hashes()):
+        packed.setdefault(bucket, []).append(data_)
+    gone = {}
+    for got in packed.values():
+        found = spans._later(got, 6)
+        if found:
+            for k, s, n in zip(found["key"].tolist(), found["start"].tolist(), found["n"].tolist()):
+                gone.setdefault(k, set()).update(range(s, s + n))
+    want = brute(long, 6)
+    assert sorted((d if d is not None else -1, len(gone.get(i, ()))) for i, (d, _) in enumerate(long)) == \
+        sorted((d, n) for d, _, n, _ in want)
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert spans.without_repeats(empty).count() == 0
