@@ -19,16 +19,13 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.xxhash64(*keys).alias("_hash")).distinct().select(*keys)
 
 
-def lookup_side(df: DataFrame, keys: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """Right side of a join with a table that may hold a hot key: broadcast if it has at most
-    ``max_rows`` rows (counting stops past that), else set up so that AQE can split the key.
+def lookup_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Right side of a join with a table that may hold a hot key, set up so that AQE can split
+    the key or, once it knows the size, broadcast.
 
-    A small result of an aggregate looks large to Spark before it has run, and an aggregate
-    on the keys would hand its partitioning to the join, which then cannot be split. So a
-    long one is moved by the hash of its keys first, and the join shuffles it again.
+    An aggregate on the keys would hand its partitioning to the join, which then cannot be
+    split. So the rows are moved by the hash of the keys first, and the join shuffles them again.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
     hashed = df.withColumn("_hash", F.xxhash64(*keys))
     return hashed.repartition("_hash").select(*df.columns)
 
@@ -59,8 +56,7 @@ def union_tables(*frames: DataFrame) -> DataFrame:
 
 
 def map_or_keep(df: DataFrame, column: str, lookup: DataFrame, k: str = "k", v: str = "v") -> DataFrame:
-    """The value's entry in the lookup, else the value itself. ``df`` is shuffled for a long
-    lookup only."""
+    """The value's entry in the lookup, else the value itself."""
     renamed = lookup_side(lookup.select(F.col(k).alias("_k"), F.col(v).alias("_v")), ["_k"])
     joined = df.join(renamed, F.col(column) == F.col("_k"), "left")
     return joined.withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")

@@ -4,40 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions import text
 from adlake.operators.combine import map_literal
 
-MAX_INDICATORS = 1000
-
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], min_share: float = 0.05,
                   other: str = "other") -> DataFrame:
     """Values that make up less than ``min_share`` of all rows become 'other'; null stays.
 
-    Values at or above the share number at most 1 / min_share, so their list is small
-    whatever the table, and is broadcast.
+    One pass counts the values of all columns. Those at or above the share number at most
+    1 / min_share a column, so they are one small row, read as a scalar.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        common = counts.filter(F.col("_n") / total >= min_share).select(F.col(c).alias("_value"))
-        df = (df.join(F.broadcast(common), F.col(c) == F.col("_value"), "left")
-              .withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("_value", F.lit(other))))
-              .drop("_value"))
-    return df
-
-
-def indicator_values(df: DataFrame, column: str, max_values: int = MAX_INDICATORS) -> list[str]:
-    """Distinct values in order, for column names. More than ``max_values`` is an error:
-    collapse the rare ones first."""
-    rows = (df.select(F.col(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-            .limit(max_values + 1).collect())
-    if len(rows) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values")
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    counts = (df.select(F.explode(F.concat(cells, F.array(F.struct(F.lit("").alias("c"), F.lit("").alias("v"))))).alias("x"))
+              .filter("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n")))
+    total = F.max(F.when(F.col("c") == "", F.col("n"))).over(Window.partitionBy())
+    # The rare values go before the total is put beside them, so one task gets few rows.
+    largest = Window.partitionBy("c").orderBy(F.desc("n"), "v")
+    few = counts.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= int(1 / min_share) + 1)
+    common = few.withColumn("_total", total).filter(F.col("n") / F.col("_total") >= min_share)
+    lists = common.agg(*[F.collect_set(F.when(F.col("c") == c, F.col("v"))).alias(f"_common_{i}")
+                         for i, c in enumerate(columns)])
+    found = lists.select(F.struct(*lists.columns)).scalar()
+    return df.withColumns({
+        c: F.when(F.array_contains(found[f"_common_{i}"], F.col(c).cast("string")), F.col(c))
+        .when(F.col(c).isNotNull(), F.lit(other)) for i, c in enumerate(columns)})
+
+
+def indicator_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The ``most`` commonest values, in order of name, for column names. What other values
+    there are shows in the rest column of ``one_hot`` and ``multi_hot``."""
+    rows = (df.select(F.col(column).cast("string").alias("v")).filter("v IS NOT NULL")
+            .groupBy("v").count().orderBy(F.desc("count"), "v").limit(most).collect())
     return sorted(r["v"] for r in rows)
 
 
@@ -45,21 +47,31 @@ def column_name(*parts: str) -> str:
     return "_".join(parts)
 
 
-def one_hot(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
-    """0/1 column ``column_value`` per value, null giving 0 in all; with the new names."""
+def one_hot(df: DataFrame, columns: Mapping[str, Sequence[str]],
+            rest: str | None = None) -> tuple[DataFrame, list[str]]:
+    """0/1 column ``column_value`` per value, null giving 0 in all; with the new names.
+
+    With ``rest`` one more column of that name says that a value is none of those listed.
+    """
     new = {column_name(c, v): F.coalesce(F.col(c) == v, F.lit(False)).cast("int")
            for c, values in columns.items() for v in values}
+    if rest is not None:
+        new |= {column_name(c, rest): (F.col(c).isNotNull() & ~F.coalesce(
+            F.col(c).isin(list(values)), F.lit(False))).cast("int") for c, values in columns.items()}
     return df.withColumns(new), list(new)
 
 
 def multi_hot(df: DataFrame, columns: Sequence[str], values: Sequence[str],
-              prefix: str) -> DataFrame:
+              prefix: str, rest: str | None = None) -> DataFrame:
     """0/1 column per value that says whether any of the columns holds it. Take the values
-    from the first column (``indicator_values``)."""
+    from the first column (``indicator_values``). With ``rest`` one more column of that name
+    says whether any column holds a value that is not listed."""
     present = F.array(*[F.col(c) for c in columns])
-    return df.withColumns({
-        column_name(prefix, v): F.coalesce(F.array_contains(present, v), F.lit(False)).cast("int")
-        for v in values})
+    new = {column_name(prefix, v): F.coalesce(F.array_contains(present, v), F.lit(False)).cast("int") for v in values}
+    if rest is not None:
+        listed = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        new[column_name(prefix, rest)] = (F.size(F.array_except(F.array_compact(present), listed)) > 0).cast("int")
+    return df.withColumns(new)
 
 
 def first_items(df: DataFrame, column: str, prefix: str, n: int = 3,

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlake.operators.combine import distinct_keys, union_tables
 
@@ -34,9 +35,31 @@ def one_row(df: DataFrame, keys: Sequence[str], pick: Callable[[Column, Column],
         *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A text that orders rows by all of ``columns``, whatever their types (maps too)."""
+    def entries(name: str) -> Column:
+        # The entries of a map come in no fixed order.
+        if isinstance(df.schema[name].dataType, T.MapType):
+            return F.array_sort(F.map_entries(name)).alias(name)
+        return F.col(name)
+
+    return F.sha2(F.to_json(F.struct(*[entries(c) for c in columns])), 256)
+
+
 def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per key the first row by ``order``, which has to tell all rows of a key apart."""
-    return one_row(df, keys, F.min_by, F.struct(*order))
+    """Per key the first row by ``order``, which has to tell all rows of a key apart.
+
+    The least row is taken as one struct that starts with the order, so each column is
+    sent once. Columns that have no order, such as maps, need the longer form.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if not rest and not [c for c in order if c not in keys]:
+        return df.distinct()
+    if any("map<" in df.schema[c].dataType.simpleString() for c in rest):
+        return one_row(df, keys, F.min_by, F.struct(*order))
+    row = F.min(F.struct(*[c for c in order if c not in keys], *rest)).alias("_row")
+    return df.groupBy(*keys).agg(row).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -94,12 +117,13 @@ def stale_upsert(old: DataFrame, new: DataFrame, key: str, loaded: str, now: dat
     ``max_age_days`` before ``now``; it is added if the key is not stored, else ignored.
     ``old`` has one document per key; of several new ones the latest counts.
 
-    One aggregate over both sides: fresh stored beats new beats stale stored.
+    One aggregate over both sides: fresh stored beats new beats stale stored. Rows of one
+    rank and load date go by a digest of the rest, so nested documents and maps will do.
     """
     stale = F.col(loaded) < F.lit(now - timedelta(days=max_age_days))
     both = old.withColumn("_rank", F.when(stale, 0).otherwise(2)).unionByName(
         new.withColumn("_rank", F.lit(1)))
-    order = F.struct("_rank", loaded, *[c for c in old.columns if c not in (key, loaded)])
+    order = F.struct("_rank", loaded, digest(both, [c for c in old.columns if c not in (key, loaded)]))
     return one_row(both, [key], F.max_by, order).drop("_rank")
 
 
@@ -110,7 +134,7 @@ def upsert_changes(stored: DataFrame, new: DataFrame, key: str, loaded: str, now
     ``stored`` needs only the key and the load date of each document, so the documents
     themselves are neither read nor written again.
     """
-    order = F.struct(loaded, *[c for c in new.columns if c not in (key, loaded)])
+    order = F.struct(loaded, digest(new, [c for c in new.columns if c not in (key, loaded)]))
     latest = one_row(new, [key], F.max_by, order)
     fresh = stored.filter(F.col(loaded) >= F.lit(now - timedelta(days=max_age_days)))
     return latest.join(fresh.select(key), key, "left_anti").select(*new.columns)

@@ -9,31 +9,22 @@ from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions.text import starts_arabic
-from adlake.operators.combine import lookup_side
+from adlake.operators.combine import distinct_keys, lookup_side
 
-PART_ITEMS = 1000
 
 
 def nest_sections(items: DataFrame, uid: str, section: str, position: str,
-                  fields: Sequence[str], part_items: int = PART_ITEMS) -> DataFrame:
-    """Documents as rows (uid, section, part, items) with the items in order. A position
-    occurs once in a section.
-
-    A part holds the positions of one stretch of ``part_items``, so that a document with
-    very many items becomes several rows and no array grows without bound. An ordinary
-    document has part 0 only.
-    """
+                  fields: Sequence[str]) -> DataFrame:
+    """Documents as rows (uid, section, items) with the items in order, one row per section
+    at any length. A position occurs once in a section."""
     item = F.struct(position, *fields)
-    part = F.floor(F.col(position) / part_items).cast("int")
-    return (items.groupBy(uid, section, part.alias("part"))
-            .agg(F.sort_array(F.collect_list(item)).alias("items")))
+    return items.groupBy(uid, section).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def section_summary(nested: DataFrame, uid: str, section: str, field: str) -> DataFrame:
-    """Number of items and first item of every section, over all its parts."""
-    return nested.groupBy(uid, section).agg(
-        F.sum(F.size("items")).alias("items"),
-        F.min_by(F.col("items")[0][field], "part").alias(f"first_{field}"))
+    """Number of items and first item of every section."""
+    return nested.select(uid, section, F.size("items").cast("long").alias("items"),
+                         F.get("items", F.lit(0))[field].alias(f"first_{field}"))
 
 
 def rename_fields(items: Column, names: Mapping[str, str], present: Sequence[str]) -> Column:
@@ -50,7 +41,7 @@ def resume_sections(cards: DataFrame, uid: str,
     nested = nest_sections(cards, uid, "section", "listnum", generic)
     columns = [F.max(F.when(F.col("section") == s, rename_fields(F.col("items"), names, generic))).alias(s)
                for s, names in mapping.items()]
-    return nested.groupBy(uid, "part").agg(*columns)
+    return nested.groupBy(uid).agg(*columns)
 
 
 def unnest_long(df: DataFrame, keys: Sequence[str], sections: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -125,4 +116,4 @@ def translate_items(items: DataFrame, text: str, glossary: DataFrame, source: st
 
 def nothing_to_translate(ids: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ids none of whose texts is an item to translate."""
-    return ids.select(*keys).join(items.select(*keys), list(keys), "left_anti")
+    return ids.select(*keys).join(distinct_keys(items, keys), list(keys), "left_anti")

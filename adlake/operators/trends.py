@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlake.functions.dates import month_start
@@ -76,41 +76,52 @@ def top_share(months: DataFrame, n: int = 5) -> DataFrame:
     return place.groupBy("country").agg(F.floor(F.round(share, 6)).cast("int").alias("top_pct"))
 
 
-def _spanned(months: DataFrame, top: int) -> DataFrame:
-    """Dated months with the first and last month of their country's ``top`` largest
-    categories. Windows over the small monthly table, so it is made only once."""
-    by_country = Window.partitionBy("country")
-    of_cat = F.sum("total").over(Window.partitionBy("country", "cat"))
-    placed = months.withColumn("_all", F.round(of_cat, 9)).withColumn(
-        "_place", F.dense_rank().over(by_country.orderBy(F.desc("_all"), "cat")))
-    leading = F.when(F.col("_place") <= top, F.col("month"))
-    return dated(placed.withColumns({"first_month": F.min(leading).over(by_country),
-                                     "last_month": F.max(leading).over(by_country)}))
+def _by_country(months: DataFrame, top: int) -> DataFrame:
+    """One row per country: its categories with their dated months, and the first and last
+    month of the ``top`` largest, ties by name. A country's row grows with its categories
+    times months, not with its ads."""
+    pairs = F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "total")))
+    cats = months.groupBy("country", "cat").agg(
+        F.sum("total").alias("total"), F.map_from_entries(pairs).alias("by_month"))
+    each = F.struct((-F.round("total", 9)).alias("order"), "cat", F.map_entries("by_month").alias("months"))
+    rows = cats.groupBy("country").agg(F.array_sort(F.collect_list(each)).alias("cats"))
+    seen = F.flatten(F.transform(F.slice("cats", 1, top), lambda c: c["months"]["key"]))
+    return rows.withColumns({"first_month": F.array_min(seen), "last_month": F.array_max(seen)})
 
 
 def month_span(months: DataFrame, n: int = 5) -> DataFrame:
     """First and last month in which a country's n largest categories occur."""
-    return (_spanned(months, n).groupBy("country")
-            .agg(F.first("first_month").alias("first_month"), F.first("last_month").alias("last_month")))
+    dated_only = F.exists("cats", lambda c: F.size(c["months"]) > 0)
+    return _by_country(months, n).filter(dated_only).select("country", "first_month", "last_month")
 
 
 def category_change(months: DataFrame, n: int = 20, top: int = 5) -> DataFrame:
     """Change of each category from the first to the last month of ``month_span``, with its
     place from below and above; the n lowest and n highest. Categories that lack one of
     the two months have no change and no place."""
-    first = F.sum(F.when(F.col("month") == F.col("first_month"), F.col("total")))
-    last = F.sum(F.when(F.col("month") == F.col("last_month"), F.col("total")))
-    change = (_spanned(months, top).groupBy("country", "cat").agg((last - first).alias("change"))
-              .filter(F.col("change").isNotNull()))
-    by_country = Window.partitionBy("country")
-    change = (change.withColumn("_c", F.round("change", 9))
-              .withColumn("lowest", F.row_number().over(by_country.orderBy("_c", "cat")))
-              .withColumn("highest", F.row_number().over(by_country.orderBy(F.desc("_c"), "cat"))))
-    return change.filter((F.col("lowest") <= n) | (F.col("highest") <= n)).drop("_c")
-
-
-def pivot_months(months: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One row per country and month, one column per category. The category list is given,
-    so the pivot needs no pass to find it."""
-    return (dated(months).groupBy("country", "month").pivot("cat", list(categories))
-            .agg(F.sum("total")))
+    def at(c: Column, month: str) -> Column:
+        return F.get(F.filter(c["months"], lambda m: m["key"] == F.col(month)), F.lit(0))["value"]
+
+    changes = F.filter(F.transform("cats", lambda c: F.struct(
+        c["cat"].alias("cat"), (at(c, "last_month") - at(c, "first_month")).alias("change"))),
+        lambda c: c["change"].isNotNull())
+    rows = _by_country(months, top).select("country", changes.alias("changes"))
+
+    def sorted_by(sign: int) -> Column:
+        keyed = F.transform("changes", lambda c: F.struct(
+            (sign * F.round(c["change"], 9)).alias("o"), c["cat"].alias("cat"), c["change"].alias("change")))
+        return F.transform(F.array_sort(keyed), lambda c: F.struct(c["cat"].alias("cat"), c["change"].alias("change")))
+
+    rows = rows.select("country", sorted_by(1).alias("up"), sorted_by(-1).alias("down"))
+    ends = F.array_union(F.slice("up", 1, n), F.slice("down", 1, n))
+    return rows.select("country", "up", "down", F.explode(ends).alias("c")).select(
+        "country", "c.cat", "c.change", F.array_position("up", F.col("c")).cast("int").alias("lowest"),
+        F.array_position("down", F.col("c")).cast("int").alias("highest"))
+
+
+def pivot_months(months: DataFrame, categories: Sequence[str], rest: str = "other") -> DataFrame:
+    """One row per country and month, one column per category, and ``rest`` for all that is
+    not listed (null categories too). The list is given, so the pivot needs no pass to find it."""
+    listed = F.coalesce(F.col("cat").isin(list(categories)), F.lit(False))
+    named = dated(months).withColumn("cat", F.when(listed, F.col("cat")).otherwise(F.lit(rest)))
+    return named.groupBy("country", "month").pivot("cat", [*categories, rest]).agg(F.sum("total"))

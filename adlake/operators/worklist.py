@@ -49,10 +49,15 @@ def stale_groups(groups: DataFrame, df: DataFrame, by: Sequence[str], day: str,
             .filter(F.col("last").isNull() | (F.datediff(F.lit(today), "last") >= min_days)))
 
 
-def since_mark(df: DataFrame, marks: DataFrame, by: Sequence[str], day: str,
-               mark: str = "mark") -> DataFrame:
-    """Rows at or after their group's mark. ``df`` is not shuffled for a short list of marks."""
-    return df.join(lookup_side(marks, by), list(by)).filter(F.col(day) >= F.col(mark)).select(*df.columns)
+def since_mark(df: DataFrame, marks: DataFrame, by: Sequence[str], day: str, today: date,
+               default_days: int = 29, mark: str = "mark") -> DataFrame:
+    """Rows at or after their group's mark. A group without a mark, or a null group, starts
+    ``default_days`` before ``today``."""
+    start = F.coalesce(F.col(f"_m.{mark}"), F.lit(today - timedelta(days=default_days)))
+    known = lookup_side(marks.select(*by, mark), by).alias("_m")
+    on = [F.col(f"_d.{c}") == F.col(f"_m.{c}") for c in by]
+    return (df.alias("_d").join(known, on, "left").filter(F.col(f"_d.{day}") >= start)
+            .select(*[F.col(f"_d.{c}") for c in df.columns]))
 
 
 def changed_segments(counts: DataFrame, segment: Sequence[str], day: str = "downloaddate",
@@ -60,7 +65,7 @@ def changed_segments(counts: DataFrame, segment: Sequence[str], day: str = "down
     """Segments whose count differs from the one ``lag_days`` before, on a day at most
     ``within_days`` before the last day of the table."""
     last = counts.agg(F.max(day)).scalar()
-    recent = counts.filter(F.date_add(day, within_days) >= last)
+    recent = counts.filter(F.col(day) >= F.date_sub(last, within_days))
     earlier = counts.select(*segment, F.date_add(day, lag_days).alias(day),
                             F.col(total).alias("_before"))
     return (recent.join(earlier, [*segment, day]).filter(F.col(total) != F.col("_before"))

@@ -86,17 +86,19 @@ GLOSSARY = [("Éreoi", "first"), ("Über", "over"), ("Él", "he"), ("Óos", "bon
 FOREIGN = r"^[^\x{00}-\x{7f}]"
 
 
-def first_words(t):
-    return t.documents.select("doc_id", "lang", F.regexp_extract("text", r"^(\S+)", 1).alias("item"))
+def words(t):
+    """Every different word of every text is an item."""
+    return t.documents.select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(
+        "text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))).alias("item"))
 
 
 def translated(t):
     glossary = t.spark.createDataFrame(GLOSSARY, "source string, target string")
-    return nested.translate_items(first_words(t), "item", glossary, needs=F.col("item").rlike(FOREIGN))
+    return nested.translate_items(words(t), "item", glossary, needs=F.col("item").rlike(FOREIGN))
 
 
 ITEMS = r"""items AS (SELECT doc_id, lang, item, regexp_matches(item, '^[^\x{00}-\x{7f}]') AS needs
-    FROM (SELECT doc_id, lang, regexp_extract(text, '^(\S+)', 1) AS item FROM documents))"""
+    FROM (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS item FROM documents))"""
 
 
 @query("needs_translation", f"""WITH {ITEMS}, glossary(s, t) AS (
@@ -107,7 +109,8 @@ def needs_translation(t):
     return translated(t)
 
 
-@query("nothing_to_translate", f"WITH {ITEMS} SELECT doc_id FROM items WHERE NOT needs")
+@query("nothing_to_translate", f"""WITH {ITEMS} SELECT doc_id FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM items WHERE needs)""")
 def nothing_to_translate(t):
     return nested.nothing_to_translate(t.documents, translated(t).filter("needs"), ["doc_id"])
 
@@ -116,7 +119,7 @@ def nothing_to_translate(t):
 
 
 def page_texts(t):
-    return spread(t.pages, "page_id")
+    return spread(t.pages)
 
 
 def unescape_sql(expression: str) -> str:
@@ -220,8 +223,7 @@ def stream_first_wins(t):
 
     path = scratch_path(t.spark, "stream")
     twice = arrivals().union(arrivals())  # every file is sent twice
-    ingest.append_available(ingest.first_wins_stream(twice, ["event_id"], "ts"),
-                            f"{path}/rows", f"{path}/checkpoint")
+    ingest.first_wins_available(twice, f"{path}/rows", f"{path}/checkpoint", ["event_id"], ["ts", "user_id", "event_type", "value"])
     return t.spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "event_type", "value")
 
 

@@ -65,7 +65,7 @@ def multicat(t: Tables) -> DataFrame:
     The rows are made distinct before the country is joined on: an ad with very many
     rows is cut down in each task and does not make the join lopsided.
     """
-    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate"), "l_orderkey")
+    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate"))
     seen = (lines.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
             .select(F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
                     F.col("l_shipdate").cast("date").alias("postdate")).distinct())
@@ -123,7 +123,7 @@ COUNTS = """counts AS (
 
 def texts(t: Tables) -> DataFrame:
     """Descriptions for work that is heavy per text."""
-    return spread(t.documents, "doc_id")
+    return spread(t.documents)
 
 
 def docs_with_cache(t: Tables) -> DataFrame:

@@ -56,16 +56,15 @@ def stale_countries(t):
 
 
 @query("since_mark", f"""WITH {LISTING}, marks AS (
-        SELECT r_name AS country, coalesce(max(postdate), DATE '2001-08-01' - 29)::DATE AS mark
-        FROM region LEFT JOIN listing ON r_name = country AND stat = 'CLOSED' AND level = '1-URGENT'
-        GROUP BY r_name)
-    SELECT l.* FROM listing l JOIN marks m ON l.country = m.country WHERE postdate >= mark""")
+        SELECT country, max(postdate) AS mark FROM listing WHERE stat = 'NOT FOUND' AND country <> 'ASIA' GROUP BY country)
+    SELECT l.* FROM listing l LEFT JOIN marks m ON l.country = m.country
+    WHERE postdate >= coalesce(mark, DATE '1998-08-01' - 29)""")
 def since_mark(t):
     ads = roles.listing(t)
-    done = ads.filter((F.col("stat") == "CLOSED") & (F.col("level") == "1-URGENT"))
-    groups = t.region.select(F.col("r_name").alias("country"))
-    marks = worklist.high_water(groups, done, ["country"], "postdate", TODAY)
-    return worklist.since_mark(ads, marks, ["country"], "postdate")
+    # Pages that were not found set the marks; one country has none and starts at the default.
+    missed = ads.filter((F.col("stat") == "NOT FOUND") & (F.col("country") != "ASIA"))
+    marks = missed.groupBy("country").agg(F.max("postdate").alias("mark"))
+    return worklist.since_mark(ads, marks, ["country"], "postdate", date(1998, 8, 1))
 
 
 @query("cats_per_ad", f"""WITH {MULTICAT} SELECT country, uid, count(*) AS cats
@@ -144,10 +143,11 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 @query("pivot_month_cat", f"WITH {MONTHS} SELECT country, month, " + ", ".join(
     f"round(sum(total) FILTER (cat = '{c}'), 6) AS \"{c}\"" for c in CATEGORIES)
-    + " FROM months WHERE month IS NOT NULL GROUP BY country, month")
+    + ", round(sum(total) FILTER (cat IS NULL OR cat NOT IN (" + ", ".join(f"'{c}'" for c in CATEGORIES)
+    + ")), 6) AS other FROM months WHERE month IS NOT NULL GROUP BY country, month")
 def pivot_month_cat(t):
     pivoted = trends.pivot_months(trends.category_months(roles.multicat(t)), CATEGORIES)
-    return rounded(pivoted, *CATEGORIES)
+    return rounded(pivoted, *CATEGORIES, "other")
 
 
 def cents(c):

@@ -92,7 +92,8 @@ def doc_scan(t):
 @query("raw_pages", "SELECT page_id, md5(html) AS digest, length(html) AS n_chars FROM pages")
 def raw_pages(t):
     path = scratch_path(t.spark, "raw")
-    tables.save_raw_pages(t.pages, path)
+    tables.save_raw_pages(t.pages, path, date(2020, 1, 1))
+    tables.save_raw_pages(t.pages, path, date(2020, 1, 1))  # a repeated run adds nothing
     raw = t.spark.read.parquet(path)
     return raw.select("page_id", F.md5("html").alias("digest"),
                       F.length("html").cast("long").alias("n_chars"))
@@ -118,7 +119,7 @@ FIRST_BATCH_UNTIL = date(1998, 1, 1)
     QUALIFY row_number() OVER (PARTITION BY uid, line
         ORDER BY downloaddate, stat, partkey, suppkey, quantity, price) = 1""")
 def first_wins(t):
-    rows, keys = tables.spread(roles.snapshots(t), "uid"), ["uid", "line"]
+    rows, keys = tables.spread(roles.snapshots(t)), ["uid", "line"]
     order = ["downloaddate", "stat", "partkey", "suppkey", "quantity", "price"]
     path = scratch_path(t.spark, "first_wins")
     for batch, arrived in enumerate([F.col("downloaddate") < F.lit(FIRST_BATCH_UNTIL),

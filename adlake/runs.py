@@ -32,13 +32,14 @@ def _added(rows: DataFrame, stored: DataFrame, table: str, arrival: Sequence[str
     return maintenance.first_wins(rows, KEYS[table], order, old=stored).to(SCHEMAS[table])
 
 
-def list_run(cards: DataFrame, listing: DataFrame, marks: DataFrame, out: str, table: str = "listing",
+def list_run(cards: DataFrame, listing: DataFrame, marks: DataFrame, out: str, today: date, table: str = "listing",
              by: Sequence[str] = ("country",)) -> DataFrame:
-    """Cards of list pages, from each group's high-water mark on, that the listing lacks.
+    """Cards of list pages, from each group's high-water mark on, that the listing lacks. A group
+    without a mark starts 29 days before ``today``.
 
     ``cards`` comes from ``page_records``, with the group's columns as keys.
     """
-    rows = _save(worklist.since_mark(cards, marks, by, "postdate").to(SCHEMAS[table]), f"{out}/cards")
+    rows = _save(worklist.since_mark(cards, marks, by, "postdate", today).to(SCHEMAS[table]), f"{out}/cards")
     return _save(_added(rows, listing, table), f"{out}/{table}")
 
 
@@ -94,13 +95,19 @@ def people_run(fetched: DataFrame, links: DataFrame, names: DataFrame, out: str)
 
 
 def analysis_run(listing: DataFrame, page: DataFrame, out: str, uid: str, category: str,
-                 averages: Sequence[str], categories: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                 averages: Sequence[str], categories: Sequence[str] | None = None,
+                 several: bool = False) -> dict[str, DataFrame]:
     """Missing values, weighted ad counts with their trends, and the summary table.
 
+    With ``several`` the category is a list such as ``a>b>c``: an ad counts 1/k in each of its k.
+
     The monthly table is written first and all trends are made from it; the ads are read
     once for it.
     """
     ads = listing.select("country", F.col(uid).alias("uid"), F.col(category).alias("cat"), "postdate")
+    if several:
+        items = F.filter(F.transform(text.split_list(F.col("cat")), text.clean_item), lambda x: x != "")
+        ads = ads.withColumn("cat", F.explode_outer(items))
     months = _save(trends.category_months(ads), f"{out}/category_months")
     tables = {
         "missing_listing": stats.missing_pct(listing, listing.columns),

@@ -12,23 +12,18 @@ from pyspark.sql import types as T
 LOOKUP_SCHEMA = "k string, v string"
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scanned table over at least as many partitions as there are cores, for work that
-    is heavy per row.
-
-    Only a table that comes in fewer splits than cores is shuffled, so what moves is at
-    most cores x split size; a larger one stays as scanned. For scans only: asking a plan
-    with shuffles for its partitions would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table in even partitions for work that is heavy per row, whatever its files
+    look like. The rows are dealt without a key, so no key can be hot; AQE picks the number."""
+    return scan.hint("rebalance")
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """CSV with a header row, read under a declared schema."""
+             date_format: str = "yyyy-MM-dd", multi_line: bool = False) -> DataFrame:
+    """CSV with a header row, read under a declared schema. A file is one task only if
+    ``multi_line`` says that values may hold line breaks."""
     return (spark.read.schema(schema).option("header", True).option("dateFormat", date_format)
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -102,10 +97,11 @@ def flush_archive(archive: DataFrame, path: str, today: date) -> bool:
     return True
 
 
-def save_raw_pages(pages: DataFrame, path: str, uid: str = "page_id",
+def save_raw_pages(pages: DataFrame, path: str, day: date, uid: str = "page_id",
                    html: str = "html") -> None:
-    """Keep the unparsed page text so it can be parsed again later."""
-    pages.select(uid, html).write.mode("append").parquet(path)
+    """Keep the unparsed page text of a day so it can be parsed again later. A repeated run
+    replaces that day and leaves the others."""
+    pages.select(uid, html).write.mode("overwrite").parquet(f"{path}/downloaddate={day}")
 
 
 def empty_like(df: DataFrame) -> DataFrame:

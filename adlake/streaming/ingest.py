@@ -1,11 +1,5 @@
-"""Incremental loading.
-
-``first_wins_stream`` is the streaming form of ``maintenance.first_wins``. Its state holds
-the keys of ``bound`` (90 days, the archive's limit), so it stays finite. The price: a row
-older than the watermark is dropped as late even when its key was never seen, and all
-rows of a key pass one task. ``first_wins_available`` has neither limit: it checks each
-micro-batch against the table itself.
-"""
+"""Incremental loading: each micro-batch is checked against the table itself, so no state has
+to be bounded and no late row is dropped."""
 
 from __future__ import annotations
 
@@ -16,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlake.operators.combine import distinct_keys
 from adlake.operators.maintenance import first_wins, one_row, upsert_changes
 
 
@@ -26,13 +21,6 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, pattern: st
             .option("maxFilesPerTrigger", files_per_batch).parquet(path))
 
 
-def first_wins_stream(rows: DataFrame, keys: Sequence[str], event_time: str,
-                      bound: str = "90 days") -> DataFrame:
-    """First row per key within the bound. The watermark needs a timestamp with zone."""
-    timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, bound).dropDuplicatesWithinWatermark(list(keys))
-
-
 def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append all that has arrived to a Parquet table, then stop. The checkpoint and the
     file sink's log make a repeated run add nothing twice."""
@@ -53,7 +41,9 @@ def first_wins_available(stream: DataFrame, table: str, checkpoint: str, keys: S
     def load(batch: DataFrame, version: int) -> None:
         old = None
         if version > 0:
-            old = batch.sparkSession.read.parquet(table).filter(F.col("version") < version)
+            # Only keys that arrived: the rest of the table is out before it is shuffled.
+            stored = batch.sparkSession.read.parquet(table).filter(F.col("version") < version)
+            old = stored.select(*keys).join(distinct_keys(batch, keys), list(keys), "left_semi")
         first_wins(batch, keys, order, old).write.mode("overwrite").parquet(f"{table}/version={version}")
 
     query = (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -87,6 +77,15 @@ def upsert_available(stream: DataFrame, table: str, checkpoint: str, key: str, l
     query.awaitTermination()
 
 
+def compact(spark: SparkSession, table: str, out: str, key: str | None = None) -> None:
+    """One version in place of many, under ``out``: all rows, or per ``key`` those of the latest
+    version. The highest version number is kept, so later batches follow it."""
+    rows = spark.read.parquet(table)
+    last = rows.agg(F.max("version")).first()[0]
+    kept = rows.drop("version") if key is None else read_documents(spark, table, key)
+    kept.write.mode("overwrite").parquet(f"{out}/version={last}")
+
+
 def read_documents(spark: SparkSession, table: str, key: str) -> DataFrame:
     """Present document of each key: the one of its latest version."""
     return one_row(spark.read.parquet(table), [key], F.max_by, F.col("version")).drop("version")

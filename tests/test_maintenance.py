@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,7 +139,7 @@ def test_csv_roundtrip_with_quotes_and_newlines(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi",\nthen go', D(2020, 2, 29)), (2, None, None)],
                                "id int, body string, day date")
     tables.write_csv(df, f"{tmp_path}/t")
-    assert rows(tables.scan_csv(spark, f"{tmp_path}/t", df.schema)) == rows(df)
+    assert rows(tables.scan_csv(spark, f"{tmp_path}/t", df.schema, multi_line=True)) == rows(df)
 
 
 def test_lookup_last_line_wins(spark, tmp_path):
@@ -177,8 +177,28 @@ def test_flush_only_on_the_first(spark, tmp_path):
 
 def test_raw_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<p>")], "page_id int, url string, html string")
-    tables.save_raw_pages(pages, f"{tmp_path}/raw")
-    assert rows(spark.read.parquet(f"{tmp_path}/raw")) == [(1, "<p>")]
+    for day in (D(2020, 1, 1), D(2020, 1, 2), D(2020, 1, 2)):  # the last day is run twice
+        tables.save_raw_pages(pages, f"{tmp_path}/raw", day)
+    assert rows(spark.read.parquet(f"{tmp_path}/raw").select("page_id", "html")) == [(1, "<p>"), (1, "<p>")]
+
+
+def test_upsert_of_nested_documents(spark):
+    from adlake.sources.schemas import SCHEMAS
+    def doc(uid, when, skill, **more):
+        return {"id": uid, "downloaddate": datetime(2020, *when), "skills": [skill], "personal": {"b": skill, "a": "1"}, **more}
+
+    schema, now = SCHEMAS["resumes"], D(2020, 6, 1)
+    old = spark.createDataFrame([doc(1, (5, 30), "fresh"), doc(2, (1, 1), "stale")], schema)
+    new = spark.createDataFrame([doc(1, (6, 1), "x"), doc(2, (6, 1), "b"), doc(2, (6, 1), "a"), doc(3, (6, 1), "n")], schema)
+    merged = {r.id: r.skills[0] for r in maintenance.stale_upsert(old, new, "id", "downloaddate", now).collect()}
+    changes = {r.id: r.skills[0] for r in maintenance.upsert_changes(old, new, "id", "downloaddate", now).collect()}
+    assert merged[1] == "fresh" and merged[3] == "n" and merged[2] in "ab" and set(merged) == {1, 2, 3}
+    assert changes == {2: merged[2], 3: "n"}
+
+
+def test_first_wins_with_a_map(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 2, map('a', 1)), (1, 1, map('b', 2)), (2, 5, map('c', 3)) AS t(k, o, m)")
+    assert sorted((r.k, r.o, r.m) for r in maintenance.first_wins(df, ["k"], ["o"]).collect()) == [(1, 1, {"b": 2}), (2, 5, {"c": 3})]
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
@@ -203,7 +223,7 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
 def test_export_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "id int, x string")
     tables.export_csv({"one": df, "two": df}, str(tmp_path))
-    assert rows(tables.scan_csv(spark, f"{tmp_path}/two", df.schema)) == [(1, "a")]
+    assert rows(tables.scan_csv(spark, f"{tmp_path}/two", df.schema, multi_line=True)) == [(1, "a")]
 
 
 class FakeSession:

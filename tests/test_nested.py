@@ -12,9 +12,8 @@ ITEMS = "id int, section string, n int, a string, b string"
 def test_nest_then_unnest_is_the_same(spark):
     items = [(1, "x", n, f"a{n}", None if n % 2 else f"b{n}") for n in range(25)] + [(2, "y", 0, "z", None)]
     df = spark.createDataFrame(items, ITEMS)
-    docs = nested.nest_sections(df, "id", "section", "n", ["a", "b"], part_items=10)
-    assert docs.filter("id = 1").count() == 3  # a long document comes in parts
-    assert docs.agg(F.max(F.size("items"))).first()[0] == 10
+    docs = nested.nest_sections(df, "id", "section", "n", ["a", "b"])
+    assert docs.filter("id = 1").count() == 1
     rows = nested.unnest_parts(docs, "id", "section", "n", ["a", "b"]).collect()
     want = {(i, s, n, f, v) for i, s, n, a, b in items for f, v in (("a", a), ("b", b)) if v is not None}
     assert {(r.id, r.section, r.n, r.field, r.text) for r in rows} == want
@@ -67,6 +66,13 @@ def test_sections_get_their_own_field_names(spark):
     assert row.projects is None
 
 
+def test_a_long_document_is_one_row(spark):
+    cards = spark.range(2500).selectExpr(
+        "1 AS id", "'education' AS section", "CAST(id AS INT) AS listnum", "'2015' AS date", "'s' AS subject",
+        "'i' AS item1", "'j' AS item2", "'d' AS description")
+    assert [len(r.education) for r in nested.resume_sections(cards, "id").collect()] == [2500]
+
+
 def test_last_cell_of_a_repeated_key_counts(spark):
     df = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3")],), ([],)], "e array<struct<key:string,value:string>>")
     columns = nested.kv_columns(F.col("e"), {"a": "x", "c": "y"})

@@ -56,7 +56,7 @@ def test_list_run(spark, tmp_path):
                                     + card.format(3, "Monday, March 5, 2018 at 9:05AM"))], "country string, html string")
     stored = spark.createDataFrame([{"country": "egypt", "uid": 3, "postdate": date(2018, 3, 5)}], SCHEMAS["job_listing"])
     marks = spark.createDataFrame([("egypt", date(2018, 3, 5))], "country string, mark date")
-    new = runs.list_run(page_records.board_cards(pages, ["country"]), stored, marks, str(tmp_path), "job_listing")
+    new = runs.list_run(page_records.board_cards(pages, ["country"]), stored, marks, str(tmp_path), date(2018, 3, 9), "job_listing")
     assert [(r.uid, r.href) for r in new.collect()] == [(2, "/jobs/p/2-x")]
 
 

@@ -25,8 +25,7 @@ def test_first_wins_over_runs(spark, tmp_path):
     folder, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
 
     def run():
-        stream = ingest.first_wins_stream(arrivals(spark, folder), ["id"], "ts")
-        ingest.append_available(stream, out, state)
+        ingest.first_wins_available(arrivals(spark, folder), out, state, ["id"], ["ts", "body"])
 
     write(spark, folder, [(1, day(0), "a"), (2, day(1), "a"), (1, day(0), "a")])
     run()
@@ -63,3 +62,7 @@ def test_upsert_over_batches(spark, tmp_path):
     assert run(day(40)) == {1: "one again", 2: "two", 3: "three"}  # only document 1 was stale
     assert run(day(80)) == {1: "one again", 2: "two", 3: "three"}
     assert spark.read.parquet(out).filter(F.col("version") == 1).count() == 2  # changes only
+    ingest.compact(spark, out, f"{tmp_path}/compact", "id")
+    assert {r.id: r.body for r in ingest.read_documents(spark, f"{tmp_path}/compact", "id").collect()} == {
+        1: "one again", 2: "two", 3: "three"}
+    assert [r.version for r in spark.read.parquet(f"{tmp_path}/compact").select("version").distinct().collect()] == [1]

@@ -140,8 +140,23 @@ def test_one_hot_names_and_null(spark):
     df = spark.createDataFrame([("a",), (None,)], "x string")
     hot, names = encode.one_hot(df, {"x": encode.indicator_values(df, "x")})
     assert names == ["x_a"] and [r.x_a for r in hot.collect()] == [1, 0]
-    with pytest.raises(ValueError):
-        encode.indicator_values(spark.range(10), "id", max_values=9)
+
+
+def test_values_that_are_not_listed_show_in_the_rest(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "x string")
+    values = encode.indicator_values(df, "x", most=2)
+    assert values == ["a", "b"]
+    hot, names = encode.one_hot(df, {"x": values}, rest="rest")
+    assert names == ["x_a", "x_b", "x_rest"] and sorted(r.x_rest for r in hot.collect()) == [0, 0, 0, 0, 1]
+    many = encode.multi_hot(df.withColumn("y", F.lit("z")), ["x", "y"], ["a", "z"], "m", rest="rest")
+    assert sorted((r.x or "", r.m_rest) for r in many.collect()) == [("", 0), ("a", 0), ("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_collapse_rare_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 1)] * 9 + [("b", 2)], "x string, y int").withColumn("z", F.col("x"))
+    got = Counter(tuple(r) for r in encode.collapse_rare(df, ["x", "z"], 0.2).collect())
+    assert got == {("a", 1, "a"): 9, ("other", 2, "other"): 1}
+    assert encode.collapse_rare(df.limit(0), ["x"]).count() == 0
 
 
 def test_multi_hot_and_first_items(spark):

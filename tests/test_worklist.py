@@ -81,14 +81,9 @@ def test_map_or_keep(spark):
     assert [r.x for r in combine.map_or_keep(df, "x", lookup).orderBy("x").collect()] == [None, "A", "b"]
 
 
-
-
-def test_broadcast_only_below_the_limit(spark):
-    marks = spark.range(20).groupBy("id").count()
-    big = spark.range(100)
-
-    def plan(frame):
-        return frame._jdf.queryExecution().optimizedPlan().toString()
-
-    assert "strategy=broadcast" in plan(big.join(combine.lookup_side(marks, ["id"], 20), "id"))
-    assert "strategy=broadcast" not in plan(big.join(combine.lookup_side(marks, ["id"], 19), "id"))
+def test_groups_without_a_mark_start_at_the_default(spark):
+    days = [(c, date(2020, 6, d)) for c in ("a", "b", None) for d in (1, 9, 20)]
+    df = spark.createDataFrame(days, "c string, day date")
+    marks = spark.createDataFrame([("a", date(2020, 6, 15))], "c string, mark date")
+    got = sorted((r.c or "", r.day.day) for r in worklist.since_mark(df, marks, ["c"], "day", date(2020, 7, 5)).collect())
+    assert got == [("", 9), ("", 20), ("a", 20), ("b", 9), ("b", 20)]
