@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlake.llm.common import stored
 
 #: numpy draws the law for populations below this.
 NUMPY_LIMIT = 1_000_000_000
-CELL_ROWS = 100_000
+CELL_ROWS = 10_000
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -71,46 +72,45 @@ def sharded(rows: DataFrame, shards: int = 24, seed: int = 11, cell_rows: int =
 
     Law ``rows``: counts of shards are at most one apart, whatever the sizes or copies of rows, and each
     order of all rows is equally likely. Equal rows, nulls and empty tables need no care: rows are dealt by place.
-    The rows are first written with the partition they are in, so that a lost task finds the same
-    rows again. Columns named ``shard`` or ``slot`` are replaced.
+    The rows are first written, each with its partition and place there, so a lost task or another
+    split of the files finds the same rows again. Columns named ``shard`` or ``slot`` are replaced.
     """
     rows = rows.drop("shard", "slot")
     keep = rows.columns
-    part = stored(rows.withColumn("__part", F.spark_partition_id()), "shard-input")
-    part = part.withColumn("__file", F.spark_partition_id())
-    counts = {r["__file"]: r["count"] for r in part.groupBy("__file").count().collect()}  # a row per partition
+    written = stored(rows.withColumn("__sharding_id", F.monotonically_increasing_id()), "shard-input")
+    part = F.shiftright("__sharding_id", 33)
+    counts = {r["part"]: r["count"] for r in written.groupBy(part.alias("part")).count().collect()}  # a row per partition
     order = sorted(counts)
     sizes = shard_sizes(sum(counts.values()), shards)
     dealt = matrix([counts[p] for p in order], sizes, seed)
     shared = rows.sparkSession.sparkContext.broadcast({p: dealt[i] for i, p in enumerate(order)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = None
+        at = labels = numbers = None
         for batch in batches:
-            if not len(batch):
-                continue
-            if labels is None:
-                at = batch.column("__file")[0].as_py()
-                rng = np.random.default_rng([seed, at])
-                labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), shared.value[at]))
-                done = 0
-            mine = labels[done:done + len(batch)]
-            done += len(batch)
+            ids = batch.column(len(keep)).to_numpy()
+            parts, places = ids >> 33, ids & ((1 << 33) - 1)
+            shard, number = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64)
+            for p in np.unique(parts).tolist():
+                if p != at:                                     # the permutation of one partition
+                    at, rng = p, np.random.default_rng([seed, p])
+                    labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), shared.value[p]))
+                    numbers = rng.integers(0, 1 << 62, len(labels))
+                mine = parts == p
+                shard[mine], number[mine] = labels[places[mine]], numbers[places[mine]]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(mine), pa.array(rng.integers(0, 1 << 62, len(batch)))],
-                [*keep, "shard", "__r"])
+                [*batch.columns[:len(keep)], pa.array(shard), pa.array(number)], [*keep, "shard", "__sharding_r"])
 
-    schema = part.drop("__part", "__file").withColumns(
-        {"shard": F.lit(0), "__r": F.lit(0).cast("long")}).schema
-    out = part.select(*keep, "__file").mapInArrow(deal, schema)
+    schema = T.StructType(list(rows.schema.fields)).add("shard", T.IntegerType()).add("__sharding_r", T.LongType())
+    out = written.mapInArrow(deal, schema)
     cells = max(1, -(-max(sizes) // cell_rows)) if sizes else 1
-    out = out.withColumn("__cell", F.floor(F.col("__r") / F.lit((1 << 62) / cells)).cast("int"))
+    out = out.withColumn("__sharding_cell", F.floor(F.col("__sharding_r") / F.lit((1 << 62) / cells)).cast("int"))
     if cells == 1:
-        out = out.withColumn("__first", F.lit(0).cast("long"))
+        out = out.withColumn("__sharding_first", F.lit(0).cast("long"))
     else:
-        before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-        first = out.groupBy("shard", "__cell").count().select(
-            "shard", "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
-        out = out.join(first, ["shard", "__cell"])
-    place = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__r"))
-    return out.withColumn("slot", (F.col("__first") + place - 1).cast("long")).select(*keep, "shard", "slot")
+        before = Window.partitionBy("shard").orderBy("__sharding_cell").rowsBetween(Window.unboundedPreceding, -1)
+        first = out.groupBy("shard", "__sharding_cell").count().select(
+            "shard", "__sharding_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__sharding_first"))
+        out = out.join(first, ["shard", "__sharding_cell"])
+    place = F.row_number().over(Window.partitionBy("shard", "__sharding_cell").orderBy("__sharding_r"))
+    return out.withColumn("slot", (F.col("__sharding_first") + place - 1).cast("long")).select(*keep, "shard", "slot")
