@@ -37,7 +37,7 @@ BROADCAST_ROWS = 1_000_000
 
 def template(text: Column) -> Column:
     """Template words of a text, one for each of its words parted by white space."""
-    out = F.regexp_replace(text, _NAME, NAME)
+    out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NAME, NAME)
     out = F.regexp_replace(out, _NUMBER, NUMBER)
     out = F.regexp_replace(out, _UNIT, UNIT)
     return F.split(F.regexp_replace(F.lower(out), _EDGE, ""), r"\s+")
@@ -50,6 +50,11 @@ def hashes(words: Column) -> Column:
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])))
 
 
+def _value(raw: str) -> Column:
+    """What fills a slot: the raw word without case and without punctuation at its ends."""
+    return F.regexp_replace(F.lower(raw), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
+
+
 def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset."""
     words = rows.select(*keys, template(F.col("text")).alias("words"), F.split("text", r"\s+").alias("raw"))
@@ -110,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc = ["doc_id", "key", "class"]
     filled = (same.select(*doc, "shift", F.explode(F.filter(
         F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull())).alias("s"))
-        .select(*doc, "shift", F.lower("s.slots").alias("of"), F.lower("s.values").alias("to")).distinct())
+        .select(*doc, "shift", _value("s.slots").alias("of"), _value("s.values").alias("to")).distinct())
     fits = filled.groupBy(*doc, "shift").agg(
         (F.count("*") == F.count_distinct("of")).alias("one_value"),
         (F.count("*") == F.count_distinct("to")).alias("one_origin"),
