@@ -28,7 +28,6 @@ from adlake.llm.common import stored
 WORDS_AT_ONCE = 400_000
 PLACE_BITS = 20
 SPAN = "array<struct<start:int,n:int>>"
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 _ENTRY = pa.schema([("group", pa.uint64()), ("run", pa.dictionary(pa.int32(), pa.binary())),
                     ("none", pa.bool_()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
 
@@ -156,7 +155,7 @@ def _entries(batch: pa.RecordBatch, window: int, mer: int, buckets: int, hot: np
                 [pa.array(group[order[a:b]]), runs[a:b].dictionary_encode(), pa.array(none[part]),
                  pa.array(ids[part]), pa.array(keys[part]), pa.array(begin[a:b])], schema=_ENTRY)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _ENTRY, options=_IPC) as out:
+            with pa.ipc.new_stream(sink, _ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(rows)
             yield int(bucket[order[a]]), sink.getvalue().to_pybytes()
 

@@ -17,7 +17,7 @@ from adlake.llm.common import stored
 SEED = 1_000_000_000
 DAMPING = 85                 # hundredths that move on
 ROUNDS = 10
-THRESHOLD = SEED // 10
+THRESHOLD = SEED // 20       # a third of what a host has whose pages are all blocked
 LINK = r"""(?i)(?:href|src)\s*=\s*["']([^"']*)["']"""
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
