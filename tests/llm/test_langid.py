@@ -39,12 +39,12 @@ def test_held_out_rows_change_nothing(spark):
 
 def test_nulls_letters_ties_and_clashing_columns(spark):
     odd = [(100, None, "en", "x", "y"), (101, "", "en", "x", "y"), (102, "12 34 !!", "de", "x", "y"), (103, "the cat sat on the mat", None, "x", "y"),
-           (None, "der hund lief durch das feld", "de", "x", "y"), (104, "ü", "de", "x", "y"), (105, "THE CAT SAT ON THE MAT AND LOOKED " * 9000, "fr", "x", "y")]
+           (None, "der hund lief durch das feld", "de", "x", "y"), (104, "ü", "de", "x", "y"), (105, "THE CAT SAT ON THE MAT AND LOOKED " * 9000, "en", "x", "y")]
     docs = corpus(spark, odd)
     got = rows(langid.identified(docs, langid.learned_from(docs)))
     by = {r["doc_id"]: r["language"] for r in got}
     assert len(got) == 67 and all(by[i] == {"lang_pred": "und", "score": 0.0, "rejected": True} for i in (100, 101, 102))
-    assert by[103]["lang_pred"] == "en" and by[None]["lang_pred"] == "de" and by[104]["lang_pred"] in ("de", "en", "fr")
+    assert by[103]["lang_pred"] == "en" and by[None]["lang_pred"] == "de" and by[104]["lang_pred"] in ("de", "en")
     assert by[105]["lang_pred"] == "en" and all(0 <= r["language"]["score"] <= 1 for r in got)
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in rows(kept)} >= set(range(60)) | {103, None, 105}
