@@ -21,12 +21,17 @@ ELEMENTS = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()),
     T.StructField("last", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("text", T.StringType()),
+    T.StructField("classes", T.ArrayType(T.StringType())),
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
 ]))
 _ELEMENT_ARROW = pa.list_(pa.struct([
     ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
+    ("start", pa.int32()), ("end", pa.int32()),
 ]))
+PAGE = T.StructType([T.StructField("page_text", T.StringType()), T.StructField("text_base", T.IntegerType()),
+                     T.StructField("elements", ELEMENTS)])
+_PAGE_ARROW = pa.struct([("page_text", pa.string()), ("text_base", pa.int32()), ("elements", _ELEMENT_ARROW)])
 
 # Elements that never have content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
@@ -39,7 +44,7 @@ BLOCK = {"address", "article", "blockquote", "body", "br", "dd", "div", "dl", "d
          "ol", "p", "section", "table", "td", "th", "title", "tr", "ul"}
 # An open element of the value is closed by the start of the key.
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"},
-             "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+             "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "a": {"a"}}
 # ... but never across one of these.
 SCOPE = {"ul", "ol", "table", "dl", "div", "article", "section", "nav", "body"}
 
@@ -60,7 +65,8 @@ class _Parser(HTMLParser):
 
 
 class _Elements(_Parser):
-    """Collects the wanted elements of one page with the text inside each."""
+    """Collects the wanted elements of one page, and the text inside them once. An element has the
+    places where its own text starts and ends, so nested elements repeat nothing."""
 
     def __init__(self, wanted: Mapping[str, frozenset[str] | None]):
         super().__init__()
@@ -70,12 +76,14 @@ class _Elements(_Parser):
         self.inside: list[int] = []  # the wanted ones among the open elements
         # How often each tag is open: a tag that is not open need not be looked for.
         self.times: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.length = 0
 
-    def _is_wanted(self, tag, attrs) -> bool:
+    def _is_wanted(self, tag, own) -> bool:
         if tag not in self.wanted:
             return False
         classes = self.wanted[tag]
-        return classes is None or not classes.isdisjoint((attrs.get("class") or "").split())
+        return classes is None or not classes.isdisjoint(own)
 
     def handle_starttag(self, tag, attrs):
         closes = CLOSED_BY.get(tag, ())
@@ -89,11 +97,13 @@ class _Elements(_Parser):
                     break
         pos = None
         attrs = dict(attrs)
-        if self._is_wanted(tag, attrs):
+        own = (attrs.get("class") or "").split()
+        if self._is_wanted(tag, own):
             parent = self.inside[-1] if self.inside else None
             pos = len(self.found)
             self.found.append({"pos": pos, "parent": parent, "last": pos, "tag": tag,
-                               "attrs": [(k, v or "") for k, v in attrs.items()], "text": []})
+                               "attrs": [(k, v or "") for k, v in attrs.items()], "classes": own,
+                               "start": self.length, "end": self.length})
         if tag not in VOID:
             self.open.append((tag, pos))
             self.times[tag] += 1
@@ -112,20 +122,20 @@ class _Elements(_Parser):
             self.times[tag] -= 1
             if pos is not None:
                 self.found[pos]["last"] = len(self.found) - 1
+                self.found[pos]["end"] = self.length
                 self.inside.pop()
         del self.open[depth:]
 
     def handle_data(self, data):
-        for pos in self.inside:
-            self.found[pos]["text"].append(data)
+        if self.inside:
+            self.parts.append(data)
+            self.length += len(data)
 
-    def elements(self, page: str) -> list[dict]:
+    def parsed(self, page: str) -> dict:
         self.feed(page)
         self.close()
         self._close(0)
-        for element in self.found:
-            element["text"] = "".join(element["text"])
-        return self.found
+        return {"page_text": "".join(self.parts), "text_base": 0, "elements": self.found}
 
 
 class _PlainText(_Parser):
@@ -180,18 +190,19 @@ def _map_pages(pages: DataFrame, keep: Sequence[str], html: str, name: str, spar
 
 def parse_elements(pages: DataFrame, tags: Sequence[str] | Mapping[str, Sequence[str] | None],
                    keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """``keep`` columns and ``elements``: the wanted tags of each page in document order.
+    """``keep`` columns, ``elements`` (the wanted tags of each page in document order), and
+    ``page_text`` with ``text_base``, from which ``pages.raw_text`` takes an element's text.
 
     ``tags`` is a list, or a mapping of tag to the CSS classes one of which it must have
     (None for any). ``parent`` is the ``pos`` of the nearest wanted element around an
-    element, and those inside it are at pos + 1 to ``last``. A null page gives null. Name
-    only what is used: an element repeats the text of those inside it.
+    element, and those inside it are at pos + 1 to ``last``. A null page gives null. What
+    is returned grows with the page, however its elements are nested.
     """
     if not isinstance(tags, Mapping):
         tags = dict.fromkeys(tags)
     wanted = {tag: None if classes is None else frozenset(classes) for tag, classes in tags.items()}
-    return _map_pages(pages, keep, html, "elements", ELEMENTS, _ELEMENT_ARROW,
-                      lambda page: _Elements(wanted).elements(page))
+    parsed = _map_pages(pages, keep, html, "_page", PAGE, _PAGE_ARROW, lambda page: _Elements(wanted).parsed(page))
+    return parsed.select(*keep, "_page.*")
 
 
 def plain_text(pages: DataFrame, keep: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:

@@ -17,7 +17,7 @@ from adlake.functions import dates, text
 from adlake.functions.html import parse_elements
 from adlake.operators.nested import kv_columns
 from adlake.operators.pages import (
-    all_of, attribute, cards_of, detail_cells, first_of, inside, text_of, with_class,
+    all_of, attribute, cards_of, detail_cells, first_of, inside, own_text, raw_text, text_of, with_class,
 )
 
 
@@ -52,7 +52,7 @@ def classified_cards(pages: DataFrame, keys: Sequence[str], today: date) -> Data
     pairs = F.zip_with(
         all_of(elements, "div", m["photo"]), all_of(elements, "div", m["info"]),
         lambda photo, info: F.struct(inside(elements, photo).alias("photo"),
-                                     inside(elements, info).alias("info")))
+                                     inside(elements, info).alias("info"), *own_text(info)))
     rows = parsed.select(*keys, F.explode(pairs).alias("_c")).select(*keys, "_c.*")
     photo, info = F.col("photo"), F.col("info")
     observed = F.get(F.filter(photo, lambda e: attribute(e, "data-statkey") == m["observed"]), 0)
@@ -78,10 +78,10 @@ def summary_cards(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(
         *keys, attribute(card, "data-id").alias("uniqueid"), attribute(card, "id").alias("dataid"),
         with_class(card, m["featured"]).cast("int").alias("i_featured"),
-        dates.long_date(meta["text"]).alias("postdate"),
+        dates.long_date(raw_text(meta)).alias("postdate"),
         text_of(link).alias("title"), attribute(link, "href").alias("href"),
-        first_of(part_of(inner, card, meta), "a")["text"].alias("company"),
-        text.clean_description(first_of(inner, "p")["text"]).alias("description"))
+        raw_text(first_of(part_of(inner, card, meta), "a")).alias("company"),
+        text.clean_description(raw_text(first_of(inner, "p"))).alias("description"))
 
 
 def board_cards(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,11 +104,11 @@ def resume_cards(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
                                     "h5": None, "p": None}, keys)
     rows = cards_of(parsed, keys, all_of(F.col("elements"), "div", m["card"]))
     inner = F.col("inner")
-    country, region = text.location_split(first_of(inner, "h5")["text"])
+    country, region = text.location_split(raw_text(first_of(inner, "h5")))
     return rows.select(
         *keys, text.capture(attribute(first_of(inner, "a"), "href"), r"/profile/(\d+)\?").cast("long").alias("id"),
         text_of(first_of(inner, "h2", m["name"])).alias("name"),
-        text_of(first_of(inner, "p")).alias("jobstat"), first_of(inner, "h4")["text"].alias("jobtitle"),
+        text_of(first_of(inner, "p")).alias("jobstat"), raw_text(first_of(inner, "h4")).alias("jobtitle"),
         country.alias("country"), region.alias("region"))
 
 
@@ -160,20 +160,20 @@ def classified_page(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
         text_of(first_of(inside(elements, c), "th")).alias("key"),
         text_of(first_of(inside(elements, c), "td")).alias("value")))
     user = inside(elements, first_of(elements, "div", m["user"]))
-    views = F.get(F.filter(all_of(elements, "div", m["views"]), lambda e: e["text"].contains("Views")), 0)
+    views = F.get(F.filter(all_of(elements, "div", m["views"]), lambda e: raw_text(e).contains("Views")), 0)
     since = r"On site since\s+(\w+)\s+(\d+)"
     age = text_of(first_of(user, "p", m["user_age"]))
 
     def says(name: str, phrase: str) -> Column:
-        return F.coalesce(first_of(elements, "div", m[name])["text"].contains(phrase), F.lit(False)).cast("int")
+        return F.coalesce(raw_text(first_of(elements, "div", m[name])).contains(phrase), F.lit(False)).cast("int")
 
     parts = parsed.select(
         *keys, F.when(elements.isNull(), "NOT FOUND").when(head.isNull(), "CLOSED").otherwise("OPEN").alias("stat"),
         text_of(head).alias("_head"), cells.alias("_cells"),
-        inside(elements, first_of(elements, "div", m["head"])).alias("_title"),
+        raw_text(first_of(inside(elements, first_of(elements, "div", m["head"])), "h1")).alias("_title"),
         text.flatten_lines(text_of(content)).alias("description"),
-        text.capture_int(views["text"], r"Views:\s*(\d+)").alias("pageviews"),
-        text.money_digits(first_of(elements, "div", m["price"])["text"]).alias("compensation"),
+        text.capture_int(raw_text(views), r"Views:\s*(\d+)").alias("pageviews"),
+        text.money_digits(raw_text(first_of(elements, "div", m["price"]))).alias("compensation"),
         attribute(first_of(user, "a"), "href").alias("userhref"),
         text_of(first_of(user, "p", m["user_name"])).alias("username"),
         text.capture_int(age, since, 2).alias("userjoinyear"), text.capture(age, since).alias("userjoinmt"),
@@ -182,7 +182,7 @@ def classified_page(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     record = {
         "adid": text.capture(F.col("_head"), r"Ad ID: (\d+)").cast("long"),
         "postdate": posted.cast("date"), "posttime": F.date_format(posted, "HH:mm"),
-        "title": first_of(F.col("_title"), "h1")["text"],
+        "title": F.col("_title"),
         **kv_columns(F.col("_cells"), rules.CLASSIFIED_FIELDS),
         **{c: F.col(c) for c in ("description", "pageviews", "compensation", "userhref", "username",
                                  "userjoinyear", "userjoinmt", "emailavail", "phoneavail")},
@@ -206,14 +206,14 @@ def board_page(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     # 'Salary: 1,000' lines of the summary, the name in the form of a column name.
     def line(e: Column) -> Column:
-        flat = text.strip(F.regexp_replace(e["text"], r"\s+", " "))
+        flat = text.strip(F.regexp_replace(raw_text(e), r"\s+", " "))
         name = F.get(F.split(flat, ":"), 0)
         return F.struct(F.regexp_replace(F.lower(name), r"\s", "_").alias("key"),
                         text.strip(F.get(F.split(flat, ":"), 1)).alias("value"))
 
     roles = F.filter(section("about"), lambda e: e["tag"] == "a")
     parts = parsed.select(
-        *keys, "elements",
+        *keys, "page_text", "text_base", "elements",
         F.when(elements.isNull(), "NOT FOUND").when(first_of(elements, "div", m["closed"]).isNotNull(), "CLOSED")
         .otherwise("OPEN").alias("stat"),
         section("main").alias("_main"), F.transform(all_of(section("summary"), "dl"), line).alias("_lines"),
@@ -238,7 +238,7 @@ def board_page(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
         "num_rejected": number_of(F.get(counts, 2), 0),
         **fields, "roles": F.col("roles"),
         "keywords": F.coalesce(F.replace(keywords, F.lit(", "), F.lit(">")), F.lit("")),
-        "requirements": F.coalesce(joined(all_of(required, "li"), lambda e: text.strip_punct(e["text"])), F.lit("")),
+        "requirements": F.coalesce(joined(all_of(required, "li"), lambda e: text.strip_punct(raw_text(e))), F.lit("")),
         "industries": F.col("industries"),
     }
     return parts.select(*keys, "stat", *[F.when(main.isNotNull(), c).alias(n) for n, c in record.items()])
@@ -256,7 +256,7 @@ def ad_details(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = parsed.filter(table.isNotNull()).select(
         *keys, detail_cells(inside(elements, table)).alias("_cells"), text_of(title).alias("title"),
         image.alias("pubimg"),
-        text.clean_description(first_of(elements, "div", "job-details")["text"]).alias("description"))
+        text.clean_description(raw_text(first_of(elements, "div", "job-details"))).alias("description"))
     record = kv_columns(F.col("_cells"), rules.DETAIL_FIELDS)
     record["postdate"] = dates.long_date(record["postdate"])
     record["location"] = F.translate(record["location"], "\t", "")
@@ -278,16 +278,16 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
     header = first_of(elements, "div", m["header"])
     photo = first_of(elements, "div", m["photo"])
     top = parsed.select(
-        *keys, "elements", inside(elements, header).alias("_top"), header.isNull().alias("_gone"),
-        text.strip(F.get(F.split(first_of(elements, "title")["text"], r"\|"), 0)).alias("name"),
+        *keys, "page_text", "text_base", "elements", inside(elements, header).alias("_top"), header.isNull().alias("_gone"),
+        text.strip(F.get(F.split(raw_text(first_of(elements, "title")), r"\|"), 0)).alias("name"),
         F.when(photo.isNotNull(), (~attribute(first_of(inside(elements, photo), "img"), "src")
                                    .contains(m["no_photo"])).cast("int")).alias("has_photo"))
     blocks = F.transform(all_of(elements, "div", m["section"]), lambda b: F.struct(
-        F.lower(text.strip(first_of(inside(elements, b), "h2")["text"])).alias("key"),
-        F.get(F.filter(inside(elements, b), lambda e: with_class(e, "row")), 0)["text"].alias("text"),
+        F.lower(text.strip(raw_text(first_of(inside(elements, b), "h2")))).alias("key"),
+        raw_text(F.get(F.filter(inside(elements, b), lambda e: with_class(e, "row")), 0)).alias("text"),
         inside(elements, b).alias("inner"), b["pos"].alias("pos")))
     staged = top.select(
-        *keys, "name", "has_photo", F.when(F.col("_gone"), "profile is deactivated").alias("error"),
+        *keys, "page_text", "text_base", "name", "has_photo", F.when(F.col("_gone"), "profile is deactivated").alias("error"),
         F.when(F.size("_top") > 0, F.col("_top")).alias("_top"), blocks.alias("_blocks"))
     head = F.col("_top")
     paragraphs = all_of(head, "p")
@@ -298,11 +298,11 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
     def item(block_: Column):
         def of(li: Column) -> Column:
             own = part_of(block_["inner"], block_, li)
-            line = first_of(own, "p")["text"]
+            line = raw_text(first_of(own, "p"))
             description = F.nullif(text_of(first_of(own, "div", m["description"])), F.lit(""))
             item1 = text.strip(F.get(F.split(line, r"\|"), 0))
             return F.struct(
-                dates.mixed_date(first_of(own, "div", m["date"])["text"], today).alias("date"),
+                dates.mixed_date(raw_text(first_of(own, "div", m["date"])), today).alias("date"),
                 text_of(first_of(own, "div", m["subject"])).alias("subject"),
                 F.when(~item1.eqNullSafe(description), F.nullif(item1, F.lit(""))).alias("item1"),
                 text.strip(F.get(F.split(line, r"\|"), 1)).alias("item2"), description.alias("description"))
@@ -325,7 +325,7 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
                         text_of(first_of(own, "div", m["language"])).alias("type"))
 
     def pair(e: Column) -> Column:
-        parts = F.split(e["text"], ":")
+        parts = F.split(raw_text(e), ":")
         return F.struct(text.strip(F.get(parts, 0)).alias("key"), text.strip(F.get(parts, 1)).alias("value"))
 
     personal = F.transform(all_of(block("personal information")["inner"], "div", m["personal"]), pair)
@@ -333,7 +333,7 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
         *keys, "name", "has_photo", "error",
         text_of(first_of(head, "h4", m["location"])).alias("location"),
         text_of(F.get(F.filter(head, lambda e: (e["tag"] == "h4") & attribute(e, "class").isNull()), 0)).alias("title"),
-        F.get(paragraphs, 0)["text"].alias("jobstatus"),
+        raw_text(F.get(paragraphs, 0)).alias("jobstatus"),
         F.when(F.size(paragraphs) == 2, dates.last_active(text_of(F.get(paragraphs, 1)), today)).alias("last_active"),
         personal.alias("personal"),
         *[section(key, names).alias(key) for key, names in rules.SECTION_FIELDS.items()],

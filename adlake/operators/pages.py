@@ -13,10 +13,9 @@ from adlake.functions.text import WORD
 
 def with_class(element: Column, names: str) -> Column:
     """The element has all the CSS classes, given as in a class attribute."""
-    classes = F.split(F.coalesce(attribute(element, "class"), F.lit("")), r"\s+")
     condition = F.lit(True)
     for name in names.split():
-        condition = condition & F.array_contains(classes, name)
+        condition = condition & F.array_contains(element["classes"], name)
     return condition
 
 
@@ -47,8 +46,18 @@ def inside(elements: Column, element: Column) -> Column:
     return F.slice(elements, element["pos"] + 2, element["last"] - element["pos"])
 
 
+def raw_text(element: Column) -> Column:
+    """The text inside an element, taken from the columns ``page_text`` and ``text_base``."""
+    return F.substr(F.col("page_text"), element["start"] - F.col("text_base") + 1, element["end"] - element["start"])
+
+
 def text_of(element: Column) -> Column:
-    return text.strip(element["text"])
+    return text.strip(raw_text(element))
+
+
+def own_text(element: Column) -> list[Column]:
+    """``page_text`` and ``text_base`` cut down to one element, for a row of its own."""
+    return [raw_text(element).alias("page_text"), element["start"].alias("text_base")]
 
 
 def count_of(elements: Column, tag: str) -> Column:
@@ -59,7 +68,7 @@ def cards_of(parsed: DataFrame, keys: Sequence[str], cards: Column) -> DataFrame
     """One row per card with ``card`` and the elements ``inner`` of it. The page's other
     elements are left behind before the rows are made."""
     parts = F.transform(cards, lambda c: F.struct(
-        c.alias("card"), inside(F.col("elements"), c).alias("inner")))
+        c.alias("card"), inside(F.col("elements"), c).alias("inner"), *own_text(c)))
     return parsed.select(*keys, F.explode(parts).alias("_c")).select(*keys, "_c.*")
 
 
@@ -67,11 +76,11 @@ def listing_rows(parsed: DataFrame, keys: Sequence[str] = ("page_id",), card: st
                  id_pattern: str = r"(\d+)", featured_class: str = "featured") -> DataFrame:
     """One row per link in an ad card: title, link, ad id in the link, featured flag."""
     outer = F.transform(all_of(F.col("elements"), "a"), lambda a: F.struct(
-        a.alias("a"), F.get("elements", a["parent"]).alias("card")))
+        a.alias("a"), F.get("elements", a["parent"]).alias("card"), text_of(a).alias("title")))
     rows = parsed.select(*keys, F.explode(outer).alias("_r")).select(*keys, "_r.*")
     href = attribute(F.col("a"), "href")
     return rows.filter(F.col("card.tag") == card).select(
-        *keys, F.col("a.pos").alias("pos"), text_of(F.col("a")).alias("title"),
+        *keys, F.col("a.pos").alias("pos"), "title",
         F.get(F.split(href, r"\?"), 0).alias("href"),
         text.capture(href, id_pattern).alias("uid"),
         with_class(F.col("card"), featured_class).cast("int").alias("i_featured"))
@@ -99,8 +108,8 @@ def detail_cells(elements: Column) -> Column:
     def pair(all_cells: Column) -> Column:
         n = F.greatest(F.size(all_cells) - 1, F.lit(0))
         pairs = F.zip_with(F.slice(all_cells, 1, n), F.slice(all_cells, 2, n), lambda h, d: F.struct(
-            F.when((h["tag"] == "th") & (d["tag"] == "td"), text.strip(h["text"])).alias("key"),
-            text.strip(d["text"]).alias("value")))
+            F.when((h["tag"] == "th") & (d["tag"] == "td"), text_of(h)).alias("key"),
+            text_of(d).alias("value")))
         return F.filter(pairs, lambda p: p["key"].isNotNull())
 
     return text.let(cells, pair)

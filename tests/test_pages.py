@@ -16,20 +16,30 @@ def frame(spark, *bodies):
 
 
 def parse(spark, body, tags):
-    return html.parse_elements(frame(spark, body), tags, ["page_id"]).first().elements
+    row = html.parse_elements(frame(spark, body), tags, ["page_id"]).first()
+    return row.elements
+
+
+def texts(spark, body, tags):
+    parsed = html.parse_elements(frame(spark, body), tags, ["page_id"])
+    return parsed.select(F.transform("elements", pages.raw_text)).first()[0]
+
+
+UNCLOSED = "<ul><li>a<li>b<ul><li>c</ul></li></ul><p>x<p>y<img src=i>z"
 
 
 def test_unclosed_and_nested_elements(spark):
-    found = parse(spark, "<ul><li>a<li>b<ul><li>c</ul></li></ul><p>x<p>y<img src=i>z", ["ul", "li", "p", "img"])
-    assert [(e.tag, e.parent, e.last, e.text) for e in found] == [
+    found = parse(spark, UNCLOSED, ["ul", "li", "p", "img"])
+    assert [(e.tag, e.parent, e.last, t) for e, t in zip(found, texts(spark, UNCLOSED, ["ul", "li", "p", "img"]))] == [
         ("ul", None, 4, "abc"), ("li", 0, 1, "a"), ("li", 0, 4, "bc"), ("ul", 2, 4, "c"), ("li", 3, 4, "c"),
         ("p", None, 5, "x"), ("p", None, 7, "yz"), ("img", 6, 7, "")]
 
 
 def test_class_filter_entities_and_scripts(spark):
-    found = parse(spark, "<div class='a b'>1 &amp; 2</div><div class='c'>3</div><script>'<div class=a>'</script>",
-                  {"div": ["a"]})
-    assert [(e.attrs["class"], e.text) for e in found] == [("a b", "1 & 2")]
+    body = "<div class='a b'>1 &amp; 2</div><div class='c'>3</div><script>'<div class=a>'</script>"
+    found = parse(spark, body, {"div": ["a"]})
+    assert [(e.attrs["class"], e.classes) for e in found] == [("a b", ["a", "b"])]
+    assert texts(spark, body, {"div": ["a"]}) == ["1 & 2"]
 
 
 PIECES = st.lists(st.sampled_from([
@@ -43,18 +53,32 @@ PIECES = st.lists(st.sampled_from([
 def test_any_text_can_be_parsed(pieces):
     page = "".join(pieces)
     wanted = {"p": None, "div": frozenset(["a"]), "li": None, "td": None, "img": None, "title": None}
-    found = html._Elements(wanted).elements(page)
+    parsed = html._Elements(wanted).parsed(page)
+    found = parsed["elements"]
     for i, e in enumerate(found):
         assert e["pos"] == i <= e["last"] < len(found)
         if e["parent"] is not None:
             outer = found[e["parent"]]
-            assert outer["pos"] < i and e["last"] <= outer["last"] and e["text"] in outer["text"]
+            assert outer["pos"] < i and e["last"] <= outer["last"] and outer["start"] <= e["start"] <= e["end"] <= outer["end"] <= len(parsed["page_text"])
     assert isinstance(html._PlainText().text(page), str)
 
 
 def test_deep_page_is_parsed_in_good_time(spark):
     body = "<b>x</i>" * 50_000 + "<p>end</p>"
-    assert [e.text for e in parse(spark, body, ["p"])] == ["end"]
+    assert texts(spark, body, ["p"]) == ["end"]
+
+
+def test_nested_elements_repeat_no_text():
+    sizes = []
+    for n in (1000, 4000):
+        parsed = html._Elements({"div": None}).parsed("<div class='row'>some text" * n)
+        assert len(parsed["elements"]) == n and parsed["elements"][0]["end"] == 9 * n
+        sizes.append(len(str(parsed)))
+    assert sizes[1] < 5 * sizes[0]
+
+
+def test_unclosed_links_do_not_nest(spark):
+    assert texts(spark, "<a href=1>one<a href=2>two<a href=3>three", ["a"]) == ["one", "two", "three"]
 
 
 def test_null_page_gives_null(spark):
@@ -70,7 +94,7 @@ def test_plain_text(spark):
 
 def test_long_page_is_read_to_the_end(spark):
     body = "<p>" + "x" * 2_000_000 + "</p><p>end</p>"
-    assert parse(spark, body, ["p"])[1].text == "end"
+    assert texts(spark, body, ["p"])[1] == "end"
 
 
 def test_listing_rows_only_in_cards(spark):
@@ -151,5 +175,5 @@ def test_resume_page(spark):
 @pytest.mark.parametrize("n", [1, 450])
 def test_many_pages(spark, n):
     df = spark.range(n).select("id", F.format_string("<p>%d</p>", "id").alias("html"))
-    got = html.parse_elements(df, ["p"], ["id"]).select("id", F.col("elements")[0]["text"].cast("long").alias("t"))
+    got = html.parse_elements(df, ["p"], ["id"]).select("id", pages.raw_text(F.col("elements")[0]).cast("long").alias("t"))
     assert got.filter("id <> t").count() == 0 and got.count() == n
