@@ -76,7 +76,7 @@ def summary_cards(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     card, inner = F.col("card"), F.col("inner")
     meta, link = first_of(inner, "div", m["meta"]), first_of(inner, "a", attr="href")
     return rows.select(
-        *keys, attribute(card, "data-id").alias("uniqueid"), attribute(card, "id").alias("dataid"),
+        *keys, attribute(card, "data-id").alias("uniqueid"), text.capture_int(attribute(card, "id"), r"(\d+)").alias("dataid"),
         with_class(card, m["featured"]).cast("int").alias("i_featured"),
         dates.long_date(raw_text(meta)).alias("postdate"),
         text_of(link).alias("title"), attribute(link, "href").alias("href"),
@@ -340,3 +340,29 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
         texts("skills", "button").alias("skills"), texts("interests", "button").alias("interests"),
         F.transform(all_of(block("languages")["inner"], "li"), language).alias("languages"),
         text.strip(block("summary")["text"]).alias("summary"))
+
+
+def resume_documents(pages: DataFrame, today: date) -> DataFrame:
+    """Resume pages (id, downloaddate, html) as the stored documents: ``resume_page`` with its
+    dates, personal lines and sections in the form of the ``resumes`` table."""
+    found = resume_page(pages, ["id", "downloaddate"], today)
+
+    def lines(section: str, **dated: str) -> Column:
+        names = [n for n in rules.SECTION_FIELDS[section].values() if n not in ("date", "date_start", "date_end")]
+        return F.transform(section, lambda x: F.struct(
+            *[x["date"][part].alias(name) for name, part in dated.items()], *[x[n].alias(n) for n in names]))
+
+    known = F.filter("personal", lambda p: p["key"].isNotNull() & (p["key"] != ""))
+    last = F.aggregate(known, F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")),
+                       lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
+    personal = F.when(F.col("personal").isNotNull(), last)
+
+    def of(name: str) -> Column:
+        return F.try_element_at(F.col("_personal"), F.lit(name))
+
+    fields = found.withColumns({
+        "_personal": personal, "education": lines("education", date="raw"), "projects": lines("projects", date="raw"),
+        "experiences": lines("experiences", date_start="start", date_end="end")})
+    return fields.withColumns({
+        "gender": of("Gender"), "nationality": of("Nationality"), "birth_date": of("Birth Date"),
+        "marital_status": of("Marital Status")}).drop("personal").withColumnRenamed("_personal", "personal")

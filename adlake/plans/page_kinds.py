@@ -60,7 +60,7 @@ def classified_cards(t):
     return page_records.classified_cards(pages, ["page_id"], MARCH)
 
 
-@query("summary_cards", f"""WITH {LISTING} SELECT uid AS page_id, 'u' || uid AS uniqueid, 'job-' || uid AS dataid,
+@query("summary_cards", f"""WITH {LISTING} SELECT uid AS page_id, 'u' || uid AS uniqueid, CAST(uid AS INTEGER) AS dataid,
     CAST(level = '1-URGENT' AS INTEGER) AS i_featured, CASE WHEN stat <> 'CLOSED' THEN postdate END AS postdate,
     category AS title, '/jobs/' || uid AS href, CASE WHEN stat = 'OPEN' THEN region END AS company,
     level || chr(10) || country AS description FROM listing""")

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlake import rules
-from adlake.functions import dates, text
-from adlake.operators import combine, maintenance, nested, page_records, stats, trends, worklist
+from adlake.functions import dates, features, text
+from adlake.operators import combine, encode, maintenance, nested, page_records, stats, trends, worklist
+from adlake.sources import tables as store
 from adlake.sources.schemas import KEYS, SCHEMAS
 
 
@@ -94,6 +95,104 @@ def people_run(fetched: DataFrame, links: DataFrame, names: DataFrame, out: str)
     return {"status_names": names, "links": _save(new, f"{out}/links")}
 
 
+def load_resumes(fetched: DataFrame, stored: DataFrame, links: DataFrame, out: str, today: date) -> dict[str, DataFrame]:
+    """Fetched resume pages (id, downloaddate, html) into the stored documents.
+
+    The raw pages are kept by day; pages of known links are parsed and upserted, documents that
+    are fresh stay. ``missing`` are the linked resumes that are still not stored.
+    """
+    wanted = worklist.within(fetched, links, ["id"])
+    store.save_raw_pages(wanted, f"{out}/raw", today, uid="id")
+    parsed = _save(page_records.resume_documents(wanted, today).to(SCHEMAS["resumes"]), f"{out}/parsed")
+    documents = _save(maintenance.stale_upsert(stored, parsed, "id", "downloaddate", today), f"{out}/documents")
+    missing = worklist.without(links.select("id").distinct(), documents, ["id"])
+    return {"documents": documents, "missing": _save(missing, f"{out}/missing")}
+
+
+def store_translations(translated: DataFrame, stored: DataFrame, out: str) -> DataFrame:
+    """Items with a translation (as from ``resume_run``) that the stored table lacks; the first
+    of a key by value counts."""
+    done = translated.filter("needs AND translated IS NOT NULL").withColumnRenamed("translated", "translation_en")
+    new = _added(done.withColumn("downloaddate", F.to_date("downloaddate")), stored, "translations")
+    return _save(new, f"{out}/translations")
+
+
+def load_counts(regions: DataFrame, sectors: DataFrame, stored_regions: DataFrame, stored_sectors: DataFrame,
+                out: str) -> dict[str, DataFrame]:
+    """Site map pages to count rows, and the segments to fetch next.
+
+    ``regions`` and ``sectors`` are the rows of ``region_counts`` and ``sector_counts`` with the
+    columns of their tables.
+    """
+    counts = stored_regions.unionByName(_save(_added(regions, stored_regions, "region_counts"), f"{out}/region_counts"))
+    loaded = stored_sectors.unionByName(
+        _save(_added(sectors, stored_sectors, "region_sector_counts"), f"{out}/region_sector_counts"))
+    due = worklist.segments_to_fetch(counts, loaded, ["region", "subregion"], ["region", "subregion", "downloaddate"],
+                                     total="subposts")
+    return {"region_counts": counts, "region_sector_counts": loaded, "segments": _save(due, f"{out}/segments")}
+
+
+def load_summaries(links: DataFrame, cards: DataFrame, stored_links: DataFrame, stored: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Category links of the aggregator, renewed for the countries loaded, and summary cards that
+    the stored table lacks. ``cards`` comes from ``summary_cards`` with country, cat and subcat as keys."""
+    countries = [r["country"] for r in links.select("country").distinct().collect()]  # a row per site
+    renewed = maintenance.refresh_partition(stored_links, links.to(SCHEMAS["category_links"]), "country", countries)
+    return {"category_links": _save(renewed, f"{out}/category_links"),
+            "summary": _save(_added(cards, stored, "ad_summary"), f"{out}/summary")}
+
+
+def _encoded(ads: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rare values collapsed, then an indicator column per value that is left."""
+    common = encode.collapse_rare(ads, columns)
+    return encode.one_hot(common, {c: encode.indicator_values(common, c) for c in columns})
+
+
+def classified_features(listing: DataFrame, page: DataFrame, out: str, exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Feature table of the classifieds site and its means by country and sector.
+
+    The latest page of each ad beside its listing, without the sectors in ``exclude``.
+    """
+    ads = combine.left_with(combine.latest_snapshot(page, ["uid"], "downloaddate"),
+                            listing.drop("country"), ["uid", "postdate"])
+    for sector in exclude:
+        ads = ads.filter(combine.differs(F.col("jobsector"), sector))
+    flags = {name: features.member_flag(F.col(c), values) for name, (c, values) in rules.MEMBER_FLAGS.items()}
+    ads = ads.withColumns({
+        "daysposted": dates.days_between(F.col("downloaddate"), F.col("postdate")), "month": dates.month_start(F.col("postdate")),
+        **flags, **features.compensation(F.col("compensation"))})
+    hot, names = _encoded(ads, rules.ENCODE_COLUMNS)
+    hot = _save(hot, f"{out}/features")
+    means = stats.summary_stats(hot, ["country", "jobsector"], "uid", [*rules.AVERAGE_COLUMNS, *flags, *names])
+    return {"features": hot, "summary": _save(means, f"{out}/summary")}
+
+
+def board_features(listing: DataFrame, page: DataFrame, out: str, names: DataFrame) -> dict[str, DataFrame]:
+    """Feature table of the job board, its means by country and first industry, and its profile by day.
+
+    ``names`` (k, v) maps companies to the name they go by.
+    """
+    latest = combine.latest_snapshot(page, ["uid"], "downloaddate")
+    ads = combine.left_with(latest, listing.select("uid", "postdate", "href"), ["uid", "postdate"])
+    low, high = features.experience_range(F.col("experience_needed"))
+    wanted = text.normalise_requirements(F.lower("requirements"))
+    ads = ads.withColumns({
+        "expmin": low, "expmax": high, "vacancies": features.vacancies(F.col("vacancies")),
+        "req_num": features.requirement_lines(F.col("requirements")), "req_bachelors": features.has_text(F.lower("requirements")),
+        "province": features.province(features.full_address(F.col("location"))),
+        "education_level": features.education_level(F.col("education_level"), F.col("requirements")),
+        "days_posted": dates.days_between(F.col("downloaddate"), F.col("postdate")),
+        "tokens": text.clean_tokens(wanted)})
+    ads = encode.first_items(combine.map_or_keep(ads, "company", names), "industries", "ind")
+    ads = encode.skill_tags(ads, "tokens").drop("tokens")
+    industries = encode.indicator_values(ads, "ind0")
+    ads = encode.multi_hot(ads, ["ind0", "ind1", "ind2"], industries, "industry", rest="other")
+    hot, new = _encoded(ads, rules.ENCODE_JOB_COLUMNS)
+    hot = _save(hot, f"{out}/features")
+    means = stats.summary_stats(hot, ["country", "ind0"], "uid", [*rules.AVERAGE_JOB_COLUMNS, *new])
+    return {"features": hot, "summary": _save(means, f"{out}/summary"),
+            "profile": _save(stats.profile_by(hot, "downloaddate", rules.AVERAGE_JOB_COLUMNS), f"{out}/profile")}
+
+
 def analysis_run(listing: DataFrame, page: DataFrame, out: str, uid: str, category: str,
                  averages: Sequence[str], categories: Sequence[str] | None = None,
                  several: bool = False) -> dict[str, DataFrame]:

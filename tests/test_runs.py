@@ -120,3 +120,79 @@ def test_resume_run(spark, tmp_path):
     assert "cooking" in {r.translated for r in made["translated"].collect()}
     assert [r.id for r in made["no_translation"].collect()] == [2]
     assert {r.months: r.share for r in made["active"].collect()}[1] == 0.5
+
+
+RESUME_PAGE = """<title>Omar | site</title><div class='media profile-header'><h4 class='no-margin'>Cairo</h4><p>Working</p></div>
+<div class='section-block'><div class='panel-header listing-header'><h2>Personal Information</h2></div><div class='row'>
+<div class='col-md-6 col-sm-6'>Gender: Male</div><div class='col-md-6 col-sm-6'>Nationality: Egypt</div>
+<div class='col-md-6 col-sm-6'>Nationality: Oman</div></div></div>
+<div class='section-block'><div class='panel-header listing-header'><h2>Experiences</h2></div><div class='row'>
+<li style='position:relative;'><div class='date'>Mar 2015 - May 2016</div><div class='subject'>Cook</div><p>Inn | Town</p></li></div></div>
+<div class='section-block'><div class='panel-header listing-header'><h2>Education</h2></div><div class='row'>
+<li style='position:relative;'><div class='date'>2011</div><div class='subject'>School</div><p>BA | Arts</p></li></div></div>"""
+
+
+def test_load_resumes_from_page_to_report(spark, tmp_path):
+    day = datetime(2020, 6, 1)
+    fetched = spark.createDataFrame([(1, day, RESUME_PAGE), (2, day, "<title>x</title>"), (3, day, RESUME_PAGE), (9, day, RESUME_PAGE)],
+                                    "id bigint, downloaddate timestamp, html string")
+    stored = spark.createDataFrame([{"id": 3, "downloaddate": datetime(2020, 5, 30), "gender": "Female"}], SCHEMAS["resumes"])
+    links = spark.createDataFrame([{"id": i, "srchtitle": "Sales", "country": "egypt"} for i in (1, 2, 3, 4)], SCHEMAS["resume_links"])
+    for _ in range(2):  # a repeated run changes nothing
+        made = runs.load_resumes(fetched, stored, links, str(tmp_path / "load"), date(2020, 6, 1))
+    docs = {r.id: r for r in made["documents"].collect()}
+    assert set(docs) == {1, 2, 3} and [r.id for r in made["missing"].collect()] == [4]
+    one = docs[1]
+    assert (one.gender, one.nationality, one.personal, one.jobstatus) == ("Male", "Oman", {"Gender": "Male", "Nationality": "Oman"}, "Working")
+    assert tuple(one.experiences[0]) == (date(2015, 3, 1), date(2016, 5, 1), "Cook", "Inn", "Town", None)
+    assert tuple(one.education[0]) == ("2011", "School", "BA", "Arts", None)
+    assert docs[2].error == "profile is deactivated" and docs[3].gender == "Female"
+    assert spark.read.parquet(str(tmp_path / "load/raw")).count() == 3
+    glossary = spark.createDataFrame([], "source string, target string")
+    report = runs.resume_run(made["documents"], links, glossary, str(tmp_path / "report"), date(2020, 6, 1), group_size=0)
+    assert report["links"].collect()[0]["cnt"] == 4
+
+
+def test_store_translations(spark, tmp_path):
+    schema = "id bigint, downloaddate timestamp, column1 string, column2 string, listnum int, text string, needs boolean, translated string"
+    day = datetime(2020, 6, 1)
+    items = spark.createDataFrame([(1, day, "a", "a", 0, "x", True, "new"), (1, day, "a", "a", 1, "y", True, None), (2, day, "a", "a", 0, "z", False, "z"),
+                                   (3, day, "a", "a", 0, "x", True, "other")], schema)
+    stored = spark.createDataFrame([{"id": 3, "downloaddate": day.date(), "column1": "a", "column2": "a", "listnum": 0,
+                                     "translation_en": "old"}], SCHEMAS["translations"])
+    assert [(r.id, r.translation_en) for r in runs.store_translations(items, stored, str(tmp_path)).collect()] == [(1, "new")]
+
+
+def test_several_categories_of_an_ad_share_its_weight(spark, tmp_path):
+    listing = spark.createDataFrame([("egypt", 1, "['IT']>Food", date(2020, 1, 1)), ("egypt", 2, "IT", date(2020, 1, 5)), ("egypt", 3, None, date(2020, 1, 5))],
+                                    "country string, uid bigint, industries string, postdate date")
+    made = runs.analysis_run(listing, listing, str(tmp_path), "uid", "industries", [], several=True)
+    assert {r.cat: r.total for r in made["totals"].collect()} == {"IT": 1.5, "Food": 0.5, None: 1.0}
+
+
+def test_classified_features(spark, tmp_path):
+    listing = spark.createDataFrame([{"country": "egypt", "uid": i, "postdate": date(2020, 1, 1), "jobsector": "Jobs Wanted" if i == 3 else "IT",
+                                      "i_photo": 1, "i_featured": 0} for i in (1, 2, 3)], SCHEMAS["listing"])
+    page = spark.createDataFrame([{"country": "egypt", "uid": i, "postdate": date(2020, 1, 1), "downloaddate": date(2020, 1, d),
+                                   "employtype": "Full-time" if i == 1 else None, "compensation": 50 * i, "pageviews": d} for i in (1, 2, 3) for d in (5, 9)],
+                                 SCHEMAS["page"])
+    made = runs.classified_features(listing, page, str(tmp_path), exclude=["Jobs Wanted"])
+    rows = {r.uid: r for r in made["features"].collect()}
+    assert set(rows) == {1, 2} and (rows[1].daysposted, rows[1].fulltime, rows[1].comp, rows[2].comp) == (8, 1, None, 100.0)
+    assert rows[1]["employtype_Full-time"] == 1 and rows[2]["employtype_Full-time"] == 0
+    (summary,) = made["summary"].collect()
+    assert (summary.ads, summary.pageviews, summary.fulltime, summary.i_photo) == (2, 9.0, 0.5, 1.0)
+
+
+def test_board_features(spark, tmp_path):
+    page = spark.createDataFrame([{"country": "egypt", "uid": i, "postdate": date(2020, 1, 1), "downloaddate": date(2020, 1, 3), "company": f"c{i}",
+                                   "experience_needed": "2 to 4 years", "vacancies": "3 open positions", "location": "Maadi, Cairo, Egypt",
+                                   "requirements": "Bachelor degree>excel and problem solving", "industries": "['IT']>Food" if i else "Food",
+                                   "education_level": None} for i in (0, 1)], SCHEMAS["job_page"])
+    listing = spark.createDataFrame([{"country": "egypt", "uid": 1, "postdate": date(2020, 1, 1), "href": "/x"}], SCHEMAS["job_listing"])
+    names = spark.createDataFrame([("c1", "One")], "k string, v string")
+    made = runs.board_features(listing, page, str(tmp_path), names)
+    row = {r.uid: r for r in made["features"].collect()}[1]
+    assert (row.expmin, row.expmax, row.vacancies, row.req_num, row.req_bachelors, row.province) == (2, 4, 3, 2, 1, "Cairo")
+    assert (row.company, row.ind0, row.ind1, row.industry_IT, row.industry_Food, row.education_level) == ("One", "IT", "Food", 1, 1, "bachelors")
+    assert made["summary"].count() == 2 and made["profile"].first().expmin_count == 2
