@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adlake import rules
 from adlake.functions import text
 
 
@@ -35,7 +36,7 @@ def top_bigrams(df: DataFrame, key: str, tokens: Column, limit: int = 30,
 
 
 def keyword_totals(df: DataFrame, keys: Sequence[str], description: str,
-                   keywords: Sequence[str]) -> DataFrame:
+                   keywords: Sequence[str] = tuple(rules.KEY_WORDS)) -> DataFrame:
     """Occurrences of each keyword over the distinct (keys, description).
 
     A text is cut down to its keyword hits before the shuffle, and a digest stands for it

@@ -49,7 +49,9 @@ ENGLISH_STOP_WORDS = (
     "against between into through during before after above below to from up down in out on "
     "off over under again further then once here there when where why how all any both each "
     "few more most other some such no nor not only own same so than too very can will just "
-    "should now"
+    "should now don't can't won't isn't aren't wasn't weren't haven't hasn't hadn't doesn't didn't "
+    "couldn't shouldn't wouldn't mustn't needn't you're you've you'll you'd they're they've they'll "
+    "we're we've we'll she's he's it's that's that'll should've i'm i've i'll"
 ).split()
 
 KEY_WORDS = [
@@ -58,10 +60,6 @@ KEY_WORDS = [
     "english", "arabic", "presenting", "confident", "travel", "initiative", "writing", "reading",
     "negotiation", "excel", "powerpoint", "flexible", "microsoft", "persuade", "strategic",
 ]
-KEY_BIGRAMS = [
-    "meeting clients", "microsoft office", "organizational ability", "time management",
-    "problem solving", "data driven", "sales oriented",
-]
 
 # Skill tags by kind: single words, then bigrams.
 SKILL_WORDS = {

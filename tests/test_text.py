@@ -170,3 +170,8 @@ def test_multi_hot_and_first_items(spark):
 def test_rule_lists():
     assert list(rules.EDUCATION_TERMS) == ["diploma", "bachelors", "masters", "doctorate", "md", "rn", "jd"]
     assert rules.TIME_ZONES["egypt"] == "Africa/Cairo"
+
+
+def test_stop_words_hold_contractions(spark):
+    df = spark.createDataFrame([("don't touch they're kitchen",)], "x string")
+    assert df.select(text.clean_tokens(F.col("x")).alias("t")).first().t == ["touch", "kitchen"]
