@@ -36,23 +36,20 @@ COUNTRIES = "countries AS (SELECT r_name AS country FROM region UNION ALL SELECT
 
 @query("high_water", f"""WITH {LISTING}, {COUNTRIES}
     SELECT c.country, coalesce(max(postdate), DATE '2001-08-01' - 29)::DATE AS mark
-    FROM countries c LEFT JOIN listing l ON c.country = l.country AND stat = 'OPEN' GROUP BY c.country""")
+    FROM countries c LEFT JOIN listing l ON c.country = l.country GROUP BY c.country""")
 def high_water(t):
-    ads = roles.listing(t).filter(F.col("stat") == "OPEN")
-    return worklist.high_water(countries(t), ads, ["country"], "postdate", TODAY)
+    return worklist.high_water(countries(t), roles.listing(t), ["country"], "postdate", TODAY)
 
 
-RELOAD_DAY = date(2001, 8, 8)
+RELOAD_DAY = date(2001, 8, 7)
 
 
 @query("stale_countries", f"""WITH {LISTING}, {COUNTRIES},
     lasts AS (SELECT c.country, max(postdate) AS last
-        FROM countries c LEFT JOIN listing l ON c.country = l.country AND stat = 'OPEN'
-            AND level = '5-LOW' GROUP BY c.country)
-    SELECT * FROM lasts WHERE last IS NULL OR date_diff('day', last, DATE '2001-08-08') >= 7""")
+        FROM countries c LEFT JOIN listing l ON c.country = l.country GROUP BY c.country)
+    SELECT * FROM lasts WHERE last IS NULL OR date_diff('day', last, DATE '2001-08-07') >= 7""")
 def stale_countries(t):
-    ads = roles.listing(t).filter((F.col("stat") == "OPEN") & (F.col("level") == "5-LOW"))
-    return worklist.stale_groups(countries(t), ads, ["country"], "postdate", RELOAD_DAY, 7)
+    return worklist.stale_groups(countries(t), roles.listing(t), ["country"], "postdate", RELOAD_DAY, 7)
 
 
 @query("since_mark", f"""WITH {LISTING}, marks AS (

@@ -361,12 +361,12 @@ def open_worklist(t):
 
 
 @query("unfetched_ads", f"""WITH {LISTING}, fetched AS (
-        SELECT country, uid FROM listing JOIN lineitem ON uid = l_orderkey WHERE l_linestatus = 'F')
+        SELECT country, uid FROM listing JOIN lineitem ON uid = l_orderkey)
     SELECT DISTINCT country, uid FROM listing l WHERE NOT EXISTS (
         SELECT 1 FROM fetched f WHERE f.country = l.country AND f.uid = l.uid)""")
 def unfetched_ads(t):
     ads = roles.listing(t).select("country", "uid")
-    page = t.lineitem.filter(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("uid"))
+    page = t.lineitem.select(F.col("l_orderkey").alias("uid"))
     return worklist.without(ads, worklist.within(ads, page, ["uid"]), ["country", "uid"]).distinct()
 
 
@@ -386,9 +386,9 @@ def double_anti(t):
 
 
 @query("semi_in", f"""WITH {POSTINGS} SELECT uid, postdate, stat FROM postings
-    WHERE uid IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+    WHERE uid IN (SELECT l_orderkey FROM lineitem)""")
 def semi_in(t):
-    page = t.lineitem.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("uid"))
+    page = t.lineitem.select(F.col("l_orderkey").alias("uid"))
     return worklist.within(roles.postings(t).select("uid", "postdate", "stat"), page, ["uid"])
 
 
