@@ -128,14 +128,15 @@ def _best(vectors: DataFrame, block: _Block, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = cloudpickle.loads(shared.value)
-        queries, found, values = (np.zeros(0, np.int64) for _ in range(3))
+        kept, n = [(np.zeros(0, np.int64),) * 3], 0
         for part, ids, scores in _scored(batches, block):
             r, q = np.nonzero((scores >= block.low[part]) & (ids[:, None] != block.ids[part]))
-            queries = np.r_[queries, q + part.start]
-            found, values = np.r_[found, ids[r]], np.r_[values, scores[r, q]]
-            if len(queries) > 4 * k * len(block.ids):
-                queries, found, values = _first(queries, found, values, k)
-        queries, found, values = _first(queries, found, values, k)
+            kept.append((q + part.start, ids[r], scores[r, q]))
+            n += len(q)
+            if n > 4 * k * len(block.ids):
+                kept = [_first(*map(np.concatenate, zip(*kept)), k)]
+                n = len(kept[0][0])
+        queries, found, values = _first(*map(np.concatenate, zip(*kept)), k)
         yield pa.RecordBatch.from_arrays(
             [pa.array(block.ids[queries]), pa.array(found), pa.array(values)], ["query_id", "vec_id", "score"])
 
