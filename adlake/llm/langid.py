@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlake.llm.common import to_tasks
+from adlake.llm.common import stored, to_tasks
 
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -77,12 +77,16 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 17, excerpt: int = 1
     """
     rows = (labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
             .select("lang", "text", F.xxhash64("text").alias("rank")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    chosen = (rows.groupBy("lang", "rank").count().withColumn("place", place)
-              .filter(F.col("place") <= texts_per_language).select("lang", "rank"))
-    langs = chosen.select("lang").distinct().limit(max_languages + 1).count()
-    if langs > max_languages:
+    ranks = stored(rows.select("lang", "rank"), "ranks")
+    sizes = stored(ranks.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")), "languages")
+    if sizes.count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    # of a large language only about four times the wanted number reach the sort
+    near = F.pmod(F.col("rank"), F.lit(1 << 30)) * F.col("n") < 4 * texts_per_language * (1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("rank"), F.lit(1 << 30)), "rank")
+    chosen = (ranks.join(F.broadcast(sizes), "lang").filter(near).groupBy("lang", "rank").count()
+              .withColumn("place", F.row_number().over(order))
+              .filter(F.col("place") <= texts_per_language).select("lang", "rank"))
     start = F.pmod("rank", F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
     cut = F.substr("text", start.cast("int"), F.lit(excerpt))
     found = (rows.join(F.broadcast(chosen), ["lang", "rank"])
