@@ -5,7 +5,7 @@ import pytest
 from adlake.plans import catalog
 
 READS_BACK = {"csv_roundtrip", "doc_scan", "raw_pages", "lookup_csv", "partition_overwrite", "month_flush", "first_wins",
-              "stream_first_wins", "stream_first_wins_exact", "stream_upsert"}
+              "stream_first_wins", "stream_first_wins_exact", "stream_upsert", "classified_run", "board_run"}
 
 
 def plan(spark, sf_dir, key):
