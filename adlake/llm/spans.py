@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ from adlake.llm.common import stored
 #: Words handled at a time; places within fit the low bits of a minimiser.
 WORDS_AT_ONCE = 400_000
 PLACE_BITS = 20
+#: Bytes of runs that a task gathers before it packs them by bucket, and that a bucket unpacks at a time.
+PACK_BYTES = 24 << 20
+UNPACK_BYTES = 12 << 20
 SPAN = "array<struct<start:int,n:int>>"
-_ENTRY = pa.schema([("group", pa.uint64()), ("run", pa.dictionary(pa.int32(), pa.binary())),
-                    ("none", pa.bool_()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
 
 
 class _Hashes(dict):
@@ -122,56 +124,95 @@ def _runs(piece: Piece, window: int, mer: int, hot: np.ndarray, hashes: _Hashes)
     return at[first], n, group
 
 
-def _entries(batch: pa.RecordBatch, window: int, mer: int, buckets: int, hot: np.ndarray, hashes: _Hashes):
-    """(bucket, packed super-k-mers) of the rows (doc, key, text) of a batch."""
-    docs = batch.column(0)
-    none, ids = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
-    keys, seen = batch.column(1).to_numpy(), set()
-
-    def texts():
-        for row, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
-            same = (none[row], ids[row], keys[row])
-            if text and same not in seen:
-                seen.add(same)
-                yield row, text
-
-    for piece in _pieces(texts(), window):
-        at, n, group = _runs(piece, window, mer, hot, hashes)
-        if not len(at):
-            continue
-        length = np.fromiter(map(len, piece.words), np.int64, len(piece.words))
-        joined, ends = b" ".join(piece.words), np.cumsum(length + 1) - 1
-        left, right = (ends - length)[at], ends[at + n + window - 2]
-        row, first, start, _ = (np.array(x) for x in zip(*piece.docs))
-        doc = np.searchsorted(first, at, "right") - 1
-        bucket = (_mixed(group) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        runs = pa.array([joined[a:b] for a, b in zip(left[order].tolist(), right[order].tolist())], pa.binary())
-        row, begin = row[doc][order], (start[doc] + at - first[doc])[order].astype(np.int32)
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            part = row[a:b]
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(group[order[a:b]]), runs[a:b].dictionary_encode(), pa.array(none[part]),
-                 pa.array(ids[part]), pa.array(keys[part]), pa.array(begin[a:b])], schema=_ENTRY)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows)
-            yield int(bucket[order[a]]), sink.getvalue().to_pybytes()
-
-
-def _later(packed: list[bytes], window: int) -> dict[str, np.ndarray] | None:
-    """Spans of words of a bucket that lie in windows which also start earlier."""
+def _packed(group: np.ndarray, runs: list[bytes], none: np.ndarray, doc: np.ndarray, key: np.ndarray,
+            start: np.ndarray) -> bytes:
+    """Runs and where they start as one string; each distinct run is held once."""
+    lookup: dict[bytes, int] = {}
+    run = np.array([lookup.setdefault(r, len(lookup)) for r in runs], np.int32)
+    _, first = np.unique(run, return_index=True)
+    length = np.fromiter(map(len, lookup), np.int32, len(lookup))
+    parts = [np.array([len(lookup), len(run)], np.int32), group[first], length, run, none, doc, key, start]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in parts), *lookup]))
+
+
+def _unpacked(data: bytes):
+    """(group, runs) of the distinct runs and (run, none, doc, key, start) of the entries."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n_runs, n = np.frombuffer(raw, np.int32, 2).tolist()
+    at, out = 8, []
+    for kind, size in ((np.uint64, n_runs), (np.int32, n_runs), (np.int32, n), (np.bool_, n), (np.int64, n),
+                       (np.int64, n), (np.int32, n)):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += out[-1].nbytes
+    group, length, *entries = out
+    ends = at + np.cumsum(length)
+    return group, [raw[a:b] for a, b in zip((ends - length).tolist(), ends.tolist())], entries
+
+
+def _flushed(found: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, bytes of runs, packed runs) of what a task has gathered."""
+    group, none, doc, key, start = (np.concatenate(x) for x in list(zip(*found))[1:])
+    runs = [r for part in found for r in part[0]]
+    bucket = (_mixed(group) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        part = order[a:b]
+        mine = [runs[i] for i in part.tolist()]
+        yield int(bucket[part[0]]), sum(map(len, mine)), _packed(
+            group[part], mine, none[part], doc[part], key[part], start[part])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], window: int, mer: int, buckets: int, hot: np.ndarray):
+    """(bucket, bytes of runs, packed runs) of the rows (doc, key, text) of a task."""
+    hashes, found, size = _Hashes(), [], 0
+    for batch in batches:
+        docs = batch.column(0)
+        none, ids = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+        keys, seen = batch.column(1).to_numpy(), set()
+
+        def texts(batch=batch, none=none, ids=ids, keys=keys, seen=seen):
+            for row, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
+                same = (none[row], ids[row], keys[row])
+                if text and same not in seen:
+                    seen.add(same)
+                    yield row, text
+
+        for piece in _pieces(texts(), window):
+            at, n, group = _runs(piece, window, mer, hot, hashes)
+            if not len(at):
+                continue
+            length = np.fromiter(map(len, piece.words), np.int64, len(piece.words))
+            joined, ends = b" ".join(piece.words), np.cumsum(length + 1) - 1
+            left, right = (ends - length)[at], ends[at + n + window - 2]
+            row, first, start, _ = (np.array(x) for x in zip(*piece.docs))
+            doc = np.searchsorted(first, at, "right") - 1
+            begin, row = (start[doc] + at - first[doc]).astype(np.int32), row[doc]
+            found.append(([joined[a:b] for a, b in zip(left.tolist(), right.tolist())], group, none[row], ids[row],
+                          keys[row], begin))
+            size += int((right - left).sum())
+            if size >= PACK_BYTES:
+                yield from _flushed(found, buckets)
+                found, size = [], 0
+    if found:
+        yield from _flushed(found, buckets)
+
+
+def _later(packed: list[bytes], window: int, part: int = 0, parts: int = 1) -> dict[str, np.ndarray] | None:
+    """Spans of words of a bucket that lie in windows which also start earlier; of ``parts`` shares of its groups one."""
     lookup: dict[bytes, int] = {}
-    columns: dict[str, list] = {k: [] for k in ("run", "group", "none", "doc", "key", "start")}
+    columns: list[list] = [[] for _ in range(6)]
     for data in packed:
-        for rows in pa.ipc.open_stream(data):
-            coded = rows.column(1)
-            place = np.array([lookup.setdefault(r, len(lookup)) for r in coded.dictionary.to_pylist()])
-            columns["run"].append(place[coded.indices.to_numpy()])
-            for i, name in ((0, "group"), (2, "none"), (3, "doc"), (4, "key"), (5, "start")):
-                columns[name].append(rows.column(i).to_numpy(zero_copy_only=False))
-    run, group, none, doc, key, start = (np.concatenate(x) for x in columns.values())
+        group, runs, (run, *rest) = _unpacked(data)
+        mine = (_mixed(group) >> np.uint64(32)) % np.uint64(parts) == part
+        place = np.full(len(runs), -1)
+        place[mine] = [lookup.setdefault(runs[i], len(lookup)) for i in np.flatnonzero(mine).tolist()]
+        taken = mine[run]
+        for column, x in zip(columns, (place[run], group[run], *rest)):
+            column.append(x[taken])
+    if not lookup:
+        return None
+    run, group, none, doc, key, start = (np.concatenate(x) for x in columns)
     order = np.lexsort((key, start, doc, none, run))
     run, group, none, doc, key, start = (x[order] for x in (run, group, none, doc, key, start))
     new = np.r_[True, (run[1:] != run[:-1]) | (none[1:] != none[:-1]) | (doc[1:] != doc[:-1])
@@ -263,34 +304,36 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 5, share: float
     smaller start. Rows equal in all three columns are one. Spans may overlap.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_minimisers(docs, window, mer, share, one_in)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for bucket, data in _entries(batch, window, mer, buckets, hot, hashes):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data])], ["bucket", "runs"])
+        for bucket, size, data in _entries(batches, window, mer, buckets, hot):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([data])], ["bucket", "size", "runs"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, packed = None, []
+        bucket, packed, size = None, [], 0
 
         def found():
-            got = _later(packed, window) if packed else None
-            if got:
-                doc = pa.array(got["doc"], mask=got["none"])
-                yield pa.RecordBatch.from_arrays(
-                    [doc, *(pa.array(got[k]) for k in ("key", "start", "n"))], ["doc", "key", "start", "n"])
+            parts = 1 + size // UNPACK_BYTES
+            for part in range(parts if packed else 0):
+                got = _later(packed, window, part, parts)
+                if got:
+                    doc = pa.array(got["doc"], mask=got["none"])
+                    yield pa.RecordBatch.from_arrays(
+                        [doc, *(pa.array(got[k]) for k in ("key", "start", "n"))], ["doc", "key", "start", "n"])
 
         for batch in batches:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for at, more, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if at != bucket:
                     yield from found()
-                    bucket, packed = at, []
-                packed.append(data.as_buffer())
+                    bucket, packed, size = at, [], 0
+                packed.append(data.as_py())
+                size += more
         yield from found()
 
-    spans = (docs.select("doc", "key", "text").mapInArrow(pack, "bucket int, runs binary")
+    spans = (docs.select("doc", "key", "text").mapInArrow(pack, "bucket int, size long, runs binary")
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(find, "doc long, key long, start int, n int"))
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
