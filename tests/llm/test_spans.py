@@ -80,12 +80,15 @@ def test_pieces_of_a_long_text_give_the_same(monkeypatch, spark):
                                         pa.array(range(len(long)), pa.int64()), pa.array([t for _, t in long])],
                                        ["doc", "key", "text"])
     packed = {}
-    for bucket, data_ in spans._entries(batch, 6, 2, 3, np.zeros(0, np.uint64), spans._Hashes()):
+    monkeypatch.setattr(spans, "PACK_BYTES", 2000)
+    for bucket, _, data_ in spans._entries(iter([batch]), 6, 2, 3, np.zeros(0, np.uint64)):
         packed.setdefault(bucket, []).append(data_)
     gone = {}
     for got in packed.values():
-        found = spans._later(got, 6)
-        if found:
+        for part in range(4):
+            found = spans._later(got, 6, part, 4)
+            if not found:
+                continue
             for k, s, n in zip(found["key"].tolist(), found["start"].tolist(), found["n"].tolist()):
                 gone.setdefault(k, set()).update(range(s, s + n))
     want = brute(long, 6)
