@@ -177,3 +177,20 @@ def test_many_pages(spark, n):
     df = spark.range(n).select("id", F.format_string("<p>%d</p>", "id").alias("html"))
     got = html.parse_elements(df, ["p"], ["id"]).select("id", pages.raw_text(F.col("elements")[0]).cast("long").alias("t"))
     assert got.filter("id <> t").count() == 0 and got.count() == n
+
+
+ODD = ["", "<div", "</div></p>", "<div class='row'>" * 300 + "x", "<table class='job-details-table'><tr><th>Salary<tr><td>1<th>Company<td>",
+       "<div id='jobs_list'><div id='job-x' data-id><a><p></div>", "<div class='section-block'><div><h2>Education<div class='row'><li style><p>|||</li>",
+       "<div class='media profile-header'><p>", "<span class='brlefte5 block'>Ad ID: <div class='clr'><h1>", "<time title><a href>", None]
+
+
+@pytest.mark.parametrize("kind", ["classified_cards", "summary_cards", "board_cards", "resume_cards", "region_counts", "sector_counts",
+                                  "classified_page", "board_page", "ad_details", "dead_pages", "resume_page"])
+def test_odd_markup_gives_rows_or_none(spark, kind):
+    pages_ = frame(spark, *ODD)
+    dated = {"classified_cards", "resume_page"}
+    made = getattr(page_records, kind)(pages_, ["page_id"], *([D(2020, 1, 1)] if kind in dated else []))
+    rows = made.collect()
+    assert {r.page_id for r in rows} <= set(range(len(ODD)))
+    if kind.endswith("_page"):
+        assert len(rows) == len(ODD)
