@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text becomes a template: numbers, names and units give way to typed placeholders, the rest is
-lower-cased and stripped of punctuation. Windows of five template words are joined by hash. A
-document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
+lower-cased and stripped of punctuation. As a name is told by its case and the word before it, there is
+a second variant, in which capitals play no part and names are plain words; a window is matched if any
+variant matches. Windows of five template words are joined by hash. A document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
 one more), so only those are looked for in all documents; the documents found are then compared
 in full. Where a window of the document lies on a window of the item, slot values are set
 against each other: an item's value must always become the same value and two values must not
@@ -25,29 +26,47 @@ UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "o
          "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "years", "meters", "metres",
          "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "dollars", "euros", "cents",
          "percent", "degrees", "kmh", "mph"]
-_NAME = r"(?<=[\p{L}\p{M}\p{N},;]\s)\p{Lu}[\p{L}\p{M}]+"
+_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT},;]\s)\p{{Lu}}[\p{{L}}\p{{M}}]+"
 _NUMBER = r"\d+(?:[.,:]\d+)*"
-_UNIT = rf"(?<={NUMBER}\s?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
-_WORD = rf"\p{{L}}\p{{M}}{NAME}-{UNIT}"
+_UNIT = rf"(?<={NUMBER}\s?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
+#: Before its first letter: a word that is a name by its case and the word before it.
+_NAMED = "\ue003"
+_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_NAMED}"
 _EDGE = rf"(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}])"
 _SLOT = f"[{NAME}-{UNIT}]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def template(text: Column) -> Column:
-    """Template words of a text, one for each of its words parted by white space."""
-    out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NAME, NAME)
-    out = F.regexp_replace(out, _NUMBER, NUMBER)
+def marked(text: Column) -> Column:
+    """A text in lower case, without punctuation at words, with typed placeholders and a mark before each name."""
+    out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NUMBER, NUMBER)
     out = F.regexp_replace(out, _UNIT, UNIT)
-    return F.split(F.regexp_replace(F.lower(out), _EDGE, ""), r"\s+")
+    out = F.regexp_replace(out, _NAME, f"{_NAMED}$0")
+    return F.regexp_replace(F.lower(out), _EDGE, "")
 
 
-def hashes(words: Column) -> Column:
-    """Hash of each window of template words; null if there are fewer words than a window has."""
+def templates(text: Column) -> list[Column]:
+    """Template words of a marked text, one for each of its words parted by white space, in each variant.
+
+    In the first capitals play no part: names stand as they are. In the next names are placeholders.
+    """
+    return [F.split(F.replace(text, F.lit(_NAMED), F.lit("")), r"\s+"),
+            F.split(F.regexp_replace(text, rf"{_NAMED}\S*", NAME), r"\s+")]
+
+
+def starts(words: Column, before: Column | None = None) -> Column:
+    """Where windows of template words begin: all, or those that hold a word which the variant before has otherwise."""
     last = F.size(words) - WINDOW
-    return F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])))
+    if before is None:
+        return F.when(last >= 0, F.sequence(F.lit(0), last))
+    other = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) != F.get(before, i))
+    near = F.transform(other, lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, last)))
+    return F.when(last >= 0, F.array_distinct(F.flatten(near)))
+
+
+def _hash(words: Column | str, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
 
 
 def _value(raw: str) -> Column:
@@ -55,13 +74,39 @@ def _value(raw: str) -> Column:
     return F.regexp_replace(F.lower(raw), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
 
 
+def _variants(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[tuple[str, str | None]]]:
+    """``keep`` and the words of each variant; the names of these columns, each with that of the variant before."""
+    # marks and words are columns of their own: inside a lambda they would be made anew for each window
+    kinds = templates(F.col("__marked"))
+    names = [f"__words{i}" for i in range(len(kinds))]
+    words = rows.withColumn("__marked", marked(F.col("text"))).select(*keep, *[c.alias(n) for c, n in zip(kinds, names)])
+    return words, list(zip(names, [None, *names]))
+
+
+def hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hash) of all windows of the column ``text`` in every variant."""
+    words, variants = _variants(rows, keys)
+
+    def hashed(w: str, before: str | None) -> Column:
+        return F.transform(starts(F.col(w), None if before is None else F.col(before)), lambda i: _hash(w, i))
+
+    each = [hashed(w, b) for w, b in variants]
+    return words.select(*keys, F.explode(F.concat(*each)).alias("hash"))
+
+
 def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset."""
-    words = rows.select(*keys, template(F.col("text")).alias("words"), F.split("text", r"\s+").alias("raw"))
-    out = words.select(*keys, "words", "raw", F.posexplode(hashes(F.col("words"))).alias(place, "hash"))
+    """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset.
+
+    A place has a row in the first variant, and one in each other variant whose words differ there.
+    """
+    words, variants = _variants(rows, [*keys, "text"])
+    each = [F.struct(F.col(w).alias("words"), starts(F.col(w), None if b is None else F.col(b)).alias("starts"))
+            for w, b in variants]
+    out = (words.select(*keys, F.split("text", r"\s+").alias("raw"), F.explode(F.array(*each)).alias("v"))
+           .select(*keys, "raw", "v.words", F.explode("v.starts").alias(place)))
     offsets = F.array(*[F.when(F.get("words", F.col(place) + k).rlike(_SLOT), F.get("raw", F.col(place) + k))
                         for k in range(WINDOW)])
-    return out.select(*keys, place, "hash", offsets.alias("slots"))
+    return out.select(*keys, place, _hash("words", F.col(place)).alias("hash"), offsets.alias("slots"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -72,17 +117,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     items = (benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
              .withColumn("class", F.xxhash64("text")))
     parts = windows(items, ["class", "item_id"], "at")
-    return parts.withColumn("n_windows", F.count("*").over(Window.partitionBy("class")))
+    return parts.withColumn("n_windows", F.max("at").over(Window.partitionBy("class")) + 1)
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """(hash, class): of each item the rarest windows, one more than it may lack."""
+    """(hash, class): of each item the places of the rarest windows, one more than it may lack, in all variants."""
     spread = items.groupBy("hash").agg(F.count_distinct("class").alias("spread"))
-    once = items.groupBy("class", "hash").agg(F.first("n_windows").alias("n_windows")).join(spread, "hash")
-    kinds = once.withColumn("kinds", F.count("*").over(Window.partitionBy("class")))
-    place = F.row_number().over(Window.partitionBy("class").orderBy("spread", "hash"))
+    each = items.select("class", "at", "hash", "n_windows").join(spread, "hash")
+    rarest = Window.partitionBy("class").orderBy("spread", "at")
+    places = (each.groupBy("class", "at", "n_windows").agg(F.sum("spread").alias("spread"))
+              .withColumn("place", F.row_number().over(rarest)))
     may_lack = F.col("n_windows") - F.ceil(F.col("n_windows") * CONTAINMENT)
-    return kinds.withColumn("place", place).filter(F.col("place") <= F.least("kinds", may_lack + 1)).select("hash", "class")
+    places = places.filter(F.col("place") <= may_lack + 1).select("class", "at")
+    return each.join(places, ["class", "at"]).select("hash", "class").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -97,9 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(item_windows(benchmark), "items")
     wanted = stored(seeds(items), "seeds")
     few = wanted.count() <= BROADCAST_ROWS
-    # the template is a column of its own: inside the lambda it would be made anew for each window
-    words = rows.select("doc_id", "key", template(F.col("text")).alias("words"))
-    found = words.select("doc_id", "key", F.explode(hashes(F.col("words"))).alias("hash"))
+    found = hashes(rows, ["doc_id", "key"])
     found = stored(found.join(F.broadcast(wanted) if few else wanted, "hash")
                    .select("doc_id", "key", "class").distinct(), "candidates")
     n = found.count()

@@ -71,3 +71,9 @@ def test_main_path_has_no_python(spark, sf_dir):
     from adlake.llm import queries
     plan = queries.QUERIES["op5_benchmark_decontamination"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_case_and_the_words_before_do_not_matter(spark):
+    short = "Marie often reads old books about Roman roads near Lyon"
+    texts = [(1, ITEM.upper()), (2, f"The text is: {ITEM.title()} and more"), (3, ITEM.lower()), (4, f"and then {short} today"), (5, short.upper())]
+    assert set(found(spark, texts, [(1, ITEM), (2, short)])) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
