@@ -7,7 +7,7 @@ variant matches. Windows of five template words are joined by hash. A document c
 one more), so only those are looked for in all documents; the documents found are then compared
 in full. Where a window of the document lies on a window of the item, slot values are set
 against each other: an item's value must always become the same value and two values must not
-become one. So an item with other numbers or names in it is still found, but not a text that
+become one, else the windows that hold a changed value of that kind do not count. So an item with other numbers or names in it is still found, but not a text that
 merely shares its frame with changing fillings.
 """
 
@@ -69,7 +69,7 @@ def _hash(words: Column | str, i: Column) -> Column:
     return F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
 
 
-def _value(raw: str) -> Column:
+def _value(raw: Column) -> Column:
     """What fills a slot: the raw word without case and without punctuation at its ends."""
     return F.regexp_replace(F.lower(raw), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
 
@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``key`` is the text's 64-bit hash. Null texts, and texts or items of fewer than five words,
     hold and are nothing. Items that repeat a text count once, under the least id. Rows that are
     equal in id and text give one row. Matched windows of an item need not lie in a row, but each
-    alignment (place in the document less place in the item) must fill its slots consistently.
+    alignment (place in the document less place in the item) must fill its changed slots consistently.
     """
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("key"), "text").filter(F.col("text").isNotNull())
     items = stored(item_windows(benchmark), "items")
@@ -158,18 +158,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = stored(here.join(items, ["class", "hash"]).withColumn("shift", F.col("place") - F.col("at")), "matches")
 
     doc = ["doc_id", "key", "class"]
-    filled = (same.select(*doc, "shift", F.explode(F.filter(
-        F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull())).alias("s"))
-        .select(*doc, "shift", _value("s.slots").alias("of"), _value("s.values").alias("to")).distinct())
-    fits = filled.groupBy(*doc, "shift").agg(
-        (F.count("*") == F.count_distinct("of")).alias("one_value"),
-        (F.count("*") == F.count_distinct("to")).alias("one_origin"),
-        F.max(F.col("of") != F.col("to")).alias("changed"))
+    pairs = F.transform(F.filter(F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull()),
+                        lambda s: F.struct(_value(s["slots"]).alias("of"), _value(s["values"]).alias("to")))
+    same = same.select(*doc, "item_id", "n_windows", "at", "shift", pairs.alias("pairs"))
+    filled = same.select(*doc, "shift", F.explode("pairs").alias("s")).select(*doc, "shift", "s.of", "s.to").distinct()
+    many = [F.count("*").over(Window.partitionBy(*doc, "shift", side)) > 1 for side in ("of", "to")]
+    conflicts = (filled.withColumn("conflict", many[0] | many[1]).filter("conflict AND of <> to")
+                 .groupBy(*doc, "shift").agg(F.collect_set(F.struct("of", "to")).alias("conflicts")))
     joined = same.alias("m").join(
-        fits.alias("f"), [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*doc, "shift"]], "left")
-    good = joined.filter(F.col("f.key").isNull() | (F.col("one_value") & F.col("one_origin")))
+        conflicts.alias("f"), [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*doc, "shift"]], "left")
+    good = joined.filter(F.col("conflicts").isNull() | ~F.arrays_overlap("pairs", "conflicts"))
     each = good.groupBy(*[F.col(f"m.{c}") for c in doc], "item_id", "n_windows", "at").agg(
-        F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
+        F.min(F.exists("pairs", lambda s: s["of"] != s["to"])).alias("changed"))
     return (each.groupBy(*doc, "item_id", "n_windows").agg(
         F.count("*").alias("n_matched"), F.max("changed").alias("reparameterised"))
         .filter(F.col("n_matched") >= F.col("n_windows") * CONTAINMENT)

@@ -77,3 +77,12 @@ def test_case_and_the_words_before_do_not_matter(spark):
     short = "Marie often reads old books about Roman roads near Lyon"
     texts = [(1, ITEM.upper()), (2, f"The text is: {ITEM.title()} and more"), (3, ITEM.lower()), (4, f"and then {short} today"), (5, short.upper())]
     assert set(found(spark, texts, [(1, ITEM), (2, short)])) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+
+
+def test_a_conflicting_slot_drops_its_own_windows_only(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
+    item = " ".join("5" if i in (10, 50) else "3" if i == 30 else w for i, w in enumerate(plain))
+    one_value, one_origin = item.replace("5", "7", 1), item.replace("3", "5")
+    got = found(spark, [(1, one_value), (2, one_origin), (3, item)], [(1, item)])
+    assert {i: r["n_matched"] for (i, _), r in got.items()} == {1: 51, 2: 51, 3: 56}
