@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text becomes a template: numbers, names and units give way to typed placeholders, the rest is
-lower-cased and stripped of punctuation. As a name is told by its case and the word before it, there is
-a second variant, in which capitals play no part and names are plain words; a window is matched if any
-variant matches. Windows of five template words are joined by hash. A document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
+lower-cased and stripped of punctuation. There are three variants, as the case of a word does not settle
+whether it is a name: capitals play no part and names are plain words; names are capitalised words after
+another word; names are all capitalised words. A window is matched if any variant matches. Windows of five template words are joined by hash. A document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
 one more), so only those are looked for in all documents; the documents found are then compared
 in full. Where a window of the document lies on a window of the item, slot values are set
 against each other: an item's value must always become the same value and two values must not
@@ -21,17 +21,29 @@ from adlake.llm.common import stored
 WINDOW = 5
 CONTAINMENT = 0.8
 NAME, NUMBER, UNIT = "", "", ""
-#: Units of measure and currency that may follow a number.
-UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "ml", "cl", "l", "s",
-         "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "years", "meters", "metres",
-         "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "dollars", "euros", "cents",
-         "percent", "degrees", "kmh", "mph"]
-_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT},;]\s)\p{{Lu}}[\p{{L}}\p{{M}}]+"
-_NUMBER = r"\d+(?:[.,:]\d+)*"
-_UNIT = rf"(?<={NUMBER}\s?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
-#: Before its first letter: a word that is a name by its case and the word before it.
-_NAMED = "\ue003"
-_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_NAMED}"
+#: Units of measure, time and currency that may follow a number, in any case.
+UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "cl", "l", "s",
+         "sec", "min", "h", "hr", "hrs", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?",
+         "(?:kilo|centi|milli)?met(?:er|re)s?", "miles?", "yards?", "foot", "feet", "inch(?:es)?",
+         "(?:kilo|milli)?grams?", "pounds?", "ounces?", "tons?", "tonnes?", "(?:milli)?lit(?:er|re)s?", "dollars?",
+         "euros?", "cents?", "percent", "degrees?", "kmh", "mph"]
+#: English number words, also joined by hyphens.
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+                "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty",
+                "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen"]
+#: Capitals that begin a name: two letters at least, or an apostrophe and a capital after the first (O'Brien).
+_CAPITAL = r"\p{Lu}(?=[\p{L}\p{M}]|['\u2019]\p{Lu})"
+_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT},;]\s){_CAPITAL}"
+_ANY = "|".join(NUMBER_WORDS)
+_NUMBER = (r"\d+(?:[.,:]\d+)*|(?<![\p{L}\p{M}\p{N}])(?=[a-zA-Z]{3})"
+           rf"(?i:(?:{_ANY})(?:-(?:{_ANY})){{0,3}})(?![\p{{L}}\p{{M}}\p{{N}}])")
+_UNIT = rf"(?<={NUMBER}[\s-]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
+#: Before its first letter: a word that is a name by its case and the word before it, or by its case alone.
+_NAMED, _CAPITALISED = "\ue003", "\ue004"
+_FIRST = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}-{_CAPITALISED}]){_CAPITAL}"
+#: So many words of a window must be plain where names are told by their case alone.
+PLAIN = 2
+_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_CAPITALISED}"
 _EDGE = rf"(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}])"
 _SLOT = f"[{NAME}-{UNIT}]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
@@ -43,16 +55,23 @@ def marked(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NUMBER, NUMBER)
     out = F.regexp_replace(out, _UNIT, UNIT)
     out = F.regexp_replace(out, _NAME, f"{_NAMED}$0")
+    out = F.regexp_replace(out, _FIRST, f"{_CAPITALISED}$0")
     return F.regexp_replace(F.lower(out), _EDGE, "")
 
 
 def templates(text: Column) -> list[Column]:
     """Template words of a marked text, one for each of its words parted by white space, in each variant.
 
-    In the first capitals play no part: names stand as they are. In the next names are placeholders.
+    In the first capitals play no part: names stand as they are. In the next, names after a word, comma or
+    semicolon are placeholders, in the last all capitalised words, also those that begin a sentence.
     """
-    return [F.split(F.replace(text, F.lit(_NAMED), F.lit("")), r"\s+"),
-            F.split(F.regexp_replace(text, rf"{_NAMED}\S*", NAME), r"\s+")]
+    def without(marks: str, column: Column) -> Column:
+        return F.translate(column, marks, "")
+
+    return [F.split(out, r"\s+") for out in (
+        without(_NAMED + _CAPITALISED, text),
+        without(_CAPITALISED, F.regexp_replace(text, rf"{_NAMED}\S*", NAME)),
+        F.regexp_replace(text, rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
 
 
 def starts(words: Column, before: Column | None = None) -> Column:
@@ -97,16 +116,23 @@ def hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
 def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset.
 
-    A place has a row in the first variant, and one in each other variant whose words differ there.
+    A place has a row in the first variant, and one in each other variant whose words differ there. In the last
+    variant windows with fewer than ``PLAIN`` plain words are left out: capitals alone would fit each other.
     """
-    words, variants = _variants(rows, [*keys, "text"])
-    each = [F.struct(F.col(w).alias("words"), starts(F.col(w), None if b is None else F.col(b)).alias("starts"))
-            for w, b in variants]
-    out = (words.select(*keys, F.split("text", r"\s+").alias("raw"), F.explode(F.array(*each)).alias("v"))
-           .select(*keys, "raw", "v.words", F.explode("v.starts").alias(place)))
-    offsets = F.array(*[F.when(F.get("words", F.col(place) + k).rlike(_SLOT), F.get("raw", F.col(place) + k))
-                        for k in range(WINDOW)])
-    return out.select(*keys, place, _hash("words", F.col(place)).alias("hash"), offsets.alias("slots"))
+    words, variants = _variants(rows.withColumn("__raw", F.split("text", r"\s+")), [*keys, "__raw"])
+
+    def made(w: str, before: str | None) -> Column:
+        def window(i: Column) -> Column:
+            slots = [F.when(F.get(w, i + k).rlike(_SLOT), F.get("__raw", i + k)) for k in range(WINDOW)]
+            return F.struct(i.alias("place"), _hash(w, i).alias("hash"), F.array(*slots).alias("slots"))
+
+        out = F.transform(starts(F.col(w), None if before is None else F.col(before)), window)
+        enough = F.filter(out, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN)
+        return enough if w == variants[-1][0] else out
+
+    # windows are put together inside the row: exploded first, each would carry all words of its text
+    each = words.select(*keys, F.explode(F.concat(*[made(w, b) for w, b in variants])).alias("w"))
+    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:

@@ -86,3 +86,16 @@ def test_a_conflicting_slot_drops_its_own_windows_only(spark):
     one_value, one_origin = item.replace("5", "7", 1), item.replace("3", "5")
     got = found(spark, [(1, one_value), (2, one_origin), (3, item)], [(1, item)])
     assert {i: r["n_matched"] for (i, _), r in got.items()} == {1: 51, 2: 51, 3: 56}
+
+
+def test_names_at_the_start_number_words_and_units(spark):
+    pairs = [("Tom has 5 apples. Tom gives 2 to Mary.", "Sam has 7 apples. Sam gives 3 to Ann."),
+             ("then the teacher asked why O'Brien walked home so early", "then the teacher asked why O’Hara walked home so early"),
+             ("a worker needs three days for a wall and two for a door", "a worker needs 4 days for a wall and six for a door"),
+             ("she reads for 1 hour and drives a 4 mile lap in the rain", "she reads for 2 Days and drives a 3 KM lap in the rain"),
+             ("how long does \"Rob\" wait if \"Rob\" leaves one day late", "how long does \"Jim\" wait if \"Jim\" leaves twenty-one weeks late")]
+    items = [(i, item) for i, (item, _) in enumerate(pairs)]
+    got = found(spark, [(i, f"xx yy {text} zz" if i else text) for i, (_, text) in enumerate(pairs)], items)
+    assert {k: r["reparameterised"] for k, r in got.items()} == {(i, i): True for i in range(len(pairs))}
+    capitals = [(1, "Who Wrote The Old Book About Rome"), (2, "MANY OTHER CAPITALS ARE HERE IN ROWS")]
+    assert found(spark, capitals[1:], capitals[:1]) == {}
