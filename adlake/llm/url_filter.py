@@ -17,6 +17,8 @@ from adlake.llm.common import stored
 SEED = 1_000_000_000
 DAMPING = 85                 # hundredths that move on
 ROUNDS = 10
+#: A walk has settled if three more rounds move no more than this in all (a ten-thousandth of the threshold).
+SETTLED = SEED // 200_000
 THRESHOLD = SEED // 20       # a third of what a host has whose pages are all blocked
 LINK = r"""(?i)(?:href|src)\s*=\s*["']([^"']*)["']"""
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -64,8 +66,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(above).filter("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds from seeds (host, trust, distrust)."""
+def _settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the masses of all hosts together differ by at most ``SETTLED``; a host that only one side has had nothing."""
+    change = before.withColumn("mass", -F.col("mass")).unionByName(after).groupBy("kind", "host").agg(
+        F.sum("mass").alias("change"))
+    return change.agg(F.coalesce(F.sum(F.abs("change").cast("double")), F.lit(0.0))).first()[0] <= SETTLED
+
+
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, trust, distrust).
+
+    After ``rounds`` rounds from the whole seeds; without ``rounds`` from the share that stays, until all
+    hosts together change by at most ``SETTLED``. Masses only grow then, and what moves shrinks by ``DAMPING``
+    a round, so no host can still get twice that.
+    """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degrees = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
@@ -73,18 +87,23 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     start = stored(seeds.select("host", F.explode(F.create_map(
         F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass")).filter("mass > 0"), "seeds")
     held = start.select("kind", "host", F.expr(f"mass * {100 - DAMPING} div 100").alias("mass"))
-    state = start
-    for i in range(rounds):
+    state = start if rounds is not None else stored(held, "state")
+    before, i = state, 0
+    while rounds is None or i < rounds:
         moved = state.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), F.expr(f"mass * {DAMPING} div 100 div degree").alias("mass"))
         state = held.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 3 == 2 or i == rounds - 1:
+        i += 1
+        if i % 3 == 0 or i == rounds:
             state = stored(state, "state")
+            if rounds is None and _settled(before, state):
+                break
+            before = state
     one = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(k) for k in ("trust", "distrust")}
     return state.groupBy("host").agg(*one.values())
 
 
-def judged(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS, threshold: int = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame, rounds: int | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of pages (page_id, url, html).
 
     A null url or one without ``://`` has empty host and path, fits no rule, is no seed and is

@@ -67,3 +67,16 @@ def test_empty_and_repeated(spark):
     assert judged(spark, []) == {}
     pages = spark.createDataFrame([(1, "http://x.org/a", "")] * 5, "page_id long, url string, html string")
     assert u.judged(pages, rules(spark)).count() == 5
+
+
+def test_long_chains_and_cycles_settle(spark):
+    chain = [(0, "http://bad.net/", "")] + [
+        (i, f"http://h{i}.org/x", f'<a href="http://{"bad.net" if i == 1 else f"h{i - 1}.org"}/">') for i in range(1, 15)]
+    got = judged(spark, chain)
+    for i, r in got.items():
+        assert abs(r["distrust"] - .15 * .85 ** i * u.SEED) < 100, i
+    assert [i for i, r in got.items() if r["verdict"] == "block"] == [i for i in got if .15 * .85 ** i >= .05]
+    cycle = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seed = spark.createDataFrame([("a", u.SEED, 0)], "host string, trust long, distrust long")
+    trust = {r["host"]: r["trust"] / u.SEED for r in rows(u.spread(cycle, seed, None))}
+    assert abs(trust["a"] - .15 / (1 - .85 ** 2)) < 1e-4 and abs(trust["b"] - .15 * .85 / (1 - .85 ** 2)) < 1e-4
