@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import chat, decontaminate, langid, licenses, mixing, sharding, simhash, spans, topk, url_filter
+from adlake.llm import (
+    chat, decontaminate, langid, licenses, merkle, mixing, sharding, simhash, spans, topk, url_filter,
+)
 from adlake.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +304,102 @@ SELECT doc_id, path, coalesce(license, theirs) AS license, cosine,
        CASE WHEN license IS NULL THEN above END AS from_directory
 FROM own LEFT JOIN nearest USING (dir)
 """
+
+
+def _crc32(text: str) -> str:
+    """DuckDB's unsigned crc32 of the UTF-8 bytes of ``text``; a table ``crc`` must hold the list ``tab``."""
+    raw = f"hex(encode({text}))"
+    codes = f"list_transform(range(0, length({raw}) // 2), lambda i: CAST('0x' || substr({raw}, 2 * i + 1, 2) AS BIGINT))"
+    step = "xor(c >> 8, tab[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {step}), 4294967295)"
+
+
+#: The table of the CRC-32 polynomial, by its rule.
+_CRC_TABLE = """crc AS (
+    SELECT list(c ORDER BY n) AS tab FROM (
+        SELECT n, list_reduce(list_concat([n], range(0, 8)),
+               lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(0, 256)) AS n) AS numbers) AS entries)"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered leaf folds to."""
+    docs = _table(spark, folder, "documents").select(
+        F.col("doc_id").cast("long"), "source", "lang", F.col("n_chars").cast("long"), "text")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    made = merkle.manifest(docs.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("group"), merkle.leaf([*head, F.col("text")]).alias("digest"),
+        F.when(tampered, merkle.leaf([*head, merkle.ascii_lower(F.col("text"))])).alias("other"))
+        .withColumn("presented", F.coalesce("other", "digest")).drop("other"))
+    return made.checked("id long", "presented").withColumnRenamed("id", "doc_id")
+
+
+def _climb(name: str, part: str, levels: int) -> str:
+    """Levels of trees over ``{name}0`` (part, place, key, h, trail): each run of 16 becomes one node; ``{name}l`` has
+    the place, siblings and node of each start at every level, ``{name}r`` the roots."""
+    out = []
+    for i in range(levels):
+        out.append(f"""{name}n{i} AS (
+    SELECT {part}, place // 16 AS up, list(h ORDER BY place) AS run, any_value(many) AS many FROM (
+        SELECT *, count(*) OVER (PARTITION BY {part}) > 1 AS many FROM {name}{i}) AS m GROUP BY {part}, place // 16),
+{name}{i + 1} AS (
+    SELECT {part}, up AS place, CASE WHEN many THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}n{i})""")
+    return ",\n".join(out)
+
+
+def _trail(name: str, part: str, levels: int) -> str:
+    """All siblings of the start at ``place``, level by level; to be used with joins ``{name}j``."""
+    one = "CASE WHEN {n}.many THEN array_to_string({n}.run[:t.place // {w} % 16], '') || array_to_string({n}.run[t.place // {w} % 16 + 2:], '') ELSE '' END"
+    return " || ".join(one.format(n=f"{name}n{i}", w=16 ** i) for i in range(levels))
+
+
+def _fold(name: str, h: str, levels: int) -> str:
+    for i in range(levels):
+        n, at = f"{name}n{i}", f"(t.place // {16 ** i} % 16)"
+        h = (f"CASE WHEN {n}.many THEN sha256(array_to_string({n}.run[:{at}], '') || {h} || "
+             f"array_to_string({n}.run[{at} + 2:], '')) ELSE {h} END")
+    return h
+
+
+def _joins(name: str, part: str, levels: int) -> str:
+    return " ".join(f"JOIN {name}n{i} ON {name}n{i}.{part} = t.{part} AND {name}n{i}.up = t.place // {16 ** (i + 1)}"
+                    for i in range(levels))
+
+
+#: The SQL climbs so many levels of 16: over 16 million documents a source, and 4,096 sources.
+_LEVELS, _TOP_LEVELS = 6, 3
+
+
+def _sql_leaf(text: str) -> str:
+    def part(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    return f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH {_CRC_TABLE},
+docs AS (
+    SELECT doc_id, coalesce('=' || source, '') AS source, {_sql_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN
+           {_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+    FROM documents, crc),
+t AS (
+    SELECT *, coalesce(other, leaf) AS presented,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM docs),
+a0 AS (SELECT source, place, leaf AS h FROM t),
+{_climb("a", "source", _LEVELS)},
+inner_proofs AS (
+    SELECT t.doc_id, t.source, t.leaf, {_trail("a", "source", _LEVELS)} AS trail, {_fold("a", "t.presented", _LEVELS)} AS back
+    FROM t {_joins("a", "source", _LEVELS)}),
+s AS (SELECT 0 AS whole, source, h, row_number() OVER (ORDER BY source) - 1 AS place FROM a{_LEVELS}),
+b0 AS (SELECT whole, place, h FROM s),
+{_climb("b", "whole", _TOP_LEVELS)},
+proofs AS (
+    SELECT p.doc_id, p.leaf, t.h AS subroot, b{_TOP_LEVELS}.h AS root,
+           p.trail || {_trail("b", "whole", _TOP_LEVELS)} AS trail, {_fold("b", "p.back", _TOP_LEVELS)} AS folded_root
+    FROM inner_proofs AS p JOIN s AS t USING (source) JOIN b{_TOP_LEVELS} ON true {_joins("b", "whole", _TOP_LEVELS)})
+SELECT doc_id, leaf, subroot, root, sha256(trail) AS proof_sha256, folded_root, folded_root = root AS verified FROM proofs
+"""
