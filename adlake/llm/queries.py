@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlake.llm import (
-    chat, decontaminate, langid, licenses, merkle, mixing, sharding, simhash, spans, topk, url_filter,
+    chat, decontaminate, langid, licenses, merkle, mixing, sharding, simhash, spans, topk, url_filter, warc,
 )
 from adlake.llm.common import word_count
 
@@ -403,3 +403,21 @@ proofs AS (
     FROM inner_proofs AS p JOIN s AS t USING (source) JOIN b{_TOP_LEVELS} ON true {_joins("b", "whole", _TOP_LEVELS)})
 SELECT doc_id, leaf, subroot, root, sha256(trail) AS proof_sha256, folded_root, folded_root = root AS verified FROM proofs
 """
+
+
+@query
+def op12_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives of all pages say when they are read back."""
+    records = warc.read(spark, warc.write(_table(spark, folder, "pages")))
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+ORACLES["op12_warc_archives"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+shared AS (
+    SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN shared ON p.html = shared.html
+"""
