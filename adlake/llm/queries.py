@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlake.llm import (
-    chat, decontaminate, langid, licenses, merkle, mixing, sharding, simhash, spans, topk, url_filter, warc,
+    chat, decontaminate, langid, licenses, merkle, mixing, sharding, simhash, spans, spelling, topk, url_filter,
+    warc,
 )
 from adlake.llm.common import word_count
 
@@ -421,3 +422,43 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html)
        CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM p LEFT JOIN shared ON p.html = shared.html
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, form and root of every word of the documents, with planted misspellings."""
+    return spelling.grouped(spelling.vocabulary(_table(spark, folder, "documents"), mangle=31))
+
+
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS salted, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+        FROM documents) AS r
+    WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, times, {_crc32("salted")} AS h FROM runs, crc),
+cut AS (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM hashed),
+words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+shorter AS (
+    SELECT word, n, length(word) AS size, i, word[:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM shorter AS a JOIN shorter AS b
+    ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM shorter AS a JOIN words AS b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM shorter AS a JOIN words AS b ON a.rest = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+           CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+followed AS (
+    SELECT word, word AS root, 0 AS steps FROM words
+    UNION ALL SELECT f.word, g.form, steps + 1 FROM followed AS f JOIN formed AS g ON f.root = g.word WHERE g.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, steps) FROM followed AS f WHERE f.word = formed.word) AS root, n, n_near, form_n
+FROM formed
+"""
