@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zstandard
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def to_tasks(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
+def zstd_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained Zstandard dictionary of at most ``size`` bytes; empty where the samples are too few, small or alike."""
+    total = sum(map(len, samples))
+    if len(samples) < 16 or total < 8 * 1024:
+        return b""
+    try:
+        return zstandard.train_dictionary(min(size, total // 4), samples, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def word_count(text: Column) -> Column:
     """Words parted by ASCII white space; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm.common import stored, to_tasks
+from adlake.llm.common import stored, to_tasks, zstd_dictionary
 from adlake.session import scratch_path
 
 #: Fixed values of the two formats.
@@ -46,14 +46,7 @@ def learned_dictionary(pages: DataFrame, dictionary_bytes: int = 1 << 16, sample
     found = (pages.filter(F.length("html") > 0)
              .select(F.xxhash64("page_id", "url").alias("rank"), F.substr("html", start.cast("int"), F.lit(excerpt)).alias("cut"))
              .orderBy("rank", "cut").limit(samples).collect())
-    cuts = [r["cut"].encode() for r in found]
-    if len(cuts) < 16 or sum(map(len, cuts)) < 8 * 1024:
-        return b""
-    size = min(dictionary_bytes, sum(map(len, cuts)) // 4)
-    try:
-        return zstandard.train_dictionary(size, cuts, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:   # samples too much alike
-        return b""
+    return zstd_dictionary([r["cut"].encode() for r in found], dictionary_bytes)
 
 
 def record(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, size: int,

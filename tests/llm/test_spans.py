@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from helpers import rows, words
 
 from adlake.llm import spans
@@ -56,11 +58,11 @@ def test_hot_minimisers_take_another_route_to_the_same_result(spark):
     data = [(i, f"start{i} " + " ".join(f"c{j}" for j in range(40)) + f" end{i}") for i in range(120)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     one = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS key", "text")
-    hot = spans.hot_minimisers(one, 20, 5, 0.01, 1)
+    hot = spans.hot_minimisers(one, 20, 5, 0.01, 1, 120)
     assert len(hot)
 
     def flat(share, one_in):
-        found = spans.repeated_spans(one, 20, 5, share=share, one_in=one_in, buckets=4)
+        found = spans.repeated_spans(one, 20, 5, spans.layout(one, 20, 5, share, one_in, buckets=4))
         cover = {}
         for r in rows(found):
             cover.setdefault((r["doc"], r["key"]), set()).update(
@@ -75,22 +77,22 @@ def test_pieces_of_a_long_text_give_the_same(monkeypatch, spark):
     data = corpus(9, 40)
     long = [(1, " ".join(t for _, t in data if t)), *data]
     monkeypatch.setattr(spans, "WORDS_AT_ONCE", 50)
-    import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in long], pa.int64()),
                                         pa.array(range(len(long)), pa.int64()), pa.array([t for _, t in long])],
                                        ["doc", "key", "text"])
-    packed = {}
+    packed, coder, found = {}, zstandard.ZstdDecompressor(), []
     monkeypatch.setattr(spans, "PACK_BYTES", 2000)
-    for bucket, _, data_ in spans._entries(iter([batch]), 6, 2, 3, np.zeros(0, np.uint64)):
-        packed.setdefault(bucket, []).append(data_)
+    for bucket, _, runs, late in spans._entries(iter([batch]), 6, 2, 3, np.zeros(0, np.uint64), b""):
+        if late:
+            found.append(spans._repeats(coder.decompress(late)))
+        else:
+            packed.setdefault(bucket, []).append(coder.decompress(runs))
+    assert found and all(len(got) > 1 for got in packed.values())
+    found += [spans._later(got, 6, part, 4) for got in packed.values() for part in range(4)]
     gone = {}
-    for got in packed.values():
-        for part in range(4):
-            found = spans._later(got, 6, part, 4)
-            if not found:
-                continue
-            for k, s, n in zip(found["key"].tolist(), found["start"].tolist(), found["n"].tolist()):
-                gone.setdefault(k, set()).update(range(s, s + n))
+    for one in filter(None, found):
+        for k, s, n in zip(one["key"].tolist(), one["start"].tolist(), one["n"].tolist()):
+            gone.setdefault(k, set()).update(range(s, s + n))
     want = brute(long, 6)
     assert sorted((d if d is not None else -1, len(gone.get(i, ()))) for i, (d, _) in enumerate(long)) == \
         sorted((d, n) for d, _, n, _ in want)
@@ -99,3 +101,23 @@ def test_pieces_of_a_long_text_give_the_same(monkeypatch, spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spans.without_repeats(empty).count() == 0
+
+
+def test_a_task_sends_one_place_of_a_run(spark):
+    """A passage that every document has goes to its bucket once a task; its other places are packed apart."""
+    passage = " ".join(f"p{j}" for j in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(range(500), pa.int64()),
+                                        pa.array([passage] * 500)], ["doc", "key", "text"])
+    out = list(spans._entries(iter([batch]), 20, 3, 4, np.zeros(0, np.uint64), b""))
+    coder = zstandard.ZstdDecompressor()
+    places = [spans._unpacked(coder.decompress(runs))[3] for _, _, runs, _ in out if runs]
+    assert all((doc == 0).all() for _, _, doc, _, _ in places)
+    late = [spans._repeats(coder.decompress(x)) for _, _, _, x in out if x]
+    assert sum(set(range(1, 500)) <= set(x["doc"].tolist()) for x in late) == 1
+
+
+def test_more_buckets_for_more_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, i, "word " * 100) for i in range(100)], "doc long, key long, text string")
+    few = spans.layout(docs, 20, 3).buckets
+    monkeypatch.setattr(spans, "BUCKET_BYTES", 5000)
+    assert few == 4 and 20 < spans.layout(docs, 20, 3).buckets < 60
