@@ -103,15 +103,14 @@ def translate_items(items: DataFrame, text: str, glossary: DataFrame, source: st
     """Adds ``needs`` (by default: the text starts with an Arabic letter) and ``translated``:
     the glossary's entry, null while there is none, or the text itself if it needs none.
 
-    Only texts that need it go through the join.
+    The items are made and read once: a text that needs none meets no entry, in the same join. Where
+    the glossary is too large to broadcast, AQE can split a hot text.
     """
     needs = starts_arabic(F.col(text)) if needs is None else needs
     flagged = items.withColumn("needs", F.coalesce(needs, F.lit(False)))
-    terms = lookup_side(
-        glossary.select(F.col(source).alias(text), F.col(target).alias("translated")), [text])
-    foreign = flagged.filter("needs").join(terms, text, "left").select(*flagged.columns, "translated")
-    plain = flagged.filter("NOT needs").withColumn("translated", F.col(text))
-    return foreign.unionByName(plain)
+    terms = lookup_side(glossary.select(F.col(source).alias("_source"), F.col(target).alias("_target")), ["_source"])
+    found = flagged.join(terms, (F.col(text) == F.col("_source")) & F.col("needs"), "left")
+    return found.select(*flagged.columns, F.when(F.col("needs"), F.col("_target")).otherwise(F.col(text)).alias("translated"))
 
 
 def nothing_to_translate(ids: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,64 +59,79 @@ def country_totals(months: DataFrame) -> DataFrame:
 
 def top_categories(months: DataFrame, n: int = 5) -> DataFrame:
     """The n largest categories of each country, ties by name."""
+    return _largest(category_totals(months), n)
+
+
+def _per_category(months: DataFrame) -> DataFrame:
+    """Per country and category: total over all months and over dated ones, first and last month."""
+    return months.groupBy("country", "cat").agg(
+        F.sum("total").alias("total"), F.sum(F.when(F.col("month").isNotNull(), F.col("total"))).alias("dated"),
+        F.min("month").alias("low"), F.max("month").alias("high"))
+
+
+def _largest(per_cat: DataFrame, n: int) -> DataFrame:
+    """The n largest categories of each country, ties by name. Each task keeps n of a country before
+    the shuffle, so a country's categories never meet."""
     order = Window.partitionBy("country").orderBy(F.desc(F.round("total", 9)), "cat")
-    return (category_totals(months).withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= n))
+    return per_cat.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def _beside(df: DataFrame, per_country: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``per_country`` (one row a country, the null country too)."""
+    other = per_country.withColumnRenamed("country", "_country")
+    return df.join(other, F.col("country").eqNullSafe(F.col("_country"))).drop("_country")
 
 
 def top_share(months: DataFrame, n: int = 5) -> DataFrame:
     """Whole percent of all ads of a country that its n largest categories hold. Undated
     ads are left out above the line, not below it."""
-    per_cat = months.groupBy("country", "cat").agg(
-        F.sum("total").alias("total"),
-        F.sum(F.when(F.col("month").isNotNull(), F.col("total"))).alias("dated"))
-    order = Window.partitionBy("country").orderBy(F.desc(F.round("total", 9)), "cat")
-    place = per_cat.withColumn("place", F.row_number().over(order))
-    share = 100 * F.sum(F.when(F.col("place") <= n, F.col("dated"))) / F.sum("total")
-    return place.groupBy("country").agg(F.floor(F.round(share, 6)).cast("int").alias("top_pct"))
+    per_cat = _per_category(months)
+    largest = _largest(per_cat, n).groupBy("country").agg(F.sum("dated").alias("dated"))
+    both = _beside(per_cat.groupBy("country").agg(F.sum("total").alias("total")), largest)
+    return both.select("country", F.floor(F.round(100 * F.col("dated") / F.col("total"), 6)).cast("int").alias("top_pct"))
 
 
-def _by_country(months: DataFrame, top: int) -> DataFrame:
-    """One row per country: its categories with their dated months, and the first and last
-    month of the ``top`` largest, ties by name. A country's row grows with its categories
-    times months, not with its ads."""
-    pairs = F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "total")))
-    cats = months.groupBy("country", "cat").agg(
-        F.sum("total").alias("total"), F.map_from_entries(pairs).alias("by_month"))
-    each = F.struct((-F.round("total", 9)).alias("order"), "cat", F.map_entries("by_month").alias("months"))
-    rows = cats.groupBy("country").agg(F.array_sort(F.collect_list(each)).alias("cats"))
-    seen = F.flatten(F.transform(F.slice("cats", 1, top), lambda c: c["months"]["key"]))
-    return rows.withColumns({"first_month": F.array_min(seen), "last_month": F.array_max(seen)})
+def _span(per_cat: DataFrame, n: int) -> DataFrame:
+    return _largest(per_cat, n).groupBy("country").agg(F.min("low").alias("first_month"), F.max("high").alias("last_month"))
 
 
 def month_span(months: DataFrame, n: int = 5) -> DataFrame:
     """First and last month in which a country's n largest categories occur."""
-    dated_only = F.exists("cats", lambda c: F.size(c["months"]) > 0)
-    return _by_country(months, n).filter(dated_only).select("country", "first_month", "last_month")
+    per_cat = _per_category(months)
+    dated_only = per_cat.groupBy("country").agg(F.max("high").alias("_high")).filter(F.col("_high").isNotNull())
+    return _beside(_span(per_cat, n), dated_only).drop("_high")
 
 
 def category_change(months: DataFrame, n: int = 20, top: int = 5) -> DataFrame:
     """Change of each category from the first to the last month of ``month_span``, with its
     place from below and above; the n lowest and n highest. Categories that lack one of
-    the two months have no change and no place."""
-    def at(c: Column, month: str) -> Column:
-        return F.get(F.filter(c["months"], lambda m: m["key"] == F.col(month)), F.lit(0))["value"]
-
-    changes = F.filter(F.transform("cats", lambda c: F.struct(
-        c["cat"].alias("cat"), (at(c, "last_month") - at(c, "first_month")).alias("change"))),
-        lambda c: c["change"].isNotNull())
-    rows = _by_country(months, top).select("country", changes.alias("changes"))
-
-    def sorted_by(sign: int) -> Column:
-        keyed = F.transform("changes", lambda c: F.struct(
-            (sign * F.round(c["change"], 9)).alias("o"), c["cat"].alias("cat"), c["change"].alias("change")))
-        return F.transform(F.array_sort(keyed), lambda c: F.struct(c["cat"].alias("cat"), c["change"].alias("change")))
-
-    rows = rows.select("country", sorted_by(1).alias("up"), sorted_by(-1).alias("down"))
-    ends = F.array_union(F.slice("up", 1, n), F.slice("down", 1, n))
-    return rows.select("country", "up", "down", F.explode(ends).alias("c")).select(
-        "country", "c.cat", "c.change", F.array_position("up", F.col("c")).cast("int").alias("lowest"),
-        F.array_position("down", F.col("c")).cast("int").alias("highest"))
+    the two months have no change and no place.
+
+    The n lowest and n highest are found as in ``_largest``. The place of one of the lowest from above
+    follows from the number of changes and how many are equal to it, so no task sorts a country.
+    """
+    spanned = _beside(months, _span(_per_category(months), top))
+
+    def at(month: str) -> Column:
+        return F.max(F.when(F.col("month") == F.col(month), F.col("total")))
+
+    changes = (spanned.groupBy("country", "cat").agg((at("last_month") - at("first_month")).alias("change"))
+               .filter(F.col("change").isNotNull()).withColumn("_order", F.round("change", 9)))
+    equal = changes.groupBy(F.col("country").alias("_country"), F.col("_order").alias("_value")).agg(F.count(F.lit(1)).alias("_equal"))
+    number = equal.groupBy(F.col("_country").alias("country")).agg(F.sum("_equal").alias("_number"))
+    # Both ends in one frame: each change once as it is and once with its sign turned.
+    sides = changes.withColumn("_side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("_key", F.col("_side") * F.col("_order"))
+    by = Window.partitionBy("country", "_side").orderBy("_key", "cat")
+    picked = sides.withColumn("_near", F.row_number().over(by)).filter(F.col("_near") <= n)
+    picked = picked.withColumn("_before", F.rank().over(Window.partitionBy("country", "_side").orderBy("_key")) - 1)
+    counted = _beside(picked, number).join(
+        equal, F.col("country").eqNullSafe(F.col("_country")) & (F.col("_order") == F.col("_value")))
+    # From the other end: all that lie beyond it, and of its equals those ahead by name.
+    far = (F.col("_number") - F.col("_before") - F.col("_equal") + F.col("_near") - F.col("_before")).cast("int")
+    low = F.col("_side") == 1
+    return counted.select(
+        "country", "cat", "change", F.when(low, F.col("_near")).otherwise(far).alias("lowest"),
+        F.when(low, far).otherwise(F.col("_near")).alias("highest")).distinct()
 
 
 def pivot_months(months: DataFrame, categories: Sequence[str], rest: str = "other") -> DataFrame:

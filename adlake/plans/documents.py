@@ -112,7 +112,7 @@ def needs_translation(t):
 @query("nothing_to_translate", f"""WITH {ITEMS} SELECT doc_id FROM documents
     WHERE doc_id NOT IN (SELECT doc_id FROM items WHERE needs)""")
 def nothing_to_translate(t):
-    return nested.nothing_to_translate(t.documents, translated(t).filter("needs"), ["doc_id"])
+    return nested.nothing_to_translate(t.documents, words(t).filter(F.col("item").rlike(FOREIGN)), ["doc_id"])
 
 
 # Pages

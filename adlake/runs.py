@@ -141,10 +141,15 @@ def load_summaries(links: DataFrame, cards: DataFrame, stored_links: DataFrame,
             "summary": _save(_added(cards, stored, "ad_summary"), f"{out}/summary")}
 
 
-def _encoded(ads: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Rare values collapsed, then an indicator column per value that is left."""
-    common = encode.collapse_rare(ads, columns)
-    return encode.one_hot(common, {c: encode.indicator_values(common, c) for c in columns})
+def _encoded(ads: DataFrame, columns: Sequence[str], path: str) -> tuple[DataFrame, list[str]]:
+    """Rare values collapsed, then an indicator column per value that is left.
+
+    The collapsed rows are written once; the values of all columns then come from one aggregate over these columns.
+    """
+    common = _save(encode.collapse_rare(ads, columns), path)
+    # At most 1 / share values and the one for the rest are left of a column.
+    left = common.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    return encode.one_hot(common, {c: left[f"v{i}"] for i, c in enumerate(columns)})
 
 
 def classified_features(listing: DataFrame, page: DataFrame, out: str, exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
@@ -160,7 +165,7 @@ def classified_features(listing: DataFrame, page: DataFrame, out: str, exclude:
     ads = ads.withColumns({
         "daysposted": dates.days_between(F.col("downloaddate"), F.col("postdate")), "month": dates.month_start(F.col("postdate")),
         **flags, **features.compensation(F.col("compensation"))})
-    hot, names = _encoded(ads, rules.ENCODE_COLUMNS)
+    hot, names = _encoded(_save(ads, f"{out}/ads"), rules.ENCODE_COLUMNS, f"{out}/collapsed")
     hot = _save(hot, f"{out}/features")
     means = stats.summary_stats(hot, ["country", "jobsector"], "uid", [*rules.AVERAGE_COLUMNS, *flags, *names])
     return {"features": hot, "summary": _save(means, f"{out}/summary")}
@@ -183,10 +188,10 @@ def board_features(listing: DataFrame, page: DataFrame, out: str, names: DataFra
         "days_posted": dates.days_between(F.col("downloaddate"), F.col("postdate")),
         "tokens": text.clean_tokens(wanted)})
     ads = encode.first_items(combine.map_or_keep(ads, "company", names), "industries", "ind")
-    ads = encode.skill_tags(ads, "tokens").drop("tokens")
+    ads = _save(encode.skill_tags(ads, "tokens").drop("tokens"), f"{out}/ads")
     industries = encode.indicator_values(ads, "ind0")
     ads = encode.multi_hot(ads, ["ind0", "ind1", "ind2"], industries, "industry", rest="other")
-    hot, new = _encoded(ads, rules.ENCODE_JOB_COLUMNS)
+    hot, new = _encoded(ads, rules.ENCODE_JOB_COLUMNS, f"{out}/collapsed")
     hot = _save(hot, f"{out}/features")
     means = stats.summary_stats(hot, ["country", "ind0"], "uid", [*rules.AVERAGE_JOB_COLUMNS, *new])
     return {"features": hot, "summary": _save(means, f"{out}/summary"),

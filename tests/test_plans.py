@@ -55,6 +55,17 @@ def test_small_side_is_broadcast_once_its_size_is_known(spark, sf_dir, key):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_trends_need_no_window(spark, sf_dir):
-    for key in ("category_change", "first_last_month"):
-        assert plan(spark, sf_dir, key).count("Window [") <= plan(spark, sf_dir, "weighted_monthly").count("Window [")
+def test_trends_gather_no_country(spark, sf_dir):
+    for key in ("category_change", "first_last_month", "top5_share"):
+        text = plan(spark, sf_dir, key)
+        assert "collect_list" not in text and "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_line_items_are_not_dealt_out_before_their_aggregate(spark, sf_dir):
+    for key in ("cats_per_ad", "weighted_counts", "pivot_month_cat"):
+        assert "REBALANCE" not in plan(spark, sf_dir, key)
+
+
+def test_translation_reads_the_documents_once(spark, sf_dir):
+    query = catalog.QUERIES["needs_translation"](spark, sf_dir)._jdf.queryExecution()
+    assert query.executedPlan().toString().split("== Initial Plan ==")[0].count("documents.parquet") == 1

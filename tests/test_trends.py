@@ -77,6 +77,51 @@ def test_share_and_span_and_change(spark):
     assert {(r.cat, r.change, r.lowest, r.highest) for r in change} == {("a", -4.0, 1, 2), ("d", -0.25, 2, 1)}
 
 
+def brute_change(months, n, top):
+    """Places of all changes of each country, by sorting them all."""
+    out = set()
+    for country in {r[0] for r in months}:
+        rows = [r for r in months if r[0] == country]
+        name = lambda c: (c is not None, c or "")
+        totals = {c: sum(r[3] for r in rows if r[2] == c) for c in {r[2] for r in rows}}
+        largest = sorted(totals, key=lambda c: (-round(totals[c], 9), name(c)))[:top]
+        seen = [r[1] for r in rows if r[2] in largest and r[1]]
+        if not seen:
+            continue
+        at = {(r[2], r[1]): r[3] for r in rows}
+        change = {c: at[c, max(seen)] - at[c, min(seen)] for c in totals if (c, max(seen)) in at and (c, min(seen)) in at}
+        up = sorted(change, key=lambda c: (round(change[c], 9), name(c)))
+        down = sorted(change, key=lambda c: (-round(change[c], 9), name(c)))
+        out |= {(country, c, change[c], up.index(c) + 1, down.index(c) + 1) for c in up[:n] + down[:n]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_changes_with_many_ties_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    keys = {(rng.choice(["eg", "jo", None]), rng.choice([None, *(date(2020, m, 1) for m in range(1, 4))]),
+             rng.choice([None, *(f"c{i}" for i in range(25))])) for _ in range(400)}
+    months = [(*k, float(rng.randint(0, 3))) for k in keys]
+    df = spark.createDataFrame(months, "country string, month date, cat string, total double")
+    got = trends.category_change(df, n=4, top=3).collect()
+    assert {tuple(r) for r in got} == brute_change(months, 4, 3) and len(got) == len(set(got))
+
+
+def test_a_country_of_many_categories(spark):
+    months = spark.range(300_000).selectExpr(
+        "'eg' AS country", "IF(id % 2 = 0, DATE '2020-01-01', DATE '2020-05-01') AS month",
+        "concat('c', lpad(id div 2, 6, '0')) AS cat", "CAST(IF(id < 4, 1000, id * 7919 % 1009) AS DOUBLE) AS total")
+    months = months.unionByName(months.selectExpr("IF(cat < 'c000003', 'jo', NULL) AS country", "month", "cat", "total")
+                                .filter("cat < 'c000006'"))
+    got = trends.category_change(months, n=20).filter("country = 'eg'").collect()
+    total = [1000 if i < 4 else i * 7919 % 1009 for i in range(300_000)]
+    change = {f"c{i:06}": total[2 * i + 1] - total[2 * i] for i in range(150_000)}
+    up = {c: k for k, c in enumerate(sorted(change, key=lambda c: (change[c], c)), 1)}
+    down = {c: k for k, c in enumerate(sorted(change, key=lambda c: (-change[c], c)), 1)}
+    assert {(r.cat, r.change, r.lowest, r.highest) for r in got} == {
+        (c, change[c], up[c], down[c]) for c in change if up[c] <= 20 or down[c] <= 20}
+
+
 def test_availability_and_shares(spark):
     df = spark.createDataFrame([("eg", "f", 1), ("eg", None, None), ("jo", "m", None), (None, "f", 2)],
                                "country string, gender string, age int")
