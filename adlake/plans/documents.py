@@ -13,7 +13,7 @@ from adlake.plans.registry import query
 from adlake.plans.roles import COUNTS
 from adlake.session import scratch_path
 from adlake.sources.tables import spread
-from adlake.streaming import ingest
+from adlake.streaming import incremental, ingest
 
 # Resumes: the turns of a conversation are the items of a document, the role its section.
 
@@ -245,3 +245,22 @@ def stream_upsert(t):
     path = scratch_path(t.spark, "upsert")
     ingest.upsert_available(arrivals, f"{path}/docs", f"{path}/checkpoint", "user_id", "ts", date(2024, 2, 1))
     return ingest.read_documents(t.spark, f"{path}/docs", "user_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("stream_first_wins_state", "SELECT DISTINCT event_id, user_id, event_type, value FROM events")
+def stream_first_wins_state(t):
+    path = scratch_path(t.spark, "state")
+    incremental.first_wins_stateful(t.spark, t.folder, t.events.schema, "events.parquet", f"{path}/rows", f"{path}/checkpoint",
+                                    ["event_id"], ["ts", "user_id", "event_type", "value"])
+    return t.spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "event_type", "value")
+
+
+@query("stream_upsert_buckets", """SELECT user_id, event_id, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def stream_upsert_buckets(t):
+    arrivals = ingest.read_files(t.spark, t.folder, t.events.schema, "events.parquet").select(
+        "user_id", "ts", "event_id", "event_type", "value")
+    path = scratch_path(t.spark, "buckets")
+    incremental.upsert_by_bucket(arrivals, f"{path}/docs", f"{path}/checkpoint", "user_id", "ts", date(2024, 2, 1), buckets=16)
+    incremental.compact_buckets(t.spark, f"{path}/docs", "user_id")
+    return incremental.present_documents(t.spark, f"{path}/docs", "user_id").select("user_id", "event_id", "event_type", "value")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from adlake import rules, runs
 from adlake.plans import roles
 from adlake.plans.features import sql_list, whole_word_sql
 from adlake.plans.registry import query
-from adlake.plans.roles import LISTING
+from adlake.plans.roles import LISTING, TODAY
 from adlake.session import scratch_path
+from adlake.sources import tables
 from adlake.sources.schemas import SCHEMAS
 
 # Line items are the page snapshots of an ad (an order).
@@ -88,3 +91,33 @@ def board_run(t):
     made = runs.board_features(page.select("country", "uid", "postdate").to(SCHEMAS["job_listing"]), page.to(SCHEMAS["job_page"]),
                                scratch_path(t.spark, "board"), names)
     return made["features"].select("uid", "expmin", "vacancies", "req_num", "req_bachelors", "province", "education_level", "ind0", "ind1")
+
+
+# The archive of the stored tables, in place: orders are the listing, line items its pages.
+
+ARCHIVE_DAYS = 2000   # the given dates are old
+
+OVER = f"""over AS (SELECT DISTINCT l_orderkey AS uid FROM lineitem
+    WHERE l_linestatus = 'F' AND l_returnflag = 'R' OR CAST(l_shipdate AS DATE) < DATE '{TODAY - timedelta(days=ARCHIVE_DAYS)}')"""
+
+
+@query("archive_in_place", f"""WITH {LISTING}, {OVER}, pages AS (
+        SELECT l_orderkey AS uid, country, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN listing ON l_orderkey = uid)
+    SELECT 'page' AS kept_in, country, uid, day FROM pages WHERE uid NOT IN (SELECT uid FROM over) UNION ALL
+    SELECT 'archive', country, uid, day FROM pages WHERE uid IN (SELECT uid FROM over) UNION ALL
+    SELECT 'listing', country, uid, postdate FROM listing WHERE uid NOT IN (SELECT uid FROM over)""")
+def archive_in_place(t):
+    ads = roles.listing(t).select("country", F.col("category").alias("jobsector"), "postdate", "uid")
+    line = t.lineitem.select(
+        F.col("l_orderkey").alias("uid"), F.col("l_shipdate").cast("date").alias("downloaddate"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"), "CLOSED").otherwise("OPEN").alias("stat"),
+        F.col("l_shipdate").cast("date").alias("postdate"))
+    path = scratch_path(t.spark, "in-place")
+    tables.write_table(ads.to(SCHEMAS["listing"]), f"{path}/listing", ["country"])
+    tables.write_table(line.join(ads.select("uid", "country"), "uid").to(SCHEMAS["page"]), f"{path}/page", ["country"])
+    runs.archive_run(t.spark, f"{path}/page", f"{path}/listing", f"{path}/archive", f"{path}/work", TODAY, max_days=ARCHIVE_DAYS)
+
+    def of(name, day):
+        return t.spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("kept_in"), "country", "uid", F.col(day).alias("day"))
+
+    return of("page", "downloaddate").unionByName(of("archive", "downloaddate")).unionByName(of("listing", "postdate"))

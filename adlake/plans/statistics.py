@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from adlake.functions import dates
 from adlake.functions.features import equals_flag
-from adlake.operators import combine, stats, terms, trends, worklist
+from adlake.operators import combine, month_store, stats, terms, trends, worklist
 from adlake.plans import roles
 from adlake.plans.registry import query
 from adlake.plans.roles import COUNTS, DOCS, LISTING, MONTHS, MULTICAT, POSTINGS, TODAY
+from adlake.session import scratch_path
 
 
 def rounded(df, *columns, places=6):
@@ -75,6 +76,19 @@ def weighted_counts(t):
     return rounded(trends.category_totals(trends.category_months(roles.multicat(t))), "total")
 
 
+@query("weighted_counts_loads", f"WITH {MONTHS} SELECT country, cat, round(total, 6) AS total FROM totals")
+def weighted_counts_loads(t):
+    """As ``weighted_counts``, in three loads by date: many ads gain a category in a later one."""
+    path = scratch_path(t.spark, "months")
+    ads = roles.multicat(t)
+    cuts = [date(1994, 1, 1), date(1997, 1, 1)]
+    parts = [F.col("postdate") < cuts[0], (F.col("postdate") >= cuts[0]) & (F.col("postdate") < cuts[1]),
+             F.coalesce(F.col("postdate") >= cuts[1], F.lit(True))]
+    for version, part in enumerate(parts):
+        month_store.load(ads.filter(part), path, version, buckets=16)
+    return rounded(trends.category_totals(month_store.category_months(t.spark, path)), "total")
+
+
 @query("weighted_counts_whole", f"""WITH {MONTHS} SELECT s.country, s.cat,
         sum(CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0 END) AS total
     FROM seen s JOIN cats c ON s.country = c.country AND s.uid = c.uid GROUP BY s.country, s.cat""")

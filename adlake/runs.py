@@ -6,12 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions import dates, features, text
 from adlake.operators import combine, encode, maintenance, nested, page_records, stats, trends, worklist
+from adlake.sources import partitioned
 from adlake.sources import tables as store
 from adlake.sources.schemas import KEYS, SCHEMAS
 
@@ -71,6 +72,34 @@ def load_run(fetched: DataFrame, listing: DataFrame, page: DataFrame, out: str,
     }
 
 
+def archive_run(spark: SparkSession, page: str, listing: str, archive: str, out: str, today: date,
+                by: Sequence[str] = ("country",), kinds: tuple[str, str] = ("page", "listing"),
+                max_days: int = maintenance.PAST_DAYS) -> dict[str, int]:
+    """Move ads that are over from the stored page and listing tables to the archive, in place.
+
+    All three are paths of tables partitioned ``by`` (``kinds`` names the schemas of the first two); the archive also has ``moved`` (the day) as its first
+    partition. Only partitions that hold an ad that is over, or an archived listing, are written again;
+    the number of those is returned per table. What is moved and what stays is written under ``out``
+    before a table is changed, so a run that broke off can be repeated with the same ``out``.
+    """
+    by = list(by)
+    pages, ads = (spark.read.schema(SCHEMAS[k]).parquet(path) for k, path in zip(kinds, (page, listing)))
+    gone = partitioned.staged(spark, f"{out}/gone", lambda: maintenance.gone_ads(pages, today, max_days))
+    moved = partitioned.staged(spark, f"{out}/moved", lambda: maintenance.archive_moved(pages, gone))
+    work = {}
+    for name, table, rows in (("page", page, pages), ("listing", listing, ads)):
+        touched = partitioned.staged(spark, f"{out}/{name}-touched", lambda rows=rows: rows.join(gone, "uid", "left_semi")
+                                     .select(*by).distinct()).collect()   # one row a partition
+        kept = partitioned.staged(spark, f"{out}/{name}-kept", lambda rows=rows, touched=touched: maintenance.archive_live(
+            rows.filter(partitioned.of_partitions(by, touched)), [gone]))
+        work[name] = (table, touched, kept)
+    if not moved.isEmpty():
+        store.refresh_partitions(moved.withColumn("moved", F.lit(today)), archive, ["moved", *by])
+    for table, touched, kept in work.values():
+        partitioned.replace_touched(table, by, touched, kept)
+    return {name: len(touched) for name, (_, touched, _) in work.items()}
+
+
 def detail_run(fetched: DataFrame, summary: DataFrame, detail: DataFrame, out: str) -> dict[str, DataFrame]:
     """Aggregator pages (country, uniqueid, html): new details, and the summaries without
     those whose page is dead."""

@@ -5,7 +5,8 @@ import pytest
 from adlake.plans import catalog
 
 READS_BACK = {"csv_roundtrip", "doc_scan", "raw_pages", "lookup_csv", "partition_overwrite", "month_flush", "first_wins",
-              "stream_first_wins", "stream_first_wins_exact", "stream_upsert", "classified_run", "board_run"}
+              "stream_first_wins", "stream_first_wins_exact", "stream_upsert", "classified_run", "board_run",
+              "stream_first_wins_state", "stream_upsert_buckets", "weighted_counts_loads", "archive_in_place"}
 
 
 def plan(spark, sf_dir, key):

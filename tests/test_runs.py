@@ -2,6 +2,7 @@ from datetime import date, datetime, timedelta
 
 from adlake import runs
 from adlake.operators import page_records
+from adlake.sources import tables as store
 from adlake.sources.schemas import SCHEMAS
 
 TODAY = date(2020, 6, 30)
@@ -37,6 +38,42 @@ def test_load_run(spark, tmp_path):
     assert sorted(r.uid for r in made["listing"].collect()) == [1, 3]
 
 
+def stamps(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_archive_run_writes_touched_partitions_alone(spark, tmp_path):
+    def page(uid, country, stat, days):
+        return {"country": country, "uid": uid, "postdate": ago(days), "downloaddate": ago(days), "stat": stat}
+
+    pages = [page(1, "egypt", "OPEN", 3), page(1, "egypt", "CLOSED", 2), page(2, "egypt", "OPEN", 3), page(3, "jor dan", "OPEN", 200),
+             page(4, "lebanon", "OPEN", 5), page(5, "lebanon", None, 5), page(6, None, "CLOSED", 5), page(7, None, "OPEN", 1)]
+    ads = [{"country": c, "uid": u, "postdate": ago(3)} for u, c in
+           ((1, "egypt"), (2, "egypt"), (3, "iraq"), (4, "lebanon"), (6, "tunis"), (8, "tunis"))]
+    paths = [str(tmp_path / n) for n in ("page", "listing", "archive")]
+    for rows, path, kind in ((pages, paths[0], "page"), (ads, paths[1], "listing")):
+        store.write_table(spark.createDataFrame(rows, SCHEMAS[kind]), path, ["country"])
+    before = stamps(tmp_path)
+    done = runs.archive_run(spark, *paths, str(tmp_path / "work"), TODAY)
+    assert done == {"page": 3, "listing": 3}
+
+    def left(path):
+        return sorted((r.uid, str(r.country)) for r in spark.read.parquet(path).collect())
+
+    want = [(2, "egypt"), (4, "lebanon"), (5, "lebanon"), (7, "None")], [(2, "egypt"), (4, "lebanon"), (8, "tunis")], [
+        (1, "egypt"), (1, "egypt"), (3, "jor dan"), (6, "None")]
+    assert [left(p) for p in paths] == list(want)
+    after = stamps(tmp_path)
+    same = [f for f, t in before.items() if after.get(f) == t]
+    assert same and all("country=lebanon" in f for f in same) and sum("country=lebanon" in f for f in before) == len(same)
+    assert not (tmp_path / "page" / "country=jor dan").exists()
+    # repeated, as after a failure: nothing changes, nothing is moved twice
+    assert runs.archive_run(spark, *paths, str(tmp_path / "work"), TODAY) == done and [left(p) for p in paths] == list(want)
+    # another day on which nothing is over
+    assert runs.archive_run(spark, *paths, str(tmp_path / "work2"), TODAY) == {"page": 0, "listing": 0}
+    assert [left(p) for p in paths] == list(want)
+
+
 def test_job_board_run(spark, tmp_path):
     listing = spark.createDataFrame([{"country": "egypt", "uid": 1, "postdate": ago(7), "href": "/jobs/p/1-x"}],
                                     SCHEMAS["job_listing"])
