@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions import dates, features, text
-from adlake.operators import encode, terms
+from adlake.operators import encode, rule_table, terms
 from adlake.plans import roles
 from adlake.plans.registry import query
 from adlake.plans.roles import LISTING, POSTINGS, TODAY
@@ -125,6 +125,13 @@ def education_ladder(t):
     return roles.texts(t).select("doc_id", level.alias("education"))
 
 
+@query("education_rules", "SELECT doc_id, CASE " + " ".join(
+    f"WHEN {whole_word_sql('lower(text)', '|'.join(v))} THEN '{k}'" for k, v in LADDER.items()) + " END AS value FROM documents")
+def education_rules(t):
+    """The same ladder as a table of phrases, joined with the phrases of each text."""
+    return rule_table.level_by_rules(t.documents, ["doc_id"], "text", rule_table.rules_of(t.spark, LADDER))
+
+
 TERM_LEVELS = {"entry": ["small", "economy"], "mid": ["medium", "standard", "eco[a-z]+"],
                "top": ["promo", "stand[a-z]*"]}
 

@@ -411,3 +411,40 @@ def links_left_docs(t):
     links = (t.documents.filter(F.col("source").isin("src1", "src2", "src3"))
              .select("doc_id", "source", "lang").distinct())
     return combine.left_with(links, t.labels, ["doc_id"])
+
+
+REJECTED = "uid % 7 = 0 OR uid % 11 = 0"
+
+
+@query("csv_good_rows", f"WITH {POSTINGS} SELECT * FROM postings WHERE NOT ({REJECTED})")
+def csv_good_rows(t):
+    """Every 7th line has a word for the amount, every 11th lacks its last column."""
+    path = scratch_path(t.spark, "csv-rejects")
+    ads = roles.postings(t).withColumn("compensation", F.when(F.col("uid") % 7 == 0, "none").otherwise(F.col("compensation").cast("string")))
+    tables.write_csv(ads.filter("uid % 11 <> 0"), path)
+    tables.write_csv(ads.filter("uid % 11 = 0").drop("compensation"), path, mode="append")
+    good, _ = tables.scan_csv_checked(t.spark, path, roles.postings(t).schema)
+    return good
+
+
+@query("open_documents", "SELECT doc_id, lang, source, n_chars, 'kept' AS note FROM documents")
+def open_documents(t):
+    """Documents with a field that no schema declares, through load, store and upsert."""
+    path = scratch_path(t.spark, "open")
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars", F.struct(F.lit("kept").alias("note")).alias("extra"))
+    docs.select(F.to_json(F.struct("*"))).write.text(f"{path}/in")
+    known = columns("doc_id bigint, lang string, source string")
+    loaded = tables.scan_open_documents(t.spark, f"{path}/in", known)
+    loaded.write.parquet(f"{path}/stored")
+    stored = t.spark.read.parquet(f"{path}/stored")
+    return stored.select("doc_id", "lang", "source", F.try_variant_get("document", "$.n_chars", "bigint").alias("n_chars"),
+                         F.try_variant_get("document", "$.extra.note", "string").alias("note"))
+
+
+@query("preview_by_partition", f"""WITH {LISTING}
+    SELECT DISTINCT * FROM listing WHERE country = 'ASIA' ORDER BY uid LIMIT 5""")
+def preview_by_partition(t):
+    path = scratch_path(t.spark, "layout")
+    ads = roles.listing(t)
+    tables.write_table(ads.withColumn("month", F.date_format("postdate", "yyyyMM")), path, ["country", "month"])
+    return combine.preview(t.spark.read.parquet(path).select(*ads.columns), "country", "ASIA", ["uid"], 5)

@@ -26,6 +26,23 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str,
             .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
+def scan_csv_checked(spark: SparkSession, path: str, schema: T.StructType,
+                     date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
+    """CSV as in ``scan_csv``, parted into good rows and rejects (``line`` and ``file``).
+
+    A line is rejected if it has another number of columns or a value that is not of its column's
+    type; in ``scan_csv`` such values become null. Both frames are lazy, and their rows add up to the lines.
+    """
+    marked = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    rows = (spark.read.schema(marked).option("header", True).option("dateFormat", date_format).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path))
+    good = rows.filter(F.col("_line").isNull()).drop("_line")
+    # The reader does not give the marker alone: a condition that always holds names the other columns.
+    parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in schema.fields])) >= 0
+    return good, rows.filter(F.col("_line").isNotNull() & parsed).select(
+        F.col("_line").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header row and no row number; one file per partition."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
@@ -45,6 +62,24 @@ def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
     return spark.read.schema(schema).json(path).filter(F.col("error").isNull())
 
 
+def scan_open_documents(spark: SparkSession, path: str, known: T.StructType, rest: str = "document") -> DataFrame:
+    """JSON-lines documents of open schema: the ``known`` fields typed, and the whole document as VARIANT in ``rest``.
+
+    An unknown field stays in ``rest``. So does a known one whose value does not fit its type; its column
+    is null, or the JSON text of the value if it is a string. Lines that are no JSON object, and documents with an ``error``, are left out, as in ``scan_documents``.
+    """
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias(rest))
+    error = F.try_variant_get(rest, "$.error", "variant")
+    whole = lines.filter(F.schema_of_variant(rest).startswith("OBJECT") & (error.isNull() | F.is_variant_null(error)))
+    fields = [F.try_variant_get(rest, f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in known.fields]
+    return whole.select(*fields, rest)
+
+
+def write_open_documents(df: DataFrame, path: str, rest: str = "document") -> None:
+    """The documents of ``scan_open_documents`` as JSON lines again, unknown fields and all."""
+    df.select(F.to_json(rest)).write.mode("overwrite").text(path)
+
+
 def scan_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Two-column CSV without header as (k, v); of a repeated key the last line wins.
 
