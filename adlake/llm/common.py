@@ -36,6 +36,15 @@ def zstd_dictionary(samples: list[bytes], size: int) -> bytes:
         return b""
 
 
+def few_by_rank(df: DataFrame, rows: int, wanted: int) -> DataFrame:
+    """About 4 * ``wanted`` of the ``rows`` rows of ``df``, or all if they are fewer: those of small ``rank`` (a hash).
+
+    What all tasks together send to a sort with a limit is then bounded, whatever their number.
+    """
+    share = 4 * wanted / max(rows, 1)
+    return df if share >= 1 else df.filter(F.pmod(F.col("rank"), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def word_count(text: Column) -> Column:
     """Words parted by ASCII white space; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlake.llm.common import stored, zstd_dictionary
+from adlake.llm.common import few_by_rank, stored, zstd_dictionary
 
 #: Words handled at a time; places within fit the low bits of a minimiser.
 WORDS_AT_ONCE = 400_000
 PLACE_BITS = 20
 #: Bytes of runs that a task gathers before it packs them by bucket, that a bucket should have, and that it sorts at a time.
 PACK_BYTES = 24 << 20
-BUCKET_BYTES = 96 << 20
+BUCKET_BYTES = 48 << 20
 SHARE_BYTES = 12 << 20
 PACK_LEVEL = 5
 SPAN = "array<struct<start:int,n:int>>"
@@ -334,10 +334,13 @@ def _sampled(one_in: int) -> Column:
     return F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", "doc"), F.lit(one_in)) == 0)
 
 
-def learned_dictionary(docs: DataFrame, one_in: int, samples: int = 1024, excerpt: int = 4096) -> bytes:
-    """A Zstandard dictionary for small packs, from at most ``samples`` excerpts of the sample; it changes sizes, not results."""
+def learned_dictionary(docs: DataFrame, one_in: int, n: int, samples: int = 1024, excerpt: int = 4096) -> bytes:
+    """A Zstandard dictionary for small packs, from at most ``samples`` excerpts of the ``n`` texts of the sample.
+
+    It changes sizes, not results.
+    """
     start = F.pmod("rank", F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
-    found = (docs.filter(_sampled(one_in)).select(F.xxhash64("text", "doc").alias("rank"), "text")
+    found = (few_by_rank(docs.filter(_sampled(one_in)).select(F.xxhash64("doc", "text").alias("rank"), "text"), n, samples)
              .select("rank", F.substr("text", start.cast("int"), F.lit(excerpt)).alias("cut")).orderBy("rank", "cut").limit(samples))
     return zstd_dictionary([r["cut"].encode() for r in found.collect()], 112 << 10)
 
@@ -358,7 +361,7 @@ def layout(docs: DataFrame, window: int, mer: int, share: float = 0.01, one_in:
     runs = size * (1 + 2 * (window - 1) / (window - mer + 2))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Layout(buckets or max(least, int(runs // BUCKET_BYTES) + 1), hot_minimisers(docs, window, mer, share, one_in, n),
-                  learned_dictionary(docs, one_in))
+                  learned_dictionary(docs, one_in, n))
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 3, plan: Layout | None = None) -> DataFrame:
