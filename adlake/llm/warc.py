@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm.common import stored, to_tasks, zstd_dictionary
+from adlake.llm.common import few_by_rank, stored, to_tasks, zstd_dictionary
 from adlake.session import scratch_path
 
 #: Fixed values of the two formats.
@@ -43,8 +43,9 @@ def learned_dictionary(pages: DataFrame, dictionary_bytes: int = 1 << 16, sample
     Empty where there is too little text to learn from; archives then have no dictionary.
     """
     start = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.length("html") - excerpt, F.lit(0)) + 1) + 1
-    found = (pages.filter(F.length("html") > 0)
-             .select(F.xxhash64("page_id", "url").alias("rank"), F.substr("html", start.cast("int"), F.lit(excerpt)).alias("cut"))
+    rows = pages.filter(F.length("html") > 0).withColumn("rank", F.xxhash64("page_id", "url"))
+    found = (few_by_rank(rows, rows.count(), samples)
+             .select("rank", F.substr("html", start.cast("int"), F.lit(excerpt)).alias("cut"))
              .orderBy("rank", "cut").limit(samples).collect())
     return zstd_dictionary([r["cut"].encode() for r in found], dictionary_bytes)
 
