@@ -82,7 +82,7 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 17, excerpt: int = 1
     if sizes.count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     # of a large language only about four times the wanted number reach the sort
-    near = F.pmod(F.col("rank"), F.lit(1 << 30)) * F.col("n") < 4 * texts_per_language * (1 << 30)
+    near = F.pmod(F.col("rank"), F.lit(1 << 30)) < F.lit(4.0 * texts_per_language * (1 << 30)) / F.col("n")
     order = Window.partitionBy("lang").orderBy(F.pmod(F.col("rank"), F.lit(1 << 30)), "rank")
     chosen = (ranks.join(F.broadcast(sizes), "lang").filter(near).groupBy("lang", "rank").count()
               .withColumn("place", F.row_number().over(order))
