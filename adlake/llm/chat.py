@@ -7,6 +7,7 @@ DataFrame expressions; a conversation is one row, and no step is more than linea
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -68,19 +69,45 @@ def _digest(paths: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(paths), "|"), 256)
 
 
-def fingerprint(records: DataFrame, ignore: tuple[str, ...] = ()) -> Column:
-    """Hash of the nested paths of all fields that are not null, but for the columns in ``ignore``."""
-    found = [F.when(F.col(f.name).isNotNull(), F.array(*[F.lit(p) for p in _leaves(f.dataType, f.name)]))
-             .otherwise(F.array().cast("array<string>"))
-             for f in records.schema.fields if f.name not in ignore]
-    return _digest(F.concat(*found) if found else F.array().cast("array<string>"))
+def _filled(kind: T.DataType, path: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """Each leaf path below a field, with the test whether a value of the field fills it anywhere."""
+    def inside(name: str, test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda c: test(c[name])
+
+    def anywhere(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda c: F.coalesce(F.exists(c, lambda e: test(e)), F.lit(False))
+
+    if isinstance(kind, T.StructType):
+        return [(p, inside(f.name, test)) for f in kind.fields for p, test in _filled(f.dataType, f"{path}.{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        return [(p, anywhere(test)) for p, test in _filled(kind.elementType, f"{path}[]")]
+    return [(path, lambda c: c.isNotNull())]
+
+
+def fingerprint(records: DataFrame, ignore: tuple[str, ...] = (), read: frozenset[str] = frozenset()) -> Column:
+    """Hash of the nested paths of a record's fields, but for the columns in ``ignore``.
+
+    A path in ``read`` (what some mapping reads) counts where its column is not null, so that null or no
+    texts do not change a layout; any other path counts where the record fills it, in whatever element.
+    """
+    none, found = F.array().cast("array<string>"), []
+    for f in records.schema.fields:
+        if f.name in ignore:
+            continue
+        leaves = _filled(f.dataType, f.name)
+        plain = [F.lit(p) for p, _ in leaves if p in read]
+        if plain:
+            found.append(F.when(F.col(f.name).isNotNull(), F.array(*plain)).otherwise(none))
+        found += [F.when(test(F.col(f.name)), F.array(F.lit(p))).otherwise(none) for p, test in leaves if p not in read]
+    return _digest(F.concat(*found) if found else none)
 
 
 def canonical(records: DataFrame, ignore: tuple[str, ...], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``ignore`` columns, ``fingerprint``, ``layout`` and ``turns``.
 
     A record whose fingerprint no mapping has is kept with null layout and turns. Null roles and
-    texts inside a layout count as empty. Columns outside ``ignore`` are part of the schema.
+    texts inside a layout count as empty. Columns outside ``ignore`` are part of the schema; a field that
+    no mapping reads, nested or not, only where it is filled.
     """
     have = {p for f in records.schema.fields for p in _leaves(f.dataType, f.name)}
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -89,7 +116,7 @@ def canonical(records: DataFrame, ignore: tuple[str, ...], mappings: tuple[Mappi
             hit = F.col("fingerprint") == _digest(F.array(*[F.lit(p) for p in m.paths()]))
             layout = F.when(hit, F.lit(m.name)).otherwise(layout)
             turns = F.when(hit, m.turns().cast(TURNS)).otherwise(turns)
-    marked = records.withColumn("fingerprint", fingerprint(records, ignore))
+    marked = records.withColumn("fingerprint", fingerprint(records, ignore, frozenset(p for m in mappings for p in m.paths())))
     return marked.select(*ignore, "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 

@@ -61,3 +61,14 @@ def test_empty(spark):
     no_turns = spark.createDataFrame([(1, [])], f"conv_id long, turns {chat.TURNS}")
     assert rows(chat.read_back(chat.formatted(no_turns)).select("formatted", F.size("turns_back").alias("n"), "loss_text")) == [
         {"formatted": "", "n": 0, "loss_text": ""}]
+
+
+def test_optional_nested_fields_count_where_they_are_filled(spark):
+    schema = ("id long, messages array<struct<role:string,content:string,name:string,extra:struct<weight:int>>>, "
+              "conversations array<struct<`from`:string,value:string,role:string>>")
+    data = [(1, [("user", "a", None, None), ("assistant", None, None, (None,))], None), (2, [], None), (3, [("user", None, None, None)], None),
+            (4, [("user", "a", None, None), ("user", "b", "Ann", None)], None), (5, [("user", "a", None, (1,))], None),
+            (6, None, [("human", "q", None)]), (7, None, [("human", "q", "x")]), (8, None, None)]
+    got = {r["id"]: (r["layout"], r["turns"] and [t["text"] for t in r["turns"]]) for r in rows(chat.canonical(spark.createDataFrame(data, schema), ("id",)))}
+    assert got == {1: ("messages", ["a", ""]), 2: ("messages", []), 3: ("messages", [""]), 4: (None, None), 5: (None, None),
+                   6: ("shared", ["q"]), 7: (None, None), 8: (None, None)}
