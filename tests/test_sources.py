@@ -1,8 +1,9 @@
 import json
+from datetime import date
 
 from pyspark.sql import functions as F
 
-from adlake.operators import combine, maintenance, worklist
+from adlake.operators import combine, maintenance
 from adlake.sources import tables
 from adlake.sources.schemas import columns
 
@@ -36,7 +37,6 @@ def test_documents_of_open_schema_go_through_load_upsert_and_back(spark, tmp_pat
     loaded.write.parquet(str(tmp_path / "stored"))
     stored = spark.read.parquet(str(tmp_path / "stored")).filter("uid IS NOT NULL")
     again = open_documents(spark, tmp_path / "in2", [{"uid": 1, "loaded": "2020-04-01", "new": [1.5, "x"]}, {"uid": 2, "loaded": "2020-04-01"}])
-    from datetime import date
     after = maintenance.stale_upsert(stored, again, "uid", "loaded", date(2020, 4, 1), max_age_days=60)
     tables.write_open_documents(after, str(tmp_path / "out"))
     back = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()), key=lambda d: d["uid"])
@@ -67,6 +67,3 @@ def test_partitions_are_pruned(spark, tmp_path):
     due = spark.read.parquet(str(tmp_path / "marks")).filter("n > 1").select("country")
     plan = executed(ads.join(F.broadcast(due), "country").select("uid"))   # two rows
     assert "dynamicpruning" in plan
-    fetched = laid_out(spark, str(tmp_path / "pages")).filter("country = 'c1'")
-    left = worklist.unfetched_ads(ads.filter("country = 'c1'"), fetched, ["uid"]) if hasattr(worklist, "unfetched_ads") else None
-    assert left is None or left.count() == 0
