@@ -258,41 +258,60 @@ files AS (
                      CASE WHEN doc_id % 100 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END) AS dir,
            CASE WHEN doc_id % 8 = 0 THEN 'LICENSE-' ELSE 'file-' END || doc_id AS name
     FROM documents),
-passages AS (
-    SELECT no AS file, unnest(string_split(text, chr(10))) AS text FROM files
-    UNION ALL SELECT no, text FROM files WHERE licence_file),
-numbered AS (SELECT file, text, row_number() OVER () AS no FROM passages),
 template_words AS (
     SELECT no, license, w, count(*) AS n FROM (
         SELECT no, license, trim(unnest(regexp_extract_all(
                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')),
                {_sql_text(licenses.EDGES)}) AS w FROM templates) AS t WHERE w <> '' GROUP BY ALL),
-passage_words AS (
-    SELECT no, file, w, count(*) AS n FROM (
-        SELECT no, file, trim(unnest(regexp_extract_all(
-               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')),
-               {_sql_text(licenses.EDGES)}) AS w FROM numbered) AS t WHERE w <> '' GROUP BY ALL),
+file_words AS (
+    SELECT file, w, row_number() OVER (PARTITION BY file ORDER BY i) AS pos FROM (
+        SELECT no AS file, trim(unnest(list), {_sql_text(licenses.EDGES)}) AS w, generate_subscripts(list, 1) AS i FROM (
+            SELECT no, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+') AS list FROM files) AS l) AS t WHERE w <> ''),
 total AS (SELECT count(*) AS files FROM files),
-spread AS (SELECT w, count(DISTINCT file) AS df FROM passage_words GROUP BY w),
+spread AS (SELECT w, count(DISTINCT file) AS df FROM file_words GROUP BY w),
 idf AS (
-    SELECT t.w, ln((1 + files) / (1 + coalesce(df, 0))) + 1 AS idf
+    SELECT t.w, 1 - ln(greatest((1 + coalesce(df, 0)) / (1 + files), {licenses.RAREST})) AS idf
     FROM (SELECT DISTINCT w FROM template_words) AS t LEFT JOIN spread USING (w), total),
-template_weights AS (SELECT no, license, w, n * idf AS x FROM template_words JOIN idf USING (w)),
-template_norms AS (SELECT no, sqrt(sum(x * x)) AS norm FROM template_weights GROUP BY no),
-passage_weights AS (
-    SELECT no, file, w, n * coalesce(idf, ln(1 + files) + 1) AS x FROM passage_words LEFT JOIN idf USING (w), total),
-passage_norms AS (SELECT no, sqrt(sum(x * x)) AS norm FROM passage_weights GROUP BY no),
-cosines AS (
-    SELECT p.no, p.file, t.no AS template, t.license, sum(p.x * t.x) AS dot
-    FROM passage_weights AS p JOIN template_weights AS t USING (w) GROUP BY ALL),
+unseen AS (SELECT median(idf) AS unseen FROM idf),
+template_weights AS (SELECT no, w, n * idf AS x FROM template_words JOIN idf USING (w)),
+sizes AS (SELECT no, any_value(license) AS license, CAST(sum(n) AS BIGINT) AS words FROM template_words GROUP BY no),
+whole AS (
+    SELECT no AS template, license, words, sqrt(sum(x * x)) AS norm, CASE WHEN words < {licenses.SHORT}
+           THEN {licenses.SHORT_THRESHOLD} ELSE {licenses.THRESHOLD} END AS threshold
+    FROM sizes JOIN template_weights USING (no) GROUP BY ALL),
+weighted AS (SELECT file, pos, w, coalesce(idf, unseen) AS x FROM file_words LEFT JOIN idf USING (w), unseen),
+covered AS (
+    SELECT file, t.no AS template FROM (SELECT DISTINCT file, w FROM file_words) AS f JOIN template_weights AS t USING (w)
+    JOIN whole ON whole.template = t.no GROUP BY file, t.no, norm, threshold
+    HAVING sum(x * x) >= power(threshold * norm * (1 - 1e-9), 2)),
+sums AS (
+    SELECT file, template, pos, whole.words, norm, threshold,
+           sum(coalesce(f.x * t.x, 0)) OVER along AS dots, sum(f.x * f.x) OVER along AS squares,
+           max(pos) OVER (PARTITION BY file, template) AS n
+    FROM covered JOIN whole USING (template) JOIN weighted AS f USING (file)
+    LEFT JOIN template_weights AS t ON t.no = template AND t.w = f.w
+    WINDOW along AS (PARTITION BY file, template ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+likely AS (
+    SELECT b.file, b.template, b.pos - least(b.words, b.n) + 1 AS first, b.pos AS last
+    FROM sums AS b LEFT JOIN sums AS a ON a.file = b.file AND a.template = b.template AND a.pos = b.pos - b.words
+    WHERE b.pos >= least(b.words, b.n) AND b.dots - coalesce(a.dots, 0) >=
+          b.threshold * b.norm * sqrt(greatest(b.squares - coalesce(a.squares, 0), 0)) * (1 - 2e-6)),
+counted AS (
+    SELECT l.file, l.template, first, f.w, any_value(f.x) AS x, count(*) AS n
+    FROM likely AS l JOIN weighted AS f ON f.file = l.file AND f.pos BETWEEN first AND last GROUP BY ALL),
 scored AS (
-    SELECT file, license, round(dot / (a.norm * b.norm), 9) AS cosine
-    FROM cosines AS c JOIN passage_norms AS a USING (no) JOIN template_norms AS b ON c.template = b.no),
+    SELECT c.file, whole.license, threshold, words,
+           round(sum(c.n * c.x * coalesce(t.x, 0)) / (norm * sqrt(sum(power(c.n * c.x, 2)))), 9) AS cosine
+    FROM counted AS c JOIN whole USING (template) LEFT JOIN template_weights AS t ON t.no = c.template AND t.w = c.w
+    GROUP BY c.file, c.template, first, whole.license, threshold, words, norm),
+evident AS (
+    SELECT file, license, cosine, round(cosine * ln(1 + words), 9) AS evidence FROM scored WHERE cosine >= threshold),
 own AS (
     SELECT f.doc_id, f.no, f.dir, f.dir || '/' || f.name AS path, f.licence_file, s.license, s.cosine
     FROM files AS f LEFT JOIN (
-        SELECT file, license, cosine FROM scored WHERE cosine >= {licenses.THRESHOLD}
-        QUALIFY row_number() OVER (PARTITION BY file ORDER BY cosine DESC, license) = 1) AS s ON f.no = s.file),
+        SELECT * FROM evident
+        QUALIFY row_number() OVER (PARTITION BY file ORDER BY evidence DESC, license, cosine DESC) = 1) AS s ON f.no = s.file),
 declared AS (
     SELECT dir AS above, license AS theirs FROM own WHERE licence_file AND license IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),

@@ -1,4 +1,7 @@
 import math
+import random
+import statistics
+import textwrap
 from collections import Counter
 
 import pytest
@@ -32,23 +35,68 @@ def test_top_directory_and_ties(spark):
     assert got[3] == ("MIT", "inherited", "") and got[4] == ("MIT", "inherited", "")
 
 
-def test_best_equals_plain_cosine():
-    spread, files = {"the": 90, "license": 8, "under": 40, "mit": 5}, 100
-    matcher = licenses.Matcher(list(licenses.TEMPLATES), spread, files, 0.3)
-    known = {w for _, t in licenses.TEMPLATES for w in licenses.words(t)}
+def test_best_equals_plain_cosines_of_all_windows():
+    rng = random.Random(6)
+    known = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words(t)})
+    spread, files = {w: rng.randrange(90) for w in known[::2]}, 100
+    idf = {w: 1 - math.log((1 + spread.get(w, 0)) / 101) for w in known}
+    unseen = statistics.median(idf.values())
 
-    def weights(text):
-        return {w: n * (math.log(101 / (1 + spread.get(w, 0))) + 1 if w in known else math.log(101) + 1)
-                for w, n in Counter(licenses.words(text)).items()}
+    def weights(some):
+        return {w: n * idf.get(w, unseen) for w, n in Counter(some).items()}
 
     def cosine(a, b):
         dot = sum(x * b.get(w, 0) for w, x in a.items())
         return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    for text in ["under the MIT license", "the code is under a license of some kind", "GNU General license version 3", "nothing", "free of charge permission granted"]:
-        want = min((-round(cosine(weights(text), weights(t)), 9), n) for n, t in licenses.TEMPLATES) if weights(text) else (0, "")
-        got = matcher.best(text)
-        assert got == ((-want[0], want[1]) if -want[0] >= 0.3 else None)
+    def best(text, threshold):
+        every, found = licenses.words(text), []
+        for name, template in licenses.TEMPLATES:
+            t = licenses.words(template)
+            least = max(threshold, licenses.SHORT_THRESHOLD) if len(t) < licenses.SHORT else threshold
+            for i in range(max(len(every) - len(t), 0) + 1 if every else 0):
+                c = round(cosine(weights(every[i:i + len(t)]), weights(t)), 9)
+                if c >= least:
+                    found.append((-round(c * math.log(1 + len(t)), 9), name, -c))
+        e, name, c = min(found, default=(None, None, None))
+        return name and (-e, name, -c)
+
+    hits = 0
+    for threshold in (0.8, 0.4):
+        matcher = licenses.Matcher(list(licenses.TEMPLATES), spread, files, threshold)
+        for _ in range(60):
+            t = licenses.words(rng.choice(licenses.TEMPLATES)[1])
+            t = t[:rng.randrange(len(t) + 1)] + rng.choices(["x", "the", "y"], k=rng.randrange(6)) + t[rng.randrange(len(t)):]
+            text = " ".join(rng.choices(["x", "the", "license", "z"], k=rng.randrange(9)) + t + rng.choices(["of", "q", "rights"], k=5))
+            want = best(text, threshold)
+            got, hits = matcher.best(text), hits + bool(want)
+            assert got == (pytest.approx(want, abs=2e-9) if want else None)
+    assert hits > 40
+
+
+@pytest.mark.parametrize("files", [1_000, 100_000_000])
+def test_real_files_whatever_the_number_of_files(files):
+    common = {"the": .6, "of": .5, "and": .5, "or": .4, "to": .5, "in": .5, "a": .5, "this": .3, "license": .05, "version": .02, "under": .1,
+              "all": .1, "rights": .01, "reserved": .008, "software": .02, "is": .4, "any": .1, "copyright": .02}
+    matcher = licenses.Matcher(list(licenses.TEMPLATES), {w: int(x * files) for w, x in common.items()}, files, licenses.THRESHOLD)
+
+    def wrapped(text, lead="", width=60):
+        return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+    def text_of(name):
+        return max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+
+    owner = "Copyright (c) 2020, Acme Holdings\nAll rights reserved.\n\n"
+    filler = "\n" + "some code and the rest of it " * 40
+    cases = [(owner + wrapped(text_of("BSD-3-Clause")), "BSD-3-Clause"), (owner + wrapped(text_of("BSD-2-Clause"), " * "), "BSD-2-Clause"),
+             (owner + wrapped(text_of("BSD-3-Clause").replace("the copyright holder nor", "Acme Holdings nor").replace("COPYRIGHT HOLDERS", "REGENTS")), "BSD-3-Clause"),
+             ("MIT License\n\n" + owner + wrapped(text_of("MIT"), width=44), "MIT"), (wrapped(text_of("ISC"), "// ", 30) + filler, "ISC"),
+             ("/* " + owner + "\n" + wrapped("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+              "compliance with the License. You may obtain a copy of the License at", " * ", 30) + filler, "Apache-2.0"),
+             ("Copyright Acme. Released under the MIT License." + filler, "MIT"), ("// Released under\n// the MIT License" + filler, "MIT"),
+             (wrapped(text_of("GPL-2.0"), "# ") + filler, "GPL-2.0"), (wrapped(text_of("GPL-3.0"), "# ") + filler, "GPL-3.0"), ("x " + owner + filler, "LicenseRef-reserved"),
+             ("Some rights reserved.", None), ("No rights reserved" + filler, None), ("Released under the XYZ License.", None), (filler, None), ("", None), (None, None)]
+    assert [m and m[1] for m in (matcher.best(text) for text, _ in cases)] == [name for _, name in cases]
 
 
 def test_empty_table_and_too_many_words(spark, monkeypatch):
