@@ -3,7 +3,9 @@
 A text becomes a template: numbers, names and units give way to typed placeholders, the rest is
 lower-cased and stripped of punctuation. There are three variants, as the case of a word does not settle
 whether it is a name: capitals play no part and names are plain words; names are capitalised words after
-another word; names are all capitalised words. A window is matched if any variant matches. Windows of five template words are joined by hash. A document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
+another word; names are all capitalised words. In the latter two a run of names with nothing but white space
+between them is one placeholder, as is a run of numbers, so that a name may become one of more or fewer words. A window is
+matched if any variant matches. Windows of five template words are joined by hash. A document can only hold 0.8 of an item's windows if it holds one of the item's rarest fifth (and
 one more), so only those are looked for in all documents; the documents found are then compared
 in full. Where a window of the document lies on a window of the item, slot values are set
 against each other: an item's value must always become the same value and two values must not
@@ -33,59 +35,88 @@ NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "
                 "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen"]
 #: Capitals that begin a name: two letters at least, or an apostrophe and a capital after the first (O'Brien).
 _CAPITAL = r"\p{Lu}(?=[\p{L}\p{M}]|['\u2019]\p{Lu})"
-_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT},;]\s){_CAPITAL}"
 _ANY = "|".join(NUMBER_WORDS)
-_NUMBER = (r"\d+(?:[.,:]\d+)*|(?<![\p{L}\p{M}\p{N}])(?=[a-zA-Z]{3})"
+_INITIALS = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+# what a match begins with is asked before what stands before it: most places fail at once
+_NUMBER = (rf"\d+(?:[.,:]\d+)*|(?=[{_INITIALS}{_INITIALS.upper()}][a-zA-Z]{{2}})(?<![\p{{L}}\p{{M}}\p{{N}}])"
            rf"(?i:(?:{_ANY})(?:-(?:{_ANY})){{0,3}})(?![\p{{L}}\p{{M}}\p{{N}}])")
-_UNIT = rf"(?<={NUMBER}[\s-]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
+_UNIT = rf"({NUMBER}[\s-]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
 #: Before its first letter: a word that is a name by its case and the word before it, or by its case alone.
 _NAMED, _CAPITALISED = "\ue003", "\ue004"
-_FIRST = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}-{_CAPITALISED}]){_CAPITAL}"
+#: In place of the white space before a name or number of a run: the run is one word if names stand after another
+#: word, or only if all capitalised words are names.
+_RUN, _LATE = "\ue005", "\ue006"
+_NAME = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT},;]\s){_CAPITAL}"
+_FIRST = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}-{_CAPITALISED}]){_CAPITAL}"
+_LETTERS = r"[\p{L}\p{M}'’-]"
+_LATE_RUN = rf"({_CAPITALISED}{_LETTERS}+)\s(?={_NAMED})"
+_JOINED = rf"({_NAMED}{_LETTERS}+)\s(?={_NAMED})|(?<!\S)({NUMBER})\s(?={NUMBER}(?![\p{{L}}\p{{M}}]))"
 #: So many words of a window must be plain where names are told by their case alone.
 PLAIN = 2
-_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_CAPITALISED}"
-_EDGE = rf"(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}])"
+_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_LATE}"
+_EDGE = rf"(?=[^{_WORD}\s])(?:(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}]))"
 _SLOT = f"[{NAME}-{UNIT}]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def marked(text: Column) -> Column:
-    """A text in lower case, without punctuation at words, with typed placeholders and a mark before each name."""
+    """A text in lower case, without punctuation at words, with typed placeholders and marks at names and runs."""
     out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NUMBER, NUMBER)
-    out = F.regexp_replace(out, _UNIT, UNIT)
+    out = F.regexp_replace(out, _UNIT, f"$1{UNIT}")
     out = F.regexp_replace(out, _NAME, f"{_NAMED}$0")
     out = F.regexp_replace(out, _FIRST, f"{_CAPITALISED}$0")
+    out = F.regexp_replace(F.regexp_replace(out, _LATE_RUN, f"$1{_LATE}"), _JOINED, f"$1$2{_RUN}")
     return F.regexp_replace(F.lower(out), _EDGE, "")
 
 
 def templates(text: Column) -> list[Column]:
-    """Template words of a marked text, one for each of its words parted by white space, in each variant.
+    """Template words of a marked text in each variant.
 
-    In the first capitals play no part: names stand as they are. In the next, names after a word, comma or
-    semicolon are placeholders, in the last all capitalised words, also those that begin a sentence.
+    In the first capitals play no part: names stand as they are, a word is one of the text parted by white space.
+    In the next, names after a word, comma or semicolon are placeholders, in the last all capitalised words, also
+    those that begin a sentence; in both a run is one word.
     """
-    def without(marks: str, column: Column) -> Column:
-        return F.translate(column, marks, "")
+    def numbers(column: Column) -> Column:
+        return F.regexp_replace(column, rf"(?:{NUMBER}{_RUN})+(?={NUMBER})", "")
 
     return [F.split(out, r"\s+") for out in (
-        without(_NAMED + _CAPITALISED, text),
-        without(_CAPITALISED, F.regexp_replace(text, rf"{_NAMED}\S*", NAME)),
-        F.regexp_replace(text, rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
+        F.translate(text, _RUN + _LATE + _NAMED + _CAPITALISED, "  "),
+        F.regexp_replace(numbers(F.translate(text, _LATE + _CAPITALISED, " ")), rf"{_NAMED}\S*", NAME),
+        F.regexp_replace(numbers(text), rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
 
 
-def starts(words: Column, before: Column | None = None) -> Column:
-    """Where windows of template words begin: all, or those that hold a word which the variant before has otherwise."""
-    last = F.size(words) - WINDOW
-    if before is None:
-        return F.when(last >= 0, F.sequence(F.lit(0), last))
-    other = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) != F.get(before, i))
-    near = F.transform(other, lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, last)))
-    return F.when(last >= 0, F.array_distinct(F.flatten(near)))
+def _variants(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, the marked text, and of each variant the words, their hashes and where windows begin.
 
-
-def _hash(words: Column | str, i: Column) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+    Windows begin everywhere in the first variant; in each other where they hold a word that the one before has otherwise.
+    """
+    # all are columns of their own: inside a lambda they would be made anew for each window
+    text = F.col("__marked")
+    marks = [None, F.split(F.translate(text, _LATE + _CAPITALISED, " "), r"\s+"), F.split(text, r"\s+")]
+    out = rows.withColumn("__marked", marked(F.col("text"))).select(
+        *keep, "__marked", *[c.alias(f"__words{i}") for i, c in enumerate(templates(text))],
+        *[c.alias(f"__marks{i}") for i, c in enumerate(marks) if i])
+
+    def begins(i: int) -> Column:
+        last = F.size(f"__words{i}") - WINDOW
+        if not i:
+            return F.when(last >= 0, F.sequence(F.lit(0), last))
+        mark, word = F.col(f"__marks{i}"), F.col(f"__words{i}")
+        other = F.filter(F.sequence(F.lit(0), F.size(mark) - 1), lambda k: F.get(mark, k) != F.get(word, k) if i == 1
+                         else F.contains(F.get(mark, k), F.lit(_CAPITALISED)))
+        near = F.transform(other, lambda k: F.sequence(F.greatest(k - WINDOW + 1, F.lit(0)), F.least(k, last)))
+        near = F.filter(near, lambda k: F.size(k) > 0)
+        some = text.rlike(f"[{_NAMED}{_RUN}]" if i == 1 else _CAPITALISED)
+        return F.when((last >= 0) & some, F.array_distinct(F.flatten(near)))
+
+    return out.select(*keep, "__marked", *[f"__words{i}" for i in range(3)], *[
+        F.transform(f"__words{i}", lambda w: F.xxhash64(w)).alias(f"__hash{i}") for i in range(3)],
+        *[F.coalesce(begins(i), F.array().cast("array<int>")).alias(f"__begins{i}") for i in range(3)])
+
+
+def _hash(words: str, i: Column) -> Column:
+    return F.xxhash64(*[F.get(F.col(words), i + k) for k in range(WINDOW)])
 
 
 def _value(raw: Column) -> Column:
@@ -93,56 +124,72 @@ def _value(raw: Column) -> Column:
     return F.regexp_replace(F.lower(raw), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
 
 
-def _variants(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[tuple[str, str | None]]]:
-    """``keep`` and the words of each variant; the names of these columns, each with that of the variant before."""
-    # marks and words are columns of their own: inside a lambda they would be made anew for each window
-    kinds = templates(F.col("__marked"))
-    names = [f"__words{i}" for i in range(len(kinds))]
-    words = rows.withColumn("__marked", marked(F.col("text"))).select(*keep, *[c.alias(n) for c, n in zip(kinds, names)])
-    return words, list(zip(names, [None, *names]))
-
-
 def hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, hash) of all windows of the column ``text`` in every variant."""
-    words, variants = _variants(rows, keys)
-
-    def hashed(w: str, before: str | None) -> Column:
-        return F.transform(starts(F.col(w), None if before is None else F.col(before)), lambda i: _hash(w, i))
+    def hashed(v: int) -> Column:
+        return F.transform(f"__begins{v}", lambda i: _hash(f"__hash{v}", i))
 
-    each = [hashed(w, b) for w, b in variants]
-    return words.select(*keys, F.explode(F.concat(*each)).alias("hash"))
+    each = [hashed(v) for v in range(3)]
+    return _variants(rows, keys).select(*keys, F.explode(F.concat(*each)).alias("hash"))
 
 
-def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset.
+def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, place, span, run_place, hash, slots) of the column ``text`` in every variant.
 
-    A place has a row in the first variant, and one in each other variant whose words differ there. In the last
-    variant windows with fewer than ``PLAIN`` plain words are left out: capitals alone would fit each other.
+    ``place`` and ``span`` count the text's words parted by white space, ``run_place`` counts those with each run as one;
+    slots are the raw words (the run) under placeholders, by offset. In the last variant windows with fewer than ``PLAIN`` plain
+    words are left out: capitals alone would fit each other.
     """
-    words, variants = _variants(rows.withColumn("__raw", F.split("text", r"\s+")), [*keys, "__raw"])
+    def part(p: Column, k: Column) -> Column:
+        late, run = p.startswith(_LATE), p.startswith(_RUN)
+        return F.struct(k.alias("k"), F.lit(True).alias("s0"), (~run).alias("s1"), (~run & ~late).alias("s2"))
+
+    parts = F.flatten(F.transform(F.split("__marked", r"\s+"), lambda t, k: F.transform(
+        F.split(t, f"(?=[{_RUN}{_LATE}])"), lambda p: part(p, k))))
+    words = _variants(rows.withColumn("__raw", F.split("text", r"\s+")), [*keys, "__raw"]).withColumn("__parts", parts)
+    n = F.size("__parts")
+
+    def first(v: int) -> Column:
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("__parts", i)[f"s{v}"]).alias(f"__at{v}")
+
+    words = words.select("*", n.alias("__n"), *[first(v) for v in range(3)])
+
+    def made(v: int) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.get(F.col(f"__at{v}"), i), F.col("__n"))
+
+        def slot(i: Column) -> Column:
+            # of a number in a run the whole run, also where its words stand one by one
+            start, end = at(i), at(i + 1)
+            if not v:
+                run = F.get("__parts", i)["k"]
+                start, end = F.get("__at2", run), F.coalesce(F.get("__at2", run + 1), F.col("__n"))
+            raw = F.array_join(F.slice("__raw", start + 1, end - start), " ")
+            return F.when(F.get(f"__words{v}", i).rlike(_SLOT), raw)
 
-    def made(w: str, before: str | None) -> Column:
         def window(i: Column) -> Column:
-            slots = [F.when(F.get(w, i + k).rlike(_SLOT), F.get("__raw", i + k)) for k in range(WINDOW)]
-            return F.struct(i.alias("place"), _hash(w, i).alias("hash"), F.array(*slots).alias("slots"))
+            return F.struct(at(i).alias("place"), (at(i + WINDOW) - at(i)).alias("span"),
+                            F.get("__parts", at(i))["k"].alias("run_place"), _hash(f"__hash{v}", i).alias("hash"),
+                            F.array(*[slot(i + k) for k in range(WINDOW)]).alias("slots"))
 
-        out = F.transform(starts(F.col(w), None if before is None else F.col(before)), window)
-        enough = F.filter(out, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN)
-        return enough if w == variants[-1][0] else out
+        out = F.transform(f"__begins{v}", window)
+        return F.filter(out, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN) if v == 2 else out
 
     # windows are put together inside the row: exploded first, each would carry all words of its text
-    each = words.select(*keys, F.explode(F.concat(*[made(w, b) for w, b in variants])).alias("w"))
-    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots")
+    each = words.select(*keys, F.explode(F.concat(*[made(v) for v in range(3)])).alias("w"))
+    return each.select(*keys, "w.*")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(class, item_id, n_windows, at, hash, slots) of each different item text.
+    """(class, item_id, n_windows, at, run_place, hash, slots) of each different item text.
 
-    Items of equal text are one class, named by the least item_id.
+    Items of equal text are one class, named by the least item_id. A window that is longer for its runs stands
+    at each place where a window of the text's own words lies in it.
     """
     items = (benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
              .withColumn("class", F.xxhash64("text")))
-    parts = windows(items, ["class", "item_id"], "at")
+    inside = F.explode(F.sequence("place", F.col("place") + F.col("span") - WINDOW))
+    parts = windows(items, ["class", "item_id"]).select("class", "item_id", inside.alias("at"), "run_place", "hash", "slots")
     return parts.withColumn("n_windows", F.max("at").over(Window.partitionBy("class")) + 1)
 
 
@@ -180,8 +227,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS // 4 else pairs
     texts = (rows.join(pairs, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
              .dropDuplicates(["__doc", "__key"]).select("doc_id", "key", "text", F.explode("classes").alias("class")))
-    here = windows(texts, ["doc_id", "key", "class"], "place").withColumnRenamed("slots", "values")
-    same = stored(here.join(items, ["class", "hash"]).withColumn("shift", F.col("place") - F.col("at")), "matches")
+    here = windows(texts, ["doc_id", "key", "class"]).select(
+        "doc_id", "key", "class", "hash", F.col("run_place").alias("here"), F.col("slots").alias("values"))
+    same = here.join(items, ["class", "hash"]).withColumn("shift", F.col("here") - F.col("run_place"))
+    same = stored(same.drop("here", "run_place"), "matches")
 
     doc = ["doc_id", "key", "class"]
     pairs = F.transform(F.filter(F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull()),
