@@ -56,13 +56,15 @@ PLAIN = 2
 _WORD = rf"\p{{L}}\p{{M}}{NAME}-{_LATE}"
 _EDGE = rf"(?=[^{_WORD}\s])(?:(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}]))"
 _SLOT = f"[{NAME}-{UNIT}]"
+#: White space other than a single blank; a marked text has single blanks only.
+_GAP = r"\s{2,}|[\t\n\x0B\f\r]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def marked(text: Column) -> Column:
     """A text in lower case, without punctuation at words, with typed placeholders and marks at names and runs."""
-    out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NUMBER, NUMBER)
+    out = F.regexp_replace(F.regexp_replace(text, _GAP, " "), _NUMBER, NUMBER)
     out = F.regexp_replace(out, _UNIT, f"$1{UNIT}")
     out = F.regexp_replace(out, _NAME, f"{_NAMED}$0")
     out = F.regexp_replace(out, _FIRST, f"{_CAPITALISED}$0")
@@ -80,7 +82,7 @@ def templates(text: Column) -> list[Column]:
     def numbers(column: Column) -> Column:
         return F.regexp_replace(column, rf"(?:{NUMBER}{_RUN})+(?={NUMBER})", "")
 
-    return [F.split(out, r"\s+") for out in (
+    return [F.split(out, " ") for out in (
         F.translate(text, _RUN + _LATE + _NAMED + _CAPITALISED, "  "),
         F.regexp_replace(numbers(F.translate(text, _LATE + _CAPITALISED, " ")), rf"{_NAMED}\S*", NAME),
         F.regexp_replace(numbers(text), rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
@@ -93,7 +95,7 @@ def _variants(rows: DataFrame, keep: list[str]) -> DataFrame:
     """
     # all are columns of their own: inside a lambda they would be made anew for each window
     text = F.col("__marked")
-    marks = [None, F.split(F.translate(text, _LATE + _CAPITALISED, " "), r"\s+"), F.split(text, r"\s+")]
+    marks = [None, F.split(F.translate(text, _LATE + _CAPITALISED, " "), " "), F.split(text, " ")]
     out = rows.withColumn("__marked", marked(F.col("text"))).select(
         *keep, "__marked", *[c.alias(f"__words{i}") for i, c in enumerate(templates(text))],
         *[c.alias(f"__marks{i}") for i, c in enumerate(marks) if i])
@@ -144,7 +146,7 @@ def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
         late, run = p.startswith(_LATE), p.startswith(_RUN)
         return F.struct(k.alias("k"), F.lit(True).alias("s0"), (~run).alias("s1"), (~run & ~late).alias("s2"))
 
-    parts = F.flatten(F.transform(F.split("__marked", r"\s+"), lambda t, k: F.transform(
+    parts = F.flatten(F.transform(F.split("__marked", " "), lambda t, k: F.transform(
         F.split(t, f"(?=[{_RUN}{_LATE}])"), lambda p: part(p, k))))
     words = _variants(rows.withColumn("__raw", F.split("text", r"\s+")), [*keys, "__raw"]).withColumn("__parts", parts)
     n = F.size("__parts")
