@@ -1,5 +1,4 @@
 import random
-import re
 
 from helpers import rows
 
@@ -100,39 +99,3 @@ def test_names_at_the_start_number_words_and_units(spark):
     assert {k: r["reparameterised"] for k, r in got.items()} == {(i, i): True for i in range(len(pairs))}
     capitals = [(1, "Who Wrote The Old Book About Rome"), (2, "MANY OTHER CAPITALS ARE HERE IN ROWS")]
     assert found(spark, capitals[1:], capitals[:1]) == {}
-
-
-def test_names_and_numbers_of_more_or_fewer_words(spark):
-    long_item = "The museum in Paris shows many old maps to students who walk in from Lyon every day now"
-    pairs = [(ITEM, ITEM.replace("Lyon", "San Jose").replace("Anna", "Mary Ann Lee")), (long_item, long_item.replace("Paris", "New York")),
-             (long_item.replace("Lyon", "New York City"), long_item.replace("Paris", "Rio Grande").replace("Lyon", "Oslo")),
-             ("A farm with two hundred sheep sold 30 of them and then bought 45 more at the fair", "A farm with 310 sheep sold ninety five of them and then bought 12 more at the fair"),
-             ("What can you see when you go up the hill and down to New York", "What can you see when you go up the hill and down to Rome")]
-    items = [(i, item) for i, (item, _) in enumerate(pairs)]
-    got = found(spark, [(i, f"some text. {text} and so on") for i, (_, text) in enumerate(pairs)], items)
-    assert {(i, i) for i in range(len(pairs))} <= set(got)
-    assert all(r["reparameterised"] for (i, j), r in got.items() if i == j)
-    inconsistent = ITEM.replace("train to Lyon", "train to New Haven").replace("to Lyon in", "to Fort Worth in")
-    assert found(spark, [(9, inconsistent)], items[:1]) == {}
-
-
-def test_verbatim_items_among_capitals_and_numbers(spark):
-    item = "Old Town has 5 mills and 7 barns near the river Bend Farm 12"
-    texts = [(1, f"Question Nine {item} 13 Next Words"), (2, f"9 {item.upper()} AND MORE"), (3, f"Title {item.title()} 3 4"), (4, item.lower())]
-    assert set(found(spark, texts, [(1, item)])) == {(i, 1) for i in range(1, 5)}
-
-
-def test_hashes_are_those_of_the_windows(spark):
-    texts = [ITEM, "If New York City Hall is two hundred years old, then Old San-Jose Town and 5 6 kg of d'Artagnan e-Mail Server wait. 7", "", "a b", None,
-             " x Y z Ab Cd. Ef, Gh Ij 20 30 km three KM", "A " * 30, "Ab " * 9 + "c " * 9, "A-b C-Dd Ee Ff gg hh (Ii Jj) \u2014 Kk 5"]
-    rows_ = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    wide, narrow = rows(d.windows(rows_, ["doc_id"])), rows(d.hashes(rows_, ["doc_id"]))
-    assert {(r["doc_id"], r["hash"]) for r in wide} <= {(r["doc_id"], r["hash"]) for r in narrow}
-    for i, text in enumerate(texts):
-        raw = re.split(r"\s+", text or "")
-        mine = [r for r in wide if r["doc_id"] == i]
-        assert {r["place"] for r in mine if r["span"] == 5} >= set(range(len(raw) - 4)) if len(raw) > 4 else not mine
-        for r in mine:
-            assert r["place"] + r["span"] <= len(raw) and r["span"] >= 5 and r["run_place"] <= r["place"]
-            assert all(s is None or s in " ".join(raw) for s in r["slots"])
-    assert any("New York City Hall" in r["slots"] for r in wide) and any("two hundred" in r["slots"] for r in wide)
