@@ -4,30 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions import text
+from adlake.operators import stats
 from adlake.operators.combine import map_literal
 
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], min_share: float = 0.05,
                   other: str = "other") -> DataFrame:
-    """Values that make up less than ``min_share`` of all rows become 'other'; null stays.
+    """Values that make up less than ``min_share`` of all rows become 'other'; null stays null.
 
-    One pass counts the values of all columns. Those at or above the share number at most
-    1 / min_share a column, so they are one small row, read as a scalar.
+    The values kept are those of ``stats.frequent_values``: at most 1 / min_share a column, so they
+    are one small row, read as a scalar.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
-    counts = (df.select(F.explode(F.concat(cells, F.array(F.struct(F.lit("").alias("c"), F.lit("").alias("v"))))).alias("x"))
-              .filter("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n")))
-    total = F.max(F.when(F.col("c") == "", F.col("n"))).over(Window.partitionBy())
-    # The rare values go before the total is put beside them, so one task gets few rows.
-    largest = Window.partitionBy("c").orderBy(F.desc("n"), "v")
-    few = counts.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= int(1 / min_share) + 1)
-    common = few.withColumn("_total", total).filter(F.col("n") / F.col("_total") >= min_share)
-    lists = common.agg(*[F.collect_set(F.when(F.col("c") == c, F.col("v"))).alias(f"_common_{i}")
+    common = stats.frequent_values(df, columns, min_share)
+    lists = common.agg(*[F.collect_set(F.when(F.col("variable") == c, F.col("value"))).alias(f"_common_{i}")
                          for i, c in enumerate(columns)])
     found = lists.select(F.struct(*lists.columns)).scalar()
     return df.withColumns({

@@ -216,6 +216,17 @@ def value_counts(t):
     return stats.value_counts(ads, ["stat", "category", "level", "country"])
 
 
+FREQUENT = ["l_returnflag", "l_linestatus", "l_quantity", "l_partkey", "l_orderkey"]
+
+
+@query("frequent_values", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, CAST(v AS VARCHAR) AS value, n, n::DOUBLE / (SELECT count(*) FROM lineitem) AS share"
+    f" FROM (SELECT {c if 'quantity' not in c else c + '::BIGINT'} AS v, count(*) AS n FROM lineitem GROUP BY 1)"
+    f" WHERE n::DOUBLE / (SELECT count(*) FROM lineitem) >= 0.02" for c in FREQUENT))
+def frequent_values(t):
+    return stats.frequent_values(t.lineitem.withColumn("l_quantity", F.col("l_quantity").cast("long")), FREQUENT, 0.02)
+
+
 @query("share_of_total", """SELECT lang, source, count(*) AS n,
         round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 9) AS share
     FROM documents d WHERE (SELECT count(*) FROM documents g WHERE g.lang = d.lang) > 100

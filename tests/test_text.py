@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adlake import rules
 from adlake.functions import features, text
-from adlake.operators import encode, terms
+from adlake.operators import encode, stats, terms
 
 
 def apply(spark, values, build, kind="string"):
@@ -159,6 +159,52 @@ def test_collapse_rare_of_several_columns(spark):
     assert encode.collapse_rare(df.limit(0), ["x"]).count() == 0
 
 
+def frequent(df, columns, share):
+    return {(r.variable, r.value, r.n) for r in stats.frequent_values(df, columns, share).collect()}
+
+
+def test_frequent_values_equal_the_count_of_all(spark, monkeypatch):
+    n = 60_000
+    i = F.col("id")
+    # a column of values that are all different, one with values just at, below and above the share, and nulls
+    df = spark.range(n).repartition(7).select(
+        i.cast("string").alias("unique"),
+        F.when(i < 3000, "at").when(i < 5999, "below").when(i < 9001, "above").when(i < 30000, None).otherwise(i.cast("string")).alias("mixed"),
+        (i % 20).alias("even"), F.lit(None).cast("string").alias("none"), F.lit("").alias("empty"))
+    sketched = frequent(df, df.columns, 0.05)
+    assert sketched == {("mixed", "at", 3000), ("mixed", "above", 3002), ("empty", "", n)} | {("even", str(k), 3000) for k in range(20)}
+    monkeypatch.setattr(stats, "MOST_TRACKED", 0)
+    assert frequent(df, df.columns, 0.05) == sketched
+    assert frequent(df, ["mixed"], 1 / n) == {(r.variable, r.value, r.n) for r in stats.value_counts(df, ["mixed"]).collect()}
+
+
+def test_frequent_values_of_little(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 2)], "variable string, n int")
+    assert frequent(df, ["variable", "n"], 0.5) == {("variable", "a", 2), ("n", "2", 2)}
+    assert frequent(df, ["n"], 1.0) == frequent(df.limit(0), ["n"], 0.5) == set()
+    with pytest.raises(ValueError):
+        stats.frequent_values(df, ["n"], 0)
+
+
+def test_rare_values_are_not_shuffled(spark):
+    df = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
+    counted = stats.frequent_values(df, ["v"], 0.05)
+    counted.collect()
+
+    def exchanges(plan):
+        here = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else []
+        return sum((exchanges(c) for c in children(plan)), here)
+
+    def children(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return [plan.executedPlan()]
+        if "QueryStage" in plan.nodeName():
+            return [plan.plan()]
+        return [plan.children().apply(k) for k in range(plan.children().size())]
+    written = exchanges(counted._jdf.queryExecution().executedPlan())
+    assert written and max(written) < 1000
+
+
 def test_multi_hot_and_first_items(spark):
     df = spark.createDataFrame([(1, "['Food']>IT>x>y"), (2, "IT")], "i int, l string")
     items = encode.first_items(df, "l", "ind", 3, {"IT": "computing"})
