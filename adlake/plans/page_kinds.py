@@ -65,6 +65,11 @@ def classified_cards(t):
     category AS title, '/jobs/' || uid AS href, CASE WHEN stat = 'OPEN' THEN region END AS company,
     level || chr(10) || country AS description FROM listing""")
 def summary_cards(t):
+    return page_records.summary_cards(summary_pages(t).select("page_id", "html"), ["page_id"])
+
+
+def summary_pages(t):
+    """One page an ad, with the ad's page_id, country, cat and subcat."""
     company = F.when(one("stat", "OPEN"), F.concat(F.lit("<a href='#'>"), "region", F.lit("</a>"))).otherwise("")
     when = F.when(one("stat", "CLOSED"), "some time").otherwise(F.date_format("postdate", "d MMMM yyyy"))
     page = F.format_string(
@@ -73,8 +78,8 @@ def summary_cards(t):
         "<div id='other'><a href='/x'>x</a></div></body></html>",
         F.col("uid"), F.col("uid"), F.when(one("level", "1-URGENT"), "featured_job").otherwise(""),
         F.col("uid"), F.col("category"), company, when, F.col("level"), F.col("country"))
-    pages = ads(t).select(F.col("uid").alias("page_id"), page.alias("html"))
-    return page_records.summary_cards(pages, ["page_id"])
+    return ads(t).select(F.col("uid").alias("page_id"), "country", F.col("category").alias("cat"),
+                         F.col("region").alias("subcat"), page.alias("html"))
 
 
 @query("board_cards", f"""WITH {POSTINGS} SELECT uid AS page_id, uid, CASE WHEN level = '5-LOW'
@@ -252,6 +257,23 @@ def dead_pages(t):
     CASE WHEN NOT gone THEN 'Arabic' END AS language, CASE WHEN NOT gone THEN 'I cook.' END AS summary
     FROM (SELECT *, c_mktsegment = 'BUILDING' AS gone FROM people)""")
 def resume_page(t):
+    docs = page_records.resume_page(resume_pages(t), ["id"], TODAY)
+    # What a profile that is gone still shows is not part of the check.
+    live = F.col("error").isNull()
+    school, job = F.get("education", 0), F.get("experiences", 0)
+    shown = {
+        "nationality": F.get("personal", 0)["value"], "schools": F.size("education"), "school": school["school"],
+        "school_year": school["date"]["year"], "degree": school["degree"], "major": school["major"],
+        "jobtitle": job["jobtitle"], "job_start": job["date"]["start"], "job_end": job["date"]["end"],
+        "duties": job["description"], "skills": F.array_join("skills", ">"),
+        "language": F.get("languages", 0)["type"], "summary": F.col("summary"),
+    }
+    return docs.select("id", "name", "has_photo", "error", "location", "title", "last_active",
+                       *[F.when(live, c).alias(n) for n, c in shown.items()])
+
+
+def resume_pages(t):
+    """One resume a customer: (id, html)."""
     header = F.format_string(
         "<div class='media profile-header'><h4 class='no-margin'>%s</h4><h4>Chef</h4><p>Looking</p>"
         "<p>Last Active: Yesterday</p></div>", F.col("n_name"))
@@ -274,17 +296,4 @@ def resume_page(t):
         F.lit("2015"), F.concat(F.lit("School of "), "n_name"), F.lit("BA | Arts"),
         F.lit("May 2011"), F.lit("High school"), F.lit("diploma"), F.lit("diploma"),
         F.lit("Mar 2015 - Present"), F.lit("Cook"), F.lit("Inn | Town"), F.lit("Kitchen work"), F.col("c_mktsegment"))
-    docs = page_records.resume_page(
-        people(t).select(F.col("c_custkey").alias("id"), page.alias("html")), ["id"], TODAY)
-    # What a profile that is gone still shows is not part of the check.
-    live = F.col("error").isNull()
-    school, job = F.get("education", 0), F.get("experiences", 0)
-    shown = {
-        "nationality": F.get("personal", 0)["value"], "schools": F.size("education"), "school": school["school"],
-        "school_year": school["date"]["year"], "degree": school["degree"], "major": school["major"],
-        "jobtitle": job["jobtitle"], "job_start": job["date"]["start"], "job_end": job["date"]["end"],
-        "duties": job["description"], "skills": F.array_join("skills", ">"),
-        "language": F.get("languages", 0)["type"], "summary": F.col("summary"),
-    }
-    return docs.select("id", "name", "has_photo", "error", "location", "title", "last_active",
-                       *[F.when(live, c).alias(n) for n, c in shown.items()])
+    return people(t).select(F.col("c_custkey").alias("id"), page.alias("html"))

@@ -7,7 +7,8 @@ from adlake.plans import catalog
 READS_BACK = {"csv_roundtrip", "doc_scan", "raw_pages", "lookup_csv", "partition_overwrite", "month_flush", "first_wins",
               "stream_first_wins", "stream_first_wins_exact", "stream_upsert", "classified_run", "board_run",
               "stream_first_wins_state", "stream_upsert_buckets", "weighted_counts_loads", "archive_in_place",
-              "csv_good_rows", "open_documents", "preview_by_partition"}
+              "load_counts", "load_summaries", "load_links", "load_resumes", "store_translations", "csv_good_rows",
+              "open_documents", "preview_by_partition"}
 
 
 def plan(spark, sf_dir, key):
