@@ -9,10 +9,17 @@ in full. Where a window of the document lies on a window of the item, slot value
 against each other: an item's value must always become the same value and two values must not
 become one, else the windows that hold a changed value of that kind do not count. So an item with other numbers or names in it is still found, but not a text that
 merely shares its frame with changing fillings.
+
+A name may become one of more or fewer words (Lyon, San Jose), a number too (200, two hundred). So each item
+is a second time a class of its own, in which runs of names and of numbers with nothing but white space
+between them are one word; windows are counted in these words there. It is asked only where the document or the item
+has a run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +50,11 @@ _NAMED, _CAPITALISED = "\ue003", "\ue004"
 _FIRST = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}-{_CAPITALISED}]){_CAPITAL}"
 #: So many words of a window must be plain where names are told by their case alone.
 PLAIN = 2
-_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_CAPITALISED}"
+#: In place of the white space inside a run of names or numbers.
+_RUN = "\ue005"
+_JOINED = (rf"([{_NAMED}{_CAPITALISED}][\p{{L}}\p{{M}}'\u2019{_NAMED}{_CAPITALISED}-]+)\s(?={_NAMED})"
+           rf"|({NUMBER})\s(?={NUMBER}(?![\p{{L}}\p{{M}}]))")
+_WORD = rf"\p{{L}}\p{{M}}{NAME}-{_RUN}"
 _EDGE = rf"(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}])"
 _SLOT = f"[{NAME}-{UNIT}]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
@@ -51,11 +62,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def marked(text: Column) -> Column:
-    """A text in lower case, without punctuation at words, with typed placeholders and a mark before each name."""
+    """A text in lower case, without punctuation at words, with typed placeholders, a mark before each name, and
+    a mark for white space inside a run of names or numbers."""
     out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _NUMBER, NUMBER)
     out = F.regexp_replace(out, _UNIT, UNIT)
     out = F.regexp_replace(out, _NAME, f"{_NAMED}$0")
     out = F.regexp_replace(out, _FIRST, f"{_CAPITALISED}$0")
+    out = F.regexp_replace(out, _JOINED, f"$1$2{_RUN}")
     return F.regexp_replace(F.lower(out), _EDGE, "")
 
 
@@ -65,13 +78,16 @@ def templates(text: Column) -> list[Column]:
     In the first capitals play no part: names stand as they are. In the next, names after a word, comma or
     semicolon are placeholders, in the last all capitalised words, also those that begin a sentence.
     """
-    def without(marks: str, column: Column) -> Column:
-        return F.translate(column, marks, "")
-
     return [F.split(out, r"\s+") for out in (
-        without(_NAMED + _CAPITALISED, text),
-        without(_CAPITALISED, F.regexp_replace(text, rf"{_NAMED}\S*", NAME)),
-        F.regexp_replace(text, rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
+        F.translate(text, _RUN + _NAMED + _CAPITALISED, " "),
+        F.regexp_replace(F.translate(text, _RUN + _CAPITALISED, " "), rf"{_NAMED}\S*", NAME),
+        F.regexp_replace(F.translate(text, _RUN, " "), rf"[{_NAMED}{_CAPITALISED}]\S*", NAME))]
+
+
+def folded(text: Column) -> Column:
+    """Template words of a marked text with all capitalised words as names and each run as one word."""
+    names = F.regexp_replace(text, rf"[{_NAMED}{_CAPITALISED}]\S*", NAME)
+    return F.split(F.regexp_replace(names, rf"(?:{NUMBER}{_RUN})+(?={NUMBER})", ""), r"\s+")
 
 
 def starts(words: Column, before: Column | None = None) -> Column:
@@ -79,8 +95,14 @@ def starts(words: Column, before: Column | None = None) -> Column:
     last = F.size(words) - WINDOW
     if before is None:
         return F.when(last >= 0, F.sequence(F.lit(0), last))
-    other = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) != F.get(before, i))
-    near = F.transform(other, lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, last)))
+    return _around(words, lambda i: F.get(words, i) != F.get(before, i))
+
+
+def _around(words: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Where windows begin that hold a wanted place."""
+    last = F.size(words) - WINDOW
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), wanted)
+    near = F.transform(places, lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, last)))
     return F.when(last >= 0, F.array_distinct(F.flatten(near)))
 
 
@@ -93,24 +115,41 @@ def _value(raw: Column) -> Column:
     return F.regexp_replace(F.lower(raw), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
 
 
-def _variants(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[tuple[str, str | None]]]:
-    """``keep`` and the words of each variant; the names of these columns, each with that of the variant before."""
+def _pair(s: Column) -> Column:
+    """A pair of fillings without the first word if runs begin with the same: it may only open a sentence (If Anna)."""
+    same = F.substring_index(s["of"], " ", 1) == F.substring_index(s["to"], " ", 1)
+    both = same & s["of"].contains(" ") & s["to"].contains(" ")
+
+    def rest(c: Column) -> Column:
+        return F.when(both, F.substr(c, F.instr(c, " ") + 1)).otherwise(c)
+
+    return F.struct(rest(s["of"]).alias("of"), rest(s["to"]).alias("to"))
+
+
+def _variants(rows: DataFrame, keep: list[str], extra: dict[str, Column] | None = None) -> tuple[DataFrame, list[tuple[str, str | None]]]:
+    """``keep``, ``extra`` (made of the marked text) and the words of each variant; the names of these columns, each with that of the variant before."""
     # marks and words are columns of their own: inside a lambda they would be made anew for each window
     kinds = templates(F.col("__marked"))
     names = [f"__words{i}" for i in range(len(kinds))]
-    words = rows.withColumn("__marked", marked(F.col("text"))).select(*keep, *[c.alias(n) for c, n in zip(kinds, names)])
+    words = rows.withColumn("__marked", marked(F.col("text"))).select(
+        *keep, *[c.alias(n) for n, c in (extra or {}).items()], *[c.alias(n) for c, n in zip(kinds, names)])
     return words, list(zip(names, [None, *names]))
 
 
 def hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash) of all windows of the column ``text`` in every variant."""
-    words, variants = _variants(rows, keys)
+    """(keys, runs, hash) of all windows of the column ``text`` in every variant and, where it has runs, of the
+    windows that hold one as one word."""
+    marks = F.col("__marked")
+    runs = F.contains(marks, F.lit(_RUN))
+    words, variants = _variants(rows, keys, {"__parts": F.when(runs, F.split(marks, r"\s+")), "__folded": F.when(runs, folded(marks))})
 
     def hashed(w: str, before: str | None) -> Column:
         return F.transform(starts(F.col(w), None if before is None else F.col(before)), lambda i: _hash(w, i))
 
+    around = _around(F.col("__folded"), lambda i: F.contains(F.get("__parts", i), F.lit(_RUN)))
+    of_runs = F.coalesce(F.transform(around, lambda i: _hash("__folded", i)), F.array().cast("array<bigint>"))
     each = [hashed(w, b) for w, b in variants]
-    return words.select(*keys, F.explode(F.concat(*each)).alias("hash"))
+    return words.select(*keys, F.col("__parts").isNotNull().alias("runs"), F.explode(F.concat(*each, of_runs)).alias("hash"))
 
 
 def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
@@ -135,27 +174,55 @@ def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots")
 
 
+def folded_windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """As ``windows``, with each run as one word, and with (n, runs): the windows of the text, and whether it has runs."""
+    marks = F.col("__marked")
+    words = (rows.withColumn("__marked", marked(F.col("text")))
+             .select(*keys, F.split("text", r"\s+").alias("__raw"), F.split(marks, r"\s+").alias("__parts"),
+                     folded(marks).alias("__folded"), F.contains(marks, F.lit(_RUN)).alias("runs")))
+    # of each raw word the folded word it is in, then of each folded word its first raw word
+    inside = F.flatten(F.transform("__parts", lambda p, k: F.array_repeat(k, F.size(F.split(p, _RUN)))))
+    words = words.withColumn("__in", inside)
+    first = F.filter(F.sequence(F.lit(0), F.size("__in") - 1), lambda i: (i == 0) | (F.get("__in", i) != F.get("__in", i - 1)))
+    words = words.withColumns({"__at": first, "n": F.size("__folded") - (WINDOW - 1)})
+
+    def slot(i: Column) -> Column:
+        at = F.get("__at", i)
+        raw = F.slice("__raw", at + 1, F.coalesce(F.get("__at", i + 1), F.size("__raw")) - at)
+        return F.when(F.get("__folded", i).rlike(_SLOT), F.array_join(raw, " "))
+
+    made = F.transform(starts(F.col("__folded")), lambda i: F.struct(
+        i.alias("place"), _hash("__folded", i).alias("hash"), F.array(*[slot(i + k) for k in range(WINDOW)]).alias("slots")))
+    enough = F.filter(made, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN)
+    each = words.select(*keys, "n", "runs", F.explode(enough).alias("w"))
+    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots", "n", "runs")
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(class, item_id, n_windows, at, hash, slots) of each different item text.
+    """(class, item_id, n_windows, at, hash, slots, folded, runs) of each different item text.
 
-    Items of equal text are one class, named by the least item_id.
+    Items of equal text are one class, named by the least item_id, and one more with runs folded.
     """
     items = (benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
              .withColumn("class", F.xxhash64("text")))
     parts = windows(items, ["class", "item_id"], "at")
-    return parts.withColumn("n_windows", F.max("at").over(Window.partitionBy("class")) + 1)
+    whole = parts.withColumns({"n_windows": F.max("at").over(Window.partitionBy("class")) + 1,
+                               "folded": F.lit(False), "runs": F.lit(False)})
+    second = items.withColumn("class", F.xxhash64(F.lit("folded"), "text"))
+    short = folded_windows(second, ["class", "item_id"], "at").withColumnRenamed("n", "n_windows").withColumn("folded", F.lit(True))
+    return whole.unionByName(short)
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """(hash, class): of each item the places of the rarest windows, one more than it may lack, in all variants."""
+    """(hash, class, folded, item_runs): of each item the places of the rarest windows, one more than it may lack, in all variants."""
     spread = items.groupBy("hash").agg(F.count_distinct("class").alias("spread"))
-    each = items.select("class", "at", "hash", "n_windows").join(spread, "hash")
+    each = items.select("class", "at", "hash", "n_windows", "folded", F.col("runs").alias("item_runs")).join(spread, "hash")
     rarest = Window.partitionBy("class").orderBy("spread", "at")
     places = (each.groupBy("class", "at", "n_windows").agg(F.sum("spread").alias("spread"))
               .withColumn("place", F.row_number().over(rarest)))
     may_lack = F.col("n_windows") - F.ceil(F.col("n_windows") * CONTAINMENT)
     places = places.filter(F.col("place") <= may_lack + 1).select("class", "at")
-    return each.join(places, ["class", "at"]).select("hash", "class").distinct()
+    return each.join(places, ["class", "at"]).select("hash", "class", "folded", "item_runs").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -171,22 +238,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = stored(seeds(items), "seeds")
     few = wanted.count() <= BROADCAST_ROWS
     found = hashes(rows, ["doc_id", "key"])
-    found = stored(found.join(F.broadcast(wanted) if few else wanted, "hash")
-                   .select("doc_id", "key", "class").distinct(), "candidates")
+    found = stored(found.join(F.broadcast(wanted) if few else wanted, "hash").filter("NOT folded OR runs OR item_runs")
+                   .select("doc_id", "key", "class", "folded").distinct(), "candidates")
     n = found.count()
     # the candidates' texts: the few are sent to the scan of the documents, else both are shuffled
-    pairs = found.groupBy("doc_id", "key").agg(F.collect_set("class").alias("classes"))
+    pairs = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("class", "folded")).alias("classes"))
     pairs = pairs.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "classes")
     pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS // 4 else pairs
-    texts = (rows.join(pairs, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
-             .dropDuplicates(["__doc", "__key"]).select("doc_id", "key", "text", F.explode("classes").alias("class")))
-    here = windows(texts, ["doc_id", "key", "class"], "place").withColumnRenamed("slots", "values")
+    texts = stored(rows.join(pairs, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+                   .dropDuplicates(["__doc", "__key"]).select("doc_id", "key", "text", "classes"), "texts")
+    texts = texts.select("doc_id", "key", "text", F.inline("classes"))
+    here = windows(texts.filter("NOT folded"), ["doc_id", "key", "class"], "place").unionByName(
+        folded_windows(texts.filter("folded"), ["doc_id", "key", "class"], "place").drop("n", "runs"))
+    here = here.withColumnRenamed("slots", "values")
     same = stored(here.join(items, ["class", "hash"]).withColumn("shift", F.col("place") - F.col("at")), "matches")
 
     doc = ["doc_id", "key", "class"]
-    pairs = F.transform(F.filter(F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull()),
-                        lambda s: F.struct(_value(s["slots"]).alias("of"), _value(s["values"]).alias("to")))
-    same = same.select(*doc, "item_id", "n_windows", "at", "shift", pairs.alias("pairs"))
+    pairs = F.transform(F.transform(
+        F.filter(F.arrays_zip("slots", "values"), lambda s: s["slots"].isNotNull()),
+        lambda s: F.struct(_value(s["slots"]).alias("of"), _value(s["values"]).alias("to"))), _pair)
+    same = same.select(*doc, "item_id", "n_windows", "folded", "at", "shift", pairs.alias("pairs"))
     filled = same.select(*doc, "shift", F.explode("pairs").alias("s")).select(*doc, "shift", "s.of", "s.to").distinct()
     many = [F.count("*").over(Window.partitionBy(*doc, "shift", side)) > 1 for side in ("of", "to")]
     conflicts = (filled.withColumn("conflict", many[0] | many[1]).filter("conflict AND of <> to")
@@ -194,12 +265,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = same.alias("m").join(
         conflicts.alias("f"), [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*doc, "shift"]], "left")
     good = joined.filter(F.col("conflicts").isNull() | ~F.arrays_overlap("pairs", "conflicts"))
-    each = good.groupBy(*[F.col(f"m.{c}") for c in doc], "item_id", "n_windows", "at").agg(
+    each = good.groupBy(*[F.col(f"m.{c}") for c in doc], "item_id", "n_windows", "folded", "at").agg(
         F.min(F.exists("pairs", lambda s: s["of"] != s["to"])).alias("changed"))
-    return (each.groupBy(*doc, "item_id", "n_windows").agg(
+    enough = (each.groupBy(*doc, "item_id", "n_windows", "folded").agg(
         F.count("*").alias("n_matched"), F.max("changed").alias("reparameterised"))
-        .filter(F.col("n_matched") >= F.col("n_windows") * CONTAINMENT)
-        .select("doc_id", "key", "item_id", "n_windows", "n_matched", "reparameterised"))
+        .filter(F.col("n_matched") >= F.col("n_windows") * CONTAINMENT))
+    # an item found word by word is not told a second time with its runs folded
+    row = F.struct("folded", "n_windows", "n_matched", "reparameterised")
+    return (enough.groupBy("doc_id", "key", "item_id").agg(F.min(row).alias("r"))
+            .select("doc_id", "key", "item_id", "r.n_windows", "r.n_matched", "r.reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -99,3 +99,22 @@ def test_names_at_the_start_number_words_and_units(spark):
     assert {k: r["reparameterised"] for k, r in got.items()} == {(i, i): True for i in range(len(pairs))}
     capitals = [(1, "Who Wrote The Old Book About Rome"), (2, "MANY OTHER CAPITALS ARE HERE IN ROWS")]
     assert found(spark, capitals[1:], capitals[:1]) == {}
+
+
+def test_names_and_numbers_of_more_or_fewer_words(spark):
+    short = "the teacher from Paris asked how many books the children read in one week of school"
+    items = [(1, ITEM), (2, short), (3, "San Jose has two hundred old houses and San Jose sells 30 of them every year")]
+    texts = [(1, f"x y {ITEM.replace('Lyon', 'San Jose')} and so on"), (2, f"and {short.replace('Paris', 'New York')} then"),
+             (3, "Lyon has 200 old houses and Lyon sells twenty five of them every year"),
+             (4, ITEM.replace("Paris", "Rio de Janeiro").replace("Anna", "Anna Maria Smith").replace("Lyon", "New York")),
+             (5, ITEM.replace("to Lyon in", "to San Jose in").replace("train to Lyon", "train to New York")),   # one name, two fillings
+             (6, ITEM), (7, "New York, San Jose, Los Angeles and Rio Grande are here in New York 20 30 40 times")]
+    got = found(spark, texts, items)
+    assert {k: r["reparameterised"] for k, r in got.items()} == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 1): True, (6, 1): False}
+
+
+def test_slots_of_runs_are_the_raw_words(spark):
+    df = spark.createDataFrame([(1, "then  Anna Maria,\tBob\nCole walk 20 30 km to O'Brien Hall. New Lane")], "id int, text string")
+    got = {r["place"]: r["slots"] for r in rows(d.folded_windows(df, ["id"], "place"))}
+    assert got[0] == [None, "Anna Maria,", "Bob Cole", None, "20 30"]
+    assert got[3] == [None, "20 30", "km", None, "O'Brien Hall."]
