@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adlake import rules
-from adlake.functions.text import capture_int, strip
+from adlake.functions.text import capture_int, let, strip
 
 
 def month_number(name: Column) -> Column:
@@ -53,44 +53,46 @@ def weekday_date(c: Column) -> Column:
 def long_date(c: Column) -> Column:
     """First 'd Month yyyy' in a text."""
     found = r"\b(\d+) ([A-Z][a-z]+) (\d+)\b"
-    return safe_date(F.regexp_extract(c, found, 3), month_number(F.regexp_extract(c, found, 2)),
-                     F.regexp_extract(c, found, 1))
+    return let(c, lambda c: safe_date(
+        F.regexp_extract(c, found, 3), month_number(F.regexp_extract(c, found, 2)), F.regexp_extract(c, found, 1)))
 
 
 def mixed_date(c: Column, today: date) -> Column:
     """A resume card's date: year, 'Mon yyyy', 'Mon yyyy - Mon yyyy', 'Mon yyyy - Present'
     or free text, as struct<raw, year, day, start, end>."""
-    c = strip(F.translate(c, "\u00a0", " "))
     month_year, span = r"^(\w+) (\d+)$", r"^(\w+) (\d+)\s+-\s+(\w+) (\d+)$"
     open_span = r"^(\w+) (\d+)\s+-\s+Present$"
 
-    def first_day(pattern: str, name: int, year: int) -> Column:
+    def first_day(c: Column, pattern: str, name: int, year: int) -> Column:
         return safe_date(F.regexp_extract(c, pattern, year),
                          month_number(F.regexp_extract(c, pattern, name)), F.lit(1))
 
-    closed, is_open = c.rlike(span), c.rlike(open_span)
-    return F.struct(
-        c.alias("raw"),
-        F.when(c.rlike(r"^\d+$"), c.try_cast("int")).alias("year"),
-        F.when(c.rlike(month_year), first_day(month_year, 1, 2)).alias("day"),
-        F.when(closed, first_day(span, 1, 2))
-        .when(is_open, first_day(open_span, 1, 2)).alias("start"),
-        F.when(closed, first_day(span, 3, 4)).when(is_open, F.lit(today)).alias("end"),
-    )
+    def parts(c: Column) -> Column:
+        closed, is_open = c.rlike(span), c.rlike(open_span)
+        return F.struct(
+            c.alias("raw"),
+            F.when(c.rlike(r"^\d+$"), c.try_cast("int")).alias("year"),
+            F.when(c.rlike(month_year), first_day(c, month_year, 1, 2)).alias("day"),
+            F.when(closed, first_day(c, span, 1, 2))
+            .when(is_open, first_day(c, open_span, 1, 2)).alias("start"),
+            F.when(closed, first_day(c, span, 3, 4)).when(is_open, F.lit(today)).alias("end"),
+        )
+
+    return let(strip(F.translate(c, "\u00a0", " ")), parts)
 
 
 def last_active(c: Column, today: date) -> Column:
     """'Last Active: ...' with a full date, 'Yesterday', 'Today' or hours ago; any other
     phrase counts as a week ago, no phrase as unknown."""
-    c = F.translate(c, "\u00a0", " ")
-    phrase = F.regexp_extract(c, r"Last Active:\s+(.*)$", 1)
     now = F.lit(today)
-    return F.coalesce(
-        long_date(c),
-        F.when(phrase.rlike("^Yesterday"), F.date_sub(now, 1))
-        .when(phrase.rlike("^Today|[Hh]ours? [Aa]go"), now)
-        .when(phrase != "", F.date_sub(now, 7)),
-    )
+
+    def found(c: Column) -> Column:
+        return F.coalesce(long_date(c), let(F.regexp_extract(c, r"Last Active:\s+(.*)$", 1), lambda phrase: (
+            F.when(phrase.rlike("^Yesterday"), F.date_sub(now, 1))
+            .when(phrase.rlike("^Today|[Hh]ours? [Aa]go"), now)
+            .when(phrase != "", F.date_sub(now, 7)))))
+
+    return let(F.translate(c, "\u00a0", " "), found)
 
 
 def days_between(later: Column, earlier: Column) -> Column:

@@ -282,10 +282,10 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
         text.strip(F.get(F.split(raw_text(first_of(elements, "title")), r"\|"), 0)).alias("name"),
         F.when(photo.isNotNull(), (~attribute(first_of(inside(elements, photo), "img"), "src")
                                    .contains(m["no_photo"])).cast("int")).alias("has_photo"))
-    blocks = F.transform(all_of(elements, "div", m["section"]), lambda b: F.struct(
-        F.lower(text.strip(raw_text(first_of(inside(elements, b), "h2")))).alias("key"),
-        raw_text(F.get(F.filter(inside(elements, b), lambda e: with_class(e, "row")), 0)).alias("text"),
-        inside(elements, b).alias("inner"), b["pos"].alias("pos")))
+    blocks = F.transform(all_of(elements, "div", m["section"]), lambda b: text.let(inside(elements, b), lambda inner: F.struct(
+        F.lower(text.strip(raw_text(first_of(inner, "h2")))).alias("key"),
+        raw_text(F.get(F.filter(inner, lambda e: with_class(e, "row")), 0)).alias("text"),
+        inner.alias("inner"), b["pos"].alias("pos"))))
     staged = top.select(
         *keys, "page_text", "text_base", "name", "has_photo", F.when(F.col("_gone"), "profile is deactivated").alias("error"),
         F.when(F.size("_top") > 0, F.col("_top")).alias("_top"), blocks.alias("_blocks"))
@@ -295,38 +295,41 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
     def block(key: str) -> Column:
         return F.get(F.filter("_blocks", lambda b: b["key"] == key), 0)
 
-    def item(block_: Column):
-        def of(li: Column) -> Column:
-            own = part_of(block_["inner"], block_, li)
-            line = raw_text(first_of(own, "p"))
-            description = F.nullif(text_of(first_of(own, "div", m["description"])), F.lit(""))
-            item1 = text.strip(F.get(F.split(line, r"\|"), 0))
-            return F.struct(
-                dates.mixed_date(raw_text(first_of(own, "div", m["date"])), today).alias("date"),
-                text_of(first_of(own, "div", m["subject"])).alias("subject"),
-                F.when(~item1.eqNullSafe(description), F.nullif(item1, F.lit(""))).alias("item1"),
-                text.strip(F.get(F.split(line, r"\|"), 1)).alias("item2"), description.alias("description"))
-        return of
+    def fields(own: Column) -> Column:
+        line = F.split(raw_text(first_of(own, "p")), r"\|")
+        description = F.nullif(text_of(first_of(own, "div", m["description"])), F.lit(""))
+        cells = F.struct(text.let(line, lambda x: F.struct(
+            text.strip(F.get(x, 0)).alias("item1"), text.strip(F.get(x, 1)).alias("item2"))).alias("line"),
+            description.alias("description"))
+        return text.let(cells, lambda x: F.struct(
+            dates.mixed_date(raw_text(first_of(own, "div", m["date"])), today).alias("date"),
+            text_of(first_of(own, "div", m["subject"])).alias("subject"),
+            F.when(~x["line"]["item1"].eqNullSafe(x["description"]), F.nullif(x["line"]["item1"], F.lit(""))).alias("item1"),
+            x["line"]["item2"].alias("item2"), x["description"].alias("description")))
 
     def section(key: str, names: dict[str, str]) -> Column:
-        found = block(key)
-        items = F.filter(found["inner"], lambda e: (e["tag"] == "li") & attribute(e, "style").isNotNull())
         renamed = [n for n in ("date", "subject", "item1", "item2", "description") if n in names]
-        return F.transform(F.transform(items, item(found)), lambda x: F.struct(
-            *[x[n].alias(names[n]) for n in renamed]))
+
+        def items(found: Column) -> Column:
+            lines = F.filter(found["inner"], lambda e: (e["tag"] == "li") & attribute(e, "style").isNotNull())
+            return F.transform(lines, lambda li: text.let(
+                text.let(part_of(found["inner"], found, li), fields), lambda x: F.struct(
+                    *[x[n].alias(names[n]) for n in renamed])))
+
+        return text.let(block(key), items)
 
     def texts(key: str, tag: str) -> Column:
         return F.transform(all_of(block(key)["inner"], tag), text_of)
 
-    def language(li: Column) -> Column:
-        found = block("languages")
-        own = part_of(found["inner"], found, li)
-        return F.struct(text_of(first_of(own, "div", m["level"])).alias("level"),
-                        text_of(first_of(own, "div", m["language"])).alias("type"))
+    def languages(found: Column) -> Column:
+        return F.transform(all_of(found["inner"], "li"), lambda li: text.let(
+            part_of(found["inner"], found, li), lambda own: F.struct(
+                text_of(first_of(own, "div", m["level"])).alias("level"),
+                text_of(first_of(own, "div", m["language"])).alias("type"))))
 
     def pair(e: Column) -> Column:
-        parts = F.split(raw_text(e), ":")
-        return F.struct(text.strip(F.get(parts, 0)).alias("key"), text.strip(F.get(parts, 1)).alias("value"))
+        return text.let(F.split(raw_text(e), ":"), lambda parts: F.struct(
+            text.strip(F.get(parts, 0)).alias("key"), text.strip(F.get(parts, 1)).alias("value")))
 
     personal = F.transform(all_of(block("personal information")["inner"], "div", m["personal"]), pair)
     return staged.select(
@@ -338,7 +341,7 @@ def resume_page(pages: DataFrame, keys: Sequence[str], today: date) -> DataFrame
         personal.alias("personal"),
         *[section(key, names).alias(key) for key, names in rules.SECTION_FIELDS.items()],
         texts("skills", "button").alias("skills"), texts("interests", "button").alias("interests"),
-        F.transform(all_of(block("languages")["inner"], "li"), language).alias("languages"),
+        text.let(block("languages"), languages).alias("languages"),
         text.strip(block("summary")["text"]).alias("summary"))
 
 

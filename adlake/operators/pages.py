@@ -43,12 +43,13 @@ def first_of(elements: Column, tag: str, classes: str | None = None, attr: str |
 
 def inside(elements: Column, element: Column) -> Column:
     """The elements inside an element; null if there is no such element."""
-    return F.slice(elements, element["pos"] + 2, element["last"] - element["pos"])
+    return text.let(element, lambda e: F.slice(elements, e["pos"] + 2, e["last"] - e["pos"]))
 
 
 def raw_text(element: Column) -> Column:
     """The text inside an element, taken from the columns ``page_text`` and ``text_base``."""
-    return F.substr(F.col("page_text"), element["start"] - F.col("text_base") + 1, element["end"] - element["start"])
+    return text.let(element, lambda e: F.substr(
+        F.col("page_text"), e["start"] - F.col("text_base") + 1, e["end"] - e["start"]))
 
 
 def text_of(element: Column) -> Column:
