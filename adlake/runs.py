@@ -165,6 +165,8 @@ def load_summaries(links: DataFrame, cards: DataFrame, stored_links: DataFrame,
     """Category links of the aggregator, renewed for the countries loaded, and summary cards that
     the stored table lacks. ``cards`` comes from ``summary_cards`` with country, cat and subcat as keys."""
     countries = [r["country"] for r in links.select("country").distinct().collect()]  # a row per site
+    # Written, so that the parse is not repeated by each step that reads its rows.
+    cards = _save(cards, f"{out}/cards")
     renewed = maintenance.refresh_partition(stored_links, links.to(SCHEMAS["category_links"]), "country", countries)
     return {"category_links": _save(renewed, f"{out}/category_links"),
             "summary": _save(_added(cards, stored, "ad_summary"), f"{out}/summary")}
