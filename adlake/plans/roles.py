@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlake.plans.registry import Tables
-from adlake.sources.tables import spread
+from adlake.sources.tables import spread, tasks_for
 
 TODAY = date(2001, 8, 1)
 EVENTS_TODAY = date(2024, 1, 30)
@@ -63,13 +63,17 @@ def multicat(t: Tables) -> DataFrame:
     """Ads in several categories: country, uid, cat, postdate.
 
     The rows are made distinct before the country is joined on: an ad with very many
-    rows is cut down in each task and does not make the join lopsided.
+    rows is cut down in each task and does not make the join lopsided. The join by ad, and what
+    is grouped by ad after it, run in as many tasks as the line items need.
     """
     seen = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
             .select(F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
                     F.col("l_shipdate").cast("date").alias("postdate")).distinct())
     home = t.orders.join(places(t), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("uid"), F.col("r_name").alias("country"))
+    tasks = tasks_for(t.lineitem)
+    if tasks:
+        seen, home = seen.repartition(tasks, "uid"), home.repartition(tasks, "uid")
     return seen.join(home, "uid").select("country", "uid", "cat", "postdate")
 
 

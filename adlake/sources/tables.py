@@ -18,6 +18,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.hint("rebalance")
 
 
+def tasks_for(scan: DataFrame, rows: int = 1_000_000) -> int | None:
+    """Number of partitions for a shuffle of a scanned table, so that a task has about so many rows; None if the
+    session's number will do. The count is read from the files' footers."""
+    tasks = -(-scan.count() // rows)
+    return tasks if tasks > int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              date_format: str = "yyyy-MM-dd", multi_line: bool = False) -> DataFrame:
     """CSV with a header row, read under a declared schema. A file is one task only if
