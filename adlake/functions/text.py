@@ -6,7 +6,7 @@ import html
 import sys
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -184,9 +184,12 @@ def label_class(c: Column, own_name: str | None = None) -> tuple[Column, Column]
     return kind, F.regexp_replace(c, "Jobs in |( Website)* Jobs", "")
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
+    # Few texts of a batch are Python strings at once.
+    parts = [pa.array([None if x is None else html.unescape(x) for x in texts.slice(at, 100).to_pylist()], pa.string())
+             for at in range(0, len(texts), 100)]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
 
 def html_unescape(c: Column) -> Column:
