@@ -63,18 +63,21 @@ def multicat(t: Tables) -> DataFrame:
     """Ads in several categories: country, uid, cat, postdate.
 
     The rows are made distinct before the country is joined on: an ad with very many
-    rows is cut down in each task and does not make the join lopsided. The join by ad, and what
-    is grouped by ad after it, run in as many tasks as the line items need.
+    rows is cut down first and does not make the join lopsided. Of many line items neither the
+    distinct nor what is grouped by ad after it is left to the session's number of tasks: they run in
+    as many as the line items need. Repeats are dealt out by the task they come from too, so that
+    very many of one row are cut down in several tasks before they meet.
     """
     seen = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
             .select(F.col("l_orderkey").alias("uid"), F.col("p_type").alias("cat"),
-                    F.col("l_shipdate").cast("date").alias("postdate")).distinct())
+                    F.col("l_shipdate").cast("date").alias("postdate")))
     home = t.orders.join(places(t), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("uid"), F.col("r_name").alias("country"))
     tasks = tasks_for(t.lineitem)
     if tasks:
-        seen, home = seen.repartition(tasks, "uid"), home.repartition(tasks, "uid")
-    return seen.join(home, "uid").select("country", "uid", "cat", "postdate")
+        dealt = seen.withColumn("_from", F.spark_partition_id()).repartition(tasks, "uid", "cat", "postdate", "_from")
+        seen, home = dealt.distinct().drop("_from").repartition(tasks, "uid"), home.repartition(tasks, "uid")
+    return seen.distinct().join(home, "uid").select("country", "uid", "cat", "postdate")
 
 
 MULTICAT = """multicat AS (

@@ -18,7 +18,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.hint("rebalance")
 
 
-def tasks_for(scan: DataFrame, rows: int = 1_000_000) -> int | None:
+def tasks_for(scan: DataFrame, rows: int = 500_000) -> int | None:
     """Number of partitions for a shuffle of a scanned table, so that a task has about so many rows; None if the
     session's number will do. The count is read from the files' footers."""
     tasks = -(-scan.count() // rows)

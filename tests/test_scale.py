@@ -25,6 +25,41 @@ def test_many_line_items_are_grouped_in_more_tasks(spark, sf_dir, monkeypatch):
     assert after == before and len(after) > 0
 
 
+def test_many_line_items_are_made_distinct_in_more_tasks(spark, sf_dir, monkeypatch):
+    """No map of what is seen is kept by a task of the scan, nor by one of the session's few."""
+    t = Tables(spark, sf_dir)
+    monkeypatch.setattr(roles, "tasks_for", lambda scan: tables.tasks_for(scan, 500))
+    tasks = -(-t.lineitem.count() // 500)
+    plan = roles.multicat(t)._jdf.queryExecution().executedPlan().toString().splitlines()
+    aggregates = [i for i, line in enumerate(plan) if "HashAggregate(" in line]
+    dealt = [i for i, line in enumerate(plan) if "hashpartitioning(" in line and f", {tasks}), REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 3 and "_from#" in plan[dealt[1]]
+    assert aggregates and max(aggregates) < dealt[1]  # plans are printed from the end: nothing is grouped before it is dealt out
+    assert not any("Exchange" in line for line in plan[min(aggregates):dealt[1]] if f", {tasks})" not in line)
+
+
+def test_repeats_dealt_out_by_their_task_meet_again(spark, tmp_path, monkeypatch):
+    """Rows that come very many times and in all tasks, null keys, and ads without an order."""
+    lines = spark.range(6_000, numPartitions=6).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 1 WHEN id % 97 = 0 THEN NULL ELSE id % 40 END AS l_orderkey", "IF(id % 2 = 0, 1, id % 7) AS l_partkey",
+        "IF(id % 2 = 0, DATE '2020-01-05', IF(id % 5 = 0, NULL, date_add(DATE '2020-01-01', CAST(id % 90 AS INT)))) AS l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, rows in {
+        "part": "SELECT id AS p_partkey, IF(id = 3, NULL, concat('t', id % 3)) AS p_type FROM range(6)",
+        "orders": "SELECT id AS o_orderkey, id % 4 AS o_custkey FROM range(30)",
+        "customer": "SELECT id AS c_custkey, id % 2 AS c_nationkey FROM range(4)",
+        "nation": "SELECT id AS n_nationkey, id AS n_regionkey FROM range(2)",
+        "region": "SELECT id AS r_regionkey, concat('r', id) AS r_name FROM range(2)",
+    }.items():
+        spark.sql(rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert tables.tasks_for(t.lineitem) is None
+    plain = roles.multicat(t).collect()
+    monkeypatch.setattr(roles, "tasks_for", lambda scan: tables.tasks_for(scan, 500))
+    dealt = roles.multicat(t).collect()
+    assert sorted(map(str, dealt)) == sorted(map(str, plain)) and len(set(dealt)) == len(dealt) > 100
+
+
 def test_few_rows_leave_the_number_of_tasks_to_the_session(spark, sf_dir):
     assert tables.tasks_for(Tables(spark, sf_dir).region) is None
     assert tables.tasks_for(spark.range(1000), 10) == 100
