@@ -19,6 +19,7 @@ has a run.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ _EDGE = rf"(?<=[{_WORD}])[^{_WORD}\s]+|[^{_WORD}\s]+(?=[{_WORD}])"
 _SLOT = f"[{NAME}-{UNIT}]"
 #: At most so many windows to look for are sent to every task (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: So many plain words in a row, and at most so many rows, are asked for before a text is made a template; of more all texts are.
+ROW, RUNS = 3, 20_000
 
 
 def marked(text: Column) -> Column:
@@ -152,8 +155,9 @@ def hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return words.select(*keys, F.col("__parts").isNotNull().alias("runs"), F.explode(F.concat(*each, of_runs)).alias("hash"))
 
 
-def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset.
+def windows(rows: DataFrame, keys: list[str], place: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, place, hash, slots) of the column ``text``; slots are the raw words under placeholders, by offset. The template
+    words come with them if ``extra`` names ``words``.
 
     A place has a row in the first variant, and one in each other variant whose words differ there. In the last
     variant windows with fewer than ``PLAIN`` plain words are left out: capitals alone would fit each other.
@@ -163,7 +167,8 @@ def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     def made(w: str, before: str | None) -> Column:
         def window(i: Column) -> Column:
             slots = [F.when(F.get(w, i + k).rlike(_SLOT), F.get("__raw", i + k)) for k in range(WINDOW)]
-            return F.struct(i.alias("place"), _hash(w, i).alias("hash"), F.array(*slots).alias("slots"))
+            words = [F.slice(w, i + 1, WINDOW).alias(n) for n in extra]
+            return F.struct(i.alias("place"), _hash(w, i).alias("hash"), F.array(*slots).alias("slots"), *words)
 
         out = F.transform(starts(F.col(w), None if before is None else F.col(before)), window)
         enough = F.filter(out, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN)
@@ -171,10 +176,10 @@ def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
 
     # windows are put together inside the row: exploded first, each would carry all words of its text
     each = words.select(*keys, F.explode(F.concat(*[made(w, b) for w, b in variants])).alias("w"))
-    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots")
+    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots", *[f"w.{n}" for n in extra])
 
 
-def folded_windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+def folded_windows(rows: DataFrame, keys: list[str], place: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """As ``windows``, with each run as one word, and with (n, runs): the windows of the text, and whether it has runs."""
     marks = F.col("__marked")
     words = (rows.withColumn("__marked", marked(F.col("text")))
@@ -192,37 +197,95 @@ def folded_windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
         return F.when(F.get("__folded", i).rlike(_SLOT), F.array_join(raw, " "))
 
     made = F.transform(starts(F.col("__folded")), lambda i: F.struct(
-        i.alias("place"), _hash("__folded", i).alias("hash"), F.array(*[slot(i + k) for k in range(WINDOW)]).alias("slots")))
+        i.alias("place"), _hash("__folded", i).alias("hash"), F.array(*[slot(i + k) for k in range(WINDOW)]).alias("slots"),
+        *[F.slice("__folded", i + 1, WINDOW).alias(n) for n in extra]))
     enough = F.filter(made, lambda x: F.size(F.filter(x["slots"], lambda s: s.isNull())) >= PLAIN)
     each = words.select(*keys, "n", "runs", F.explode(enough).alias("w"))
-    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots", "n", "runs")
+    return each.select(*keys, F.col("w.place").alias(place), "w.hash", "w.slots", *[f"w.{n}" for n in extra], "n", "runs")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(class, item_id, n_windows, at, hash, slots, folded, runs) of each different item text.
+    """(class, item_id, n_windows, at, hash, slots, words, folded, runs) of each different item text.
 
     Items of equal text are one class, named by the least item_id, and one more with runs folded.
     """
     items = (benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
              .withColumn("class", F.xxhash64("text")))
-    parts = windows(items, ["class", "item_id"], "at")
+    parts = windows(items, ["class", "item_id"], "at", ("words",))
     whole = parts.withColumns({"n_windows": F.max("at").over(Window.partitionBy("class")) + 1,
                                "folded": F.lit(False), "runs": F.lit(False)})
     second = items.withColumn("class", F.xxhash64(F.lit("folded"), "text"))
-    short = folded_windows(second, ["class", "item_id"], "at").withColumnRenamed("n", "n_windows").withColumn("folded", F.lit(True))
+    short = folded_windows(second, ["class", "item_id"], "at", ("words",)).withColumnRenamed("n", "n_windows").withColumn("folded", F.lit(True))
     return whole.unionByName(short)
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """(hash, class, folded, item_runs): of each item the places of the rarest windows, one more than it may lack, in all variants."""
+    """(hash, class, folded, item_runs, run): of each item some places, one more than it may lack, in all variants.
+
+    Any places would do. Taken are those that have plain words in a row in each variant, as these are what few texts have,
+    and of them the rarest. ``run`` is the hash of ``_run``.
+    """
     spread = items.groupBy("hash").agg(F.count_distinct("class").alias("spread"))
-    each = items.select("class", "at", "hash", "n_windows", "folded", F.col("runs").alias("item_runs")).join(spread, "hash")
-    rarest = Window.partitionBy("class").orderBy("spread", "at")
-    places = (each.groupBy("class", "at", "n_windows").agg(F.sum("spread").alias("spread"))
+    each = items.select("class", "at", "hash", "n_windows", "folded", F.col("runs").alias("item_runs"), _run("words")).join(spread, "hash")
+    rarest = Window.partitionBy("class").orderBy(F.desc("row"), "spread", "at")
+    places = (each.groupBy("class", "at", "n_windows").agg(F.sum("spread").alias("spread"), F.min("run.row").alias("row"))
               .withColumn("place", F.row_number().over(rarest)))
     may_lack = F.col("n_windows") - F.ceil(F.col("n_windows") * CONTAINMENT)
     places = places.filter(F.col("place") <= may_lack + 1).select("class", "at")
-    return each.join(places, ["class", "at"]).select("hash", "class", "folded", "item_runs").distinct()
+    return each.join(places, ["class", "at"]).select("hash", "class", "folded", "item_runs", "run").distinct()
+
+
+def _letters(text: Column) -> Column:
+    """A text in lower case with nothing but letters and white space. A template word without a placeholder that has a letter
+    is what this makes of the raw word; a final sigma depends on what follows, so it is written as any other."""
+    return F.translate(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\s]+", ""), "ς", "σ")
+
+
+def _run(words: str) -> Column:
+    """(row, hash) of a window: how many plain words stand in a row, ``ROW`` at most, and the hash of those of most letters.
+    Without a plain word that has a letter it is (0, null)."""
+    letters = F.transform(F.col(words), lambda w: F.when(~w.rlike(_SLOT) & (_letters(w) != ""), _letters(w)))
+
+    def rows(n: int) -> list[Column]:
+        parts = [[F.get(letters, F.lit(i + k)) for k in range(n)] for i in range(WINDOW - n + 1)]
+        # of a missing word the whole is null
+        return [F.struct(F.lit(n).alias("row"), F.length(F.concat(*p)).alias("size"), _row_hash([F.xxhash64(w) for w in p]).alias("hash"))
+                for p in parts]
+
+    found = F.filter(F.array(*[r for n in range(1, ROW + 1) for r in rows(n)]), lambda r: r["size"].isNotNull())
+    best = F.array_max(found)
+    return F.struct(F.coalesce(best["row"], F.lit(0)).alias("row"), best["hash"].alias("hash")).alias("run")
+
+
+def _row_hash(words: list[Column]) -> Column:
+    return F.xxhash64(*words)
+
+
+def _may_hold(text: Column, runs: dict[int, list[int]]) -> Column:
+    """Whether a text has one of the ``runs`` (hashes by number of words): if not, it has none of their windows in any variant.
+
+    Raw words stay in their order, and only those without letters go, so plain words of a window that follow each
+    other do so here. Where a text itself has the mark for white space its words are others, and it is let through.
+    """
+    def has(words: Column, n: int, hashes: list[int]) -> Column:
+        rows = F.transform(words, lambda w, i: _row_hash([w, *[F.get(words, i + k) for k in range(1, n)]]))
+        return F.exists(rows, lambda h: h.isin(hashes))
+
+    def known(words: Column) -> Column:
+        return reduce(Column.__or__, [has(words, n, runs[n]) for n in sorted(runs, reverse=True)], F.lit(False))
+
+    # the words are an element of an array, so that they are made once wherever the filter is put
+    words = F.transform(F.split(_letters(text), r"\s+"), lambda w: F.xxhash64(w))
+    return F.contains(text, F.lit(_RUN)) | F.get(F.transform(F.array(words), known), F.lit(0))
+
+
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose text may hold a wanted window; all of them if there are over ``RUNS`` runs or a window has none."""
+    runs: dict[int, list[int]] = {}
+    found = wanted.select("run.row", "run.hash").distinct().limit(RUNS + 1).collect()
+    for row, h in found:
+        runs.setdefault(row, []).append(h)
+    return rows if len(found) > RUNS or 0 in runs else rows.filter(_may_hold(F.col("text"), runs))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -237,8 +300,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(item_windows(benchmark), "items")
     wanted = stored(seeds(items), "seeds")
     few = wanted.count() <= BROADCAST_ROWS
-    found = hashes(rows, ["doc_id", "key"])
-    found = stored(found.join(F.broadcast(wanted) if few else wanted, "hash").filter("NOT folded OR runs OR item_runs")
+    # most texts hold no run of words of a wanted window: they are not made templates
+    found = hashes(likely(rows, wanted), ["doc_id", "key"])
+    each = wanted.drop("run").distinct()
+    found = stored(found.join(F.broadcast(each) if few else each, "hash").filter("NOT folded OR runs OR item_runs")
                    .select("doc_id", "key", "class", "folded").distinct(), "candidates")
     n = found.count()
     # the candidates' texts: the few are sent to the scan of the documents, else both are shuffled

@@ -118,3 +118,43 @@ def test_slots_of_runs_are_the_raw_words(spark):
     got = {r["place"]: r["slots"] for r in rows(d.folded_windows(df, ["id"], "place"))}
     assert got[0] == [None, "Anna Maria,", "Bob Cole", None, "20 30"]
     assert got[3] == [None, "20 30", "km", None, "O'Brien Hall."]
+
+
+MARKET = "If Anna buys 20 apples at the old market, she doesn't pay more than two hundred euros — says ΟΔΥΣΣΕΥΣ.five about José's naïve plan."
+
+
+def test_texts_without_a_run_of_plain_words_are_left_out(spark):
+    """What is left out has no wanted window, whatever stands between and inside the words; plain texts go."""
+    odd = [MARKET, MARKET.upper(), MARKET.replace(" ", "\t \n"), MARKET.replace(" ", " - "), MARKET.replace("20", "1,000.5").replace("Anna", "Mary Lou"),
+           MARKET.replace("'", "").replace(",", " ,"), "x" + MARKET, MARKET.replace("a", "a\ue003"), MARKET.replace(" ", "\ue005"),
+           MARKET.replace("two hundred", "200"), MARKET.replace("—", "\u00a0"), "(" + MARKET.replace(" ", ") (") + ")", "a\ue000b " + MARKET]
+    rng = random.Random(7)
+    words = MARKET.split()
+    odd += [" ".join(words[k:k + 9]) + rng.choice([" ", ". ", " 7 "]) + " ".join(rng.sample(words, 12)) for k in range(14)]
+    plain = [" ".join(rng.sample(words, len(words))) for _ in range(40)] + ["", " ", "--", "the market", None]
+    docs = spark.createDataFrame(list(enumerate(odd + plain)), "doc_id long, text string").filter("text IS NOT NULL")
+    items = d.item_windows(spark.createDataFrame([(1, MARKET), (2, MARKET.replace("apples", "pears"))], "item_id long, text string"))
+    wanted = d.seeds(items)
+    assert {r["row"] for r in rows(wanted.select("run.row"))} == {3}
+    kept = {r["doc_id"] for r in rows(d.likely(docs, wanted))}
+    hit = {r["doc_id"] for r in rows(d.hashes(docs, ["doc_id"]).join(wanted, "hash", "left_semi"))}
+    assert hit <= kept and {0, 1, 2, 5, 9} <= hit and len(kept) < len(odd) + 20
+
+
+def test_items_without_plain_words_leave_all_texts_in(spark):
+    docs = spark.createDataFrame([(1, "3 4 5 6 7 8"), (2, "nothing of that kind here at all")], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "3 4 5 6 7 8")], "item_id long, text string")
+    wanted = d.seeds(d.item_windows(item))
+    assert d.likely(docs, wanted).count() == 2
+    one = spark.createDataFrame([(1, "3 pears 4 5 6 7 8 9")], "item_id long, text string")
+    few = d.seeds(d.item_windows(one))
+    kept = {r["doc_id"] for r in rows(d.likely(docs.union(spark.createDataFrame([(3, "1 Pears! 2 3 4 5 6 7")], docs.schema)), few))}
+    assert 3 in kept
+
+
+def test_many_runs_leave_all_texts_in(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, MARKET), (2, "nothing")], "doc_id long, text string")
+    wanted = d.seeds(d.item_windows(spark.createDataFrame([(1, MARKET)], "item_id long, text string")))
+    assert d.likely(docs, wanted).count() == 1
+    monkeypatch.setattr(d, "RUNS", 2)
+    assert d.likely(docs, wanted).count() == 2
