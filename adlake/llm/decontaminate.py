@@ -316,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     here = windows(texts.filter("NOT folded"), ["doc_id", "key", "class"], "place").unionByName(
         folded_windows(texts.filter("folded"), ["doc_id", "key", "class"], "place").drop("n", "runs"))
     here = here.withColumnRenamed("slots", "values")
-    same = stored(here.join(items, ["class", "hash"]).withColumn("shift", F.col("place") - F.col("at")), "matches")
+    same = stored(here.join(items.drop("words"), ["class", "hash"]).withColumn("shift", F.col("place") - F.col("at")), "matches")
 
     doc = ["doc_id", "key", "class"]
     pairs = F.transform(F.transform(
