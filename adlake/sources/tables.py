@@ -19,10 +19,11 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def tasks_for(scan: DataFrame, rows: int = 500_000) -> int | None:
-    """Number of partitions for a shuffle of a scanned table, so that a task has about so many rows; None if the
-    session's number will do. The count is read from the files' footers."""
+    """Number of partitions for a shuffle of a scanned table, so that a task has about so many rows, and no fewer than the
+    cores; None if one task has them all. The session's number does not count: however large, AQE joins its partitions
+    into tasks of up to its advisory size, millions of narrow rows. The count is read from the files' footers."""
     tasks = -(-scan.count() // rows)
-    return tasks if tasks > int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return max(tasks, scan.sparkSession.sparkContext.defaultParallelism) if tasks > 1 else None
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str,

@@ -65,6 +65,25 @@ def test_few_rows_leave_the_number_of_tasks_to_the_session(spark, sf_dir):
     assert tables.tasks_for(spark.range(1000), 10) == 100
 
 
+def test_many_partitions_of_the_session_do_not_make_larger_tasks(spark, sf_dir, monkeypatch):
+    """A session of more partitions than the line items need leaves their number to AQE, which joins them."""
+    monkeypatch.setattr(roles, "tasks_for", lambda scan: tables.tasks_for(scan, 500))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert tables.tasks_for(spark.range(1000), 20) == 50
+        weights = trends.ad_weights(roles.multicat(Tables(spark, sf_dir)))
+        rows = [r["count"] for r in weights.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(rows) > 5_000 and max(rows) < 2 * 500
+
+
+def test_tasks_of_a_shuffle_are_no_fewer_than_the_cores(spark):
+    assert tables.tasks_for(spark.range(1000), 1000) is None
+    assert tables.tasks_for(spark.range(1001), 1000) == spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("start", [False, True])
 def test_phrases_that_can_fit_no_rule_are_left_out_before_the_join(spark, start):
     rows = [(1, "one two, three"), (2, " two three"), (3, None), (4, ""), (5, "three-two"), (6, "...")]
