@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from adlake.functions import text
 from adlake.operators import rule_table, trends
-from adlake.plans import roles
+from adlake.plans import catalog, roles
 from adlake.plans.registry import Tables
 from adlake.sources import tables
 
@@ -79,6 +79,27 @@ def test_many_partitions_of_the_session_do_not_make_larger_tasks(spark, sf_dir,
     assert sum(rows) > 5_000 and max(rows) < 2 * 500
 
 
+@pytest.mark.parametrize("key", ["pivot_month_cat"])
+def test_trends_of_many_line_items_keep_their_tasks_up_to_the_window(spark, sf_dir, monkeypatch, key):
+    """The whole query, in a session of more partitions than the line items need: AQE joins none of the tasks below the window."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        plain = sorted(map(str, catalog.QUERIES[key](spark, sf_dir).collect()))
+        monkeypatch.setattr(roles, "tasks_for", lambda scan: tables.tasks_for(scan, 500))
+        dealt = catalog.QUERIES[key](spark, sf_dir)
+        assert sorted(map(str, dealt.collect())) == plain and plain
+        query = dealt._jdf.queryExecution()
+        query.toRdd().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = -(-Tables(spark, sf_dir).lineitem.count() // 500)
+    plan = query.executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    window = next(i for i, line in enumerate(plan) if "Window [" in line)
+    below = [line for line in plan[window:] if "Exchange hashpartitioning(" in line or "AQEShuffleRead" in line]
+    assert f", {tasks}), REPARTITION_BY_NUM" in below[0]
+
+
 def test_tasks_of_a_shuffle_are_no_fewer_than_the_cores(spark):
     assert tables.tasks_for(spark.range(1000), 1000) is None
     assert tables.tasks_for(spark.range(1001), 1000) == spark.sparkContext.defaultParallelism
