@@ -79,7 +79,7 @@ def test_many_partitions_of_the_session_do_not_make_larger_tasks(spark, sf_dir,
     assert sum(rows) > 5_000 and max(rows) < 2 * 500
 
 
-@pytest.mark.parametrize("key", ["pivot_month_cat", "weighted_counts_whole"])
+@pytest.mark.parametrize("key", ["pivot_month_cat", "weighted_counts_whole", "weighted_counts"])
 def test_trends_of_many_line_items_keep_their_tasks_up_to_the_window(spark, sf_dir, monkeypatch, key):
     """The whole query, in a session of more partitions than the line items need: AQE joins none of the tasks below the window."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
